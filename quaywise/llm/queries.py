@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .encoding import op6_bpe
 from .fingerprints import op1_fingerprints
+from .media import op7_media
+from .packing import op9_packing
+from .pages import op3_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op3_pages": op3_pages,
+    "op6_bpe": op6_bpe,
+    "op7_media": op7_media,
+    "op9_packing": op9_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
