@@ -11,6 +11,7 @@ from .fingerprints import op1_fingerprints
 from .media import op7_media
 from .packing import op9_packing
 from .pages import op3_pages
+from .repeats import op10_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
     "op9_packing": op9_packing,
+    "op10_repeats": op10_repeats,
 }
 
 ORACLE_SQL: dict[str, str] = {}
