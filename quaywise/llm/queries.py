@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .encoding import op6_bpe
 from .fingerprints import op1_fingerprints
 from .media import op7_media
+from .neardup import op8_neardup
 from .packing import op9_packing
 from .pages import op3_pages
 from .repeats import op10_repeats
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_pages": op3_pages,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
+    "op8_neardup": op8_neardup,
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
 }
