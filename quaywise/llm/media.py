@@ -14,6 +14,7 @@ JPEG, restart intervals included) go through a symbol-by-symbol decoder.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import struct
@@ -120,6 +121,34 @@ def write_jpeg(payload: bytes) -> bytes:
     return _HEAD + _segment(0xFE, b"payload=%d" % len(payload)) + _segment(0xC0, frame) + _TABLES + _SCAN + scan + b"\xff\xd9"
 
 
+@functools.lru_cache(maxsize=64)
+def _lookup(counts: tuple[int, ...], symbols: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For each 16 bits: the symbol they begin with and its code's length (0: none)."""
+    symbol, length = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8)
+    at, k = 0, 0
+    for n, count in enumerate(counts, 1):
+        for _ in range(count):
+            symbol[at : at + (1 << (16 - n))], length[at : at + (1 << (16 - n))] = symbols[k], n
+            at += 1 << (16 - n)
+            k += 1
+    return symbol, length
+
+
+@functools.lru_cache(maxsize=64)
+def _steady(counts: tuple[int, ...], symbols: tuple[int, ...], dc: bool) -> tuple[int, np.ndarray] | None:
+    """(bits, value of each word) if code and amplitude take as many bits for every symbol; AC: no runs, no end of block."""
+    widths = [n for n, c in enumerate(counts, 1) for _ in range(c)]
+    bits = {n + s for n, s in zip(widths, symbols)}
+    if len(bits) != 1 or max(symbols) > 15 or not dc and 0 in symbols:
+        return None
+    (n,) = bits
+    symbol = _lookup(counts, symbols)[0]
+    word = np.arange(1 << n)
+    s = symbol[word << (16 - n)].astype(int)
+    raw = word & ((1 << s) - 1)
+    return n, np.where(s == 0, 0, np.where(raw >> np.maximum(s - 1, 0), raw, raw - (1 << s) + 1)).astype(np.int16)
+
+
 class Jpeg:
     """A parsed baseline JPEG: dimensions and the quantised coefficients of each component in scan order."""
 
@@ -150,7 +179,7 @@ class Jpeg:
                 while body:
                     counts = body[1:17]
                     total = sum(counts)
-                    tables[body[0]] = (list(counts), list(body[17 : 17 + total]))
+                    tables[body[0]] = (tuple(counts), tuple(body[17 : 17 + total]))
                     body = body[17 + total :]
             elif marker == 0xDD:
                 (self.interval,) = struct.unpack(">H", body)
@@ -167,67 +196,37 @@ class Jpeg:
         self.blocks = self._scan(scan, tables, [picks[c[0]] for c in self.components])
 
     def _scan(self, scan: bytes, tables: dict, picks: list[int]) -> list[np.ndarray]:
-        dc = [self._lookup(*tables[p >> 4]) for p in picks]
-        ac = [self._lookup(*tables[16 | p & 15]) for p in picks]
+        dc = [tables[p >> 4] for p in picks]
+        ac = [tables[16 | p & 15] for p in picks]
         single = len(self.components) == 1
         wide, high = max(c[1] for c in self.components), max(c[2] for c in self.components)
         if single:
             wide = high = 1
         per = [1 if single else c[1] * c[2] for c in self.components]
         units = -(-self.width // (8 * wide)) * -(-self.height // (8 * high))
-        steady = self._steady(dc, ac)
-        if steady and set(per) == {1} and not self.interval:
-            return self._at_once(scan, dc[0], ac[0], units, len(per), *steady)
-        return self._one_by_one(scan, dc, ac, units, per)
+        if len(set(dc)) == len(set(ac)) == 1 and set(per) == {1} and not self.interval:
+            steady = _steady(*dc[0], True), _steady(*ac[0], False)
+            if None not in steady:
+                return self._at_once(scan, *steady, units, len(per))
+        return self._one_by_one(scan, [_lookup(*t) for t in dc], [_lookup(*t) for t in ac], units, per)
 
     @staticmethod
-    def _lookup(counts: list[int], symbols: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        """For each 16 bits: the symbol they begin with and its code's length (0: none)."""
-        symbol, length = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8)
-        at, k = 0, 0
-        for n, count in enumerate(counts, 1):
-            for _ in range(count):
-                symbol[at : at + (1 << (16 - n))], length[at : at + (1 << (16 - n))] = symbols[k], n
-                at += 1 << (16 - n)
-                k += 1
-        return symbol, length
+    def _at_once(scan: bytes, dc: tuple[int, np.ndarray], ac: tuple[int, np.ndarray], units: int, k: int) -> list[np.ndarray]:
+        (dc_bits, dc_value), (ac_bits, ac_value) = dc, ac
+        n, per = units * k, dc_bits + 63 * ac_bits
+        bits = np.unpackbits(np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), dtype=np.uint8), count=n * per).reshape(n, per)
 
-    @staticmethod
-    def _steady(dc: list, ac: list) -> tuple[int, int] | None:
-        """Bits of every DC and AC entry, if the tables make them all alike and leave out zero runs and end of block."""
-        found = set()
-        for (ds, dl), (as_, al) in zip(dc, ac):
-            d = {int(x) for x in (ds[dl > 0].astype(int) + dl[dl > 0])}
-            a = {int(x) for x in (as_[al > 0].astype(int) + al[al > 0])}
-            if len(d) != 1 or len(a) != 1 or (as_[al > 0] > 15).any() or (as_[al > 0] == 0).any():
-                return None
-            found.add((d.pop(), a.pop()))
-        return found.pop() if len(found) == 1 else None
+        def words(part: np.ndarray) -> np.ndarray:
+            out = np.zeros(part.shape[:-1], np.uint16)
+            for j in range(part.shape[-1]):
+                out <<= 1
+                out |= part[..., j]
+            return out
 
-    @staticmethod
-    def _amplitudes(window: np.ndarray, lookup: tuple[np.ndarray, np.ndarray], bits: int) -> np.ndarray:
-        """Values of entries held in the top bits of 16."""
-        table = np.zeros(1 << bits, np.int16)
-        top = np.arange(1 << bits)
-        s = lookup[0][top << (16 - bits)].astype(int)
-        raw = top & ((1 << s) - 1)
-        table[:] = np.where(s == 0, 0, np.where(raw >> np.maximum(s - 1, 0), raw, raw - (1 << s) + 1))
-        return table[window]
-
-    def _at_once(self, scan: bytes, dc, ac, units: int, k: int, dc_bits: int, ac_bits: int) -> list[np.ndarray]:
-        n = units * k
-        per = dc_bits + 63 * ac_bits
-        bits = np.unpackbits(np.frombuffer(scan.replace(b"\xff\x00", b"\xff"), dtype=np.uint8), count=n * per).reshape(n, per)
-        gather = lambda x: x.astype(np.uint16) @ (1 << np.arange(x.shape[-1] - 1, -1, -1)).astype(np.uint16)
         out = np.empty((n, 64), dtype=np.int16)
-        first = self._amplitudes(gather(bits[:, :dc_bits]), dc, dc_bits)
+        first = dc_value[words(bits[:, :dc_bits])]
         out[:, 0] = np.cumsum(first.reshape(units, k), axis=0, dtype=np.int32).reshape(-1)
-        word = np.zeros((n, 63), np.uint16)
-        rest = bits[:, dc_bits:].reshape(n, 63, ac_bits)
-        for j in range(ac_bits):
-            word <<= 1
-            word |= rest[:, :, j]
-        out[:, 1:] = self._amplitudes(word, ac, ac_bits)
+        out[:, 1:] = ac_value[words(bits[:, dc_bits:].reshape(n, 63, ac_bits))]
         out = out.reshape(units, k, 64)
         return [out[:, j] for j in range(k)]
 
