@@ -12,11 +12,13 @@ from .media import op7_media
 from .neardup import op8_neardup
 from .packing import op9_packing
 from .pages import op3_pages
+from .quality import op5_quality
 from .repeats import op10_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op3_pages": op3_pages,
+    "op5_quality": op5_quality,
     "op6_bpe": op6_bpe,
     "op7_media": op7_media,
     "op8_neardup": op8_neardup,
