@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .encoding import op6_bpe
 from .fingerprints import op1_fingerprints
 from .langid import op4_langid
+from .language_model import op2_lm
 from .media import op7_media
 from .neardup import op8_neardup
 from .packing import op9_packing
@@ -18,6 +19,7 @@ from .repeats import op10_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
+    "op2_lm": op2_lm,
     "op3_pages": op3_pages,
     "op4_langid": op4_langid,
     "op5_quality": op5_quality,
