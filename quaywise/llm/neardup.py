@@ -6,11 +6,13 @@ at circularly shifted places, one shift a coordinate. Bands of coordinates put d
 into buckets; documents with one and the same set are one from the start.
 
 Every link is confirmed on the full sets: 100 * intersection >= 75 * union. Buckets are
-not expanded into pairs. A bucket's members carry the label of the component found so
-far; in each round the members of its smallest components meet the members of its other
-components, links join components, and a bucket is done when the members that haven't
-met the others all share one label. So no link is lost, and a bucket of thousands of
-copies costs a few comparisons a member. The number of components taken at once doubles.
+not expanded into pairs. Members carry the label of the component found so far. In each
+of a few rounds a bucket's largest component sends one member, drawn by a hash, to meet
+the members of all other components; links join components and most buckets end with
+one. In the last round the members still outside a bucket's largest component meet all
+other components' members of the bucket, so no link is lost, and a bucket of thousands of
+copies costs a few comparisons a member. Pairs whose signatures agree in far fewer places
+than alike sets ever do (six standard deviations) are dropped before the texts are read.
 
 Components come from alternating large-star and small-star steps on edge tables in the
 shared folder; nothing about single documents reaches the driver.
@@ -22,15 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import Workspace, read_table
 from .textbytes import LOWER, U64, Runs, chunks, mix64, signed, span_hashes, word_bounds
 
 SHINGLE = 5
-# A pair of likeness 0.75 shares no band with probability (1 - 0.75 ** 5) ** 50, about one in a million.
-BANDS, ROWS = 50, 5
+# A pair of likeness 0.75 shares no band with probability (1 - 0.75 ** 6) ** 70, about one in a million.
+BANDS, ROWS = 70, 6
+#: Coordinates kept, a byte each, to drop unlike pairs; of 128 a pair of likeness 0.75 agrees in 96 +- 4.9.
+BRIEF, AGREE = 128, 66
+#: Rounds in which one member of a bucket's largest component meets the others.
+PIVOTS = 3
 PERCENT = 75
 
 _SCATTER = U64(0x5851F42D4C957F2D)
@@ -83,7 +89,7 @@ def signature(codes: np.ndarray, at: np.ndarray, coordinates: int = BANDS * ROWS
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, set_a, set_b, bands): set size, two order-free digests of the set, a hash a band."""
+    """(doc_id, n_shingles, set_a, set_b, bands, brief): set size, two order-free digests of the set, a hash a band, low bytes of the signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         band_salt = mix64(np.arange(1, bands + 1, dtype=np.uint64) * U64(0xD6E8FEB86659FD93))
@@ -103,11 +109,25 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                         digests[j, full] = np.add.reduceat(mix64(codes + U64(salt)), at[full])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32)), pa.array(signed(hashed.reshape(-1))))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(signed(digests[0])), pa.array(signed(digests[1])), lists],
-                    ["doc_id", "n_shingles", "set_a", "set_b", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(signed(digests[0])), pa.array(signed(digests[1])), lists, pa.array([r.tobytes() for r in sig[:, :BRIEF].astype(np.uint8)], pa.binary())],
+                    ["doc_id", "n_shingles", "set_a", "set_b", "bands", "brief"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>, brief binary")
+
+
+def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose signatures agree in ``AGREE`` of ``BRIEF`` places at least."""
+    left = briefs.select(F.col("doc_id").alias("a"), F.col("brief").alias("x"))
+    right = briefs.select(F.col("doc_id").alias("b"), F.col("brief").alias("y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, BRIEF) for k in (2, 3))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= AGREE))
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -173,59 +193,53 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def _link(base: DataFrame, sketches: DataFrame, names: DataFrame, work: Workspace) -> DataFrame:
     """(node, root) of the classes that are linked to others."""
     firsts = names.filter("doc_id = class_id").select("doc_id")
-    sketches = work.table(sketches.join(firsts, "doc_id").select("doc_id", "n_shingles", "bands"), "firsts")
+    sketches = work.table(sketches.join(firsts, "doc_id").select("doc_id", "n_shingles", "bands", "brief"), "firsts")
     entries = sketches.select("doc_id", "n_shingles", F.explode("bands").alias("bucket"))
     shared = work.table(entries.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket"), "shared")
-    # each round's members: bucket, doc_id, its set size, whether it has met all others of its bucket
-    members = work.table(entries.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("size"), F.lit(False).alias("met")), "members")
+    members = work.table(entries.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("size")), "members")
     involved = work.table(members.select("doc_id").distinct(), "involved")
     texts = work.table(base.join(involved, "doc_id"), "texts")
-    labels, tried, take = None, None, 1
-    while True:
-        pairs, members, left = _round(members, labels, tried, take, work)
-        if not left:
-            return labels if labels is not None else work.spark.createDataFrame([], "node long, root long")
-        found = work.table(confirm(pairs, texts), "links")
+    briefs = work.table(sketches.select("doc_id", "brief").join(involved, "doc_id"), "briefs")
+    labels, tried = None, None
+    for k in range(PIVOTS + 1):
+        pairs = _pairs(members, labels, k, work)
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = work.table(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        edges = found if labels is None else found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        labels = work.table(components(edges, work), "labels")
-        take *= 2
+        close = work.table(likely(pairs, briefs), "close")
+        found = work.table(confirm(close, texts), "links")
+        if labels is not None:
+            if found.isEmpty():
+                continue
+            found = found.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        labels = work.table(components(found, work), "labels")
+    return labels
+
+
+def _alike(size_x: str, size_y: str) -> Column:
+    """Sets of such sizes can be alike enough."""
+    return 100 * F.least(size_x, size_y) >= PERCENT * F.greatest(size_x, size_y)
 
 
-def _round(members: DataFrame, labels: DataFrame | None, tried: DataFrame | None, take: int, work: Workspace) -> tuple[DataFrame, DataFrame, bool]:
-    """Pairs to confirm now, the members of unfinished buckets, and whether there are any."""
+def _pairs(members: DataFrame, labels: DataFrame | None, k: int, work: Workspace) -> DataFrame:
+    """Distinct pairs (a < b) of members of one bucket with different labels: a pivot with the others, at last all that are left."""
     if labels is None:
         now = members.withColumn("label", F.col("doc_id"))
-        # first round: the bucket's smallest document meets the others
-        heads = work.table(now.groupBy("bucket").agg(F.min("doc_id").alias("head")), "heads")
-        marked = work.table(now.join(heads, "bucket").withColumn("turn", F.col("doc_id") == F.col("head")).drop("head"), "marked")
     else:
         now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
-        now = work.table(now, "labelled")
-        groups = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), F.max(~F.col("met")).alias("open"))
-        groups = work.table(groups, "groups")
-        open_ = groups.groupBy("bucket").agg(F.count_if("open").alias("k")).filter("k > 1")
-        open_ = work.table(open_.select("bucket"), "open")
-        # the smallest unmet components of each bucket; Spark limits each group before the exchange
-        by_size = Window.partitionBy("bucket").orderBy("n", "label")
-        turns = groups.filter("open").join(open_, "bucket", "left_semi").withColumn("k", F.row_number().over(by_size)).filter(F.col("k") <= take)
-        turns = work.table(turns.select("bucket", F.col("label").alias("turn_label")), "turns")
-        unfinished = now.join(open_, "bucket", "left_semi")
-        marked = unfinished.join(turns, (unfinished["bucket"] == turns["bucket"]) & (unfinished["label"] == turns["turn_label"]), "left").select(
-            unfinished["bucket"], "doc_id", "size", "met", "label", (F.col("turn_label").isNotNull() & ~F.col("met")).alias("turn")
-        )
-        marked = work.table(marked, "marked")
-    if not marked.take(1):
-        return marked, marked, False
-    active = marked.filter("turn").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("label_x"), F.col("size").alias("size_x"))
-    other = marked.select("bucket", F.col("doc_id").alias("y"), F.col("label").alias("label_y"), F.col("size").alias("size_y"))
-    alike = (F.col("label_x") != F.col("label_y")) & (100 * F.least("size_x", "size_y") >= PERCENT * F.greatest("size_x", "size_y"))
-    pairs = other.join(active, "bucket").filter(alike).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    if tried is not None:
-        pairs = pairs.join(tried, ["a", "b"], "left_anti")
-    pairs = work.table(pairs, "pairs")
-    after = marked.select("bucket", "doc_id", "size", (F.col("met") | F.col("turn")).alias("met"))
-    return pairs, after, True
+    now = work.table(now, "labelled")
+    pivot = F.min_by(F.struct("doc_id", "size"), F.xxhash64(F.col("doc_id"), F.col("bucket"), F.lit(k)))
+    groups = work.table(now.groupBy("bucket", "label").agg(F.count("*").alias("n"), pivot.alias("pivot")), "groups")
+    tops = groups.groupBy("bucket").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
+    tops = work.table(tops.select("bucket", F.col("top.label").alias("top_label"), F.col("top.pivot.doc_id").alias("x"), F.col("top.pivot.size").alias("size_x")), "tops")
+    rest = now.join(tops, "bucket").filter("label <> top_label")
+    if k < PIVOTS:
+        met = rest.filter(_alike("size", "size_x"))
+        return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
+    rest = work.table(rest.select("bucket", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x")), "rest")
+    met = now.join(rest, "bucket").filter((F.col("label") != F.col("label_x")) & _alike("size", "size_x"))
+    return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
