@@ -100,7 +100,7 @@ class OrdinalModel:
         """P(grade >= k) for k = 1 ... , a column each."""
         return _sigmoid(scores[:, None] - self.thresholds[None, :])
 
-    def fit(self, rows: list[np.ndarray], grade: np.ndarray, epochs: int = 20, batch: int = 128, alpha: float = 1.0, l1: float = 4.0, seed: int = 5) -> OrdinalModel:
+    def fit(self, rows: list[np.ndarray], grade: np.ndarray, epochs: int = 30, batch: int = 128, alpha: float = 0.3, l1: float = 8.0, seed: int = 5) -> OrdinalModel:
         """``rows``: the features of each document. A fit of no rows or one grade leaves flat thresholds."""
         size = 1 << self.bits
         z, n = np.zeros(size), np.zeros(size)

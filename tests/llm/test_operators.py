@@ -1,0 +1,413 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy, and its odd cases."""
+
+import collections
+import hashlib
+import html
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+pytest.importorskip("quaywise.llm")
+
+from pyspark.sql import functions as F  # noqa: E402
+
+from quaywise.llm import bpe, encoding, fingerprints, langid, language_model, media, neardup, packing, pages, quality, repeats  # noqa: E402
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
+
+
+def _texts(n=60, seed=1):
+    rng = random.Random(seed)
+    vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(80)]
+    passage = " ".join(rng.choice(vocabulary) for _ in range(70))
+    out = []
+    for i in range(n):
+        words = [rng.choice(vocabulary) for _ in range(rng.randint(0, 220))]
+        if i % 4 == 0:
+            words[20:20] = passage.split()
+        if i % 7 == 3 and out:
+            words = (out[-1] or "").split()
+            if words and i % 2:
+                words[rng.randrange(len(words))] = "changed"
+        out.append(" ".join(words).capitalize() + ("\n" if i % 3 else ""))
+    out[5], out[6], out[7], out[8] = None, "", " \t\n", "1234 ... !!"
+    out[9] = out[10] = "Two words"
+    out[11] = "ab " * 6000
+    return out
+
+
+@pytest.fixture(scope="module")
+def texts():
+    return _texts()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, texts):
+    langs = ["xx" if i % 2 else "yy" for i in range(len(texts))]
+    rows = [(i, t, lang, "s", len(t or ""), f"extra{i}") for i, (t, lang) in enumerate(zip(texts, langs))]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, places string").repartition(5).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(docs):
+    return docs.limit(0)
+
+
+def test_fingerprints(docs, nothing, texts):
+    got = {r.doc_id: r for r in fingerprints.fingerprint_report(docs.sparkSession, docs).collect()}
+    t = [x or "" for x in texts]
+    assert len(got) == len(t)
+    for i, x in enumerate(t):
+        n, following = len(x), t[(i + 1) % len(t)]
+        edited = x[: n - n // 4] + following[: n // 4]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest() and got[i].n_chars == n
+        assert got[i].near_next == float(got[i].fingerprint == got[(i + 1) % len(t)].fingerprint)
+        assert got[i].near_edited == float(got[i].fingerprint == got[i].edited_fingerprint)
+    assert got[9].fingerprint == got[10].fingerprint and got[10].class_id == 9
+    assert fingerprints.fingerprint_report(docs.sparkSession, nothing).count() == 0
+
+
+def test_fingerprints_fold_case_space_and_composition(spark):
+    rows = ["Café  AU\tlait", " café au lait\n", "café au lai", "Ｃafé au lait"]
+    got = [r.fingerprint for r in fingerprints.fingerprint(spark.createDataFrame(list(enumerate(rows)), "doc_id int, text string")).orderBy("doc_id").collect()]
+    assert got[0] == got[1] == got[3] != got[2]
+
+
+def test_language_model(docs, nothing, texts):
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("held_out", F.col("doc_id") % 7 == 2)
+    got = {r.doc_id: r for r in language_model.score_texts(base).collect()}
+    tokens = {i: [*WORD.findall((x or "").translate(LOWER)), ""] for i, x in enumerate(texts)}
+    c = collections.Counter(w for i, t in tokens.items() if i % 7 != 2 for w in t)
+    n, v = sum(c.values()), len(c)
+    for i, t in tokens.items():
+        r = got[i]
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(t), sum(c[w] > 0 for w in t), n)
+        assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
+        assert r.score < 0
+    assert language_model.score_texts(base.limit(0)).count() == 0
+
+
+def test_forward_recursion_equals_all_paths():
+    rng = np.random.default_rng(0)
+    model = language_model.HiddenMarkov(rng.dirichlet([1] * 3), rng.dirichlet([1] * 3, 3), rng.dirichlet([1] * 4, 3))
+    seqs = [[0], [1, 2, 3], [3, 3, 0, 1], []]
+    flat = np.array([x for s in seqs for x in s])
+    first = np.concatenate([[0], np.cumsum([len(s) for s in seqs])])
+    got = model.log_likelihoods(flat, first)
+    for s, g in zip(seqs, got):
+        total = 0.0
+        for path in itertools.product(range(3), repeat=len(s)):
+            p = 1.0
+            for t, k in enumerate(path):
+                p *= (model.start[k] if t == 0 else model.move[path[t - 1], k]) * model.emit[k, s[t]]
+            total += p
+        assert math.isclose(g, math.log10(total) if s else 0.0, abs_tol=1e-12)
+
+
+def test_baum_welch_raises_the_likelihood():
+    rng = np.random.default_rng(1)
+    seqs = [rng.integers(0, 3, 40) + 3 * (i % 2) for i in range(30)]
+    model = language_model.HiddenMarkov.guess(np.bincount(np.concatenate(seqs), minlength=6), 2)
+    seen = []
+    for _ in range(12):
+        counts = model.expected(seqs)
+        seen.append(counts[-2])
+        assert math.isclose(counts[2 * 2 + 4 : -2].sum(), counts[-1])
+        model = language_model.HiddenMarkov.estimate(counts, 2, smooth=1e-9)
+    assert all(b > a - 1e-6 for a, b in zip(seen, seen[1:])) and seen[-1] > seen[0] + 100
+
+
+def test_main_text():
+    page = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><nav><ul><li><a href=x>Menu</a></ul></nav>
+    <header><h1>Site</h1></header><div class="cookie-notice"><p>We use cookies, many cookies, all the time.</p></div>
+    <div class="content"><h2>Head &amp; tail</h2><p>First, a paragraph   with <a href="y">one link</a>,<br>and a break.
+    <p>Second &lt;one&gt; &eacute;&nbsp;x.<script>var a="</p><p>no";</script><aside><p>Aside, not wanted, at all.</p></aside>
+    <ul><li>Item one<li>Item two</ul><form><p>Sign up, please, now.</p></form></div>
+    <div id="comments"><p>A comment, long enough, to be scored as a paragraph of text, or so it says, twice.</p></div><footer>&copy; me"""
+    assert pages.main_text(page) == "Head & tail\nFirst, a paragraph with one link, and a break.\nSecond <one> é x.\nItem one\nItem two"
+    assert pages.main_text(None) == pages.main_text("") == pages.main_text("<p><!-- x --></p>") == pages.main_text("<nav>only a menu</nav>") == ""
+    assert pages.main_text("just text") == "just text"
+    assert pages.main_text("<div><p>" * 3000 + "deep, deep text") == "deep, deep text"
+    assert pages.main_text('<p title="a > b">in</p><a href="x' ) == "in"
+
+
+def test_pages_of_the_test_table(spark, sf):
+    table = spark.read.parquet(f"{sf}/pages.parquet")
+    want = {}
+    for r in table.collect():
+        body = r.html[r.html.index("<article>") + 9 :].split("</article>")[0]
+        blocks = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"</?(?:p|h1)>", body.replace("<br>", " "))]
+        want[r.page_id] = "\n".join(b for b in blocks if b)
+    got = {r.page_id: (r.text, r.n_chars) for r in pages.op3_pages(spark, sf).collect()}
+    assert got == {k: (v, len(v)) for k, v in want.items()}
+    assert pages.extract(table.limit(0)).count() == 0
+
+
+def test_gradients_are_right():
+    net, rng = langid.BiGru(["a", "b", "c"]), np.random.default_rng(0)
+    for k in net.p:
+        net.p[k] = net.p[k].astype(np.float64)
+    x = rng.integers(0, 5, (4, langid.SPAN)).astype(np.uint8)
+    used, y = np.array([64, 64, 30, 5]), np.array([0, 1, 2, 0])
+    _, g = net.gradients(x, used, y)
+    for k, value in net.p.items():
+        at = (2, 3) if k[0] == "w" else tuple(0 for _ in value.shape)
+        old, e = value[at], 1e-3
+        value[at] = old + e
+        up = net.gradients(x, used, y)[0]
+        value[at] = old - e
+        down = net.gradients(x, used, y)[0]
+        value[at] = old
+        assert math.isclose((up - down) / 2 / e, g[k][at], rel_tol=1e-2, abs_tol=1e-5)
+
+
+def test_languages(spark, sf, docs, nothing):
+    held = langid.op4_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out").toPandas()
+    assert (held.lang == held.lang_pred).mean() > 0.9
+    assert all(zlib.crc32(str(i).encode()) % 4 == 2 for i in held.doc_id)
+    model = langid.BiGru(["xx", "yy"])
+    got = {r.doc_id: r for r in langid.predict_languages(docs.withColumn("score", F.lit("clash")), model).collect()}
+    assert {got[i].lang_pred for i in (5, 6, 7, 8)} == {"und"} and got[0].lang_pred in ("xx", "yy")
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[0].places == "extra0"
+    assert langid.predict_languages(nothing, model).count() == 0
+    assert {r.lang_pred for r in langid.predict_languages(docs, langid.fit_languages(nothing)).collect()} == {"und"}
+
+
+def test_quality_finds_planted_words():
+    rng = random.Random(0)
+    words = [f"w{i}" for i in range(300)]
+    rows, grade = [], []
+    for i in range(2000):
+        g = (0, 1, 2, 2)[i % 4]
+        t = [rng.choice(words) for _ in range(rng.randint(20, 200))]
+        if g == 0:
+            t[3] = rng.choice(["vile", "awful"])
+        if g == 1:
+            t = [w + "%%" for w in t]
+        data = np.frombuffer(" ".join(t).encode(), dtype=np.uint8)
+        rows.append(quality.features(data, np.array([0, len(data)]))[0])
+        grade.append(g)
+    grade = np.array(grade)
+    model = quality.OrdinalModel().fit(rows[:1600], grade[:1600])
+    assert (np.diff(model.thresholds) > 0).all()
+    at = np.concatenate([[0], np.cumsum([len(r) for r in rows[1600:]])])
+    tails = model.tails(model.scores(np.concatenate(rows[1600:]), at))
+    assert ((tails[:, 1] >= 0.5) == (grade[1600:] == 2)).mean() > 0.97
+    assert tails.sum(axis=1)[grade[1600:] == 0].mean() < tails.sum(axis=1)[grade[1600:] == 1].mean()
+
+
+def test_quality_odd_cases(spark, docs, nothing):
+    labels = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (1, 1, 1), (2, None, None), (99, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {r.doc_id: r.grade for r in quality.grades(labels).collect()} == {0: 2, 1: 0, 99: 2}
+    model = quality.fit_quality(docs, labels)
+    got = quality.score_quality(docs, model, keep_columns=True)
+    assert got.count() == docs.count() and "places" in got.columns
+    assert quality.score_quality(nothing, quality.fit_quality(nothing, labels.limit(0))).count() == 0
+
+
+ODD = ["", " ", "  a", "a  b", "\n\nThe", "don't", "'s", "x's't", "'street ''s", " 's", "\n's", "it'll've", "a1 ²3", "é中 文😀", "<|endoftext|>", "a<|endoftext|> b", "\x85x \xa0 y", "\r\n\r\n", "tab\tend  "]
+
+
+def test_bpe_equals_the_tokenizers_library():
+    from tokenizers import Tokenizer
+
+    want, own = Tokenizer.from_file(bpe.default_path()), bpe.tokenizer(bpe.default_path())
+    rng = random.Random(2)
+    parts = ["a", "'", "s", "ll", "re", " ", "  ", "\n", "é", "中", "1", "...", "<|endoftext|>", "😀", "Hello", "\x1c"]
+    for text in [*ODD, *("".join(rng.choices(parts, k=rng.randint(0, 14))) for _ in range(1500))]:
+        ids = own.encode(text)
+        assert ids == want.encode(text, add_special_tokens=False).ids
+        assert own.decode(ids) == want.decode(ids, skip_special_tokens=False) == text
+    plain, core = "Streaming | isheedheat. Thntention", own.core
+    fast = own.merge(plain.encode()[:9])
+    own.core = None
+    assert own.merge(plain.encode()[:9]) == fast
+    own.core = core
+
+
+def test_round_trip(docs, nothing, texts):
+    got = {r.doc_id: r for r in encoding.round_trip(docs).collect()}
+    own = bpe.tokenizer(bpe.default_path())
+    for i, x in enumerate(texts):
+        ids = own.encode(x or "")
+        assert got[i].n_tokens == len(ids) and got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256((x or "").encode()).hexdigest()
+    back = {r.doc_id: r.text for r in encoding.decode(encoding.encode(docs)).collect()}
+    assert back == {i: x or "" for i, x in enumerate(texts)}
+    assert encoding.round_trip(nothing).count() == 0
+
+
+def test_jpeg_files_hold_the_payload():
+    rng = random.Random(3)
+    for n in (0, 1, 192, 193, 777, 40_000):
+        payload = media.pad(rng.randbytes(n))
+        file = media.write_jpeg(payload)
+        image = media.Jpeg(file)
+        assert image.payload() == payload and len(payload) % 192 == 0 and len(payload) > 0
+        assert image.thumbnail().shape == (image.height // 8, image.width // 8)
+    with pytest.raises(ValueError):
+        media.Jpeg(b"no picture")
+
+
+def _bits(values):
+    out = 0
+    n = 0
+    for v, k in values:
+        out, n = out << k | v, n + k
+    pad = -n % 8
+    return ((out << pad) | ((1 << pad) - 1)).to_bytes((n + pad) // 8, "big").replace(b"\xff", b"\xff\x00")
+
+
+def test_other_baseline_tables_are_decoded_symbol_by_symbol():
+    """A grey 16 x 8 picture with zero runs, end of block and a restart interval."""
+    dc = {0: 2, 3: 2, 5: 2}  # category: code length
+    ac = {0x00: 2, 0x23: 2, 0xF0: 3}  # end of block, two zeros and a category 3, sixteen zeros
+    code = {0: 0b00, 3: 0b01, 5: 0b10}
+    acode = {0x00: 0b00, 0x23: 0b01, 0xF0: 0b100}
+    block = lambda s, v: [(code[s], 2), (v, s), (acode[0xF0], 3), (acode[0x23], 2), (0b101, 3), (acode[0x00], 2)]
+    scan = _bits(block(3, 0b110)) + b"\xff\xd0" + _bits(block(5, 0b01010))
+    seg = media._segment
+    file = (
+        b"\xff\xd8" + seg(0xDB, bytes([0] + [8] * 64)) + seg(0xC0, bytes([8, 0, 8, 0, 16, 1, 1, 0x11, 0]))
+        + seg(0xC4, media._table(0x00, dc)) + seg(0xC4, media._table(0x10, ac)) + seg(0xDD, b"\x00\x01")
+        + seg(0xDA, bytes([1, 1, 0x00, 0, 63, 0])) + scan + b"\xff\xd9"
+    )
+    image = media.Jpeg(file)
+    a, b = image.blocks[0]
+    assert (a[0], b[0]) == (6, -21) and a[19] == b[19] == 5 and np.count_nonzero(a) == 2
+    assert image.thumbnail().tolist() == [[128 + 6, 128 - 21]]
+
+
+def test_media_rows(docs, nothing, texts):
+    got = {r.doc_id: r for r in media.describe_media(media.media_table(docs)).collect()}
+    for i, x in enumerate(texts):
+        payload = media.pad((x or "").encode())
+        assert (got[i].n_bytes, got[i].payload_bytes) == (len((x or "").encode()), len(payload))
+        assert got[i].payload_sha256 == hashlib.sha256(payload).hexdigest() and got[i].tail_crc32 == zlib.crc32(payload[-16:])
+    assert got[5].feature == got[6].feature and got[9].media_sha256 == got[10].media_sha256
+    assert media.describe_media(media.media_table(nothing)).count() == 0
+
+
+def _shingles(text):
+    w = WORD.findall((text or "").translate(LOWER))
+    return {tuple(w[j : j + 5]) for j in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+
+def test_near_duplicates(docs, nothing, texts):
+    sets = [_shingles(x) for x in texts]
+    root = list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        same = len(sets[a] & sets[b])
+        if sets[a] and sets[b] and 100 * same >= 75 * (len(sets[a]) + len(sets[b]) - same):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    got = {r.doc_id: r for r in neardup.near_duplicates(docs).collect()}
+    assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), find(i), find(i) == i) for i, s in enumerate(sets)}
+    assert len({find(i) for i in range(len(sets))}) < len(sets)
+    assert neardup.near_duplicates(nothing).count() == 0
+
+
+def test_a_chain_of_links_is_one_component(spark):
+    words = [f"w{i}" for i in range(120)]
+    rows = [(100 - k, " ".join(words[3 * k : 3 * k + 60])) for k in range(8)]
+    got = {r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {93}
+
+
+def test_packing(docs, nothing, texts):
+    own = bpe.tokenizer(bpe.default_path())
+    ids = {i: np.array([*own.encode(x or ""), 0], "<u4") for i, x in enumerate(texts)}
+    rows = packing.pack(docs).collect()
+    seen = collections.defaultdict(list)
+    fill = collections.defaultdict(list)
+    for r in rows:
+        piece = ids[r.doc_id][r.start : r.start + r.length]
+        assert len(piece) == r.length and zlib.crc32(piece.tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids[r.doc_id])
+        seen[r.doc_id].append((r.start, r.length))
+        fill[r.sequence_id].append((r.offset, r.length))
+    for i, x in ids.items():
+        at = 0
+        for start, n in sorted(seen[i]):
+            assert start == at
+            at += n
+        assert at == len(x)
+    padding = 0
+    for parts in fill.values():
+        at = 0
+        for offset, n in sorted(parts):
+            assert offset == at
+            at += n
+        assert at <= 1024
+        padding += 0 if at & (at - 1) == 0 else 1024 - at
+    assert padding < 0.01 * sum(map(len, ids.values()))
+    assert packing.pack(nothing).count() == 0
+
+
+def test_cutting_stock_reaches_the_optimum():
+    w, d = np.array([300, 424, 600, 1023]), np.array([40, 30, 30, 5])
+    patterns, amounts = packing.CuttingStock(w, d).solve(gap=0)
+    assert np.allclose(patterns @ amounts, d) and (w @ patterns <= 1024).all()
+    assert math.isclose(amounts.sum(), 30 + 40 / 3 + 5, rel_tol=1e-6)
+    assert packing.last_stretch(1024 + 700, 1024) == [(1024, 512), (1536, 128), (1664, 32), (1696, 16), (1712, 8), (1720, 4)]
+
+
+def _repeats(texts):
+    seen, out = {}, []
+    for i, x in enumerate(texts):
+        w = WORD.findall(x or "")
+        keep, own = [True] * len(w), []
+        for j in range(len(w) - 49):
+            key = tuple(w[j : j + 50])
+            if key in seen:
+                keep[j : j + 50] = [False] * 50
+            own.append(key)
+        for key in own:
+            seen.setdefault(key, i)
+        out.append((len(w), len(w) - sum(keep), " ".join(x for x, k in zip(w, keep) if k)))
+    return out
+
+
+@pytest.mark.parametrize("batches", [1, 2, 5])
+def test_repeats(docs, texts, batches):
+    want = _repeats(texts)
+    assert sum(r for _, r, _ in want) > 500
+    got = {r.doc_id: r for r in repeats.repeats_report(docs, batches).collect()}
+    for i, (n, removed, kept) in enumerate(want):
+        assert (got[i].n_words, got[i].n_removed, got[i].kept_sha256) == (n, removed, hashlib.sha256(kept.encode()).hexdigest()), i
+
+
+def test_removing_repeats_keeps_other_rows_as_they_are(docs, nothing, texts):
+    want = _repeats(texts)
+    got = {r.doc_id: r for r in repeats.remove_repeats(docs.drop("places")).collect()}
+    assert {i: r.text for i, r in got.items()} == {i: x if not want[i][1] else want[i][2] for i, x in enumerate(texts)}
+    assert repeats.repeats_report(nothing).count() == 0 and repeats.remove_repeats(nothing).count() == 0
+
+
+def test_least_of_windows():
+    rng = np.random.default_rng(0)
+    for width in (1, 2, 5, 39):
+        x = rng.integers(0, 6, 200).astype(np.uint64)
+        got = repeats.least_in_windows(x, width)
+        assert got.tolist() == [i + int(x[i : i + width].argmin()) for i in range(len(x) - width + 1)]
+
+
+def test_pipeline_stages(spark, sf):
+    import corpus_pipeline as p
+
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = d.withColumn("places", F.lit("x")).withColumn("score", F.lit(1)).limit(0)
+    for _, stage in p.STAGES[:-1]:
+        assert stage(spark, extra, sf).columns == extra.columns
+    assert [n for n, _ in p.STAGES] and p.run(spark, sf).count() > 0
