@@ -119,3 +119,36 @@ def feature_sets(blocks: dict[str, list[str]], wanted: list[list[str]], target:
             raise ValueError(f"{target} is the target and can't be a feature")
         out[" + ".join(names)] = columns
     return out
+
+
+def fit_trees(train: DataFrame, numbers: list[str], categories: list[str], y: str = "y", trees: int = 10, depth: int = 4, loss: str = "squared"):
+    """Boosted trees with native categories; ``loss`` squared or absolute. Returns the fitted pipeline."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import StringIndexer, VectorAssembler, VectorIndexer
+    from pyspark.ml.regression import GBTRegressor
+
+    stages = [StringIndexer(inputCol=c, outputCol=f"_{c}", handleInvalid="keep") for c in categories]
+    stages.append(VectorAssembler(inputCols=[*numbers, *(f"_{c}" for c in categories)], outputCol="_v", handleInvalid="skip"))
+    stages.append(VectorIndexer(inputCol="_v", outputCol="_x", maxCategories=32, handleInvalid="keep"))
+    stages.append(GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="yhat", maxIter=trees, maxDepth=depth, maxBins=64, lossType=loss, seed=7))
+    return Pipeline(stages=stages).fit(train)
+
+
+def staged_errors(model, df: DataFrame, loss: str = "squared") -> list[float]:
+    """Mean loss after each tree."""
+    for stage in model.stages[:-1]:
+        df = stage.transform(df)
+    return model.stages[-1].evaluateEachIteration(df, loss)
+
+
+def importances(model, names: list[str]) -> dict[str, float]:
+    return dict(zip(names, map(float, model.stages[-1].featureImportances.toArray())))
+
+
+def huber(train: DataFrame, features: list[str], y: str = "y", epsilon: float = 1.35):
+    """Linear regression with Huber's loss."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+
+    return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip"), LinearRegression(featuresCol="_v", labelCol=y, predictionCol="yhat", loss="huber", epsilon=epsilon, maxIter=50)]).fit(train)

@@ -316,3 +316,34 @@ def win7(spark, sf):
 @query("tim13_month_ids", f"WITH {D} SELECT CAST(year(ts) * 12 + month(ts) AS INT) AS month_id, count(*) AS n FROM d GROUP BY 1")
 def tim13(spark, sf):
     return daily(spark, sf).groupBy(month_id(F.col("ts")).alias("month_id")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("mod2_native_category")
+def mod2(spark, sf):
+    p = _features(spark, sf)
+    model = mo.fit_trees(p.filter("split = 'train'"), ["lag24", "hour"], ["zone"], trees=3, depth=3)
+    return model.transform(p.filter("split = 'test'")).groupBy("zone").agg(*ev.errors())
+
+
+@query("mod3_losses")
+def mod3(spark, sf):
+    p = _features(spark, sf)
+    train, test = p.filter("split = 'train'"), p.filter("split = 'test'")
+    absolute = mo.fit_trees(train, FEATURES, [], trees=3, depth=3, loss="absolute").transform(test).select("zone", "y", "yhat", F.lit("absolute").alias("loss"))
+    robust = mo.huber(train, FEATURES).transform(test).select("zone", "y", "yhat", F.lit("huber").alias("loss"))
+    return absolute.unionByName(robust).groupBy("loss", "zone").agg(*ev.errors())
+
+
+@query("mod5_staged_errors")
+def mod5(spark, sf):
+    p = _features(spark, sf)
+    model = mo.fit_trees(p.filter("split = 'train'"), FEATURES, [], trees=4, depth=3)
+    rows = [(k + 1, float(e)) for k, e in enumerate(mo.staged_errors(model, p.filter("split = 'test'")))]
+    return spark.createDataFrame(rows, "trees int, mse double")
+
+
+@query("mod10_importance")
+def mod10(spark, sf):
+    p = _features(spark, sf)
+    model = mo.fit_trees(p.filter("split = 'train'"), FEATURES, [], trees=3, depth=3)
+    return spark.createDataFrame(list(mo.importances(model, FEATURES).items()), "feature string, importance double")
