@@ -76,6 +76,8 @@ def copies(spark: SparkSession, docs: DataFrame, prints: DataFrame, work: Worksp
     different bytes under one digest form classes by a SHA-512 of their bytes.
     """
     buckets = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")).filter("_n > 1")
+    # a table of its own: adaptive execution can then split a large bucket's rows in the join
+    buckets = work.table(buckets, "buckets")
     members = work.table(prints.join(buckets.select("fingerprint", "_rep"), "fingerprint").select("doc_id", "_rep"), "members")
     form = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("_form"))
     own = work.table(members.join(form, "doc_id"), "bytes")
