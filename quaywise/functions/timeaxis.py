@@ -28,7 +28,7 @@ def parse_offset(text: Column) -> Column:
     whole = F.regexp_extract(text, r"^(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2}(?:\.\d+)?)([+-]\d{2}:\d{2}|Z)$", 1)
     zone = F.regexp_extract(text, r"([+-]\d{2}:\d{2}|Z)$", 1)
     sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    minutes = F.when(zone == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).cast("int") * 60 + F.substring(zone, 5, 2).cast("int")))
+    minutes = F.when(zone == "Z", 0).otherwise(sign * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")))
     return F.timestamp_add("MINUTE", -minutes, F.replace(whole, F.lit("T"), F.lit(" ")).try_cast("timestamp_ntz"))
 
 
