@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read_table
+from .store import hashed_sample, read_table
 from .textbytes import U64, chunks, mix64
 
 SPAN = 64
 HIDDEN = 8
-#: Labelled documents that a fit reads at most, those of least xxhash64(doc_id).
+#: Labelled documents that a fit reads at most, those of least hash of doc_id.
 SAMPLE = 2_000
 STRETCHES = 6
 UNKNOWN = "und"
@@ -164,7 +164,7 @@ class BiGru:
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE, each: int = STRETCHES) -> BiGru:
     """Fit on at most ``sample`` rows of (doc_id, text, lang) with a text and a language."""
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null")
-    chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hashed_sample(rows.select("doc_id"), sample)
     picked = rows.join(F.broadcast(chosen.distinct()), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

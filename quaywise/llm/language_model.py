@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Workspace, read_table
+from .store import Workspace, hashed_sample, read_table
 from .textbytes import LOWER, U64, chunks, mix64, signed, span_hashes, word_bounds
 
 STATES = 8
@@ -70,10 +70,10 @@ def word_counts(texts: DataFrame) -> DataFrame:
                 keys.append(k)
                 counts.append(n)
                 held += len(k)
-                if held > 4_000_000:
+                if held > 2_000_000:
                     k, n = _counted(keys, counts)
                     keys, counts, held = [k], [n], len(k)
-                    if held > 2_000_000:
+                    if held > 1_000_000:
                         yield pa.RecordBatch.from_arrays([pa.array(signed(k)), pa.array(n)], ["word", "n"])
                         keys, counts, held = [], [], 0
         if held:
@@ -296,7 +296,7 @@ def baum_welch_pass(train: DataFrame, model: HiddenMarkov) -> np.ndarray:
 
 def train_model(train: DataFrame, classes: int, states: int = STATES, passes: int = PASSES) -> HiddenMarkov:
     """Baum-Welch over all of ``train`` (observed), from a first guess made on a bounded sample."""
-    sample = train.select("doc_id", "observed").orderBy(F.xxhash64("doc_id"), "doc_id").limit(WARM_DOCUMENTS).toPandas()
+    sample = hashed_sample(train.select("doc_id", "observed"), WARM_DOCUMENTS).toPandas()
     # at most BLOCK tokens from the middle of each, so the first guess is bounded in bytes too
     seqs = []
     for raw in sample["observed"]:
@@ -320,8 +320,19 @@ def build_lexicon(counts: DataFrame, ends: int) -> Lexicon:
     tail_n, tail_v = np.zeros(TAILS, np.int64), np.zeros(TAILS, np.int64)
     for k, n, v in tails:
         tail_n[k], tail_v[k] = n, v
-    frequent = counts.orderBy(F.desc("c"), "word").limit(LOCAL).toArrow()  # LOCAL rows
+    # how many words have which count, large counts by their logarithm: some thousand rows
+    level = F.when(F.col("c") < 4096, F.col("c")).otherwise(4096 + F.floor(F.log(F.col("c") / 4096.0) * 1000)).cast("long")
+    sizes = sorted(((r[0], r[1]) for r in counts.groupBy(level.alias("level")).count().collect()), reverse=True)
+    least, held = (sizes[0][0] + 1 if sizes else 1), 0
+    for k, n in sizes:
+        held += n
+        if held > LOCAL:
+            break
+        least = k
+    frequent = counts.filter(level >= least).toArrow()  # LOCAL rows at most
     words, c = np.asarray(frequent.column(0)).view(np.uint64), np.asarray(frequent.column(1))
+    order = np.lexsort((words, -c))
+    words, c = words[order], c[order]
     return Lexicon(words, c, ends, int(total["n"]) + ends, int(total["v"]) + (ends > 0), tail_n, tail_v)
 
 

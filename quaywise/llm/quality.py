@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import read_table
+from .store import hashed_sample, read_table
 from .textbytes import LOWER, U64, chunks, mix64, span_hashes, word_bounds
 
 #: Labelled rows that a fit reads at most.
@@ -156,9 +156,9 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled documents, those of least xxhash64(doc_id)."""
+    """Fit on at most ``sample`` labelled documents, those of least hash of doc_id."""
     rated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(grades(labels), "doc_id")
-    chosen = rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = hashed_sample(rated, sample)
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,6 +11,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -69,3 +70,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def hashed_sample(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
+    """At most ``n`` rows, those of least hash of ``key``.
+
+    A bound on the hash is set from the number of rows first, so that tasks send about
+    ``n`` rows altogether, however many tasks there are.
+    """
+    total = df.select(key).count()
+    span = 1 << 40
+    place = F.pmod(F.xxhash64(key), F.lit(span))
+    if total > n:
+        # six standard deviations above the expected number, so that n rows are found
+        df = df.filter(place < int(span * min(1.0, (n + 6 * n**0.5 + 6) / total)))
+    return df.orderBy(place, key).limit(n)
