@@ -525,10 +525,10 @@ def agg20(spark, sf):
     return rounded(prediction_log(spark, sf).groupBy("feature_set", "zone").agg(*errors()).groupBy("feature_set").agg(F.avg("r2").alias("r2")), "r2")
 
 
-@query("agg21_deseasonalise", f"WITH {H} SELECT zone, ts, round(y - avg(y) OVER (PARTITION BY zone, month(ts), hour(ts)), 5) AS a FROM h")
+@query("agg21_deseasonalise", f"WITH {H} SELECT zone, ts, round(y - avg(y) OVER (PARTITION BY zone, month(ts), hour(ts)), 9) AS a FROM h")
 def agg21(spark, sf):
     h = hourly(spark, sf).withColumns({"m": F.month("ts"), "hr": F.hour("ts")})
-    return rounded(h.select("zone", "ts", pn.deseasonalised("y", ["zone", "m", "hr"]).alias("a")), "a", digits=5)
+    return rounded(h.select("zone", "ts", pn.deseasonalised("y", ["zone", "m", "hr"]).alias("a")), "a", digits=9)
 
 
 @query("agg22_decile_composite", f"WITH {H}, q AS (SELECT zone, quantile_cont(y, 0.1) AS lo, quantile_cont(y, 0.9) AS hi FROM h GROUP BY 1) SELECT h.zone, round(avg(CASE WHEN y >= hi THEN hour(ts) END) - avg(CASE WHEN y <= lo THEN hour(ts) END), 6) AS composite FROM h JOIN q ON h.zone = q.zone GROUP BY 1")
