@@ -11,7 +11,8 @@ of a few rounds a bucket's largest component sends one member, drawn by a hash,
 the members of all other components; links join components and most buckets end with
 one. In the last round the members still outside a bucket's largest component meet all
 other components' members of the bucket, so no link is lost, and a bucket of thousands of
-copies costs a few comparisons a member. Pairs whose signatures agree in far fewer places
+copies costs a few comparisons a member. Shingles that stand in one candidate only bound
+what a pair can share, which rules out most unlike pairs before they are made. Pairs whose signatures agree in far fewer places
 than alike sets ever do (six standard deviations) are dropped before the texts are read.
 
 Components come from alternating large-star and small-star steps on edge tables in the
@@ -130,6 +131,20 @@ def likely(pairs: DataFrame, briefs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def unique_shingles(texts: DataFrame) -> DataFrame:
+    """(doc_id, uniques): how many of a text's shingles stand in no other text; texts without any are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column(1)):
+                codes, at = shingle_sets(data, offsets)
+                names = np.asarray(batch.column(0).slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(signed(codes)), pa.array(np.repeat(names, np.diff(at)))], ["code", "doc_id"])
+
+    counted = texts.select("doc_id", "text").mapInArrow(run, "code long, doc_id long").groupBy("code").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id"))
+    return counted.filter("n = 1").groupBy("doc_id").agg(F.count("*").alias("uniques"))
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full shingle sets are alike enough."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -199,6 +214,10 @@ def _link(base: DataFrame, sketches: DataFrame, names: DataFrame, work: Workspac
     members = work.table(entries.join(shared, "bucket").select("bucket", "doc_id", F.col("n_shingles").alias("size")), "members")
     involved = work.table(members.select("doc_id").distinct(), "involved")
     texts = work.table(base.join(involved, "doc_id"), "texts")
+    # a shingle that stands in no other candidate can't be shared: what is left bounds every intersection
+    uniques = work.table(unique_shingles(texts), "uniques")
+    members = members.join(uniques, "doc_id", "left").select("bucket", "doc_id", "size", (F.col("size") - F.coalesce("uniques", F.lit(0))).alias("common"))
+    members = work.table(members, "members")
     briefs = work.table(sketches.select("doc_id", "brief").join(involved, "doc_id"), "briefs")
     labels, tried = None, None
     for k in range(PIVOTS + 1):
@@ -217,9 +236,10 @@ def _link(base: DataFrame, sketches: DataFrame, names: DataFrame, work: Workspac
     return labels
 
 
-def _alike(size_x: str, size_y: str) -> Column:
-    """Sets of such sizes can be alike enough."""
-    return 100 * F.least(size_x, size_y) >= PERCENT * F.greatest(size_x, size_y)
+def _alike() -> Column:
+    """Sets (size, common) and (size_x, common_x) can be alike enough: the intersection is at most the smaller common part."""
+    most = F.least("common", "common_x")
+    return 100 * most >= PERCENT * (F.col("size") + F.col("size_x") - most)
 
 
 def _pairs(members: DataFrame, labels: DataFrame | None, k: int, work: Workspace) -> DataFrame:
@@ -229,16 +249,16 @@ def _pairs(members: DataFrame, labels: DataFrame | None, k: int, work: Workspace
     else:
         now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
     now = work.table(now, "labelled")
-    pivot = F.min_by(F.struct("doc_id", "size"), F.xxhash64(F.col("doc_id"), F.col("bucket"), F.lit(k)))
+    pivot = F.min_by(F.struct("doc_id", "size", "common"), F.xxhash64(F.col("doc_id"), F.col("bucket"), F.lit(k)))
     groups = work.table(now.groupBy("bucket", "label").agg(F.count("*").alias("n"), pivot.alias("pivot")), "groups")
     tops = groups.groupBy("bucket").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
-    tops = work.table(tops.select("bucket", F.col("top.label").alias("top_label"), F.col("top.pivot.doc_id").alias("x"), F.col("top.pivot.size").alias("size_x")), "tops")
+    tops = work.table(tops.select("bucket", F.col("top.label").alias("top_label"), F.col("top.pivot.doc_id").alias("x"), F.col("top.pivot.size").alias("size_x"), F.col("top.pivot.common").alias("common_x")), "tops")
     rest = now.join(tops, "bucket").filter("label <> top_label")
     if k < PIVOTS:
-        met = rest.filter(_alike("size", "size_x"))
+        met = rest.filter(_alike())
         return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
-    rest = work.table(rest.select("bucket", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("label").alias("label_x")), "rest")
-    met = now.join(rest, "bucket").filter((F.col("label") != F.col("label_x")) & _alike("size", "size_x"))
+    rest = work.table(rest.select("bucket", F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("common").alias("common_x"), F.col("label").alias("label_x")), "rest")
+    met = now.join(rest, "bucket").filter((F.col("label") != F.col("label_x")) & _alike())
     return met.select(F.least("x", "doc_id").alias("a"), F.greatest("x", "doc_id").alias("b")).distinct()
 
 
