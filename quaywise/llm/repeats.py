@@ -250,11 +250,11 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
     Documents that lose nothing keep their text as it is; other columns stay.
     """
-    gone = find_repeats(docs, batches)
-    rest = docs.join(gone.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti")
-    cut = docs.join(gone, "doc_id")
+    gone = find_repeats(docs, batches).select(F.col("doc_id").alias("__gone_id"), F.col("places").alias("__gone_places"), F.col("nths").alias("__gone_nths"))
+    same = F.col("doc_id") == F.col("__gone_id")
+    rest = docs.join(gone.select("__gone_id"), same, "left_anti")
     columns = docs.columns
-    cut = cut.select(*columns, "places", "nths")
+    cut = docs.join(gone, same).select(*columns, "__gone_places", "__gone_nths")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
