@@ -3,9 +3,9 @@
 The canonical form of a text is its Unicode compatibility composition (NFKC), case
 folded, with every run of white space taken as one space and the ends trimmed. The
 digest is three independently seeded 64-bit xxhash values of that form. Documents
-that fall into one digest bucket are compared byte by byte; a document whose
-canonical bytes differ from the bucket's representative gets the representative-free
-suffix ``~doc_id class`` and so never shares a fingerprint with different bytes.
+that fall into one digest bucket are compared byte by byte with the bucket's smallest
+document; one whose canonical bytes differ gets ``~`` and the SHA-512 of its canonical
+bytes as a suffix, and so never shares a fingerprint with different bytes.
 
 Likeness of two exact digests is 1.0 for equal canonical forms and 0.0 otherwise.
 """
@@ -41,76 +41,92 @@ def digest(form: Column) -> Column:
     return F.concat(*[F.lpad(F.lower(F.hex(F.xxhash64(F.lit(seed), form))), 16, "0") for seed in (11, 23, 47)])
 
 
-def next_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_chars, next_id): the next document in ascending id, after the last the first.
+def next_ids(docs: DataFrame, work: Workspace, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, n, longest, next_id) of every distinct id of (doc_id, n_chars): its rows, the
+    most characters of one, and the next id in ascending order, after the last the first.
 
-    Ids are range-partitioned and numbered inside their range; only one row per range
-    (not per document) crosses ranges, so no task holds all ids.
+    Ids are range-partitioned once and stored with their range, so that every step below
+    sees the same borders; only one row per range (not per document) crosses ranges, so
+    no task holds all ids. Null ids are left out.
     """
     spark = docs.sparkSession
     n = partitions(spark)
-    ids = docs.repartitionByRange(n, id_col).withColumn("_range", F.spark_partition_id())
-    inside = Window.partitionBy("_range").orderBy(id_col)
-    led = ids.withColumn("_next", F.lead(id_col).over(inside))
-    heads = led.groupBy("_range").agg(F.min(id_col).alias("_head"))
+    counted = docs.filter(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("n"), F.max("n_chars").alias("longest"))
+    ranged = work.table(counted.repartitionByRange(n, id_col).withColumn("_range", F.spark_partition_id()), "ranges")
+    heads = ranged.groupBy("_range").agg(F.min(id_col).alias("_head"))
+    # at most one row per range from here on: bounded by the number of partitions
+    heads = work.table(heads, "heads")
     ring = heads.withColumn("_after", F.lead("_head").over(Window.orderBy("_range")))
     first = heads.agg(F.min("_head").alias("_first"))
-    # at most one row per range: bounded by the number of partitions
     ring = ring.crossJoin(F.broadcast(first)).select("_range", F.coalesce("_after", "_first").alias("_after"))
-    return led.join(F.broadcast(ring), "_range").select(
-        *docs.columns, F.coalesce("_next", "_after").alias("next_id")
-    )
+    led = ranged.withColumn("_next", F.lead(id_col).over(Window.partitionBy("_range").orderBy(id_col)))
+    return led.join(F.broadcast(ring), "_range").select(id_col, "n", "longest", F.coalesce("_next", "_after").alias("next_id"))
 
 
 def fingerprint(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``fingerprint`` to any table with a text column. Null text counts as empty."""
+    """Adds ``fingerprint`` to any table with a text column (a column of that name is replaced).
+
+    Null text counts as empty. Rows are independent: ties and repeated rows get equal
+    fingerprints, long texts are read whole, an empty table gives no rows.
+    """
     held = docs.withColumn("_canonical", canonical(F.coalesce(F.col(text), F.lit(""))))
     return held.withColumn("fingerprint", digest(F.col("_canonical"))).drop("_canonical")
 
 
-def copies(spark: SparkSession, docs: DataFrame, prints: DataFrame, work: Workspace) -> DataFrame:
-    """(doc_id, class_id): byte comparison inside equal buckets.
+def copies(docs: DataFrame, prints: DataFrame, work: Workspace) -> DataFrame:
+    """(doc_id, row, class_id, differs): byte comparison inside equal buckets.
 
-    ``prints`` has doc_id and fingerprint. Only documents of buckets with more than one
-    member are compared, each with the bucket's smallest document. Documents with
-    different bytes under one digest form classes by a SHA-512 of their bytes.
+    ``docs`` has doc_id, row (a hash of the text) and text, ``prints`` doc_id, row and
+    fingerprint. Only documents of buckets with more than one member are compared, each
+    with the bucket's smallest document. ``differs`` is empty where the bytes are the
+    same; other documents of the bucket form classes by a SHA-512 of their bytes.
     """
-    buckets = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("_rep"), F.count("*").alias("_n")).filter("_n > 1")
+    prints = prints.select("doc_id", "row", "fingerprint").distinct()
+    smallest = F.min(F.struct("doc_id", "row")).alias("rep")
+    buckets = prints.groupBy("fingerprint").agg(smallest, F.count("*").alias("n")).filter("n > 1")
     # a table of its own: adaptive execution can then split a large bucket's rows in the join
-    buckets = work.table(buckets, "buckets")
-    members = work.table(prints.join(buckets.select("fingerprint", "_rep"), "fingerprint").select("doc_id", "_rep"), "members")
-    form = docs.select("doc_id", canonical(F.coalesce("text", F.lit(""))).alias("_form"))
-    own = work.table(members.join(form, "doc_id"), "bytes")
-    reps = own.filter("doc_id = _rep").select("_rep", F.col("_form").alias("_rep_form"))
-    return own.join(reps, "_rep").select(
-        "doc_id", "_rep", F.when(F.col("_form") == F.col("_rep_form"), F.lit("")).otherwise(F.concat(F.lit("~"), F.sha2("_form", 512))).alias("_differs")
-    )
+    buckets = work.table(buckets.select("fingerprint", "rep"), "buckets")
+    members = work.table(prints.join(buckets, "fingerprint").select("doc_id", "row", "rep"), "members")
+    form = docs.join(members, ["doc_id", "row"]).select("doc_id", "row", "rep", canonical(F.col("text")).alias("form"))
+    own = work.table(form.dropDuplicates(["doc_id", "row"]), "bytes")
+    reps = own.filter((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))).select("rep", F.col("form").alias("rep_form"))
+    differs = F.when(F.col("form") == F.col("rep_form"), F.lit("")).otherwise(F.concat(F.lit("~"), F.sha2("form", 512)))
+    compared = work.table(own.join(reps, "rep").select("doc_id", "row", "rep", differs.alias("differs")), "compared")
+    odd = compared.filter("differs <> ''").groupBy("rep", "differs").agg(F.min("doc_id").alias("least"))
+    same = compared.filter("differs = ''").select("doc_id", "row", F.col("rep.doc_id").alias("class_id"), "differs")
+    return same.unionByName(compared.join(odd, ["rep", "differs"]).select("doc_id", "row", F.col("least").alias("class_id"), "differs"))
+
+
+def _one_each(table: DataFrame, value: str) -> DataFrame:
+    """One row an id: repeated ids are stood for by their row of least text hash."""
+    return table.groupBy("doc_id").agg(F.min_by(value, "row").alias(value))
 
 
 def fingerprint_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """Fingerprints of all texts and of their edited texts, and likenesses.
 
     The edited text replaces the last floor(n_chars / 4) code points by the first as many
-    (or all) of the next document. Null texts count as empty; a repeated doc_id is not
-    expected (ids are the key) but repeated texts, ties, an empty table and extra columns are fine.
+    (or all) of the next document. Null texts count as empty; long texts are read whole.
+    A repeated doc_id gives a row for each of its rows, all with the same next document; as
+    a next document it is stood for by its row of least text hash. Rows without doc_id are
+    left out. Equal texts are ties in every column but the next document's. An empty table
+    gives no rows; further columns are ignored, whatever their names.
     """
     work = Workspace(spark, "fingerprints")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    sized = base.select("doc_id", F.char_length("text").cast("long").alias("n_chars"))
-    links = work.table(next_ids(sized), "next")
+    text = F.coalesce("text", F.lit(""))
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    links = work.table(next_ids(base.select("doc_id", F.char_length("text").alias("n_chars")), work), "next")
+    repeated = not links.filter("n > 1").isEmpty()
     # what each document lends to the one before it
-    lent = base.join(links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("n_chars") / 4).cast("int").alias("k")), "doc_id")
-    # a document's successor is unique, so each document lends once
-    lent = lent.select(
-        F.col("to_id").alias("doc_id"),
-        F.col("doc_id").alias("next_id"),
-        F.expr("substring(text, 1, k)").alias("_head"),
-        "k",
-    )
-    edited = F.concat(F.expr("substring(text, 1, cast(char_length(text) as int) - k)"), F.col("_head"))
-    joined = base.join(lent, "doc_id").select("doc_id", "next_id", "text", edited.alias("edited"))
+    wanted = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("longest") / 4).cast("int").alias("k"))
+    lent = (_one_each(base, "text") if repeated else base).join(wanted, "doc_id")
+    lent = lent.select(F.col("to_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, k)").alias("following"))
+    k = F.floor(F.char_length("text") / 4).cast("int")
+    edited = F.expr("concat(substring(text, 1, char_length(text) - k), substring(following, 1, k))")
+    joined = base.join(lent, "doc_id").withColumn("k", k).select("doc_id", "row", "next_id", "text", edited.alias("edited"))
     forms = joined.select(
         "doc_id",
+        "row",
         "next_id",
         F.char_length("text").cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
@@ -118,27 +134,32 @@ def fingerprint_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
         canonical(F.col("edited")).alias("_edited_form"),
     )
     prints = work.table(
-        forms.select("doc_id", "next_id", "n_chars", "edited_sha256", digest(F.col("_form")).alias("fingerprint"), digest(F.col("_edited_form")).alias("edited_fingerprint")),
+        forms.select("doc_id", "row", "next_id", "n_chars", "edited_sha256", digest(F.col("_form")).alias("fingerprint"), digest(F.col("_edited_form")).alias("edited_fingerprint")),
         "prints",
     )
-    compared = copies(spark, base, prints.select("doc_id", "fingerprint"), work)
-    compared = work.table(compared, "compared")
-    own = prints.join(compared, "doc_id", "left").withColumn("_differs", F.coalesce("_differs", F.lit("")))
-    following = own.select(F.col("doc_id").alias("next_id"), F.concat("fingerprint", "_differs").alias("next_fingerprint"))
-    own = own.join(following, "next_id")
-    fp = F.concat("fingerprint", "_differs")
-    like = lambda a, b: (a == b).cast("double")
-    return own.select(
-        "doc_id",
-        "n_chars",
-        "edited_sha256",
-        fp.alias("fingerprint"),
-        "edited_fingerprint",
-        like(fp, F.col("edited_fingerprint")).alias("near_edited"),
-        like(fp, F.col("next_fingerprint")).alias("near_next"),
-        F.when(F.col("_differs") == "", F.coalesce("_rep", "doc_id")).otherwise(F.col("doc_id")).alias("class_id"),
+    compared = copies(base, prints, work)
+    own = prints.join(compared, ["doc_id", "row"], "left").withColumn("fingerprint", F.concat("fingerprint", F.coalesce("differs", F.lit(""))))
+    own = work.table(own, "own")
+    following = _one_each(own, "fingerprint") if repeated else own
+    own = own.join(following.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint")), "next_id")
+    like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
+    result = work.table(
+        own.select(
+            "doc_id",
+            "n_chars",
+            "edited_sha256",
+            "fingerprint",
+            "edited_fingerprint",
+            like("fingerprint", "edited_fingerprint").alias("near_edited"),
+            like("fingerprint", "next_fingerprint").alias("near_next"),
+            F.coalesce("class_id", "doc_id").alias("class_id"),
+        ),
+        "result",
     )
+    work.keep(result)
+    return result
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every whole text of ``documents``: see fingerprint_report, also for the odd cases."""
     return fingerprint_report(spark, read_table(spark, sf_dir, "documents"))

@@ -9,6 +9,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +34,23 @@ def _remove_local(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+#: Spark then removes a query's shuffle files when the query ends, not when the driver collects garbage.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]) -> Iterator[None]:
+    """SQL settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Workspace:
     """A folder of one operator run inside the shared folder."""
 
@@ -39,6 +58,7 @@ class Workspace:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._live: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         self._n += 1
@@ -48,15 +68,21 @@ class Workspace:
         """Write ``df`` as Parquet and read it back: no lineage, safe when executors go."""
         path = self.path(name)
         schema = df.schema
-        df.write.parquet(path)
+        with settings(self.spark, {_CLEAN_UP: "true"}):
+            df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
-        out._table_path = path
+        self._live[path] = out
         return out
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables which nothing reads any more."""
-        for t in tables:
-            self.delete(t._table_path)
+        for path in [p for p, t in self._live.items() if any(t is x for x in tables)]:
+            del self._live[path]
+            self.delete(path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Delete all tables but these."""
+        self.drop(*(t for t in self._live.values() if not any(t is x for x in tables)))
 
     def delete(self, path: str) -> None:
         jvm = self.spark._jvm

@@ -2,7 +2,10 @@
 
 A column of texts is taken as one byte array with offsets (its Arrow layout), in
 chunks of a bounded number of bytes, so that no Python string is made per word.
-Hashes are 64-bit polynomials over mixed byte codes, the same in every process.
+A span's hash is the sum of one pseudo-random 64-bit number for each (place, byte), a
+run's hash mixes those of its halves; neither is a polynomial, so no text is built that
+collides by arithmetic alone. What a hash decides is compared on bytes or digests after.
+Hashes are the same in every process.
 """
 
 from __future__ import annotations
@@ -13,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,30 +34,10 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix64((np.arange(256, dtype=U64) + U64(1)) * U64(0x9E3779B97F4A7C15))
-
-
-class _Powers:
-    """Powers of an odd base modulo 2**64 and of its inverse, grown on demand."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.n = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 2 * self.n, 1 << 16)
-            out = []
-            for b in (self.base, self.inverse):
-                p = np.full(self.n, b, dtype=U64)
-                p[0] = 1
-                out.append(np.cumprod(p))
-            self.p, self.q = out
-        return self.p[:n], self.q[:n]
-
-
-_BYTES = _Powers(0x9E3779B97F4A7C15 | 1)
-_WORDS = _Powers(0xD1342543DE82EF95)
+_ODD = U64(0x9E3779B97F4A7C15)
+# The numbers of (place, byte) for the first places of a span, which nearly all words end in.
+_NEAR = 64
+_NUMBERS = mix64((np.arange(_NEAR * 256, dtype=U64) + U64(1)) * _ODD)
 
 
 def chunks(column: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -96,25 +79,74 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of byte spans; equal bytes give equal hashes wherever they stand."""
-    p, q = _BYTES.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=U64)
-    np.cumsum(_BYTE[data] * p[:-1], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * q[starts]
-    h += (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)
-    return mix64(h)
+    out = np.empty(len(starts), dtype=U64)
+    total = np.cumsum(ends - starts)
+    lo = 0
+    while lo < len(starts):
+        # as many spans as hold about CHUNK_BYTES, one at least
+        done = total[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(total, done + CHUNK_BYTES, side="right")))
+        out[lo:hi] = _hashed(data, starts[lo:hi], ends[lo:hi])
+        lo = hi
+    return out
+
+
+def _hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    size = ends - starts
+    group, place = ragged(size)
+    code = place * 256 + data[starts[group] + place]
+    if size.max(initial=0) <= _NEAR:
+        numbers = _NUMBERS[code]
+    else:
+        numbers = mix64((code.astype(U64) + U64(1)) * _ODD)
+    sums = np.zeros(len(numbers) + 1, dtype=U64)
+    np.cumsum(numbers, out=sums[1:])
+    edge = np.concatenate([[0], np.cumsum(size)])
+    return mix64(sums[edge[1:]] - sums[edge[:-1]] + size.astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return mix64(mix64(a + _ODD) + b)
 
 
 class Runs:
-    """Hashes of runs of consecutive words, in constant time each."""
+    """Hashes of runs of consecutive words: a run is put together from runs of 1, 2, 4, ... words."""
 
     def __init__(self, words: np.ndarray):
-        self.p, self.q = _WORDS.upto(len(words) + 1)
-        self.sums = np.zeros(len(words) + 1, dtype=U64)
-        np.cumsum(words * self.p[:-1], out=self.sums[1:])
+        self.levels = [words]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            last, step = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(_pair(last[:-step], last[step:]) if len(last) > step else last[:0])
+        return self.levels[k]
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        h = (self.sums[ends] - self.sums[starts]) * self.q[starts]
-        return mix64(h + (ends - starts).astype(U64) * U64(0x8CB92BA72F3D8DD7))
+        size = ends - starts
+        h, at = size.astype(U64), starts.astype(np.int64)
+        for k in range(int(size.max(initial=0)).bit_length() - 1, -1, -1):
+            has = np.flatnonzero((size >> k) & 1)
+            if len(has):
+                h[has] = _pair(h[has], self._level(k)[at[has]])
+                at[has] += 1 << k
+        return mix64(h)
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each span of ``a`` has the bytes of its span of ``b`` (both of the given sizes)."""
+    group, k = ragged(size)
+    differs = a[a_starts[group] + k] != b[b_starts[group] + k]
+    return np.bincount(group[differs], minlength=len(size)) == 0
+
+
+def join_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes, starts, ends) of the words one space apart; the bytes end with a space."""
+    size = ends - starts
+    at = np.cumsum(size + 1) - (size + 1)
+    out = np.full(int(size.sum()) + len(size), 32, dtype=np.uint8)
+    group, k = ragged(size)
+    out[at[group] + k] = data[starts[group] + k]
+    return out, at, at + size
 
 
 def ragged(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
