@@ -4,7 +4,8 @@ A byte pair that never stands inside any token of the vocabulary marks a certain
 no merge can ever cross it. Texts are cut at the tokenizer's own pre-token borders and
 at all forced borders; the resulting fragments are encoded independently and the ids
 are concatenated. Fragments repeat, so each distinct one is encoded once per worker
-and looked up by a 64-bit hash from then on; borders and lookups are vectorised.
+and looked up by a 64-bit hash from then on, and its bytes are compared with those of the
+fragment that was encoded; borders, lookups and comparisons are vectorised.
 
 Files come from a public tokenizer whose path is a parameter; nothing is trained here.
 """
@@ -16,7 +17,7 @@ import unicodedata
 
 import numpy as np
 
-from .textbytes import ragged, span_hashes
+from .textbytes import ragged, same_bytes, span_hashes
 
 _LETTER, _NUMBER, _BLANK, _OTHER = 0, 1, 2, 3
 
@@ -93,6 +94,9 @@ class ByteBpe:
         self.places = np.zeros(0, dtype=np.int64)
         self.starts = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.int32)
+        # the bytes of each encoded fragment
+        self.pool = np.zeros(0, dtype=np.uint8)
+        self.pool_starts = np.zeros(1, dtype=np.int64)
 
     def merge(self, fragment: bytes) -> list[int]:
         """Ids of one fragment, by merging the pair of lowest rank until none is left."""
@@ -198,8 +202,7 @@ class ByteBpe:
         cut = np.flatnonzero(self.borders(text, data, points))
         starts, ends = cut[:-1], cut[1:]
         hashes = span_hashes(data, starts, ends)
-        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
-        place = self._places(unique, data, starts[first], ends[first])[inverse]
+        place = self._places(hashes, data, starts, ends)
         size = self.starts[place + 1] - self.starts[place]
         group, k = ragged(size)
         ids = self.ids[self.starts[place][group] + k]
@@ -207,31 +210,42 @@ class ByteBpe:
         np.cumsum(size, out=before[1:])
         return ids, before[np.searchsorted(starts, offsets)]
 
-    def _places(self, unique: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Where the ids of each distinct fragment stand; encodes those not met before."""
-        if len(self.keys) > self.MOST_KEPT:
+    def _places(self, hashes: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where the ids of each fragment stand; encodes those not met before.
+
+        A fragment whose bytes aren't those that its hash was first met with is encoded by itself.
+        """
+        if len(self.pool_starts) > self.MOST_KEPT:
             self._reset()
-        known = len(self.keys)
+        unique, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
         at = np.searchsorted(self.keys, unique)
-        hit = np.zeros(len(unique), dtype=bool)
-        inside = at < known
-        hit[inside] = self.keys[at[inside]] == unique[inside]
-        out = np.empty(len(unique), dtype=np.int64)
-        out[hit] = self.places[at[hit]]
-        new = np.flatnonzero(~hit)
+        new = np.flatnonzero(self.keys[np.minimum(at, len(self.keys) - 1)] != unique) if len(self.keys) else np.arange(len(unique))
         if len(new):
-            raw = data.tobytes()
-            lists = [self.merge(raw[s:e]) for s, e in zip(starts[new].tolist(), ends[new].tolist())]
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
-            base = len(self.starts) - 1
-            flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=int(sizes.sum()))
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, flat])
-            out[new] = base + np.arange(len(new))
+            found = self._encoded(data, starts[first[new]], ends[first[new]])
             self.keys = np.insert(self.keys, at[new], unique[new])
-            self.places = np.insert(self.places, at[new], out[new])
+            self.places = np.insert(self.places, at[new], found)
+        out = self.places[np.searchsorted(self.keys, unique)][inverse]
+        size = ends - starts
+        same = self.pool_starts[out + 1] - self.pool_starts[out] == size
+        k = np.flatnonzero(same)
+        same[k] = same_bytes(data, starts[k], self.pool, self.pool_starts[out[k]], size[k])
+        odd = np.flatnonzero(~same)
+        if len(odd):
+            out[odd] = self._encoded(data, starts[odd], ends[odd])
         return out
 
+    def _encoded(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Encodes and keeps fragments; their places."""
+        raw = [data[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist())]
+        lists = [self.merge(x) for x in raw]
+        base = len(self.starts) - 1
+        flat = np.fromiter((i for x in lists for i in x), dtype=np.int32, count=sum(map(len, lists)))
+        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum([len(x) for x in lists])])
+        self.ids = np.concatenate([self.ids, flat])
+        self.pool = np.concatenate([self.pool, np.frombuffer(b"".join(raw), dtype=np.uint8)])
+        self.pool_starts = np.concatenate([self.pool_starts, self.pool_starts[-1] + np.cumsum([len(x) for x in raw])])
+        return base + np.arange(len(raw))
+
     def encode(self, text: str) -> list[int]:
         data = np.frombuffer(text.encode("utf-8"), dtype=np.uint8)
         return self.encode_joined(data, np.array([0, len(data)]))[0].tolist()
