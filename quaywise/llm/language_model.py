@@ -8,12 +8,12 @@ with c its training count, N_k and V_k the class's training tokens and distinct
 is left is the probability of words that weren't seen. So the probabilities of all texts
 sum to one.
 
-Counts of all words cover the whole training part. Baum-Welch runs over the whole training
-part as well: each pass adds up expected starts, transitions and emissions of every
-partition, and the sums re-estimate the model. (The first guess comes from a few passes
-over a bounded sample; nothing else does.) In these passes a text longer than ``BLOCK``
-tokens is taken in blocks, each starting from the states' overall shares. The likelihood
-of a text is exact: one scaled forward recursion over the whole sequence.
+Counts of all words cover the whole training part, and so does Baum-Welch: each pass adds
+up expected starts, transitions and emissions of every partition, and the sums re-estimate
+the model. The first guess is made from the counts of all training words. A pass keeps the
+forward messages of every ``BLOCK``-th token only and computes those between them again on
+its way back, so memory is bounded by the block while the counts are those of the whole
+sequence. The likelihood of a text is exact as well: one scaled forward recursion.
 
 Counts of frequent words (``LOCAL`` of them, a fixed number) travel to the tasks; the other
 words of a document meet their counts in a join. Words are known by 64 bits: 10 of their
@@ -26,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Workspace, hashed_sample, read_table
+from .store import Workspace, read_table
 from .textbytes import LOWER, U64, chunks, mix64, signed, span_hashes, word_bounds
 
 STATES = 8
@@ -37,9 +38,7 @@ TOP = 2_000
 TAILS = 1_024
 LOCAL = 1 << 17
 BLOCK = 256
-PASSES = 3
-WARM_DOCUMENTS = 1_500
-WARM_PASSES = 12
+PASSES = 6
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -100,6 +99,10 @@ class Lexicon:
         np.subtract.at(tail_n, own, counts[:TOP])
         np.subtract.at(tail_v, own, 1)
         self.tail_log = np.log10(tail_n + tail_v + 1)
+        # how often each class stands in the training part
+        self.frequency = np.zeros(TOP + 1 + TAILS)
+        self.frequency[: len(counts[:TOP])] = counts[:TOP]
+        self.frequency[TOP], self.frequency[TOP + 1 :] = ends, tail_n
         self.end_class = TOP
         self.classes = TOP + 1 + TAILS
 
@@ -112,12 +115,14 @@ class Lexicon:
 
 
 def sequences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """Class sequences and what is known in the task: (doc_id, held_out, observed, n_tokens, known, logs, tail_logs)."""
+    """What a document's score is made of, a row each: its class sequence, what is known in the
+    task, and the words that are not (``others``, ``other_n``). ``row`` numbers the rows."""
     sent = docs.sparkSession.sparkContext.broadcast(lexicon)  # LOCAL words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = sent.value
         log_c = np.log10(lex.counts + 1.0)
+        row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(2)):
                 keys, first = word_keys(data, offsets)
@@ -131,8 +136,11 @@ def sequences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 logs = np.where(found, log_c[at], 0.0) if len(lex.words) else np.zeros(len(keys))
                 sums = lambda w: np.bincount(owner, weights=w, minlength=len(n))  # noqa: E731, B023
                 raw, edge = observed.tobytes(), 2 * (first + np.arange(len(first)))
+                others, other_owner, other_n = _distinct(keys[~found], owner[~found])
+                lists = lambda x: pa.ListArray.from_arrays(pa.array(np.searchsorted(other_owner, np.arange(len(n) + 1)).astype(np.int32)), pa.array(x))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [
+                        pa.array(row + np.arange(len(n))),
                         batch.column(0).slice(lo, hi - lo),
                         batch.column(1).slice(lo, hi - lo),
                         pa.array([raw[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())], pa.binary()),
@@ -140,47 +148,32 @@ def sequences(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                         pa.array(sums(found).astype(np.int64) + (lex.ends > 0)),
                         pa.array(sums(logs) + np.log10(lex.ends + 1)),
                         pa.array(sums(np.where(top < 0, logs, 0.0))),
+                        lists(signed(others)),
+                        lists(other_n),
                     ],
-                    ["doc_id", "held_out", "observed", "n_tokens", "known", "logs", "tail_logs"],
+                    ["row", "doc_id", "held_out", "observed", "n_tokens", "known", "logs", "tail_logs", "others", "other_n"],
                 )
+                row += len(n)
 
-    return docs.select("doc_id", "held_out", "text").mapInArrow(run, "doc_id long, held_out boolean, observed binary, n_tokens long, known long, logs double, tail_logs double")
+    schema = "row long, doc_id long, held_out boolean, observed binary, n_tokens long, known long, logs double, tail_logs double, others array<long>, other_n array<long>"
+    return docs.select("doc_id", "held_out", "text").mapInArrow(run, schema)
 
 
-def other_words(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(doc_id, word, n) of each document's words outside the lexicon."""
-    sent = docs.sparkSession.sparkContext.broadcast(lexicon.words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = sent.value
-        for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                keys, first = word_keys(data, offsets)
-                owner = np.repeat(np.arange(hi - lo), np.diff(first))
-                if len(known):
-                    at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-                    rest = known[at] != keys
-                    keys, owner = keys[rest], owner[rest]
-                if not len(keys):
-                    continue
-                order = np.lexsort((keys, owner))
-                keys, owner = keys[order], owner[order]
-                new = np.ones(len(keys), dtype=bool)
-                new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
-                at = np.flatnonzero(new)
-                n = np.diff(np.append(at, len(keys)))
-                names = np.asarray(batch.column(0).slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(names[owner[at]]), pa.array(signed(keys[at])), pa.array(n)], ["doc_id", "word", "n"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, word long, n long")
+def _distinct(keys: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(key, owner, count) of the distinct keys of each owner, by owner."""
+    order = np.lexsort((keys, owner))
+    keys, owner = keys[order], owner[order]
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])
+    at = np.flatnonzero(new)
+    return keys[at], owner[at], np.diff(np.append(at, len(keys)))
 
 
 class HiddenMarkov:
     """Start, transition and emission probabilities of a discrete hidden Markov model."""
 
-    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray | None = None):
+    def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
         self.start, self.move, self.emit = start, move, emit
-        self.share = np.full(len(start), 1 / len(start)) if share is None else share
 
     @classmethod
     def guess(cls, frequency: np.ndarray, states: int = STATES, seed: int = 2) -> HiddenMarkov:
@@ -193,56 +186,78 @@ class HiddenMarkov:
         return cls(np.full(states, 1 / states), move, emit / emit.sum(axis=1, keepdims=True))
 
     def expected(self, sequences: list[np.ndarray]) -> np.ndarray:
-        """Expected counts, flat: starts, shares, transitions, emissions, then log-likelihood and tokens."""
+        """Expected counts, flat: starts, transitions, emissions, then log-likelihood and tokens."""
+        s, m = self.emit.shape
+        total = np.zeros(s + s * s + s * m + 2)
+        ordered = sorted((x for x in sequences if len(x)), key=len, reverse=True)
+        lo = 0
+        while lo < len(ordered):
+            # long sequences are few at a time, so that what a group holds is bounded by the longest one of it
+            n = max(16, min(2048, 400_000 // len(ordered[lo])))
+            total += self._group(ordered[lo : lo + n])
+            lo += n
+        return total
+
+    def _group(self, group: list[np.ndarray]) -> np.ndarray:
+        """Forward and backward over sequences in falling order of length, in blocks of ``BLOCK`` tokens."""
         s, m = self.emit.shape
-        starts, shares, moves, emits = np.zeros(s), np.zeros(s), np.zeros((s, s)), np.zeros((s, m))
-        total = 0.0
-        parts = [(x[i : i + BLOCK], i == 0) for x in sequences for i in range(0, len(x), BLOCK)]
-        parts.sort(key=lambda p: -len(p[0]))
+        moves, emits = np.zeros((s, s)), np.zeros(s * m)
+        size = np.array([len(x) for x in group])
+        flat, first = np.concatenate(group), np.cumsum(size) - size
+        n, long = len(group), int(size[0])
+        alive = np.searchsorted(-size, -np.arange(long), side="left")  # sequences longer than t
         by_class = np.ascontiguousarray(self.emit.T)
-        for lo in range(0, len(parts), 1024):
-            group = parts[lo : lo + 1024]
-            size = np.array([len(x) for x, _ in group])
-            begins = np.array([b for _, b in group])
-            n, long = len(group), int(size[0])
-            x = np.zeros((long, n), dtype=np.int64)
-            for j, (seq, _) in enumerate(group):
-                x[: len(seq), j] = seq
-            alive = np.searchsorted(-size, -np.arange(long), side="left")  # sequences longer than t
-            alpha, scale = np.zeros((long, n, s)), np.ones((long, n))
-            a = np.where(begins[:, None], self.start, self.share) * by_class[x[0]]
-            for t in range(long):
-                k = alive[t]
-                if t:
-                    a = (alpha[t - 1, :k] @ self.move) * by_class[x[t, :k]]
-                c = a.sum(axis=1)
-                alpha[t, :k], scale[t, :k] = a / c[:, None], c
-            total += float(np.log(scale).sum())
-            beta = np.ones((n, s))
-            gamma = np.zeros((long, n, s))
-            for t in range(long - 1, -1, -1):
-                k = alive[t]
-                g = alpha[t, :k] * beta[:k]
-                gamma[t, :k] = g / g.sum(axis=1, keepdims=True)
+        at = lambda t: flat[first[: alive[t]] + t]
+
+        def forward(t: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+            b = by_class[at(t)]
+            a = self.start * b if a is None else (a[: alive[t]] @ self.move) * b
+            c = a.sum(axis=1)
+            a /= c[:, None]
+            return a, c
+
+        likelihood, a = 0.0, None
+        before: list[np.ndarray | None] = []
+        for t in range(long):
+            if t % BLOCK == 0:
+                before.append(a)
+            a, c = forward(t, a)
+            likelihood += float(np.log(c).sum())
+        beta = np.ones((n, s))
+        states = np.arange(s)
+        starts = np.zeros(s)
+        for k in range(len(before) - 1, -1, -1):
+            lo, hi = k * BLOCK, min(long, (k + 1) * BLOCK)
+            a, kept = before[k], []
+            for t in range(lo, hi):
+                a, c = forward(t, a)
+                kept.append((a, c))
+            seen, weight = [], []
+            for t in range(hi - 1, lo - 1, -1):
+                a, c = kept[t - lo]
+                x = at(t)
+                g = a * beta[: alive[t]]
+                g /= g.sum(axis=1, keepdims=True)
+                seen.append(x)
+                weight.append(g)
                 if t:
-                    w = by_class[x[t, :k]] * beta[:k] / scale[t, :k, None]
-                    moves += self.move * (alpha[t - 1, :k].T @ w)
-                    beta[:k] = w @ self.move.T
-            starts += gamma[0][begins].sum(axis=0)
-            shares += gamma.sum(axis=(0, 1))
-            inside = np.arange(long)[:, None] < size
-            seen = x[inside]
-            for j in range(s):
-                emits[j] += np.bincount(seen, weights=gamma[:, :, j][inside], minlength=m)
-        return np.concatenate([starts, shares, moves.ravel(), emits.ravel(), [total, sum(map(len, sequences))]])
+                    w = by_class[x] * beta[: alive[t]] / c[:, None]
+                    last = kept[t - lo - 1][0] if t > lo else before[k]
+                    moves += self.move * (last[: alive[t]].T @ w)
+                    beta[: alive[t]] = w @ self.move.T
+                else:
+                    starts += g.sum(axis=0)
+            cells = np.concatenate(seen)[:, None] * s + states
+            emits += np.bincount(cells.ravel(), weights=np.concatenate(weight).ravel(), minlength=s * m)
+        return np.concatenate([starts, moves.ravel(), emits.reshape(m, s).T.ravel(), [likelihood, len(flat)]])
 
     @classmethod
     def estimate(cls, counts: np.ndarray, states: int, smooth: float = 0.01) -> HiddenMarkov:
         """The model of the summed expected counts, with a little added to each."""
-        starts, shares, rest = counts[:states], counts[states : 2 * states], counts[2 * states : -2]
+        starts, rest = counts[:states], counts[states:-2]
         moves, emits = rest[: states * states].reshape(states, states), rest[states * states :].reshape(states, -1)
         norm = lambda x: (x + smooth) / (x + smooth).sum(axis=-1, keepdims=True)
-        return cls(norm(starts), norm(moves), norm(emits), norm(shares))
+        return cls(norm(starts), norm(moves), norm(emits))
 
     def log_likelihoods(self, observed: np.ndarray, first: np.ndarray) -> np.ndarray:
         """log10 of the exact probability of each sequence: the scaled forward recursion over all of it."""
@@ -280,8 +295,8 @@ def baum_welch_pass(train: DataFrame, model: HiddenMarkov) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                observed, first = _joined(batch.column(0).slice(lo, 2048))
+            if batch.num_rows:
+                observed, first = _joined(batch.column(0))
                 counts = own.expected([observed[a:b] for a, b in zip(first[:-1], first[1:])])
                 total = counts if total is None else total + counts
         if total is not None:
@@ -289,25 +304,15 @@ def baum_welch_pass(train: DataFrame, model: HiddenMarkov) -> np.ndarray:
 
     summed = train.select("observed").mapInArrow(run, "cell int, amount double").groupBy("cell").agg(F.sum("amount").alias("amount"))
     found = summed.toPandas()  # a fixed number of cells, whatever the corpus
-    out = np.zeros(2 * len(model.start) + model.move.size + model.emit.size + 2)
+    out = np.zeros(len(model.start) + model.move.size + model.emit.size + 2)
     out[found["cell"]] = found["amount"]
     return out
 
 
-def train_model(train: DataFrame, classes: int, states: int = STATES, passes: int = PASSES) -> HiddenMarkov:
-    """Baum-Welch over all of ``train`` (observed), from a first guess made on a bounded sample."""
-    sample = hashed_sample(train.select("doc_id", "observed"), WARM_DOCUMENTS).toPandas()
-    # at most BLOCK tokens from the middle of each, so the first guess is bounded in bytes too
-    seqs = []
-    for raw in sample["observed"]:
-        x = np.frombuffer(raw, dtype="<u2").astype(np.int64)
-        lo = max(0, (len(x) - BLOCK) // 2)
-        seqs.append(x[lo : lo + BLOCK])
-    frequency = np.bincount(np.concatenate(seqs), minlength=classes) if seqs else np.zeros(classes)
-    model = HiddenMarkov.guess(frequency, states)
-    for _ in range(WARM_PASSES if seqs else 0):
-        model = HiddenMarkov.estimate(model.expected(seqs), states)
-    for _ in range(passes if seqs else 0):
+def train_model(train: DataFrame, lexicon: Lexicon, states: int = STATES, passes: int = PASSES) -> HiddenMarkov:
+    """Baum-Welch over all of ``train`` (observed), from a first guess by the counts of all its words."""
+    model = HiddenMarkov.guess(lexicon.frequency, states)
+    for _ in range(passes if lexicon.ends else 0):
         model = HiddenMarkov.estimate(baum_welch_pass(train, model), states)
     return model
 
@@ -337,35 +342,41 @@ def build_lexicon(counts: DataFrame, ends: int) -> Lexicon:
 
 
 def score_texts(docs: DataFrame) -> DataFrame:
-    """Scores of all texts by a model of those that aren't held out (boolean column ``held_out``).
+    """Scores of all texts (doc_id, text) by a model of those that aren't held out (boolean column ``held_out``).
 
-    Null and empty texts are the end token alone. doc_id is the key. An empty table, or one
-    with no training text, is scored by the smoothed model of nothing.
+    Null and empty texts are the end token alone; long texts are read whole. Rows are scored
+    one by one: ties and repeated rows, also of one doc_id, get equal scores, null ids stay
+    null. An empty table gives no rows; with no training text, the smoothed model of nothing
+    scores. Further columns are ignored, whatever their names.
     """
     work = Workspace(docs.sparkSession, "lm")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce("held_out", F.lit(True)).alias("held_out"))
     training = docs.filter(~F.col("held_out"))
     counts = work.table(word_counts(training), "counts")
     lexicon = build_lexicon(counts, training.count())
     encoded = work.table(sequences(docs, lexicon), "sequences")
-    rest = other_words(docs, lexicon).join(counts, "word", "left")
-    rest = rest.groupBy("doc_id").agg(F.sum(F.expr("n * log10(coalesce(c, 0) + 1D)")).alias("rest_logs"), F.sum(F.expr("if(c is null, 0, n)")).alias("rest_known"))
+    others = encoded.select("row", F.explode(F.arrays_zip("others", "other_n")).alias("x")).select("row", F.col("x.others").alias("word"), F.col("x.other_n").alias("n"))
+    rest = others.join(counts.hint("merge"), "word", "left")
+    rest = rest.groupBy("row").agg(F.sum(F.expr("n * log10(coalesce(c, 0) + 1D)")).alias("rest_logs"), F.sum(F.expr("if(c is null, 0, n)")).alias("rest_known"))
     rest = work.table(rest, "rest")
-    model = train_model(encoded.filter(~F.col("held_out")), lexicon.classes)
+    work.drop(counts)
+    model = train_model(encoded.filter(~F.col("held_out")), lexicon)
     sent = docs.sparkSession.sparkContext.broadcast((model, lexicon.tail_log))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, tail_log = sent.value
         price = np.concatenate([np.zeros(TOP + 1), tail_log])
         for batch in batches:
-            observed, first = _joined(batch.column(2))
+            observed, first = _joined(batch.column(1))
             if batch.num_rows:
                 inside = np.concatenate([[0.0], np.cumsum(price[observed])])
                 path = own.log_likelihoods(observed, first) - (inside[first[1:]] - inside[first[:-1]])
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(batch.column(k) for k in (3, 4, 5, 6)), pa.array(path)], ["doc_id", "held_out", "n_tokens", "known", "logs", "tail_logs", "path"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(batch.column(k) for k in range(2, 8)), pa.array(path)], ["row", "doc_id", "held_out", "n_tokens", "known", "logs", "tail_logs", "path"])
 
-    scored = encoded.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, known long, logs double, tail_logs double, path double")
+    columns = ["row", "observed", "doc_id", "held_out", "n_tokens", "known", "logs", "tail_logs"]
+    scored = encoded.select(*columns).mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, known long, logs double, tail_logs double, path double")
     rest_logs = F.coalesce("rest_logs", F.lit(0.0))
-    return scored.join(rest, "doc_id", "left").select(
+    result = scored.join(rest.hint("merge"), "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",
@@ -374,8 +385,12 @@ def score_texts(docs: DataFrame) -> DataFrame:
         (F.col("logs") + rest_logs - F.col("n_tokens") * F.lit(float(np.log10(lexicon.tokens + lexicon.distinct + 1)))).alias("base_score"),
         (F.col("path") + F.col("tail_logs") + rest_logs).alias("score"),
     )
+    result = work.table(result, "result")
+    work.keep(result)
+    return result
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """Scores of every whole text of ``documents``: see score_texts, also for the odd cases."""
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return score_texts(docs.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2))
