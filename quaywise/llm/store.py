@@ -35,7 +35,7 @@ def _remove_local(path: str) -> None:
 
 
 #: Spark then removes a query's shuffle files when the query ends, not when the driver collects garbage.
-_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 @contextmanager
@@ -68,7 +68,7 @@ class Workspace:
         """Write ``df`` as Parquet and read it back: no lineage, safe when executors go."""
         path = self.path(name)
         schema = df.schema
-        with settings(self.spark, {_CLEAN_UP: "true"}):
+        with settings(self.spark, {CLEAN_UP: "true"}):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self._live[path] = out
