@@ -46,7 +46,7 @@ BANDS, ROWS = 70, 6
 #: Cells of the bitmap that bounds intersections.
 CELLS = 1024
 #: Rounds in which one member of a bucket's largest component meets the others.
-PIVOTS = 3
+PIVOTS = 2
 PERCENT = 75
 
 _SCATTER = U64(0x5851F42D4C957F2D)
@@ -194,12 +194,13 @@ def components(edges: DataFrame, work: Workspace) -> DataFrame:
     before = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = work.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = work.table(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
-        small = work.table(large.groupBy("u").agg(F.min("v").alias("m")), "small")
-        joined = large.join(small, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        after = work.table(joined.unionByName(small.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        work.drop(now, least, large, small)
+        small = large.groupBy("u").agg(F.min("v").alias("m"))
+        # an edge (u, v) of a node with the least neighbour m becomes (v, m), the least one (u, m)
+        moved = large.join(small, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
+        after = work.table(moved.distinct(), "edges")
+        work.drop(now, large)
         state = after.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head()
         if state == before:
             labels = after.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(after.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
@@ -253,10 +254,7 @@ def _link(base: DataFrame, sketches: DataFrame, tied: DataFrame, work: Workspace
     work.drop(shared, involved, sketches)
     labels, tried = components(tied, work), None
     for k in range(PIVOTS + 1):
-        pairs = _pairs(members, cells, labels, k, work)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = work.table(pairs, "pairs")
+        pairs = work.table(_pairs(members, cells, labels, tried, k, work), "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         found = work.table(confirm(pairs, texts), "links")
         if not found.isEmpty():
@@ -266,12 +264,12 @@ def _link(base: DataFrame, sketches: DataFrame, tied: DataFrame, work: Workspace
     return labels
 
 
-def _pairs(members: DataFrame, cells: DataFrame, labels: DataFrame, k: int, work: Workspace) -> DataFrame:
-    """Distinct pairs (a < b) of members of one bucket with different labels that may be alike: a pivot with the others, at last all that are left."""
+def _pairs(members: DataFrame, cells: DataFrame, labels: DataFrame, tried: DataFrame | None, k: int, work: Workspace) -> DataFrame:
+    """Distinct pairs (a < b) of members of one bucket with different labels that may be alike and weren't tried: a pivot with the others, at last all that are left."""
     now = members.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("root", "doc_id")).drop("root")
     now = work.table(now, "labelled")
     pivot = F.min_by(F.struct("doc_id", "size"), F.xxhash64(F.col("doc_id"), F.lit(k)))
-    groups = work.table(now.groupBy("bucket", "label").agg(F.count("*").alias("n"), pivot.alias("pivot")), "groups")
+    groups = now.groupBy("bucket", "label").agg(F.count("*").alias("n"), pivot.alias("pivot"))
     tops = groups.groupBy("bucket").agg(F.max_by(F.struct("label", "pivot"), F.struct("n", "label")).alias("top"), F.count("*").alias("k")).filter("k > 1")
     tops = work.table(tops.select("bucket", F.col("top.label").alias("top_label"), F.col("top.pivot.doc_id").alias("x"), F.col("top.pivot.size").alias("size_x")), "tops")
     other = cells.select(F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("cells").alias("cells_x"))
@@ -279,16 +277,20 @@ def _pairs(members: DataFrame, cells: DataFrame, labels: DataFrame, k: int, work
     if k < PIVOTS:
         # a pivot is the same document in many buckets, as the hash doesn't depend on the bucket
         near = (F.col("label") != F.col("top_label")) & (100 * F.least("size", "size_x") >= PERCENT * F.greatest("size", "size_x"))
-        pairs = now.join(tops, "bucket").filter(near).select("doc_id", "x").distinct()
+        pairs = now.join(tops, "bucket").filter(near).select(*pair).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = pairs.withColumnsRenamed({"a": "x", "b": "doc_id"})
         pairs = pairs.join(cells.hint("merge"), "doc_id").join(other.hint("merge"), "x").filter(may_link("size", "cells", "size_x", "cells_x"))
-        return work.table(pairs.select(*pair).distinct(), "may")
+        return pairs.select(*pair).distinct()
     # every member outside a bucket's largest component with every other label's members, none twice
     left = now.join(tops.select("bucket", "top_label"), "bucket").select("bucket", "doc_id", "label", "top_label")
     rest = left.filter("label <> top_label").select("bucket", F.col("doc_id").alias("x"), F.col("label").alias("label_x"))
     rest = work.table(rest.distinct().join(other.hint("merge"), "x"), "rest")
     left = work.table(left.distinct().join(cells.hint("merge"), "doc_id"), "left")
     once = (F.col("label") != F.col("label_x")) & ((F.col("label") == F.col("top_label")) | (F.col("doc_id") > F.col("x")))
-    return left.join(rest, "bucket").filter(once & may_link("size", "cells", "size_x", "cells_x")).select(*pair).distinct()
+    pairs = left.join(rest, "bucket").filter(once & may_link("size", "cells", "size_x", "cells_x")).select(*pair).distinct()
+    return pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
