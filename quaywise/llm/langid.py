@@ -4,10 +4,11 @@ The network reads UTF-8 bytes in both directions, gives every position a distrib
 over the learned languages, and a document's probabilities are the mean over all of its
 positions. It is trained in numpy by backpropagation through time.
 
-Texts are read whole, in stretches of ``SPAN`` bytes (the last one filled up with byte 0,
-which is not counted); both directions start anew in each stretch, so that a long text is
-as many independent stretches and the cost is the same a byte for every text. Training
-takes ``STRETCHES`` stretches from anywhere in each of at most ``SAMPLE`` labelled texts.
+Texts are read whole. So that the cost is the same a byte for every text, a text is read
+as stretches of ``SPAN`` bytes, each with the ``CONTEXT`` bytes before it and after it:
+every position is labelled by states that have read that many bytes of its text on either
+side at least (fewer only at the text's own ends). Training draws windows of ``TRAIN`` bytes
+from anywhere in the whole texts, a text as likely as another, anew at every step.
 """
 
 from __future__ import annotations
@@ -18,31 +19,40 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .store import hashed_sample, read_table
-from .textbytes import U64, chunks, mix64
+from .textbytes import chunks
 
-SPAN = 64
+SPAN = 256
+CONTEXT = 64
+TRAIN = 64
 HIDDEN = 8
 #: Labelled documents that a fit reads at most, those of least hash of doc_id.
 SAMPLE = 2_000
-STRETCHES = 6
 UNKNOWN = "und"
 _BLOCK = 2048
 
 
-def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(stretches of SPAN bytes, their used lengths, first stretch of each text)."""
+def stretches(offsets: np.ndarray, span: int = SPAN, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(where a stretch's window begins, its first and end labelled byte in the window, first stretch of each text).
+
+    A window is span + 2 * context bytes long and may stick out of its text.
+    """
     sizes = np.diff(offsets)
-    n = -(-sizes // SPAN)
+    n = -(-sizes // span)
     first = np.concatenate([[0], np.cumsum(n)])
     owner = np.repeat(np.arange(len(n)), n)
-    begin = offsets[owner] + (np.arange(len(owner)) - first[owner]) * SPAN
-    used = np.minimum(SPAN, offsets[owner + 1] - begin)
-    padded = np.concatenate([data, np.zeros(SPAN, np.uint8)])
-    out = padded[begin[:, None] + np.arange(SPAN)]
-    out[np.arange(SPAN) >= used[:, None]] = 0
-    return out, used, first
+    begin = offsets[owner] + (np.arange(len(owner)) - first[owner]) * span
+    used = np.minimum(span, offsets[owner + 1] - begin)
+    return begin - context, np.full(len(owner), context), context + used, first
+
+
+def windows(data: np.ndarray, begin: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes of the windows, whether each is inside lo .. hi); what lies outside is byte 0."""
+    at = begin[:, None] + np.arange(length)
+    inside = (at >= lo[:, None]) & (at < hi[:, None])
+    return np.where(inside, data[np.clip(at, 0, max(len(data) - 1, 0))], 0).astype(np.uint8), inside
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -62,8 +72,8 @@ class BiGru:
         self.p = {f"{k}{d}": f(256, 3 * hidden) if k == "w" else f(hidden, 3 * hidden) for d in "fb" for k in "wu"}
         self.p |= {"v": f(2 * hidden, len(languages)), "c": np.zeros(len(languages), np.float32)}
 
-    def _run(self, x: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
-        """States after each byte; x: (time, stretches)."""
+    def _run(self, x: np.ndarray, inside: np.ndarray, d: str, trace: list | None = None) -> np.ndarray:
+        """States after each byte; x: (time, stretches). A state is zero while its text hasn't begun."""
         w, u, h_ = self.p[f"w{d}"], self.p[f"u{d}"], self.hidden
         steps = range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)
         out = np.empty((*x.shape, h_), dtype=np.float32)
@@ -74,8 +84,8 @@ class BiGru:
             r, z = gates[:, :h_], gates[:, h_:]
             c = np.tanh(a[:, 2 * h_ :] + r * b[:, 2 * h_ :])
             if trace is not None:
-                trace.append((t, h, r, z, c, b[:, 2 * h_ :]))
-            h = c + z * (h - c)
+                trace.append((t, h, r, z, c, b[:, 2 * h_ :], inside[t]))
+            h = (c + z * (h - c)) * inside[t]
             out[t] = h
         return out
 
@@ -86,30 +96,30 @@ class BiGru:
         y /= y.sum(axis=-1, keepdims=True)
         return y
 
-    def stretch_sums(self, x: np.ndarray, used: np.ndarray) -> np.ndarray:
-        """Sum over the used positions of each stretch of the position distributions."""
-        out = np.empty((len(x), len(self.languages)), dtype=np.float64)
-        for lo in range(0, len(x), _BLOCK):
-            part = np.ascontiguousarray(x[lo : lo + _BLOCK].T)
-            y = self._positions(np.concatenate([self._run(part, "f"), self._run(part, "b")], axis=2))
-            y *= (np.arange(SPAN)[:, None] < used[lo : lo + _BLOCK])[:, :, None]
-            out[lo : lo + _BLOCK] = y.sum(axis=0)
-        return out
-
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Language probabilities of each text; zeros for empty texts."""
-        x, used, first = stretches(data, offsets)
-        sums = np.concatenate([np.zeros((1, len(self.languages))), np.cumsum(self.stretch_sums(x, used), axis=0)])
+        begin, lo, hi, first = stretches(offsets)
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+        sums = np.zeros((len(begin) + 1, len(self.languages)))
+        for k in range(0, len(begin), _BLOCK):
+            part = slice(k, k + _BLOCK)
+            x, inside = windows(data, begin[part], offsets[owner[part]], offsets[owner[part] + 1], SPAN + 2 * CONTEXT)
+            x, inside = np.ascontiguousarray(x.T), np.ascontiguousarray(inside.T)[:, :, None]
+            states = np.concatenate([self._run(x, inside, d)[CONTEXT : CONTEXT + SPAN] for d in "fb"], axis=2)
+            y = self._positions(states)
+            y *= (np.arange(CONTEXT, CONTEXT + SPAN)[:, None] < hi[part])[:, :, None]
+            sums[k + 1 : k + 1 + _BLOCK] = y.sum(axis=0)
+        sums = np.cumsum(sums, axis=0)
         total = sums[first[1:]] - sums[first[:-1]]
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)
 
-    def gradients(self, x: np.ndarray, used: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy over the used positions and its gradients, by backpropagation through time."""
-        x = np.ascontiguousarray(x.T)
+    def gradients(self, x: np.ndarray, inside: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
+        """Mean cross-entropy over the positions inside and its gradients, by backpropagation through time."""
+        x, inside = np.ascontiguousarray(x.T), np.ascontiguousarray(inside.T)
         traces = {"f": [], "b": []}
-        states = np.concatenate([self._run(x, d, traces[d]) for d in "fb"], axis=2)
+        states = np.concatenate([self._run(x, inside[:, :, None], d, traces[d]) for d in "fb"], axis=2)
         p = self._positions(states)
-        mask = (np.arange(SPAN)[:, None] < used).astype(np.float32)
+        mask = inside.astype(np.float32)
         total = mask.sum()
         who = np.arange(x.shape[1])
         loss = float(-(np.log(p[:, who, y] + 1e-9) * mask).sum() / total)
@@ -125,8 +135,8 @@ class BiGru:
             gu = np.zeros_like(u)
             da = np.empty((*x.shape, 3 * h_), dtype=np.float32)
             dh = np.zeros((x.shape[1], h_), dtype=np.float32)
-            for t, h, r, z, c, b in reversed(traces[d]):
-                dh = dh + up[t, :, k * h_ : (k + 1) * h_]
+            for t, h, r, z, c, b, there in reversed(traces[d]):
+                dh = (dh + up[t, :, k * h_ : (k + 1) * h_]) * there
                 dc = dh * (1 - z) * (1 - c * c)
                 a = da[t]
                 a[:, :h_] = dc * b * r * (1 - r)
@@ -141,16 +151,21 @@ class BiGru:
             g |= {f"w{d}": gw, f"u{d}": gu}
         return loss, g
 
-    def fit(self, x: np.ndarray, used: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 7) -> BiGru:
-        """Adam with a falling step size. No rows: the network stays as it was."""
-        if not len(x):
+    def fit(self, data: np.ndarray, offsets: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 384, rate: float = 0.02, seed: int = 7) -> BiGru:
+        """Adam with a falling step size over windows of the texts; languages are drawn alike. No texts: the network stays as it was."""
+        texts = np.flatnonzero(np.diff(offsets) > 0)
+        if not len(texts):
             return self
         rng = np.random.default_rng(seed)
+        weight = 1.0 / np.bincount(y[texts], minlength=len(self.languages))[y[texts]]
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         s = {k: np.zeros_like(v) for k, v in self.p.items()}
         for t in range(1, steps + 1):
-            pick = rng.integers(0, len(x), min(batch, len(x)))
-            _, g = self.gradients(x[pick], used[pick], y[pick])
+            pick = rng.choice(texts, batch, p=weight / weight.sum())
+            room = np.maximum(offsets[pick + 1] - offsets[pick] - TRAIN, 0)
+            begin = offsets[pick] + rng.integers(0, room + 1)
+            x, inside = windows(data, begin, offsets[pick], offsets[pick + 1], TRAIN)
+            _, g = self.gradients(x, inside, y[pick])
             norm = np.sqrt(sum(float((v * v).sum()) for v in g.values()))
             step = rate * (1 - 0.9 * t / steps)
             for k, v in g.items():
@@ -161,35 +176,24 @@ class BiGru:
         return self
 
 
-def fit_languages(labelled: DataFrame, sample: int = SAMPLE, each: int = STRETCHES) -> BiGru:
-    """Fit on at most ``sample`` rows of (doc_id, text, lang) with a text and a language."""
-    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null")
-    chosen = hashed_sample(rows.select("doc_id"), sample)
-    picked = rows.join(F.broadcast(chosen.distinct()), "doc_id")
+def fit_languages(labelled: DataFrame, sample: int = SAMPLE) -> BiGru:
+    """Fit on at most ``sample`` rows of (doc_id, text, lang) with a text and a language, whole texts.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
-                x, used, first = stretches(data, offsets)
-                n = np.diff(first)
-                names = np.asarray(batch.column(0).slice(lo, hi - lo)).astype(np.uint64)
-                text = np.repeat(np.arange(len(n)), np.minimum(n, each))
-                order = np.arange(len(text)) - np.searchsorted(text, text)
-                # anywhere in the whole text, by a hash of the document and the draw
-                draw = mix64(names[text] * U64(1_000_003) + order.astype(U64))
-                at = first[text] + (draw % np.maximum(n[text], 1).astype(U64)).astype(np.int64)
-                langs = batch.column(2).slice(lo, hi - lo).take(pa.array(text))
-                ids = batch.column(0).slice(lo, hi - lo).take(pa.array(text))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(order), langs, pa.array([r.tobytes() for r in x[at]], pa.binary()), pa.array(used[at])], ["doc_id", "k", "lang", "bytes", "used"])
-
-    found = picked.select("doc_id", "text", "lang").mapInArrow(run, "doc_id long, k long, lang string, bytes binary, used long").toPandas()
-    found = found.sort_values(["doc_id", "k", "bytes"]).reset_index(drop=True)
+    Rows of one doc_id count one by one; ties are put in order of text and language, so a fit
+    of the same rows is the same. No labelled row: a network of no languages.
+    """
+    rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
+    # the ids first, so that no text is sorted; at most ``sample`` rows
+    chosen = hashed_sample(rows.select("doc_id"), sample)
+    found = rows.join(F.broadcast(chosen.distinct()), "doc_id").toArrow().to_pandas()
+    found = found.sort_values(["doc_id", "text", "lang"], kind="stable")
     languages = sorted(found["lang"].unique())
     if not languages:
         return BiGru([])
-    x = np.frombuffer(b"".join(found["bytes"]), dtype=np.uint8).reshape(-1, SPAN)
-    y = np.searchsorted(languages, found["lang"].to_numpy())
-    return BiGru(languages).fit(x, found["used"].to_numpy(), y)
+    raw = [t.encode("utf-8", "replace") for t in found["text"]]
+    data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in raw])])
+    return BiGru(languages).fit(data, offsets, np.searchsorted(languages, found["lang"].to_numpy()))
 
 
 def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -203,32 +207,32 @@ def has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def predict_languages(docs: DataFrame, model: BiGru) -> DataFrame:
-    """All columns of ``docs``, lang_pred and score (the probability of that language).
+def predict_languages(docs: DataFrame, model: BiGru, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """All columns of ``docs``, the predicted language and its probability, by the given names.
 
     ``und`` with score 0 for null, empty and letterless texts, and where no language was
-    learned. Rows are independent; an empty table gives no rows. Columns that clash are replaced.
+    learned. Texts are read whole, however long. Rows are independent: ties and repeated rows
+    get equal predictions, an empty table gives no rows. A column of ``docs`` that has one of
+    the names is replaced; give others to keep it.
     """
-    from pyspark.sql.types import DoubleType, StringType, StructField, StructType
-
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     columns = docs.columns
     at_text = columns.index("text")
     sent = docs.sparkSession.sparkContext.broadcast(model)  # some 30 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = sent.value
-        names = np.array([*net.languages, UNKNOWN], dtype=object)
+        learned = np.array([*net.languages, UNKNOWN], dtype=object)
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(at_text), 1 << 20):
-                best, score = np.full(hi - lo, len(names) - 1), np.zeros(hi - lo)
+            for lo, hi, data, offsets in chunks(batch.column(at_text)):
+                best, score = np.full(hi - lo, len(learned) - 1), np.zeros(hi - lo)
                 if net.languages:
                     p = net.documents(data, offsets)
                     known = has_letter(data, offsets)
                     best[known], score[known] = p.argmax(axis=1)[known], np.clip(p.max(axis=1), 0, 1)[known]
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(columns))), pa.array(names[best], pa.string()), pa.array(score)], [*columns, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(lo, hi - lo) for k in range(len(columns))), pa.array(learned[best], pa.string()), pa.array(score)], [*columns, *names])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))
 
 
 def _fold(folds: int) -> "F.Column":
@@ -236,6 +240,7 @@ def _fold(folds: int) -> "F.Column":
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of every whole text of ``documents``: see fit_languages and predict_languages, also for the odd cases."""
     docs = read_table(spark, sf_dir, "documents")
     model = fit_languages(docs.filter(_fold(4) != 2))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (_fold(4) == 2).alias("held_out"))

@@ -1,28 +1,39 @@
 """Substring dedup with a log-structured fingerprint index.
 
 A window is 50 consecutive words of one document; a word goes if some window over it
-also starts in a document with a smaller id. Instead of every window, the index holds
-its anchor: of the 12-word grams in a window the one with the least hash (the leftmost
-of equal ones). Equal windows have equal anchors at equal places, so two documents share
-a window only if they share an anchor, and there is about one anchor to 20 words.
-
-Documents come in batches of ascending id. A batch gives one sorted, immutable run of
-(anchor, context, smallest doc_id), where the context is a hash of all words that any
-window around the anchor can hold. The run is merge-joined with the runs before it:
-
-* an occurrence whose anchor and context stand in a smaller document loses all its windows;
-* where an anchor has several contexts, the windows of each context's first document are
-  hashed one by one from the stored texts and compared, which verifies the match exactly
-  as far as it goes and finds the borders of shared passages.
-
-Before the next batch, runs are compacted: two neighbouring runs of like size become one. Window hashes
-and contexts are 64 bits each and always compared together with the anchor's 64 bits.
-Runs, like all tables between the steps, stand in the shared folder.
+also starts in a document with a smaller id. Every window rests on an anchor: of the
+12-word grams in it the one with the least hash (the leftmost of equal ones). Equal windows
+have equal anchors at equal places, so two documents share a window only if they share an
+anchor, and there is about one anchor to 20 words. An anchor's context is all the words
+that a window around it can hold; two documents with one context share all the windows on
+the anchor.
+
+The index (``FingerprintIndex``) is a folder of sorted immutable runs, bucketed by their
+key, and a manifest of them. It holds
+
+* text runs: the digest of a text of 50 words or more, and the first document with it;
+* anchor runs: an anchor with its context and first document while it has only one
+  context, and a mark that it is mixed from the second context on;
+* window runs: the digest of each window on a mixed anchor, and its first document.
+
+A batch of documents with ids above all before it is merge-joined with the runs: its rows
+are shuffled and sorted, the history is neither. Whole copies of a known text go at once
+and are not looked at further. Where an anchor has only one context, what comes later with
+that context goes. Where it becomes mixed, its candidates are verified against the stored
+texts: the windows of each context's first document are digested one by one, looked up and
+remembered. Digests are 128 bits of BLAKE2b over the bytes of the words, 160 bits for whole
+texts, and decide what is equal; the 64-bit anchors only find candidates.
+
+After each batch runs of like size are compacted, by a merge join of two runs, and a new
+manifest is written before old runs are deleted. ``FingerprintIndex.open`` carries on where
+an earlier session stopped. An anchor in a third of all documents is one row a run; its
+contexts and windows are keyed by their own digests, so no key gathers them.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -32,12 +43,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import Workspace, read_table
-from .textbytes import Runs, chunks, ragged, signed, span_hashes, word_bounds
+from .store import CLEAN_UP, Workspace, partitions, read_table, settings
+from .textbytes import Runs, chunks, join_words, ragged, signed, span_hashes, word_bounds
 
 WINDOW = 50
 GRAM = 12
-BATCHES = 2
+BATCHES = 3
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -60,18 +71,17 @@ class Anchors:
         self.starts, self.ends, self.first = word_bounds(data, offsets)
         self.words = np.diff(self.first)
         self.window, self.gram = window, gram
-        self.runs = Runs(span_hashes(data, self.starts, self.ends))
-        # windows that lie in one text: all starts but the last 49 of each text
+        # the words one space apart: equal words are equal bytes
+        text, self.text_starts, self.text_ends = join_words(data, self.starts, self.ends)
+        self.text = text.tobytes()
         n = len(self.starts)
         self.owner = np.repeat(np.arange(len(self.words)), self.words)
-        self.inside = np.zeros(n, dtype=bool)
         if n >= window:
+            # windows that lie in one text: all starts but the last 49 of each text
             at = np.arange(n - window + 1)
-            self.inside[: n - window + 1] = self.owner[at] == self.owner[at + window - 1]
-            grams = self.runs.of(np.arange(n - gram + 1), np.arange(gram, n + 1))
-            self.rests = least_in_windows(grams, window - gram + 1)
-            self.window_starts = np.flatnonzero(self.inside)
-            on = self.rests[self.window_starts]
+            self.window_starts = np.flatnonzero(self.owner[at] == self.owner[at + window - 1])
+            grams = Runs(span_hashes(text, self.text_starts, self.text_ends)).of(np.arange(n - gram + 1), np.arange(gram, n + 1))
+            on = least_in_windows(grams, window - gram + 1)[self.window_starts]
             new = np.ones(len(on), dtype=bool)
             new[1:] = (on[1:] != on[:-1]) | (self.owner[self.window_starts[1:]] != self.owner[self.window_starts[:-1]])
             self.low = np.flatnonzero(new)  # first window of each anchor, as an index of window_starts
@@ -82,138 +92,274 @@ class Anchors:
             self.window_starts = self.low = self.count = self.at = np.zeros(0, np.int64)
             self.hash = np.zeros(0, np.uint64)
 
-    def contexts(self) -> np.ndarray:
-        """Hash of all words that the windows around each anchor can hold, and of where the text ends."""
+    def digests(self, starts: np.ndarray, ends: np.ndarray, marks: np.ndarray | None = None, size: int = 16) -> list[bytes]:
+        """Digests of runs of words, each with a small number in front if given."""
+        a = self.text_starts[starts].tolist() if len(starts) else []
+        b = self.text_ends[ends - 1].tolist() if len(starts) else []
+        text, hashed = self.text, hashlib.blake2b
+        if marks is None:
+            return [hashed(text[x:y], digest_size=size).digest() for x, y in zip(a, b)]
+        return [hashed(text[x:y], digest_size=size, key=bytes((m + 1,))).digest() for x, y, m in zip(a, b, marks.tolist())]
+
+    def contexts(self) -> list[bytes]:
+        """Digest of all words that the windows around each anchor can hold, and of where among them it stands."""
         text = self.owner[self.at]
         lo = np.maximum(self.at - (self.window - self.gram), self.first[text])
         hi = np.minimum(self.at + self.window, self.first[text + 1])
-        return self.runs.of(lo, hi) ^ ((self.at - lo).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+        return self.digests(lo, hi, self.at - lo)
 
     def places(self) -> np.ndarray:
         """Word number of each anchor in its text."""
         return self.at - self.first[self.owner[self.at]]
 
+    def text_digests(self) -> list[bytes | None]:
+        """Digest of each whole text, null for texts without a window."""
+        long = np.flatnonzero(self.words >= self.window)
+        found = dict(zip(long.tolist(), self.digests(self.first[long], self.first[long + 1], size=20)))
+        return [found.get(k) for k in range(len(self.words))]
 
-def anchor_rows(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, context, doc_id, place) of every anchor of every whole text."""
+
+def sketch(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """(doc_id, row, whole, anchors, contexts, places) of every whole text that has a window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            for lo, hi, data, offsets in chunks(batch.column(2)):
                 a = Anchors(data, offsets, window, gram)
-                names = np.asarray(batch.column(0).slice(lo, hi - lo))
-                if len(a.at):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(a.hash)), pa.array(signed(a.contexts())), pa.array(names[a.owner[a.at]]), pa.array(a.places().astype(np.int32))],
-                        ["anchor", "context", "doc_id", "place"],
-                    )
+                edge = pa.array(np.searchsorted(a.owner[a.at], np.arange(hi - lo + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(edge, x) for x in (pa.array(signed(a.hash)), pa.array(a.contexts(), pa.binary()), pa.array(a.places().astype(np.int32)))]
+                out = pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(a.text_digests(), pa.binary()), *lists], ["doc_id", "row", "whole", "anchors", "contexts", "places"])
+                yield out.filter(pc.is_valid(out.column(2)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "anchor long, context long, doc_id long, place int")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, "doc_id long, row long, whole binary, anchors array<long>, contexts array<binary>, places array<int>")
 
 
 class FingerprintIndex:
-    """Sorted, immutable runs of (anchor, context, first_id), smallest doc_id of each.
+    """A folder of sorted, immutable, bucketed runs with a manifest: see the module.
 
     ``add`` takes the next batch (ids above all before it) and returns what to remove from
     it; ``store`` gives the texts of documents, new and historical, for verification.
     """
 
-    def __init__(self, work: Workspace):
-        self.work = work
-        self.runs: list[tuple[DataFrame, int]] = []
-
-    def _history(self) -> DataFrame | None:
-        return reduce(DataFrame.unionByName, [r for r, _ in self.runs]) if self.runs else None
-
-    def add(self, batch: DataFrame, store: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """((doc_id, place) of anchors whose windows all go, (doc_id, place, nth) of single windows that go)."""
-        work = self.work
-        self._compact()
-        found = work.table(anchor_rows(batch), "anchors")
-        run = found.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        run = work.table(run.sortWithinPartitions("anchor", "context"), "run")
-        own = run.select("anchor", "context", "first_id")
-        past = self._history()
-        met = own if past is None else own.unionByName(past.join(own.select("anchor"), "anchor", "left_semi"))
-        # anchors that stand in more than one document or context, with what is known of them
-        several = run.select("anchor", "context", F.col("first_id"), F.col("last_id"))
-        if past is not None:
-            several = several.unionByName(past.join(own.select("anchor"), "anchor", "left_semi").withColumn("last_id", F.col("first_id")))
-        several = several.groupBy("anchor").agg(F.min("first_id").alias("lo"), F.max("last_id").alias("hi"), F.min("context").alias("c0"), F.max("context").alias("c1")).filter("lo < hi")
-        several = work.table(several.select("anchor", (F.col("c0") != F.col("c1")).alias("mixed")), "several")
-        # written between join and aggregate, so that a very common anchor's rows can be split in both
-        met = work.table(met.join(several, "anchor"), "met")
-        classes = met.groupBy("anchor", "context", "mixed").agg(F.min("first_id").alias("first_id"))
-        classes = work.table(classes, "classes")
-        hits = found.join(classes.select("anchor", "context", "first_id"), ["anchor", "context"]).filter("first_id < doc_id").select("doc_id", "place")
-        hits = work.table(hits, "whole")
-        single = self._borders(classes, found, store)
-        self.runs.append((own, own.count()))
-        return hits, single
-
-    def _borders(self, classes: DataFrame, found: DataFrame, store: DataFrame) -> DataFrame:
-        """Windows of first documents that also stand in a smaller document under another context."""
-        work = self.work
-        mixed = classes.filter("mixed").select("anchor", "context", F.col("first_id").alias("doc_id"))
-        # the places of those anchors in their first documents are found again from the text
-        wanted = work.table(mixed.groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors")), "wanted")
-        placed = _locate(store.join(wanted, "doc_id").select("doc_id", "text", "anchors"))
-        windows = work.table(placed, "windows")
-        firsts = windows.groupBy("anchor", "window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).filter("first_id < last_id")
-        firsts = work.table(firsts.select("anchor", "window", "first_id"), "firsts")
-        new = found.select("doc_id", "anchor", "place")
-        gone = windows.join(firsts, ["anchor", "window"]).filter("first_id < doc_id").select("doc_id", "anchor", "place", "nth")
-        return work.table(gone.join(new, ["doc_id", "anchor", "place"], "left_semi").select("doc_id", "place", "nth"), "single")
-
-    def _compact(self) -> None:
-        """Merge neighbouring runs while the newer has at least half the older's rows."""
-        while len(self.runs) > 1 and 2 * self.runs[-1][1] >= self.runs[-2][1]:
-            (b, _), (a, _) = self.runs.pop(), self.runs.pop()
-            merged = a.unionByName(b).groupBy("anchor", "context").agg(F.min("first_id").alias("first_id"))
-            merged = self.work.table(merged.sortWithinPartitions("anchor", "context"), "compacted")
-            self.runs.append((merged, merged.count()))
+    #: Each kind of run: its key and its columns.
+    KINDS = {
+        "texts": ("whole", "whole binary, first_id long"),
+        "anchors": ("anchor", "anchor long, context binary, first_id long, mixed boolean"),
+        "windows": ("window", "window binary, first_id long"),
+    }
+
+    def __init__(self, spark: SparkSession, root: str, buckets: int, version: int = 0):
+        self.spark, self.root, self.buckets, self.version = spark, root, buckets, version
+        self.runs: dict[str, list[tuple[str, int]]] = {kind: [] for kind in self.KINDS}
+        self._names: dict[str, str] = {}
+
+    @classmethod
+    def create(cls, spark: SparkSession, root: str, buckets: int | None = None) -> FingerprintIndex:
+        """An empty index. ``buckets`` (the session's shuffle partitions if not given) holds for all its runs."""
+        return cls(spark, root, buckets or partitions(spark))
+
+    @classmethod
+    def open(cls, spark: SparkSession, root: str) -> FingerprintIndex:
+        """The index that an earlier ``add`` left in the folder ``root``, by its newest manifest."""
+        rows = spark.read.schema("kind string, path string, n long, place int, buckets int, version int").json(f"{root}/manifest")
+        newest = rows.agg(F.max("version")).head()[0]
+        lines = rows.filter(F.col("version") == newest).orderBy("kind", "place").collect()
+        index = cls(spark, root, lines[0].buckets, newest)
+        for r in lines:
+            if r.path:
+                index.runs[r.kind].append((r.path, r.n))
+        return index
+
+    def run(self, kind: str, path: str) -> DataFrame:
+        """A run as a bucketed table, which Spark joins by its key without a shuffle."""
+        if path not in self._names:
+            key, schema = self.KINDS[kind]
+            name = self._names[path] = f"quaywise_{uuid.uuid4().hex}"
+            self.spark.sql(f"CREATE TABLE {name} ({schema}) USING parquet CLUSTERED BY ({key}) SORTED BY ({key}) INTO {self.buckets} BUCKETS LOCATION '{path}'")
+        return self.spark.table(self._names[path])
+
+    def close(self) -> None:
+        """Forget the runs' names in the session's catalog; the files stay."""
+        for name in self._names.values():
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        self._names.clear()
+
+    def lookup(self, keys: DataFrame, kind: str) -> DataFrame:
+        """``keys`` with the key's columns of each run, ``past_first_0`` and so on (null where it isn't there)."""
+        key = self.KINDS[kind][0]
+        for k, (path, _) in enumerate(self.runs[kind]):
+            run = self.run(kind, path)
+            past = run.select(key, *(F.col(c).alias(f"past_{c}_{k}") for c in run.columns if c != key))
+            keys = keys.join(past.hint("merge"), key, "left")
+        return keys
+
+    def _past(self, kind: str, column: str, of) -> F.Column:  # noqa: ANN001
+        """What the runs know of a column, put together by ``of``; null if there is no run."""
+        found = [F.col(f"past_{column}_{k}") for k in range(len(self.runs[kind]))]
+        type_ = "boolean" if column == "mixed" else "binary" if column == "context" else "long"
+        return of(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast(type_)
+
+    def add(self, batch: DataFrame, store: DataFrame, work: Workspace) -> DataFrame:
+        """(doc_id, row, place, nth) of what goes from a batch of (doc_id, row, text).
+
+        place -1: the whole text; nth -1: all windows on the anchor at that place; else one of them.
+        """
+        sketches = work.table(sketch(batch), "sketches")
+        copies, texts = self._copies(sketches, work)
+        fresh = sketches.join(copies.hint("merge"), ["doc_id", "row"], "left_anti")
+        rows = fresh.select("doc_id", "row", F.explode(F.arrays_zip("anchors", "contexts", "places")).alias("x"))
+        found = work.table(rows.select("doc_id", "row", F.col("x.anchors").alias("anchor"), F.col("x.contexts").alias("context"), F.col("x.places").alias("place")), "found")
+        work.drop(sketches)
+        classes = work.table(found.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")), "classes")
+        anchors = self._anchors(classes, work)
+        hits = self._hits(found, classes, anchors)
+        hits = work.table(hits, "hits")
+        work.drop(found)
+        singles, windows = self._windows(classes, anchors, store, work)
+        single_context = F.col("mixed") == F.lit(False)
+        news = anchors.filter("not seen or mixed and not past_mixed").select("anchor", F.when(single_context, F.col("context")).alias("context"), F.when(single_context, F.col("first_id")).alias("first_id"), "mixed")
+        self._append({"texts": texts, "anchors": news, "windows": windows}, work)
+        work.drop(classes, anchors, texts, windows)
+        gone = hits.unionByName(singles).unionByName(copies.select("doc_id", "row", F.lit(-1).alias("place"), F.lit(-1).alias("nth")))
+        out = work.table(gone, "gone")
+        work.drop(hits, singles, copies)
+        return out
+
+    def _copies(self, sketches: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+        """(doc_id, row) of texts that stand whole in a smaller document, and the batch's new texts."""
+        heads = sketches.groupBy("whole").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+        heads = self.lookup(heads, "texts").withColumn("past_id", self._past("texts", "first_id", F.least))
+        heads = work.table(heads.select("whole", "past_id", "first_id", "last_id", F.coalesce("past_id", "first_id").alias("least")), "heads")
+        copied = heads.filter("least < last_id").select("whole", "least")
+        copies = sketches.select("doc_id", "row", "whole").join(copied, "whole").filter("doc_id > least").select("doc_id", "row").distinct()
+        copies = work.table(copies, "copies")
+        return copies, work.table(heads.filter("past_id is null").select("whole", "first_id"), "texts")
+
+    def _anchors(self, classes: DataFrame, work: Workspace) -> DataFrame:
+        """The batch's anchors and what the runs know of them."""
+        own = classes.groupBy("anchor").agg(F.min("context").alias("context"), F.max("context").alias("other"), F.min("first_id").alias("first_id"))
+        known = self.lookup(own, "anchors")
+        known = known.withColumns(
+            {
+                "past_context": self._past("anchors", "context", F.coalesce),
+                "past_first": self._past("anchors", "first_id", F.least),
+                "past_any": self._past("anchors", "mixed", F.greatest),
+            }
+        )
+        known = known.select("anchor", "context", "other", "first_id", "past_context", "past_first", F.col("past_any").isNotNull().alias("seen"), F.coalesce("past_any", F.lit(False)).alias("past_mixed"))
+        other = (F.col("context") != F.col("other")) | F.coalesce(F.col("past_context") != F.col("context"), F.lit(False))
+        return work.table(known.withColumn("mixed", F.col("past_mixed") | other).drop("other"), "anchors")
+
+    @staticmethod
+    def _hits(found: DataFrame, classes: DataFrame, anchors: DataFrame) -> DataFrame:
+        """Anchors whose context stands in a smaller document: all their windows go."""
+        again = classes.filter("first_id < last_id").select("anchor", "context", "first_id")
+        past = anchors.filter("seen and not mixed").select("anchor", "context", F.col("past_first").alias("first_id"))
+        known = again.unionByName(past).groupBy("anchor", "context").agg(F.min("first_id").alias("first_id"))
+        return found.join(known, ["anchor", "context"]).filter("first_id < doc_id").select("doc_id", "row", "place", F.lit(-1).alias("nth"))
+
+    def _windows(self, classes: DataFrame, anchors: DataFrame, store: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
+        """Single windows of the batch that stand in a smaller document, and the windows that are new to the runs.
+
+        Looked at are the windows on mixed anchors of each context's first document in the
+        batch, and those of the one historical document of anchors that have just become mixed.
+        """
+        mixed = anchors.filter("mixed")
+        new = classes.join(mixed.select("anchor"), "anchor").select(F.col("first_id").alias("doc_id"), "anchor", F.lit(True).alias("new"))
+        old = mixed.filter("not past_mixed and past_first is not null").select(F.col("past_first").alias("doc_id"), "anchor", F.lit(False).alias("new"))
+        wanted = work.table(new.unionByName(old).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.max("new").alias("new")), "wanted")
+        windows = work.table(_locate(store.join(wanted, "doc_id").select("doc_id", "row", "text", "anchors", "new")), "windows")
+        own = windows.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+        known = self.lookup(own, "windows").withColumn("past_id", self._past("windows", "first_id", F.least))
+        known = work.table(known.select("window", "first_id", "last_id", "past_id", F.least("past_id", "first_id").alias("least")), "known")
+        repeated = known.filter("least < last_id").select("window", "least")
+        singles = windows.filter("new").join(repeated, "window").filter("least < doc_id").select("doc_id", "row", "place", "nth")
+        singles = work.table(singles, "singles")
+        fresh = work.table(known.filter("past_id is null").select("window", "first_id"), "fresh")
+        work.drop(wanted, windows, known)
+        return singles, fresh
+
+    def _append(self, news: dict[str, DataFrame], work: Workspace) -> None:
+        """Write the new rows of each kind as a run, compact, then the manifest; old runs go last."""
+        stale: list[str] = []
+        for kind, rows in news.items():
+            key = self.KINDS[kind][0]
+            self.runs[kind].append(self._write(kind, rows.repartition(self.buckets, key)))
+            while len(self.runs[kind]) > 1 and 2 * self.runs[kind][-1][1] >= self.runs[kind][-2][1]:
+                b, a = self.runs[kind].pop(), self.runs[kind].pop()
+                self.runs[kind].append(self._write(kind, self._merged(kind, a[0], b[0])))
+                stale += [a[0], b[0]]
+        self.version += 1
+        lines = [(kind, path, n, place, self.buckets) for kind, runs in self.runs.items() for place, (path, n) in enumerate(runs or [("", 0)])]
+        self.spark.createDataFrame(lines, "kind string, path string, n long, place int, buckets int").coalesce(1).write.json(f"{self.root}/manifest/version={self.version}")
+        for path in stale:
+            if path in self._names:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._names.pop(path)}")
+            work.delete(path)
+
+    def _merged(self, kind: str, a: str, b: str) -> DataFrame:
+        """Two runs as one: a merge join of both, without a shuffle."""
+        key = self.KINDS[kind][0]
+        x, y = self.run(kind, a), self.run(kind, b)
+        if kind == "anchors":
+            x, y = (t.select(key, F.struct("context", "first_id", "mixed").alias(n)) for t, n in ((x, "x"), (y, "y")))
+            mixed = F.coalesce("x.mixed", F.lit(False)) | F.coalesce("y.mixed", F.lit(False))
+            columns = [F.when(~mixed, F.coalesce("x.context", "y.context")).alias("context"), F.when(~mixed, F.coalesce("x.first_id", "y.first_id")).alias("first_id"), mixed.alias("mixed")]
+        else:
+            x, y = (t.select(key, F.col("first_id").alias(n)) for t, n in ((x, "x"), (y, "y")))
+            columns = [F.least("x", "y").alias("first_id")]
+        return x.join(y.hint("merge"), key, "full_outer").select(key, *columns)
+
+    def _write(self, kind: str, rows: DataFrame) -> tuple[str, int]:
+        """A run of rows that are already dealt by the key: one file a bucket."""
+        key = self.KINDS[kind][0]
+        path, name = f"{self.root}/{kind}-{uuid.uuid4().hex}", f"quaywise_{uuid.uuid4().hex}"
+        with settings(self.spark, {CLEAN_UP: "true"}):
+            rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
+        self._names[path] = name
+        return path, self.spark.table(name).count()
 
 
 def _locate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(anchor, window, doc_id, place, nth) of the windows on the given anchors of each (doc_id, text, anchors)."""
+    """(window, doc_id, row, place, nth, new) of the windows on the given anchors of each (doc_id, row, text, anchors, new)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column(2)
-            for lo, hi, data, offsets in chunks(batch.column(1)):
+            lists = batch.column(3)
+            for lo, hi, data, offsets in chunks(batch.column(2)):
                 a = Anchors(data, offsets, window, gram)
                 if not len(a.at):
                     continue
-                names = np.asarray(batch.column(0).slice(lo, hi - lo))
                 part = lists.slice(lo, hi - lo)
                 sizes = np.diff(np.asarray(part.offsets))
                 salt = lambda text, h: h ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
                 wanted = salt(np.repeat(np.arange(hi - lo), sizes), np.asarray(part.flatten()).view(np.uint64))
                 pick = np.flatnonzero(np.isin(salt(a.owner[a.at], a.hash), wanted))
-                group, nth = ragged(a.count[pick])
-                k = pick[group]
-                begin = a.window_starts[a.low[k] + nth]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(signed(a.hash[k])), pa.array(signed(a.runs.of(begin, begin + window))), pa.array(names[a.owner[a.at[k]]]), pa.array(a.places()[k].astype(np.int32)), pa.array(nth.astype(np.int32))],
-                    ["anchor", "window", "doc_id", "place", "nth"],
-                )
-
-    return docs.mapInArrow(run, "anchor long, window long, doc_id long, place int, nth int")
-
+                for low in range(0, len(pick), 20_000):
+                    group, nth = ragged(a.count[pick[low : low + 20_000]])
+                    k = pick[low : low + 20_000][group]
+                    begin = a.window_starts[a.low[k] + nth]
+                    owner = pa.array(a.owner[a.at[k]] + lo)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(a.digests(begin, begin + window), pa.binary()), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(a.places()[k].astype(np.int32)), pa.array(nth.astype(np.int32)), batch.column(4).take(owner)],
+                        ["window", "doc_id", "row", "place", "nth", "new"],
+                    )
 
-def _removal(gone: DataFrame) -> DataFrame:
-    """(doc_id, places, nths): one row a document; nth -1 means all windows of the anchor."""
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "nth"))).alias("gone")).select("doc_id", F.col("gone.place").alias("places"), F.col("gone.nth").alias("nths"))
+    return docs.mapInArrow(run, "window binary, doc_id long, row long, place int, nth int, new boolean")
 
 
 def _keep_masks(a: Anchors, places: pa.ListArray, nths: pa.ListArray) -> np.ndarray:
     """False for each word covered by a window that goes."""
     covered = np.zeros(len(a.starts) + 1, dtype=np.int32)
-    if len(a.at):
-        text = np.repeat(np.arange(len(places)), np.diff(np.asarray(places.offsets)))
-        at = a.first[text] + np.asarray(places.flatten(), dtype=np.int64)
-        nth = np.asarray(nths.flatten(), dtype=np.int64)
-        k = np.searchsorted(a.at, at)
+    text = np.repeat(np.arange(len(places)), np.diff(np.asarray(places.offsets)))
+    place, nth = np.asarray(places.flatten(), dtype=np.int64), np.asarray(nths.flatten(), dtype=np.int64)
+    if len(text):
+        whole = text[place < 0]
+        np.add.at(covered, a.first[whole], 1)
+        np.add.at(covered, a.first[whole + 1], -1)
+        text, place, nth = (x[place >= 0] for x in (text, place, nth))
+    if len(text):
+        k = np.searchsorted(a.at, a.first[text] + place)
         begin = a.window_starts[a.low[k] + np.maximum(nth, 0)]
         end = np.where(nth < 0, a.window_starts[a.low[k] + a.count[k] - 1], begin) + a.window
         np.add.at(covered, begin, 1)
@@ -221,18 +367,26 @@ def _keep_masks(a: Anchors, places: pa.ListArray, nths: pa.ListArray) -> np.ndar
     return np.cumsum(covered)[: len(a.starts)] == 0
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, text): ``row`` tells apart the texts of a repeated doc_id."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("row"), "text")
+
+
 def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """(doc_id, places, nths) of what goes, for documents that lose anything.
+    """(doc_id, row, places, nths) of what goes, one row for each text that loses anything.
 
-    Null, empty and short texts have no windows. Ids are the key; the texts are judged as
-    they are given, not on what is left. An empty table gives no rows.
+    The documents are added to a new index in batches of ascending doc_id. Null, empty and
+    short texts have no windows; texts are read whole, however long, and judged as they are
+    given, not on what is left. Rows of one doc_id are one document: none removes from
+    another. Rows without doc_id lose nothing. An empty table gives no rows; further columns
+    are ignored, whatever their names.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "repeats")
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    base = keyed(docs).filter("doc_id is not null")
     bounds = base.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0], 10_000)).head()[0] or []
     bounds = sorted(set(bounds[: batches - 1]))
-    index, parts = FingerprintIndex(work), []
+    index, parts = FingerprintIndex.create(spark, f"{work.root}/index"), []
     for k in range(len(bounds) + 1):
         batch = base
         if k:
@@ -240,30 +394,43 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         if k < len(bounds):
             batch = batch.filter(F.col("doc_id") <= bounds[k])
         store = base if k == len(bounds) else base.filter(F.col("doc_id") <= bounds[k])
-        whole, single = index.add(batch, store)
-        parts += [whole.withColumn("nth", F.lit(-1)), single]
-    return work.table(_removal(reduce(DataFrame.unionByName, parts)), "removal")
+        parts.append(index.add(batch, store, work))
+    index.close()
+    work.delete(index.root)
+    gone = reduce(DataFrame.unionByName, parts)
+    gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("place", "nth"))).alias("gone"))
+    removal = work.table(gone.select("doc_id", "row", F.col("gone.place").alias("places"), F.col("gone.nth").alias("nths")), "removal")
+    work.keep(removal)
+    return removal
 
 
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents with repeated windows cut out; kept words joined by single spaces where anything went.
 
-    Documents that lose nothing keep their text as it is; other columns stay.
+    Documents that lose nothing keep their text as it is (null too); other columns stay, also
+    ones named like the operator's own. The odd cases are those of find_repeats.
     """
-    gone = find_repeats(docs, batches).select(F.col("doc_id").alias("__gone_id"), F.col("places").alias("__gone_places"), F.col("nths").alias("__gone_nths"))
-    same = F.col("doc_id") == F.col("__gone_id")
-    rest = docs.join(gone.select("__gone_id"), same, "left_anti")
+    gone = find_repeats(docs, batches).select(*(F.col(c).alias(f"__gone_{c}") for c in ("doc_id", "row", "places", "nths")))
     columns = docs.columns
-    cut = docs.join(gone, same).select(*columns, "__gone_places", "__gone_nths")
+    same = (F.col("doc_id").cast("long") == F.col("__gone_doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__gone_row"))
+    joined = docs.join(gone.hint("merge"), same, "left").select(*columns, "__gone_places", "__gone_nths")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t for _, _, part in _kept(batch.column(at), batch.column(len(columns)), batch.column(len(columns) + 1)) for t in part]
-            arrays = [batch.column(k) if k != at else pa.array([t.decode("utf-8", "replace") for t in texts], pa.string()) for k in range(len(columns))]
-            yield pa.RecordBatch.from_arrays(arrays, columns)
+            places, nths = batch.column(len(columns)), batch.column(len(columns) + 1)
+            lost = np.flatnonzero(np.asarray(pc.is_valid(places)))
+            texts = batch.column(at)
+            if len(lost):
+                pick = pa.array(lost)
+                cut = [t.decode("utf-8", "replace") for _, _, part in _kept(texts.take(pick), places.take(pick), nths.take(pick)) for t in part]
+                own = np.full(batch.num_rows, -1)
+                own[lost] = np.arange(len(lost))
+                whole = pa.concat_arrays([texts.cast(pa.large_string()), pa.array(cut, pa.large_string())])
+                texts = whole.take(pa.array(np.where(own >= 0, own + batch.num_rows, np.arange(batch.num_rows))))
+            yield pa.RecordBatch.from_arrays([batch.column(k) if k != at else texts.cast(pa.string()) for k in range(len(columns))], columns)
 
-    return rest.unionByName(cut.mapInArrow(run, docs.schema))
+    return joined.mapInArrow(run, docs.schema)
 
 
 def _kept(texts: pa.Array, places: pa.ListArray, nths: pa.ListArray) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes]]]:
@@ -292,9 +459,9 @@ def _kept(texts: pa.Array, places: pa.ListArray, nths: pa.ListArray) -> Iterator
 
 
 def repeats_report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
-    """n_words, n_removed and the digest of the kept words of every document."""
+    """n_words, n_removed and the digest of the kept words of every row; the odd cases are those of find_repeats."""
     gone = find_repeats(docs, batches)
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left")
+    joined = keyed(docs).join(gone.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "places", "nths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -313,4 +480,5 @@ def repeats_report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` that repeated windows cover: see find_repeats, also for the odd cases."""
     return repeats_report(read_table(spark, sf_dir, "documents"))
