@@ -15,7 +15,12 @@ from .textbytes import chunks
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, ids): the ids of every whole text. Null or empty text: no ids."""
+    """(doc_id, n_tokens, ids): the ids of every whole text.
+
+    Null or empty text: no ids; a null doc_id stays null. Texts are encoded whole, however
+    long. Rows are independent: ties and repeated rows get equal ids, an empty table no rows;
+    further columns are ignored, whatever their names.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,7 +35,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids); null ids give empty text."""
+    """(doc_id, text) from (doc_id, ids).
+
+    Null ids give empty text, ids outside the vocabulary raise IndexError. Rows are independent,
+    however long; an empty table gives no rows; further columns are ignored, whatever their names.
+    """
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -45,8 +54,7 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Digests of the ids of every whole text and of the text decoded from them.
 
-    Null text counts as empty (no ids, empty decoded text). Rows are independent, so ties,
-    repeated rows, empty tables and further columns make no difference.
+    Null text counts as empty (no ids, empty decoded text); the odd cases are those of encode.
     """
     path = path or default_path()
 
@@ -71,4 +79,5 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids and decoded text of every whole text of ``documents``: see round_trip and encode, also for the odd cases."""
     return round_trip(read_table(spark, sf_dir, "documents"))

@@ -304,7 +304,13 @@ def feature(image: Jpeg) -> str:
 
 
 def media_table(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, media): each whole text stored as a JPEG file. Null text counts as empty."""
+    """(doc_id, n_bytes, media): each whole text stored as a JPEG file.
+
+    Null text counts as empty, a null doc_id stays null. Texts are stored whole; a file is made
+    in one task, which takes some 18 bytes of memory a byte of its text. Rows are independent:
+    ties and repeated rows get equal files, an empty table no rows; further columns are ignored,
+    whatever their names.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -319,7 +325,9 @@ def media_table(docs: DataFrame) -> DataFrame:
 def describe_media(media: DataFrame) -> DataFrame:
     """Reads stored files back: payload digests, size and digest of the file, thumbnail feature.
 
-    Rows are independent: ties, repeated rows and an empty table make no difference. A null file fails.
+    A null file gives nulls; bytes that are no baseline JPEG raise ValueError. Rows are
+    independent: ties and repeated rows give equal rows, an empty table none; files are read
+    whole; columns other than doc_id, n_bytes and media are ignored, whatever their names.
     """
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long"
 
@@ -328,6 +336,9 @@ def describe_media(media: DataFrame) -> DataFrame:
             out = []
             for file in batch.column(2):
                 data = file.as_py()
+                if data is None:
+                    out.append((None,) * 8)
+                    continue
                 image = Jpeg(data)
                 stored = image.payload()
                 out.append((len(stored), hashlib.sha256(stored).hexdigest(), zlib.crc32(stored[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature(image), image.width, image.height))
@@ -338,4 +349,5 @@ def describe_media(media: DataFrame) -> DataFrame:
 
 
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` as a JPEG, read back: see media_table and describe_media, also for the odd cases."""
     return describe_media(media_table(read_table(spark, sf_dir, "documents")))

@@ -9,28 +9,31 @@ class. Tails beyond the rounded patterns, and those of patterns that would waste
 than ``waste`` tokens, are laid end to end and cut at the sequence border; the very last
 stretch is cut into powers of two, which need no padding.
 
-Ranks are counted inside (length, salt) cells of a fixed number of salts and shifted by
-the cells' cumulated sizes, so neither a common length nor the whole table meets in one
-task, and the driver sees 1023 x salts counters at most.
+Ranks are counted inside (length, salt) cells and shifted by the cells' cumulated sizes. A
+length has salts in proportion to its pieces, about ``CELLS`` cells a shuffle partition
+over all lengths, so neither a common length nor the whole table meets in one task, and the
+driver sees 1024 + CELLS x partitions counters at most.
 """
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import default_path, tokenizer
-from .store import Workspace, read_table
+from .store import Workspace, partitions, read_table
 from .textbytes import chunks
 
 SEQUENCE = 1024
 END_ID = 0
-SALTS = 64
+CELLS = 4
 
 
 class CuttingStock:
@@ -39,12 +42,14 @@ class CuttingStock:
     def __init__(self, lengths: np.ndarray, demand: np.ndarray, size: int = SEQUENCE):
         self.w, self.d, self.size = lengths.astype(np.int64), demand.astype(np.float64), size
 
-    def solve(self, rounds: int = 60, columns: int = 24, gap: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
+    def solve(self, rounds: int | None = 60, columns: int = 24, gap: float = 0.002) -> tuple[np.ndarray, np.ndarray]:
         """(patterns, amounts): columns of item counts and how many bins of each, fractional.
 
         Primal simplex on the pattern matrix with an explicit basis inverse, from a feasible
-        triangular basis; each round prices up to ``columns`` patterns by one dynamic program. Demand is shaken a little against cycling and restored for the amounts. It
-        ends when no pattern improves, or within ``gap`` of the dual bound, or after ``rounds``.
+        triangular basis; each round prices up to ``columns`` patterns by one dynamic program.
+        Demand is shaken a little against cycling and restored for the amounts. It ends when no
+        pattern improves, or within ``gap`` of the dual bound, or after ``rounds``; with
+        rounds=None and gap=0 at the optimum.
         """
         m = len(self.w)
         if not m:
@@ -54,7 +59,7 @@ class CuttingStock:
         inverse = np.linalg.inv(basis)
         x = np.maximum(inverse @ shaken, 0)
         pivots = 0
-        for _ in range(rounds):
+        for _ in itertools.count() if rounds is None else range(rounds):
             prices = inverse.sum(axis=0)
             value, found = self._price(prices, columns)
             if value <= 1 + 1e-7 or x.sum() <= prices @ shaken / value * (1 + gap):
@@ -196,10 +201,14 @@ def plan(lengths: np.ndarray, demand: np.ndarray, size: int = SEQUENCE, waste: i
 
 
 def _pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
-    """One row per full sequence and per tail: (doc_id, start, length, ids_crc32, doc_tokens, tail_ids)."""
+    """One row per full sequence and per tail: (piece, doc_id, start, length, ids_crc32, doc_tokens, tail_ids).
+
+    ``piece`` numbers the rows; it is stable once the rows are written.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = tokenizer(path)
+        piece = TaskContext.get().partitionId() << 40
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(1)):
                 ids, at = bpe.encode_joined(data, offsets)
@@ -208,43 +217,47 @@ def _pieces(docs: DataFrame, path: str, size: int) -> DataFrame:
                 for k, name in enumerate(names):
                     own = np.append(ids[at[k] : at[k + 1]], END_ID).astype("<u4")
                     for start in range(0, len(own), size):
-                        piece = own[start : start + size]
-                        rows.append((name, start, len(piece), zlib.crc32(piece.tobytes()), len(own), None if len(piece) == size else piece.astype("<u4" if len(bpe.token_bytes) > 65536 else "<u2").tobytes()))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 5 + [pa.binary()])]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "tail_ids"])
-
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tail_ids binary")
-
-
-def _ranks(table: DataFrame, key: str, order: list[str], work: Workspace, name: str) -> tuple[DataFrame, dict[int, int]]:
-    """Adds ``rank``, 0, 1, ... inside each ``key``, and returns each key's count."""
-    salted = table.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int"))
-    cells = salted.groupBy(key, "_salt").count().collect()  # at most 1024 x SALTS rows
+                        part = own[start : start + size]
+                        rows.append((piece, name, start, len(part), zlib.crc32(part.tobytes()), len(own), None if len(part) == size else part.astype("<u4" if len(bpe.token_bytes) > 65536 else "<u2").tobytes()))
+                        piece += 1
+                columns = [pa.array(c, t) for c, t in zip(zip(*rows), [pa.int64()] * 6 + [pa.binary()])]
+                yield pa.RecordBatch.from_arrays(columns, ["piece", "doc_id", "start", "length", "ids_crc32", "doc_tokens", "tail_ids"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "piece long, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, tail_ids binary")
+
+
+def _ranks(table: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+    """Adds ``rank``, 0, 1, ... inside each length, and returns each length's count."""
+    spark = table.sparkSession
+    counts = dict(tuple(r) for r in table.groupBy("length").count().collect())  # at most 1024 rows
+    share = CELLS * partitions(spark) / max(1, sum(counts.values()))
+    salts = spark.createDataFrame([(k, 1 + int(share * n)) for k, n in counts.items()], "length long, _salts int")
+    salted = table.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("piece"), F.col("_salts")).cast("int")).drop("_salts")
+    cells = salted.groupBy("length", "_salt").count().collect()
     totals: dict[int, int] = {}
     shifts = []
     for k, s, n in sorted(tuple(c) for c in cells):
         shifts.append((k, s, totals.get(k, 0)))
         totals[k] = totals.get(k, 0) + n
-    shift = table.sparkSession.createDataFrame(shifts, f"{key} long, _salt int, _shift long")
-    inside = Window.partitionBy(key, "_salt").orderBy(*order)
-    ranked = salted.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(shift), [key, "_salt"])
+    shift = spark.createDataFrame(shifts, "length long, _salt int, _shift long")
+    inside = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
+    ranked = salted.withColumn("_row", F.row_number().over(inside)).join(F.broadcast(shift), ["length", "_salt"])
     return ranked.withColumn("rank", F.col("_shift") + F.col("_row") - 1).drop("_salt", "_row", "_shift"), totals
 
 
 def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, waste: int = 8) -> DataFrame:
-    """Pieces of documents in sequences: see the module. Null or empty text: the closing id alone.
+    """Pieces of documents in sequences: see the module.
 
-    A repeated doc_id (not expected, ids are the key) would still be packed row by row; ties have
-    equal pieces. An empty table gives no rows; further columns are ignored.
+    Null or empty text: the closing id alone. Long texts are packed whole. Rows of a repeated
+    doc_id, and repeated rows, are packed one by one, as are rows without doc_id. Tails of one
+    length are ties; the smaller doc_id comes first inside a cell. An empty table gives no rows;
+    further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "packing")
     pieces = work.table(_pieces(docs, path or default_path(), size), "pieces")
-    full = pieces.filter(F.col("length") == size).drop("tail_ids")
-    tails = pieces.filter(F.col("length") < size)
-    ranked, totals = _ranks(tails.select("doc_id", "start", "length", "ids_crc32", "doc_tokens"), "length", ["doc_id", "start"], work, "tails")
-    full_ranked, full_totals = _ranks(full, "length", ["doc_id", "start"], work, "full")
-    n_full = full_totals.get(size, 0)
+    ranked, totals = _ranks(pieces.drop("tail_ids"))
+    n_full = totals.pop(size, 0)
 
     lengths = np.array(sorted(totals), dtype=np.int64)
     demand = np.array([totals[i] for i in lengths.tolist()], dtype=np.int64)
@@ -254,10 +267,10 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, waste:
     rest = demand - placed
     base = np.cumsum(rest * lengths) - rest * lengths
     stretch = spark.createDataFrame([(int(w), int(p), int(b)) for w, p, b in zip(lengths, placed, base)], "length long, placed long, base long")
-    ranked = work.table(ranked.join(F.broadcast(stretch), "length"), "ranked")
+    ranked = work.table(ranked.join(F.broadcast(stretch), "length", "left"), "ranked")
 
     out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    whole = full_ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    whole = ranked.filter(F.col("length") == size).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     nth = F.col("rank") - F.col("first")
     fitted = (
         ranked.filter("rank < placed")
@@ -267,8 +280,10 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, waste:
     )
     loose = ranked.filter("rank >= placed").withColumn("from", F.expr("base + (rank - placed) * length"))
     total = int((rest * lengths).sum())
-    cut = _cut(loose.select("doc_id", "start", "length", "doc_tokens", "from"), pieces, total, n_full + bins, size, work)
-    return whole.unionByName(fitted).unionByName(cut).select(*out)
+    cut = _cut(loose.select("piece", "length", "from"), pieces, total, n_full + bins, size, work)
+    result = work.table(whole.unionByName(fitted).unionByName(cut).select(*out), "result")
+    work.keep(result)
+    return result
 
 
 def last_stretch(total: int, size: int) -> list[tuple[int, int]]:
@@ -308,10 +323,11 @@ def _cut(loose: DataFrame, pieces: DataFrame, total: int, first_sequence: int, s
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     # Spark broadcasts the loose tails' places if they are few, by its own threshold, and sorts otherwise
-    ids = pieces.filter("tail_ids is not null").select("doc_id", "start", "tail_ids")
-    with_ids = loose.join(ids, ["doc_id", "start"]).select("doc_id", "start", "doc_tokens", "from", "tail_ids", "length")
+    ids = pieces.filter("tail_ids is not null").select("piece", "doc_id", "start", "doc_tokens", "tail_ids")
+    with_ids = loose.join(ids, "piece").select("doc_id", "start", "doc_tokens", "from", "tail_ids", "length")
     return with_ids.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``documents`` in sequences of 1024 tokens: see pack, also for the odd cases."""
     return pack(read_table(spark, sf_dir, "documents"))

@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .store import hashed_sample, read_table
 from .textbytes import LOWER, U64, chunks, mix64, span_hashes, word_bounds
@@ -156,34 +157,41 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on at most ``sample`` labelled documents, those of least hash of doc_id."""
-    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).join(grades(labels), "doc_id")
-    chosen = hashed_sample(rated, sample)
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "grade")
+    """Fit on the rows of at most ``sample`` labelled documents, those of least hash of doc_id, whole texts.
+
+    Null text counts as empty; rows of a repeated doc_id count one by one. Rows go into the fit
+    in the order of doc_id and features, so equal tables give equal models. No rated document,
+    or an empty table: a model of no weights. Further columns are ignored, whatever their names.
+    """
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(grades(labels), "doc_id")
+    chosen = hashed_sample(rated, sample)  # at most ``sample`` rows
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(0)):
                 feature, at = features(data, offsets)
                 rows = [feature[a:b].astype("<u4").tobytes() for a, b in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["grade", "features"])
+                yield pa.RecordBatch.from_arrays([batch.column(2).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(rows, pa.binary())], ["doc_id", "grade", "features"])
 
-    found = picked.mapInArrow(run, "grade int, features binary").toArrow()
-    rows = [np.frombuffer(x, dtype="<u4") for x in found.column(1).to_pylist()]
-    order = np.argsort([r.tobytes()[:64] for r in rows], kind="stable") if rows else []
-    return OrdinalModel().fit([rows[i] for i in order], np.asarray(found.column(0), dtype=np.int64)[order] if rows else np.zeros(0, np.int64))
+    found = picked.mapInArrow(run, "doc_id long, grade int, features binary").toArrow()
+    held = sorted(zip(*(found.column(k).to_pylist() for k in range(3))))
+    return OrdinalModel().fit([np.frombuffer(x, dtype="<u4") for _, _, x in held], np.array([g for _, g, _ in held], dtype=np.int64))
 
 
-def score_quality(docs: DataFrame, model: OrdinalModel, keep_columns: bool = False) -> DataFrame:
-    """Expected grade, probability of the top grade and selection of every whole text.
+def score_quality(docs: DataFrame, model: OrdinalModel, keep_columns: bool = False, names: tuple[str, str, str] = ("expected_grade", "tail_probability", "selected")) -> DataFrame:
+    """Expected grade, probability of the top grade and selection of every whole text, by the given names.
 
-    Null text counts as empty. Rows are independent; an empty table gives no rows.
+    With doc_id, or with all columns of ``docs``; a column that has one of the names is then
+    replaced (give others to keep it). Null text counts as empty. Rows are independent: ties and
+    repeated rows get equal scores, long texts are read whole, an empty table gives no rows.
     """
     weights = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))  # 2 MB, whatever the corpus
-    columns = docs.columns if keep_columns else ["doc_id"]
-    table = docs if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    kept = [f for f in table.schema.fields if f.name in columns]
+    table = docs.drop(*names) if keep_columns else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    kept = [f for f in table.schema.fields if keep_columns or f.name == "doc_id"]
+    columns = [f.name for f in kept]
     at_text = table.columns.index("text")
+    places = [table.columns.index(c) for c in columns]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = OrdinalModel()
@@ -191,16 +199,14 @@ def score_quality(docs: DataFrame, model: OrdinalModel, keep_columns: bool = Fal
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column(at_text)):
                 tails = own.tails(own.scores(*features(data, offsets)))
-                arrays = [batch.column(table_at).slice(lo, hi - lo) for table_at in places]
-                yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= SELECT)], [*columns, "expected_grade", "tail_probability", "selected"])
-
-    places = [table.columns.index(c) for c in columns]
-    from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+                arrays = [batch.column(k).slice(lo, hi - lo) for k in places]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(tails.sum(axis=1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] >= SELECT)], [*columns, *names])
 
-    schema = StructType([*kept, StructField("expected_grade", DoubleType()), StructField("tail_probability", DoubleType()), StructField("selected", BooleanType())])
-    return table.mapInArrow(run, schema)
+    added = [StructField(names[0], DoubleType()), StructField(names[1], DoubleType()), StructField(names[2], BooleanType())]
+    return table.mapInArrow(run, StructType([*kept, *added]))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grades of every whole text of ``documents``: see fit_quality and score_quality, also for the odd cases."""
     docs = read_table(spark, sf_dir, "documents")
     return score_quality(docs, fit_quality(docs, read_table(spark, sf_dir, "labels")))

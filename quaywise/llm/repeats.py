@@ -397,13 +397,18 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
         parts.append(index.add(batch, store, work))
     index.close()
     work.delete(index.root)
-    gone = reduce(DataFrame.unionByName, parts)
-    gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("place", "nth"))).alias("gone"))
-    removal = work.table(gone.select("doc_id", "row", F.col("gone.place").alias("places"), F.col("gone.nth").alias("nths")), "removal")
+    removal = work.table(removal_rows(parts), "removal")
     work.keep(removal)
     return removal
 
 
+def removal_rows(parts: list[DataFrame]) -> DataFrame:
+    """(doc_id, row, places, nths) from what ``FingerprintIndex.add`` returned for some batches, one row a text."""
+    gone = reduce(DataFrame.unionByName, parts)
+    gone = gone.groupBy("doc_id", "row").agg(F.sort_array(F.collect_set(F.struct("place", "nth"))).alias("gone"))
+    return gone.select("doc_id", "row", F.col("gone.place").alias("places"), F.col("gone.nth").alias("nths"))
+
+
 def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """The documents with repeated windows cut out; kept words joined by single spaces where anything went.
 
@@ -460,8 +465,12 @@ def _kept(texts: pa.Array, places: pa.ListArray, nths: pa.ListArray) -> Iterator
 
 def repeats_report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     """n_words, n_removed and the digest of the kept words of every row; the odd cases are those of find_repeats."""
-    gone = find_repeats(docs, batches)
-    joined = keyed(docs).join(gone.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "places", "nths")
+    return apply_report(keyed(docs), find_repeats(docs, batches))
+
+
+def apply_report(texts: DataFrame, gone: DataFrame) -> DataFrame:
+    """n_words, n_removed and kept_sha256 of (doc_id, row, text), given the rows of find_repeats."""
+    joined = texts.join(gone.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "places", "nths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
