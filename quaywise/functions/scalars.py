@@ -75,3 +75,13 @@ def check_filled(df: DataFrame, fills: dict[str, float]) -> DataFrame:
     whole = usable(rest)
     first = df.columns[0]
     return out.withColumn(first, F.when(whole, F.col(first)).otherwise(F.raise_error(F.lit("a value is missing")).cast(dict(df.dtypes)[first])))
+
+
+def starting(df: DataFrame, *prefixes: str) -> DataFrame:
+    """The columns whose names begin with one of the prefixes, in their order."""
+    return df.select(*[c for c in df.columns if c.startswith(prefixes)])
+
+
+def ending(df: DataFrame, *suffixes: str) -> DataFrame:
+    """The columns whose names end with one of the suffixes, in their order."""
+    return df.select(*[c for c in df.columns if c.endswith(suffixes)])

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,30 +40,64 @@ def weighted_mean(df: DataFrame, weights: DataFrame, part: str, key: list[str],
 
 
 def average_rank(value: str, by: list[str]) -> Column:
-    """Rank from 1, equal values sharing the mean of their ranks."""
+    """Rank from 1, equal values sharing the mean of their ranks; for groups that a task can sort."""
     w = Window.partitionBy(*by).orderBy(value)
     ties = Window.partitionBy(*by, value)
     return F.rank().over(w) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
 
 
 def percent_rank_average(value: str, by: list[str]) -> Column:
-    """Average rank over the group's size."""
+    """Average rank over the group's size; for groups that a task can sort."""
     return average_rank(value, by) / F.count(F.lit(1)).over(Window.partitionBy(*by))
 
 
-def trailing(df: DataFrame, by: list[str], seconds: int) -> Window:
-    """A time frame (t - seconds, t], left edge open."""
-    return Window.partitionBy(*by).orderBy(micros(F.col("ts"))).rangeBetween(-(seconds * MICROS - 1), 0)
+def in_value_ranges(df: DataFrame, value: str, by: list[str], parts: int = 64) -> DataFrame:
+    """Adds ``_range`` (0, 1, ... in rising order of value, nulls first), ``_below`` (rows of the
+    group in lower ranges) and ``_size`` (rows of the group).
+
+    The edges are approximate quantiles, a row a group; what is counted from them is exact
+    wherever they lie. So ranks of a large group are windows over its ranges, not over it.
+    """
+    number = F.col(value).cast("double") if dict(df.dtypes)[value] not in ("date", "timestamp", "timestamp_ntz") else F.unix_micros(F.col(value).cast("timestamp")).cast("double")
+    df = df.withColumn("_number", number)
+    edges = df.groupBy(*by).agg(F.percentile_approx("_number", [k / parts for k in range(1, parts)], 10_000).alias("_edges"))
+    same = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in by]
+    placed = df.alias("d").join(edges.alias("e"), reduce(and_, same("d", "e"), F.lit(True))).select("d.*", F.expr("aggregate(_edges, 0, (n, e) -> n + if(_number > e, 1, 0))").alias("_range"))
+    sizes = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*by)
+    sizes = sizes.select(*by, "_range", (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_below"), F.sum("_n").over(whole).alias("_size"))
+    key = reduce(and_, same("p", "s"), F.col("p._range") == F.col("s._range"))
+    return placed.alias("p").join(sizes.alias("s"), key).select("p.*", "_below", "_size").drop("_number")
+
+
+def ranked(df: DataFrame, value: str, by: list[str], name: str, percent: bool = False) -> DataFrame:
+    """Average ranks (``percent``: over the group's size) of groups of any size."""
+    rank = F.col("_below") + average_rank(value, [*by, "_range"])
+    return in_value_ranges(df, value, by).withColumn(name, rank / F.col("_size") if percent else rank).drop("_range", "_below", "_size")
+
+
+def in_time_buckets(df: DataFrame, seconds: int, wide: int = 16) -> DataFrame:
+    """Adds ``_bucket``, of ``wide`` frames each; a row within a frame of the next bucket stands there as well, with ``_own`` false."""
+    width, at = wide * seconds * MICROS, micros(F.col("ts"))
+    bucket = F.floor(at / F.lit(width))
+    near = at - bucket * width > width - seconds * MICROS
+    both = df.withColumn("_bucket", F.explode(F.when(near, F.array(bucket, bucket + 1)).otherwise(F.array(bucket))))
+    return both.withColumn("_own", F.col("_bucket").eqNullSafe(bucket))
+
+
+def over_trailing(df: DataFrame, by: list[str], seconds: int, name: str, of) -> DataFrame:  # noqa: ANN001
+    """Adds ``of(window)`` over the frame (t - seconds, t], left edge open; windows span a time bucket, not a key's history."""
+    w = Window.partitionBy(*by, "_bucket").orderBy(micros(F.col("ts"))).rangeBetween(-(seconds * MICROS - 1), 0)
+    return in_time_buckets(df, seconds).withColumn(name, of(w)).filter("_own").drop("_bucket", "_own")
 
 
 def rolling_mean(df: DataFrame, by: list[str], value: str, seconds: int, name: str) -> DataFrame:
-    return df.withColumn(name, F.avg(value).over(trailing(df, by, seconds)))
+    return over_trailing(df, by, seconds, name, lambda w: F.avg(value).over(w))
 
 
 def rolling_quantile(df: DataFrame, by: list[str], value: str, seconds: int, q: float, least: int, name: str) -> DataFrame:
     """Exact quantile of a time frame; null where it has fewer than ``least`` values."""
-    w = trailing(df, by, seconds)
-    return df.withColumn(name, F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(q)).over(w)))
+    return over_trailing(df, by, seconds, name, lambda w: F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(q)).over(w)))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
@@ -74,10 +111,6 @@ def deseasonalised(value: str, by: list[str]) -> Column:
     return F.col(value) - F.avg(value).over(Window.partitionBy(*by))
 
 
-def forward_fill(value: str, by: list[str], order: str) -> Column:
-    return F.last(value, ignorenulls=True).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-
-
 def consecutive_difference(value: str, by: list[str], day: str) -> Column:
     """Difference to the row before, if that is exactly one day earlier."""
     w = Window.partitionBy(*by).orderBy(day)
@@ -85,10 +118,11 @@ def consecutive_difference(value: str, by: list[str], day: str) -> Column:
 
 
 def worst_share(df: DataFrame, by: list[str], value: str, share: float, key: str) -> DataFrame:
-    """The rows of greatest value of each group: round(share * n) of them, halves to even."""
-    w = Window.partitionBy(*by)
-    ranked = df.withColumns({"_n": F.count(F.lit(1)).over(w), "_r": F.row_number().over(w.orderBy(F.desc(value), key))})
-    return ranked.filter(F.col("_r") <= F.bround(F.lit(share) * F.col("_n"), 0)).drop("_n", "_r")
+    """The rows of greatest value of each group, of any size: round(share * n) of them, halves to even; ties by ``key``."""
+    w = Window.partitionBy(*by, "_range")
+    from_top = F.col("_size") - F.col("_below") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy(F.desc(value), key))
+    placed = in_value_ranges(df, value, by).withColumn("_place", from_top)
+    return placed.filter(F.col("_place") <= F.bround(F.lit(share) * F.col("_size"), 0)).drop("_range", "_below", "_size", "_place")
 
 
 def pivot_strict(df: DataFrame, key: list[str], column: str, value: str, values: list) -> DataFrame:

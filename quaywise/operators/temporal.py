@@ -7,6 +7,9 @@ group bounded by the data of a bucket instead of a key's whole history.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,36 +77,60 @@ def backward_asof(left: DataFrame, right: DataFrame, by: list[str], values: list
 
 
 def exact_lag(df: DataFrame, by: list[str], value: str, lags_s: dict[str, int]) -> DataFrame:
-    """The value at exactly ``ts`` minus each lag; null where that time is missing. Keys are unique."""
-    out = df
-    for name, s in lags_s.items():
-        past = df.select(*by, shift(F.col("ts"), s).alias("ts"), F.col(value).alias(name))
-        out = out.join(past, [*by, "ts"], "left")
-    return out
+    """The value at exactly ``ts`` minus each lag; null where that time is missing. Keys are unique.
+
+    Every value goes once to each time at which it is a lag; one join gives all lags.
+    """
+    places = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(s).cast("long").alias("s")) for n, s in lags_s.items()]))
+    moved = df.select(*by, "ts", F.col(value).alias("_v"), places.alias("_lag")).withColumn("ts", F.timestamp_add("SECOND", F.col("_lag.s"), F.col("ts")))
+    past = moved.groupBy(*by, "ts").agg(*[F.max(F.when(F.col("_lag.name") == n, F.col("_v"))).alias(n) for n in lags_s])
+    return df.join(past, [*by, "ts"], "left")
 
 
 def latest_known(versions: DataFrame, key: list[str], value: str, created: str, known: Column) -> DataFrame:
-    """Of each key's versions that ``known`` admits, the value created last."""
-    return versions.filter(known).groupBy(*key).agg(F.max_by(value, created).alias(value), F.max(created).alias(created))
+    """Of each key's versions that ``known`` admits, the value created last, the greatest of several at once."""
+    return versions.filter(known).groupBy(*key).agg(F.max_by(value, F.struct(created, value)).alias(value), F.max(created).alias(created))
 
 
 def preferred(options: DataFrame, key: list[str], value: str, rank: str, allowed: list[int]) -> DataFrame:
-    """Of the allowed alternatives the one of least rank: lead 24 if there, else 27."""
-    return options.filter(F.col(rank).isin(allowed) & F.col(value).isNotNull()).groupBy(*key).agg(F.min_by(value, rank).alias(value), F.min(rank).alias(rank))
+    """Of the allowed alternatives the one of least rank (lead 24 if there, else 27), the greatest value of several."""
+    return options.filter(F.col(rank).isin(allowed) & F.col(value).isNotNull()).groupBy(*key).agg(F.max_by(value, F.struct(-F.col(rank), F.col(value))).alias(value), F.min(rank).alias(rank))
+
+
+def _around(df: DataFrame, by: list[str], value: str, bucket_s: int) -> DataFrame:
+    """Adds ``_m`` (micros), ``_a`` and ``_z``: the known (m, v) last at or before a row and first at or after it.
+
+    Inside a time bucket by windows; what lies beyond comes from one summary row a (key, bucket).
+    """
+    df = df.withColumn("_m", micros(F.col("ts"))).withColumn("_b", F.floor(F.col("_m") / F.lit(bucket_s * MICROS)))
+    df = df.withColumn("_k", F.when(F.col(value).isNotNull(), F.struct(F.col("_m").alias("m"), F.col(value).alias("v"))))
+    marks = df.groupBy(*by, "_b").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
+    history = Window.partitionBy(*by).orderBy("_b")  # a row a bucket
+    marks = marks.select(
+        *by,
+        "_b",
+        F.last("_last", ignorenulls=True).over(history.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_first", ignorenulls=True).over(history.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    same = [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in [*by, "_b"]]
+    joined = df.alias("d").join(marks.alias("k"), reduce(and_, same)).select("d.*", "_before", "_after")
+    w = Window.partitionBy(*by, "_b").orderBy("_m")
+    last = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    return joined.withColumns({"_a": F.coalesce(last, "_before"), "_z": F.coalesce(first, "_after")}).drop("_b", "_k", "_before", "_after")
 
 
-def interpolate(df: DataFrame, by: list[str], value: str) -> DataFrame:
+def interpolate(df: DataFrame, by: list[str], value: str, bucket_s: int = 30 * 86400) -> DataFrame:
     """Adds ``filled``: linear in time between known values; nothing before the first, the last held after it."""
-    m = micros(F.col("ts"))
-    df = df.withColumn("_m", m).withColumn("_k", F.when(F.col(value).isNotNull(), F.struct(F.col("_m").alias("m"), F.col(value).alias("v"))))
-    w = Window.partitionBy(*by).orderBy("_m")
-    df = df.withColumns({
-        "_a": F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "_z": F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing)),
-    })
     a, z = F.col("_a"), F.col("_z")
     line = a.v + (z.v - a.v) * (F.col("_m") - a.m) / (z.m - a.m)
-    return df.withColumn("filled", F.when(a.isNull(), F.lit(None)).when(z.isNull() | (z.m == a.m), a.v).otherwise(line)).drop("_m", "_k", "_a", "_z")
+    filled = F.when(a.isNull(), F.lit(None)).when(z.isNull() | (z.m == a.m), a.v).otherwise(line)
+    return _around(df, by, value, bucket_s).withColumn("filled", filled).drop("_m", "_a", "_z")
+
+
+def forward_fill(df: DataFrame, by: list[str], value: str, bucket_s: int = 30 * 86400) -> DataFrame:
+    """Adds ``filled``: the last known value at or before each row."""
+    return _around(df, by, value, bucket_s).withColumn("filled", F.col("_a.v")).drop("_m", "_a", "_z")
 
 
 def placebo(df: DataFrame, by: list[str], value: str, shift_s: int) -> DataFrame:

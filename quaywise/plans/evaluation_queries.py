@@ -8,7 +8,7 @@ from ..functions.timeaxis import iso_week, month_id
 from ..operators import evaluate as ev
 from ..operators import models as mo
 from ..operators import splits as sp
-from ..operators.panel import average_rank, percent_rank_average, quantile_bins
+from ..operators.panel import quantile_bins, ranked
 from ..sources.tables import table
 from .common import D, H, M, P, PAIR, daily, hourly, prediction_log, rounded, split_panel
 from .registry import query
@@ -159,7 +159,7 @@ RANKED = M + ", r AS (SELECT *, (rank() OVER w + (count(*) OVER (PARTITION BY fe
 
 @query("evl3_by_condition", f"WITH {RANKED}, c AS (SELECT *, 'high' AS condition FROM r WHERE pr >= 0.9 UNION ALL SELECT *, 'low' FROM r WHERE pr <= 0.1 UNION ALL SELECT *, 'ordinary' FROM r WHERE pr > 0.1 AND pr < 0.9) SELECT feature_set, condition, {ERR} FROM c GROUP BY 1, 2")
 def evl3(spark, sf):
-    r = prediction_log(spark, sf).withColumn("pr", percent_rank_average("y", ["feature_set", "zone"]))
+    r = ranked(prediction_log(spark, sf), "y", ["feature_set", "zone"], "pr", percent=True)
     c = {"high": F.col("pr") >= 0.9, "low": F.col("pr") <= 0.1, "ordinary": (F.col("pr") > 0.1) & (F.col("pr") < 0.9)}
     return rounded(ev.by_condition(r, c, ["feature_set"]), *ERRS)
 
@@ -298,7 +298,7 @@ def evl19(spark, sf):
 @query("evl20_profile", f"WITH {M}, x AS (SELECT zone, y, abs(yhat - y) AS e, rank() OVER (PARTITION BY zone ORDER BY y) + (count(*) OVER (PARTITION BY zone, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY zone ORDER BY abs(yhat - y)) + (count(*) OVER (PARTITION BY zone, abs(yhat - y)) - 1) / 2.0 AS re FROM log WHERE feature_set = 'mean') SELECT zone, round(corr(y, e), 6) AS pearson, round(corr(ry, re), 6) AS spearman FROM x GROUP BY 1")
 def evl20(spark, sf):
     x = prediction_log(spark, sf).filter("feature_set = 'mean'").select("zone", "y", F.abs(F.col("yhat") - F.col("y")).alias("e"))
-    x = x.withColumns({"ry": average_rank("y", ["zone"]), "re": average_rank("e", ["zone"])})
+    x = ranked(ranked(x, "y", ["zone"], "ry"), "e", ["zone"], "re")
     return rounded(x.groupBy("zone").agg(F.corr("y", "e").alias("pearson"), F.corr("ry", "re").alias("spearman")), "pearson", "spearman")
 
 

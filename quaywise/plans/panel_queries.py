@@ -26,7 +26,7 @@ def prj1(spark, sf):
 
 @query("prj2_prefix_columns", "SELECT * FROM (SELECT COLUMNS('^o_order.*') FROM orders)")
 def prj2(spark, sf):
-    return table(spark, sf, "orders").select(F.col("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderdate"), F.col("o_orderpriority"))
+    return sc.starting(table(spark, sf, "orders"), "o_order")
 
 
 @query("prj3_own_zone", "WITH n AS (SELECT n_nationkey, n_name, CAST(n_nationkey * 10 AS DOUBLE) AS A_v, CAST(n_nationkey * 100 AS DOUBLE) AS B_v, CASE WHEN n_nationkey % 2 = 0 THEN 'A' ELSE 'B' END AS zone FROM nation) SELECT n_nationkey, zone, CASE zone WHEN 'A' THEN A_v WHEN 'B' THEN B_v END AS v FROM n")
@@ -315,16 +315,16 @@ def jon8(spark, sf):
 VERSIONS = "v AS (SELECT l_partkey AS part, l_shipdate AS target, o_orderdate AS created, l_extendedprice AS forecast, l_orderkey, l_linenumber FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 
 
-@query("jon9_latest_known", f"WITH {VERSIONS} SELECT part, target, max(created) AS created FROM v WHERE created <= target - INTERVAL 10 DAY GROUP BY 1, 2")
+@query("jon9_latest_known", f"WITH {VERSIONS} SELECT part, target, round(max(forecast), 4) AS forecast, max(created) AS created FROM (SELECT *, rank() OVER (PARTITION BY part, target ORDER BY created DESC) AS k FROM v WHERE created <= target - INTERVAL 10 DAY) WHERE k = 1 GROUP BY 1, 2")
 def jon9(spark, sf):
     li, o = table(spark, sf, "lineitem"), table(spark, sf, "orders")
     v = li.join(o, li.l_orderkey == o.o_orderkey).select(F.col("l_partkey").alias("part"), F.col("l_shipdate").alias("target"), F.col("o_orderdate").alias("created"), F.col("l_extendedprice").alias("forecast"))
-    return tj.latest_known(v, ["part", "target"], "forecast", "created", F.col("created") <= tx.shift(F.col("target"), -10 * 86400)).drop("forecast")
+    return rounded(tj.latest_known(v, ["part", "target"], "forecast", "created", F.col("created") <= tx.shift(F.col("target"), -10 * 86400)), "forecast", digits=4)
 
 
-@query("jon10_preferred_lead", "SELECT l_orderkey, min(l_linenumber) AS l_linenumber FROM lineitem WHERE l_linenumber IN (2, 3) GROUP BY 1")
+@query("jon10_preferred_lead", "SELECT l_orderkey, max(l_quantity) AS l_quantity, max(l_linenumber) AS l_linenumber FROM (SELECT *, rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS k FROM lineitem WHERE l_linenumber IN (2, 3) AND l_quantity IS NOT NULL) WHERE k = 1 GROUP BY 1")
 def jon10(spark, sf):
-    return tj.preferred(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber", [2, 3]).select("l_orderkey", "l_linenumber")
+    return tj.preferred(table(spark, sf, "lineitem"), ["l_orderkey"], "l_quantity", "l_linenumber", [2, 3])
 
 
 @query("jon11_computed_lead", f"WITH {H}, x AS (SELECT zone, ts, CAST(round_even(hour(ts) / 3.0, 0) * 3 AS INT) AS lead FROM h) SELECT x.zone, x.ts, x.lead, round(h.y, 6) AS y FROM x JOIN h ON x.zone = h.zone AND h.ts = x.ts - to_hours(x.lead)")
@@ -482,7 +482,7 @@ def agg11(spark, sf):
 @query("agg12_spearman", "WITH x AS (SELECT o_orderpriority AS p, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) + (count(*) OVER (PARTITION BY o_orderpriority, o_totalprice) - 1) / 2.0 AS a, rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderpriority, o_orderdate) - 1) / 2.0 AS b FROM orders) SELECT p, round(corr(a, b), 5) AS rho FROM x GROUP BY 1")
 def agg12(spark, sf):
     o = table(spark, sf, "orders").withColumn("p", F.col("o_orderpriority"))
-    x = o.withColumns({"a": pn.average_rank("o_totalprice", ["p"]), "b": pn.average_rank("o_orderdate", ["p"])})
+    x = pn.ranked(pn.ranked(o, "o_totalprice", ["p"], "a"), "o_orderdate", ["p"], "b")
     return rounded(x.groupBy("p").agg(F.corr("a", "b").alias("rho")), "rho", digits=5)
 
 
@@ -576,7 +576,8 @@ def win2(spark, sf):
 
 @query("win3_percent_rank_average", "SELECT o_orderkey, round((rank() OVER (PARTITION BY o_orderpriority ORDER BY o_orderdate) + (count(*) OVER (PARTITION BY o_orderpriority, o_orderdate) - 1) / 2.0) / count(*) OVER (PARTITION BY o_orderpriority), 8) AS pr FROM orders")
 def win3(spark, sf):
-    return rounded(table(spark, sf, "orders").select("o_orderkey", pn.percent_rank_average("o_orderdate", ["o_orderpriority"]).alias("pr")), "pr", digits=8)
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority", "o_orderdate")
+    return rounded(pn.ranked(o, "o_orderdate", ["o_orderpriority"], "pr", percent=True).select("o_orderkey", "pr"), "pr", digits=8)
 
 
 @query("win4_dense_rank", "SELECT n_nationkey, CAST(dense_rank() OVER (PARTITION BY n_regionkey ORDER BY n_name) AS INT) AS r FROM nation")
@@ -615,7 +616,7 @@ def win10(spark, sf):
 
 @query("win11_forward_fill", f"WITH {GAPPY} SELECT zone, ts, round(last_value(v IGNORE NULLS) OVER (PARTITION BY zone ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 6) AS filled FROM k")
 def win11(spark, sf):
-    return rounded(_gappy(spark, sf).select("zone", "ts", pn.forward_fill("v", ["zone"], "ts").alias("filled")), "filled")
+    return rounded(tj.forward_fill(_gappy(spark, sf), ["zone"], "v").select("zone", "ts", "filled"), "filled")
 
 
 @query("win12_trapezoid", f"WITH {H} SELECT zone, ts, round((y + lag(y) OVER w) / 2, 9) AS two, round((lag(y, 2) OVER w / 2 + lag(y) OVER w + y / 2) / 2, 9) AS trap FROM h WINDOW w AS (PARTITION BY zone ORDER BY ts)")
