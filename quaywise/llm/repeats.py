@@ -27,7 +27,8 @@ texts, and decide what is equal; the 64-bit anchors only find candidates.
 After each batch runs of like size are compacted, by a merge join of two runs, and a new
 manifest is written before old runs are deleted. ``FingerprintIndex.open`` carries on where
 an earlier session stopped. An anchor in a third of all documents is one row a run; its
-contexts and windows are keyed by their own digests, so no key gathers them.
+contexts and windows are keyed by their own digests, so no key gathers them. Joins of tables
+that grow with the documents shuffle at every size.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import CLEAN_UP, Workspace, partitions, read_table, settings
+from .store import RUNNING, Workspace, partitions, read_table, settings
 from .textbytes import Runs, chunks, join_words, ragged, signed, span_hashes, word_bounds
 
 WINDOW = 50
@@ -212,8 +213,7 @@ class FingerprintIndex:
         work.drop(sketches)
         classes = work.table(found.groupBy("anchor", "context").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")), "classes")
         anchors = self._anchors(classes, work)
-        hits = self._hits(found, classes, anchors)
-        hits = work.table(hits, "hits")
+        hits = self._hits(found, classes, anchors, work)
         work.drop(found)
         singles, windows = self._windows(classes, anchors, store, work)
         single_context = F.col("mixed") == F.lit(False)
@@ -231,7 +231,7 @@ class FingerprintIndex:
         heads = self.lookup(heads, "texts").withColumn("past_id", self._past("texts", "first_id", F.least))
         heads = work.table(heads.select("whole", "past_id", "first_id", "last_id", F.coalesce("past_id", "first_id").alias("least")), "heads")
         copied = heads.filter("least < last_id").select("whole", "least")
-        copies = sketches.select("doc_id", "row", "whole").join(copied, "whole").filter("doc_id > least").select("doc_id", "row").distinct()
+        copies = sketches.select("doc_id", "row", "whole").join(copied.hint("merge"), "whole").filter("doc_id > least").select("doc_id", "row").distinct()
         copies = work.table(copies, "copies")
         return copies, work.table(heads.filter("past_id is null").select("whole", "first_id"), "texts")
 
@@ -251,12 +251,16 @@ class FingerprintIndex:
         return work.table(known.withColumn("mixed", F.col("past_mixed") | other).drop("other"), "anchors")
 
     @staticmethod
-    def _hits(found: DataFrame, classes: DataFrame, anchors: DataFrame) -> DataFrame:
+    def _hits(found: DataFrame, classes: DataFrame, anchors: DataFrame, work: Workspace) -> DataFrame:
         """Anchors whose context stands in a smaller document: all their windows go."""
         again = classes.filter("first_id < last_id").select("anchor", "context", "first_id")
         past = anchors.filter("seen and not mixed").select("anchor", "context", F.col("past_first").alias("first_id"))
-        known = again.unionByName(past).groupBy("anchor", "context").agg(F.min("first_id").alias("first_id"))
-        return found.join(known, ["anchor", "context"]).filter("first_id < doc_id").select("doc_id", "row", "place", F.lit(-1).alias("nth"))
+        # a table of its own: adaptive execution can then split a common context's rows in the join
+        known = work.table(again.unionByName(past).groupBy("anchor", "context").agg(F.min("first_id").alias("first_id")), "again")
+        hits = found.join(known.hint("merge"), ["anchor", "context"]).filter("first_id < doc_id")
+        hits = work.table(hits.select("doc_id", "row", "place", F.lit(-1).alias("nth")), "hits")
+        work.drop(known)
+        return hits
 
     def _windows(self, classes: DataFrame, anchors: DataFrame, store: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
         """Single windows of the batch that stand in a smaller document, and the windows that are new to the runs.
@@ -265,15 +269,15 @@ class FingerprintIndex:
         batch, and those of the one historical document of anchors that have just become mixed.
         """
         mixed = anchors.filter("mixed")
-        new = classes.join(mixed.select("anchor"), "anchor").select(F.col("first_id").alias("doc_id"), "anchor", F.lit(True).alias("new"))
+        new = classes.join(mixed.select("anchor").hint("merge"), "anchor").select(F.col("first_id").alias("doc_id"), "anchor", F.lit(True).alias("new"))
         old = mixed.filter("not past_mixed and past_first is not null").select(F.col("past_first").alias("doc_id"), "anchor", F.lit(False).alias("new"))
         wanted = work.table(new.unionByName(old).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.max("new").alias("new")), "wanted")
-        windows = work.table(_locate(store.join(wanted, "doc_id").select("doc_id", "row", "text", "anchors", "new")), "windows")
+        windows = work.table(_locate(store.join(wanted.hint("merge"), "doc_id").select("doc_id", "row", "text", "anchors", "new")), "windows")
         own = windows.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
         known = self.lookup(own, "windows").withColumn("past_id", self._past("windows", "first_id", F.least))
         known = work.table(known.select("window", "first_id", "last_id", "past_id", F.least("past_id", "first_id").alias("least")), "known")
         repeated = known.filter("least < last_id").select("window", "least")
-        singles = windows.filter("new").join(repeated, "window").filter("least < doc_id").select("doc_id", "row", "place", "nth")
+        singles = windows.filter("new").join(repeated.hint("merge"), "window").filter("least < doc_id").select("doc_id", "row", "place", "nth")
         singles = work.table(singles, "singles")
         fresh = work.table(known.filter("past_id is null").select("window", "first_id"), "fresh")
         work.drop(wanted, windows, known)
@@ -314,7 +318,7 @@ class FingerprintIndex:
         """A run of rows that are already dealt by the key: one file a bucket."""
         key = self.KINDS[kind][0]
         path, name = f"{self.root}/{kind}-{uuid.uuid4().hex}", f"quaywise_{uuid.uuid4().hex}"
-        with settings(self.spark, {CLEAN_UP: "true"}):
+        with settings(self.spark, RUNNING):
             rows.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.buckets, key).sortBy(key).saveAsTable(name)
         self._names[path] = name
         return path, self.spark.table(name).count()

@@ -35,7 +35,8 @@ def _remove_local(path: str) -> None:
 
 
 #: Spark then removes a query's shuffle files when the query ends, not when the driver collects garbage.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bucketed tables of one file a bucket are read as sorted as they are.
+RUNNING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true"}
 
 
 @contextmanager
@@ -68,7 +69,7 @@ class Workspace:
         """Write ``df`` as Parquet and read it back: no lineage, safe when executors go."""
         path = self.path(name)
         schema = df.schema
-        with settings(self.spark, {CLEAN_UP: "true"}):
+        with settings(self.spark, RUNNING):
             df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(schema).parquet(path)
         self._live[path] = out
