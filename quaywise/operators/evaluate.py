@@ -77,6 +77,21 @@ def block_bootstrap(df: DataFrame, block: str, value: str, by: list[str], draws:
     return sums.groupBy(*by).applyInPandas(run, schema)  # a row a block: bounded by the calendar
 
 
+def block_interval(df: DataFrame, block: str, value: str, by: list[str], z: float = 1.959964) -> DataFrame:
+    """Mean of ``value`` and its normal interval over blocks (weeks), by group.
+
+    The mean is a ratio of block sums, whose variance is that of the blocks' residuals; one
+    block has no interval.
+    """
+    sums = df.groupBy(*by, block).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
+    total = sums.groupBy(*by).agg(F.sum("_s").alias("_ts"), F.sum("_n").alias("_tn"), F.count(F.lit(1)).alias("blocks"))
+    residual = (F.col("_s") - F.col("_ts") / F.col("_tn") * F.col("_n")) ** 2
+    spread = sums.join(total, by).groupBy(*by, "_ts", "_tn", "blocks").agg(F.sum(residual).alias("_q"))
+    mean = F.col("_ts") / F.col("_tn")
+    error = F.sqrt(F.col("_q") * F.try_divide(F.col("blocks"), F.col("blocks") - 1)) / F.col("_tn")
+    return spread.select(*by, mean.alias("mean"), (mean - z * error).alias("lo"), (mean + z * error).alias("hi"), "blocks")
+
+
 def gain_shares(pairs: DataFrame, group: str) -> DataFrame:
     """Hours, share of hours, errors of both arms, difference and share of the total gain, by group."""
     g = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("hours"), F.avg("e_a").alias("mae_a"), F.avg("e_b").alias("mae_b"), F.avg("d").alias("dmae"), F.sum("d").alias("_sum"))

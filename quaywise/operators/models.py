@@ -73,6 +73,154 @@ def ridge_by_validation(df: DataFrame, features: list[str], penalties: list[floa
     return min(scored, key=lambda s: s[:2])[2].predict(df, name)
 
 
+def _fold_sums(df: DataFrame, features: list[str], fold: str, y: str) -> dict[int, np.ndarray]:
+    """Each fold's matrix of summed products of (1, features, y), from one aggregate."""
+    columns = [F.lit(1.0), *[F.col(c).cast("double") for c in features], F.col(y).cast("double")]
+    n = len(columns)
+    pairs = [(i, j) for i in range(n) for j in range(i, n)]
+    sums = df.dropna(subset=[*features, y]).groupBy(fold).agg(*[F.sum(columns[i] * columns[j]).alias(f"s{i}_{j}") for i, j in pairs]).collect()  # a row a fold
+    out = {}
+    for r in sums:
+        m = np.zeros((n, n))
+        for (i, j), v in zip(pairs, r[1:]):
+            m[i, j] = m[j, i] = v
+        out[r[0]] = m
+    return out
+
+
+def _penalised(m: np.ndarray, alpha: float, l1: float, rounds: int = 500) -> np.ndarray:
+    """(intercept, coefficients) of least squares with penalty alpha * n * (l1 |b| + (1 - l1) b^2 / 2) on standardised
+    features, by coordinate descent on the sums."""
+    n, k = m[0, 0], len(m) - 2
+    mean = m[0, 1:-1] / n
+    sd = np.sqrt(np.maximum(np.diag(m)[1:-1] / n - mean**2, 0))
+    sd[sd < 1e-12] = 1.0
+    a = (m[1:-1, 1:-1] / n - np.outer(mean, mean)) / np.outer(sd, sd)
+    c = (m[1:-1, -1] / n - mean * m[0, -1] / n) / sd
+    b = np.zeros(k)
+    for _ in range(rounds):
+        before = b.copy()
+        for j in range(k):
+            g = c[j] - a[j] @ b + a[j, j] * b[j]
+            b[j] = np.sign(g) * max(abs(g) - alpha * l1, 0.0) / (a[j, j] + alpha * (1 - l1)) if a[j, j] > 0 else 0.0
+        if np.abs(b - before).max(initial=0) < 1e-12:
+            break
+    b = b / sd
+    return np.concatenate([[m[0, -1] / n - mean @ b], b])
+
+
+def cross_validated(df: DataFrame, features: list[str], alphas: list[float], l1: float = 0.0, fold: str = "fold", y: str = "y") -> tuple[Linear, float]:
+    """Ridge (l1 = 0), lasso (1) or elastic net with the penalty of least error over the folds: (model, penalty).
+
+    One aggregate gives each fold's sums; fits and errors of all folds and penalties follow
+    from these, so the rows are read once however long the list of penalties is.
+    """
+    folds = _fold_sums(df, features, fold, y)
+    total = sum(folds.values())
+
+    def error(alpha: float) -> float:
+        out = 0.0
+        for m in folds.values():
+            w = np.append(-_penalised(total - m, alpha, l1), 1.0)
+            out += w @ m @ w
+        return out
+
+    best = min(alphas, key=lambda a: (error(a), a))
+    model, w = Linear(features, best), _penalised(total, best, l1)
+    model.intercept, model.coefficients = float(w[0]), w[1:]
+    return model, best
+
+
+class Network:
+    """A regressor of one hidden layer of tanh units, or a linear one (hidden = 0), for a chosen loss.
+
+    ``loss``: squared, absolute, huber or quantile (then ``level``). Gradients are summed in
+    each task and over tasks by Spark; only they and the weights travel. Adam steps on all
+    training rows, whose features and target are standardised by one aggregate.
+    """
+
+    def __init__(self, features: list[str], hidden: int = 8, loss: str = "squared", level: float = 0.5, steps: int = 80, rate: float = 0.05, seed: int = 7):
+        self.features, self.hidden, self.loss, self.level, self.steps, self.rate, self.seed = features, hidden, loss, level, steps, rate, seed
+
+    def _shapes(self) -> list[tuple[int, ...]]:
+        k, h = len(self.features), self.hidden
+        return [(k, h), (h,), (h,), ()] if h else [(k,), ()]
+
+    def _split(self, w: np.ndarray) -> list[np.ndarray]:
+        out, at = [], 0
+        for shape in self._shapes():
+            n = int(np.prod(shape))
+            out.append(w[at : at + n].reshape(shape))
+            at += n
+        return out
+
+    def _slope(self, e: np.ndarray) -> np.ndarray:
+        """Derivative of the loss by the prediction; e: prediction less target."""
+        if self.loss == "squared":
+            return e
+        if self.loss == "huber":
+            return np.clip(e, -1.0, 1.0)
+        above = self.level if self.loss == "quantile" else 0.5
+        return np.where(e > 0, 1 - above, -above)
+
+    def _gradient(self, x: np.ndarray, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+        parts = self._split(w)
+        if not self.hidden:
+            g = self._slope(x @ parts[0] + parts[1] - y)
+            return np.append(x.T @ g, g.sum())
+        h = np.tanh(x @ parts[0] + parts[1])
+        g = self._slope(h @ parts[2] + parts[3] - y)
+        back = np.outer(g, parts[2]) * (1 - h * h)
+        return np.concatenate([(x.T @ back).ravel(), back.sum(0), h.T @ g, [g.sum()]])
+
+    def fit(self, train: DataFrame, y: str = "y") -> Network:
+        columns = [*self.features, y]
+        rows = train.select(*[F.col(c).cast("double").alias(c) for c in columns]).dropna()
+        stats = rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns], *[F.stddev_pop(c) for c in columns]).head()
+        n, k = stats[0], len(columns)
+        self.mean = np.array([v or 0.0 for v in stats[1 : 1 + k]])
+        self.sd = np.array([v or 1.0 for v in stats[1 + k :]])
+        rng = np.random.default_rng(self.seed)
+        w = np.concatenate([rng.normal(0, 1 / np.sqrt(s[0]), s).ravel() if len(s) == 2 else rng.normal(0, 0.3, s).ravel() if s else np.zeros(1) for s in self._shapes()])
+        m, v = np.zeros_like(w), np.zeros_like(w)
+        for t in range(1, self.steps + 1 if n else 1):
+            g = self._summed(rows, w) / n
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            w = w - self.rate * (1 - 0.9 * t / self.steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+        self.weights = w
+        return self
+
+    def _summed(self, rows: DataFrame, w: np.ndarray) -> np.ndarray:
+        import pandas as pd
+
+        own = self
+
+        def run(batches):
+            total = np.zeros(len(w))
+            for batch in batches:
+                z = (batch.to_numpy(float) - own.mean) / own.sd
+                total += own._gradient(z[:, :-1], z[:, -1], w)
+            yield pd.DataFrame({"i": np.arange(len(w)), "g": total})
+
+        sums = rows.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()  # a row a weight
+        out = np.zeros(len(w))
+        for i, g in sums:
+            out[i] = g
+        return out
+
+    def predict(self, df: DataFrame, name: str = "yhat") -> DataFrame:
+        """On column expressions only; null where a feature is."""
+        z = [(F.col(c).cast("double") - float(m)) / float(s) for c, m, s in zip(self.features, self.mean, self.sd)]
+        linear = lambda ws, b: reduce(lambda a, x: a + x, [x * float(w) for x, w in zip(z, ws)], F.lit(float(b)))
+        parts = self._split(self.weights)
+        if self.hidden:
+            units = [F.tanh(linear(parts[0][:, j], parts[1][j])) * float(parts[2][j]) for j in range(self.hidden)]
+            out = reduce(lambda a, x: a + x, units, F.lit(float(parts[3])))
+        else:
+            out = linear(parts[0], parts[1])
+        return df.withColumn(name, out * float(self.sd[-1]) + float(self.mean[-1]))
+
+
 def boosted_trees(df: DataFrame, features: list[str], y: str = "y", name: str = "yhat", trees: int = 20, depth: int = 4, rate: float = 0.1, loss: str = "squared", validation: bool = False) -> DataFrame:
     """Gradient-boosted trees; with ``validation`` rows whose split is val stop the growth."""
     from pyspark.ml.feature import VectorAssembler

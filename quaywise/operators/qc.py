@@ -42,6 +42,21 @@ def reconcile(parts: DataFrame, whole: DataFrame, key: list[str], value: str, to
     return sums.join(whole.select(*key, F.col(value).alias("whole")), key).filter(F.abs(F.col("parts") - F.col("whole")) > tolerance)
 
 
+def require_complete(expected: DataFrame, found: DataFrame, key: list[str]) -> None:
+    """Stop with the first few expected keys that aren't there."""
+    gaps = missing(expected, found, key).orderBy(*key).limit(5).collect()
+    if gaps:
+        raise ValueError(f"missing keys, the first of them: {[tuple(r) for r in gaps]}")
+
+
+def drop_empty(df: DataFrame, blocks: dict[str, list[str]]) -> tuple[DataFrame, list[str]]:
+    """Without the blocks of columns that are null throughout, and the names of those blocks."""
+    columns = [c for names in blocks.values() for c in names]
+    there = df.agg(*[F.count(c).alias(c) for c in columns]).head()
+    empty = [n for n, names in blocks.items() if not any(there[c] for c in names)]
+    return df.drop(*(c for n in empty for c in blocks[n])), empty
+
+
 def write_missing(df: DataFrame, path: str, key: list[str]) -> int:
     """Append the partitions of ``df`` that ``path`` doesn't hold yet; returns how many key values were new."""
     spark = df.sparkSession

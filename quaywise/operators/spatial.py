@@ -33,10 +33,23 @@ def patch_window(df: DataFrame, row: int, column: int, size: int, rows: int, col
     return df.filter(F.col("row").between(max(row - size, 0), min(row + size, rows - 1)) & F.col("col").between(max(column - size, 0), min(column + size, columns - 1)))
 
 
-def regrid(lat: Column, lon: Column, lat0: float, lon0: float, step: float, rows: int, columns: int) -> tuple[Column, Column]:
-    """Patch indices of coordinates, by floor, kept inside the grid."""
+def snap_box(box: tuple[float, float, float, float], origin: tuple[float, float], steps: tuple[float, float], multiple: int = 1) -> tuple[int, int, int, int]:
+    """(first row, last row, first column, last column) of the grid cells nearest to a box's corners.
+
+    Rows and columns must be divisible by ``multiple`` (a model's patch size).
+    """
+    at = lambda x, k: int(np.floor((x - origin[k]) / steps[k] + 0.5))
+    r0, r1, c0, c1 = at(box[0], 0), at(box[1], 0), at(box[2], 1), at(box[3], 1)
+    if (r1 - r0 + 1) % multiple or (c1 - c0 + 1) % multiple:
+        raise ValueError(f"{r1 - r0 + 1} rows and {c1 - c0 + 1} columns can't be dealt into patches of {multiple}")
+    return r0, r1, c0, c1
+
+
+def regrid(lat: Column, lon: Column, lat0: float, lon0: float, step: float | tuple[float, float], rows: int, columns: int) -> tuple[Column, Column]:
+    """Patch indices of coordinates, by floor, kept inside the grid; one step or one for each axis."""
+    down, across = step if isinstance(step, tuple) else (step, step)
     clip = lambda x, n: F.least(F.greatest(F.floor(x), F.lit(0)), F.lit(n - 1)).cast("int")
-    return clip((lat - lat0) / step, rows), clip((lon - lon0) / step, columns)
+    return clip((lat - lat0) / down, rows), clip((lon - lon0) / across, columns)
 
 
 def retile(block: Column, inside: Column, blocks_wide: int, wide: int, high: int) -> tuple[Column, Column]:
@@ -58,6 +71,31 @@ def bilinear(points: DataFrame, grid: DataFrame, value: str) -> DataFrame:
     return spread.join(grid, ["row", "col"]).groupBy("id").agg(F.sum(F.col("weight") * F.col(value)).alias(value))
 
 
+def gram_pca(rows: DataFrame, key: str, vector: str, k: int, most: int = 4096) -> DataFrame:
+    """Scores of few rows of many fields, from the rows' Gram matrix: (key, pc0, pc1, ...).
+
+    Fields are centred and divided by one pooled deviation. The matrix is summed field by field
+    on the executors; only it comes to the driver, for at most ``most`` rows (more are refused).
+    """
+    spark, n = rows.sparkSession, rows.count()
+    if n > most:
+        raise ValueError(f"{n} rows: the Gram matrix is for {most} at most, use Pca")
+    long = rows.select(F.col(key).alias("_k"), F.posexplode(vector).alias("_i", "_x"))
+    centred = long.join(long.groupBy("_i").agg(F.avg("_x").alias("_mu")), "_i").select("_k", "_i", (F.col("_x") - F.col("_mu")).alias("_x"))
+    fields = centred.groupBy("_i").agg(F.sort_array(F.collect_list(F.struct("_k", "_x"))).alias("_c"))  # ``most`` values at most
+    pairs = fields.select(F.explode("_c").alias("a"), "_c").select("a", F.explode("_c").alias("b"))
+    cells = pairs.groupBy(F.col("a._k").alias("a"), F.col("b._k").alias("b")).agg(F.sum(F.col("a._x") * F.col("b._x")).alias("g")).toPandas()
+    names = sorted(cells["a"].unique())
+    g = cells.pivot(index="a", columns="b", values="g").loc[names, names].to_numpy(float)
+    d = fields.count()
+    g /= max(np.trace(g) / max(n * d, 1), 1e-12)
+    w, u = np.linalg.eigh(g)
+    pcs = u[:, ::-1][:, :k] * np.sqrt(np.maximum(w[::-1][:k], 0))
+    pcs = pcs * np.sign(pcs[np.abs(pcs).argmax(0), np.arange(pcs.shape[1])])
+    kind = dict(rows.dtypes)[key]
+    return spark.createDataFrame([(x, *map(float, r)) for x, r in zip([getattr(x, "item", lambda x=x: x)() for x in names], pcs)], ", ".join([f"{key} {kind}", *(f"pc{j} double" for j in range(pcs.shape[1]))]))
+
+
 def vector_mean(df: DataFrame, by: list[str], vector: str) -> DataFrame:
     """Element-wise mean of vectors, as (by, vector); pre-aggregated element by element."""
     long = df.select(*by, F.posexplode(vector).alias("_i", "_x"))

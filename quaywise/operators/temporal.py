@@ -105,18 +105,13 @@ def _around(df: DataFrame, by: list[str], value: str, bucket_s: int) -> DataFram
     df = df.withColumn("_m", micros(F.col("ts"))).withColumn("_b", F.floor(F.col("_m") / F.lit(bucket_s * MICROS)))
     df = df.withColumn("_k", F.when(F.col(value).isNotNull(), F.struct(F.col("_m").alias("m"), F.col(value).alias("v"))))
     marks = df.groupBy(*by, "_b").agg(F.min("_k").alias("_first"), F.max("_k").alias("_last"))
-    history = Window.partitionBy(*by).orderBy("_b")  # a row a bucket
-    marks = marks.select(
-        *by,
-        "_b",
-        F.last("_last", ignorenulls=True).over(history.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_first", ignorenulls=True).over(history.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
+    # a row a bucket; what follows is taken in falling order, as a frame that only grows costs one step a row
+    before, after = (Window.partitionBy(*by).orderBy(o).rowsBetween(Window.unboundedPreceding, -1) for o in (F.asc("_b"), F.desc("_b")))
+    marks = marks.select(*by, "_b", F.last("_last", ignorenulls=True).over(before).alias("_before"), F.last("_first", ignorenulls=True).over(after).alias("_after"))
     same = [F.col(f"d.{k}").eqNullSafe(F.col(f"k.{k}")) for k in [*by, "_b"]]
     joined = df.alias("d").join(marks.alias("k"), reduce(and_, same)).select("d.*", "_before", "_after")
-    w = Window.partitionBy(*by, "_b").orderBy("_m")
-    last = F.last("_k", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    first = F.first("_k", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    up, down = (Window.partitionBy(*by, "_b").orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc("_m"), F.desc("_m")))
+    last, first = F.last("_k", ignorenulls=True).over(up), F.last("_k", ignorenulls=True).over(down)
     return joined.withColumns({"_a": F.coalesce(last, "_before"), "_z": F.coalesce(first, "_after")}).drop("_b", "_k", "_before", "_after")
 
 
@@ -150,6 +145,21 @@ def permuted(df: DataFrame, group: list[str], key: str, value: str, seed: int) -
     return own.join(other, [*group, "_n"]).drop("_n")
 
 
+def days_to_nearest(days: DataFrame, by: list[str], known: str) -> DataFrame:
+    """Adds ``distance``: days from each row's ``day`` to the nearest day of its key on which ``known`` holds; null if none."""
+    marked = days.withColumn("ts", F.col("day").cast("timestamp_ntz")).withColumn("_known", F.when(F.col(known), F.lit(1)))
+    found = _around(marked, by, "_known", 365 * 86400)
+    away = F.least(F.col("_m") - F.col("_a.m"), F.col("_z.m") - F.col("_m"))
+    return found.withColumn("distance", F.floor(away / F.lit(86400 * MICROS)).cast("int")).drop("ts", "_known", "_m", "_a", "_z")
+
+
+def lead_lags(df: DataFrame, by: list[str], value: str, lead_days: int) -> DataFrame:
+    """Lags known at a lead of so many days: the lead, a day more, and the same weekday one or two weeks before."""
+    week = 7 if lead_days <= 7 else 14
+    lags = {"lag_lead": lead_days, "lag_next": lead_days + 1, "lag_week": week}
+    return exact_lag(df, by, value, {n: d * 86400 for n, d in lags.items()}).withColumn("lead", F.lit(lead_days))
+
+
 def near_days(held_out: DataFrame, days: int) -> DataFrame:
     """Distinct days within ``days`` of a held-out ``day``."""
     return held_out.select(F.explode(F.sequence(F.date_sub("day", days), F.date_add("day", days))).alias("day")).distinct()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import io
 import uuid
+import zipfile
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from ..operators import qc
@@ -63,21 +64,27 @@ def src7(spark, sf):
     return table(spark, sf, "events").select("event_id", F.from_json("props", "struct<k:bigint>").alias("p")).select("event_id", "p.*")
 
 
-@query("src8_driven_scan", "SELECT CAST(event_id % 4 AS BIGINT) AS part, count(*) AS n, CAST(0 AS BIGINT) AS bad FROM events GROUP BY 1")
+def _event_files(spark, sf, out):
+    """Events as JSON in a folder for each of four parts; one record in fifty of part 2 is broken."""
+    line = F.when((F.col("event_id") % 4 == 2) & (F.col("event_id") % 50 == 2), F.lit('{"event_id": 1')).otherwise(F.to_json(F.struct("event_id", "value", (F.col("event_id") % 4).alias("place"))))
+    table(spark, sf, "events").select((F.col("event_id") % 4).alias("part"), line.alias("value")).write.partitionBy("part").text(out)
+    return spark.createDataFrame([(f"part={k}", k) for k in (0, 2, 3, 7)], "path string, expected long")
+
+
+@query("src8_driven_scan", "SELECT 'part=' || event_id % 4 AS path, NULL AS reason, count(*) AS n FROM events WHERE event_id % 4 IN (0, 2, 3) AND NOT (event_id % 4 = 2 AND event_id % 50 = 2) GROUP BY 1 UNION ALL SELECT 'part=2', 'unreadable record', count(*) FROM events WHERE event_id % 4 = 2 AND event_id % 50 = 2 UNION ALL SELECT 'part=7', 'no file', 1")
 def src8(spark, sf):
     out = _folder(spark)
-    e = table(spark, sf, "events").select((F.col("event_id") % 4).alias("part"), "event_id", "value")
-    e.write.partitionBy("part").json(out)
-    read = spark.read.schema("event_id long, value double, part long, _bad string").option("columnNameOfCorruptRecord", "_bad").json(out)
-    return read.groupBy("part").agg(F.count("event_id").alias("n"), F.count("_bad").alias("bad"))
+    good, failures = src.driven_scan(spark, _event_files(spark, sf, out), out, "event_id long, value double, place long")
+    counts = good.groupBy("path").agg(F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).alias("n"))
+    return counts.unionByName(failures)
 
 
-@query("src9_location_check", "SELECT n_nationkey, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query("src9_location_check", "SELECT event_id % 4 AS place, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE event_id % 4 IN (0, 2, 3) AND NOT (event_id % 4 = 2 AND event_id % 50 = 2) GROUP BY 1")
 def src9(spark, sf):
-    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
-    j = n.join(r, n.n_regionkey == r.r_regionkey)
-    same = F.when(F.col("n_regionkey") == F.col("r_regionkey"), F.col("r_name")).otherwise(F.raise_error(F.lit("another location")).cast("string"))
-    return j.select("n_nationkey", same.alias("r_name"))
+    out = _folder(spark)
+    good, _ = src.driven_scan(spark, _event_files(spark, sf, out), out, "event_id long, value double, place long")
+    checked = good.select(src.same_place(F.col("expected"), F.col("place"), F.col("place")).alias("place"), "value")
+    return rounded(checked.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")), "value", digits=4)
 
 
 @query("src10_csv_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
@@ -93,10 +100,88 @@ def src11(spark, sf):
     return rounded(c.select("c_custkey", src.sum_present(src.number(F.col("a")), src.number(F.col("b"))).alias("amount")), "amount", digits=2)
 
 
-@query("src13_page_text", "SELECT page_id, regexp_extract(html, '<html lang=\"([a-z]+)\"', 1) AS lang, url FROM pages")
+@query("src13_page_text", "SELECT c_custkey, round(abs(c_acctbal), 2) AS low, round(abs(c_acctbal) + 1234.5, 2) AS high, 'March ' || (1 + c_custkey % 20) AS first_day, 'April ' || (1 + c_custkey % 9) AS last_day FROM customer")
 def src13(spark, sf):
-    p = table(spark, sf, "pages").withColumn("text", src.plain_text(F.col("html")))
-    return p.filter(F.col("text").isNotNull()).select("page_id", F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"), "url")
+    c, k = table(spark, sf, "customer"), F.col("c_custkey")
+    money = lambda x: F.concat(F.lit("<b>$"), F.format_number(x, 2), F.lit("</b>"))
+    page = F.concat(F.lit("<html><style>b{}</style><p>Week of March&nbsp;"), 1 + k % 20, F.lit("\n to <i>April "), 1 + k % 9, F.lit("</i>: low "), money(F.abs("c_acctbal")), F.lit(", high "), money(F.abs("c_acctbal") + 1234.5), F.lit("</p>"))
+    found = c.select("c_custkey", src.prices_and_days(src.plain_text(page)).alias("x"))
+    return rounded(found.select("c_custkey", "x.*"), "low", "high", digits=2)
+
+
+def _put(spark, path: str, content: bytes) -> str:
+    """A file of a query's own in the shared place."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = p.getFileSystem(spark._jsc.hadoopConfiguration()).create(p)
+    out.write(bytearray(content))
+    out.close()
+    return path
+
+
+def _workbook(rows: list[list], heading: str) -> bytes:
+    """A small xlsx file: a heading row, then rows of numbers and texts."""
+    cells = lambda r, n: "".join(f'<c r="{chr(65 + k)}{n}"><v>{v}</v></c>' if isinstance(v, int) else f'<c r="{chr(65 + k)}{n}" t="inlineStr"><is><t>{v}</t></is></c>' for k, v in enumerate(r) if v is not None)
+    body = "".join(f'<row r="{n}">{cells(r, n)}</row>' for n, r in enumerate([[heading], *rows], 1))
+    sheet = f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>'
+    file = io.BytesIO()
+    with zipfile.ZipFile(file, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", sheet)
+    return file.getvalue()
+
+
+@query("src12_workbook", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation WHERE n_name IS NOT NULL")
+def src12(spark, sf):
+    rows = [list(r) for r in table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]  # 25 rows
+    folder, archive = _folder(spark), io.BytesIO()
+    with zipfile.ZipFile(archive, "w") as z:
+        z.writestr("nations.xlsx", _workbook(rows[:12], "Nations"))
+    _put(spark, f"{folder}/first.zip", archive.getvalue())
+    _put(spark, f"{folder}/second.xlsx", _workbook(rows[12:], "Nations"))
+    cells = F.col("cells")
+    return src.read_workbooks(spark, folder, skip=1).filter(cells[1].isNotNull()).select(cells[0].cast("int").alias("n_nationkey"), cells[1].alias("n_name"), cells[2].cast("int").alias("n_regionkey"))
+
+
+@query("src15_indexed_records", "SELECT CAST(n_nationkey + 1 AS INT) AS n, n_name AS name, n_name || ':' || n_nationkey AS record, CAST(length(n_name || ':' || n_nationkey) AS BIGINT) AS bytes FROM nation")
+def src15(spark, sf):
+    records = [(r.n_name, f"{r.n_name}:{r.n_nationkey}".encode()) for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows
+    folder, lines, at = _folder(spark), [], 0
+    for n, (name, record) in enumerate(records, 1):
+        lines.append(f"{n}:{at}:d=2024010100:{name}:2 m above ground:anl:")
+        at += len(record)
+    path = _put(spark, f"{folder}/all.bin", b"".join(r for _, r in records))
+    index = src.index_ranges(spark.read.text(_put(spark, f"{folder}/all.idx", "\n".join(lines).encode())))
+    return src.records_at(spark, path, index).select("n", "name", F.col("record").cast("string").alias("record"), F.col("bytes").cast("long").alias("bytes"))
+
+
+SHAPES = "s AS (SELECT r_name AS zone, r_regionkey * 10.0 AS x FROM region)"
+
+
+def _shapes(spark, sf):
+    """One feature a region: a square of side 4 with a square hole of side 1, and a triangle beside it."""
+    square = lambda x, y, a: F.array(*[F.array(x + dx * a, y + F.lit(dy * a)) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
+    x, zero = F.col("r_regionkey") * 10.0, F.lit(0.0)
+    hole, triangle = square(x + 1, F.lit(1.0), 1.0), F.array(F.array(x + 5, zero), F.array(x + 7, zero), F.array(x + 5, F.lit(2.0)), F.array(x + 5, zero))
+    shape = F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(square(x, zero, 4.0), hole), F.array(triangle)).alias("coordinates"))
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct(F.col("r_name").alias("name")).alias("properties"), shape.alias("geometry"))
+    return table(spark, sf, "region").select(F.to_json(F.struct(F.lit("FeatureCollection").alias("type"), F.array(feature).alias("features"))).alias("text"))
+
+
+@query("src19_polygon_areas", f"WITH {SHAPES} SELECT zone, 4.0 * 4 - 1 + 2 AS area, CAST(2 AS BIGINT) AS parts FROM s")
+def src19(spark, sf):
+    rings = src.polygons(_shapes(spark, sf), "text", "name").withColumn("area", src.ring_area(F.col("points")))
+    signed = F.when(F.col("ring") == 0, F.col("area")).otherwise(-F.col("area"))
+    return rings.groupBy("zone").agg(F.sum(signed).alias("area"), F.countDistinct("part").alias("parts"))
+
+
+@query("src19_points_in_polygons", f"WITH {SHAPES}, p AS (SELECT event_id, (event_id % 500) / 10.0 + 0.05 AS x, (user_id % 40) / 10.0 + 0.03 AS y FROM events) SELECT zone, count(*) AS n FROM s JOIN p ON (p.x > s.x AND p.x < s.x + 4 AND p.y > 0 AND p.y < 4 AND NOT (p.x > s.x + 1 AND p.x < s.x + 2 AND p.y > 1 AND p.y < 2)) OR (p.x > s.x + 5 AND p.y > 0 AND (p.x - s.x - 5) + p.y < 2) GROUP BY 1")
+def src19_points(spark, sf):
+    rings = src.polygons(_shapes(spark, sf), "text", "name")
+    e = table(spark, sf, "events").select("event_id", ((F.col("event_id") % 500) / 10 + 0.05).alias("x"), ((F.col("user_id") % 40) / 10 + 0.03).alias("y"))
+    # the cells of a grid, a fixed number, meet the polygons, not the events
+    cells = e.select("x", "y").distinct().join(rings, F.lit(True))
+    odd = F.sum(src.inside_ring(F.col("x"), F.col("y"), F.col("points")).cast("int")) % 2 == 1
+    member = cells.groupBy("x", "y", "zone", "part").agg(odd.alias("inside")).filter("inside").select("x", "y", "zone").distinct()
+    return e.join(member, ["x", "y"]).groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src17_array_scan", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, len(embedding) AS n FROM embeddings")
@@ -132,6 +217,14 @@ def snk4(spark, sf):
     return spark.read.parquet(out).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk5_sidecar", f"WITH {H} SELECT 'hourly' AS content, count(*) AS n, (SELECT count(*) FROM h) AS stated FROM h")
+def snk5(spark, sf):
+    out, h = _folder(spark), hourly(spark, sf)
+    sinks.write_with_sidecar(h, out, {"content": "hourly", "rows": h.count()})
+    facts = sinks.read_sidecar(spark, out)
+    return spark.read.parquet(f"{out}/data").agg(F.count(F.lit(1)).alias("n")).select(F.lit(facts["content"]).alias("content"), "n", F.lit(facts["rows"]).cast("long").alias("stated"))
+
+
 @query("snk7_report", "SELECT o_orderstatus, " + ", ".join(f"round(avg(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice END), 4) AS y{y}" for y in (1996, 1997, 1998)) + " FROM orders GROUP BY 1")
 def snk7(spark, sf):
     o = table(spark, sf, "orders").withColumn("year", F.concat(F.lit("y"), F.year("o_orderdate").cast("string")))
@@ -166,10 +259,11 @@ def arr1(spark, sf):
     return _cells(spark, sf).filter(sx.in_box(F.col("lat"), F.col("lon"), (41.0, 43.0, -74.0, -71.0))).groupBy("row", "col").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("arr2_snap_box", f"WITH {CELLS} SELECT min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1, (max(row) - min(row) + 1) % 2 = 0 AS rows_even FROM c WHERE lat BETWEEN 41 AND 43 AND lon BETWEEN -74 AND -71")
+@query("arr2_snap_box", f"WITH {CELLS} SELECT CAST(floor((41.2 - 40) / 0.5 + 0.5) AS INT) AS r0, CAST(floor((43.6 - 40) / 0.5 + 0.5) AS INT) AS r1, CAST(floor((-74.2 + 75) / 0.625 + 0.5) AS INT) AS c0, CAST(floor((-70.9 + 75) / 0.625 + 0.5) AS INT) AS c1, count(*) AS n FROM c WHERE row BETWEEN 2 AND 7 AND col BETWEEN 1 AND 7")
 def arr2(spark, sf):
-    c = _cells(spark, sf).filter(sx.in_box(F.col("lat"), F.col("lon"), (41.0, 43.0, -74.0, -71.0)))
-    return c.agg(F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), ((F.max("row") - F.min("row") + 1) % 2 == 0).alias("rows_even"))
+    r0, r1, c0, c1 = sx.snap_box((41.2, 43.6, -74.2, -70.9), (40.0, -75.0), (0.5, 0.625))
+    n = _cells(spark, sf).filter(F.col("row").between(r0, r1) & F.col("col").between(c0, c1)).agg(F.count(F.lit(1)).alias("n"))
+    return n.select(*[F.lit(v).alias(k) for k, v in (("r0", r0), ("r1", r1), ("c0", c0), ("c1", c1))], "n")
 
 
 @query("arr3_box_mean", f"WITH {CELLS}, {BOX_SQL} SELECT box, round(avg(value), 6) AS mean FROM c JOIN b ON lat >= lat_min AND lat <= lat_max AND lon >= lon_min AND lon <= lon_max GROUP BY 1")
@@ -195,11 +289,12 @@ def arr6(spark, sf):
     return _cells(spark, sf).filter(F.col("row").between(2 * 1, 2 * 2 + 1) & F.col("col").between(2 * 2, 2 * 3 + 1)).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("arr7_bilinear", f"WITH {CELLS}, g AS (SELECT row, col, avg(value) AS v FROM c GROUP BY 1, 2) SELECT CAST(1 AS INT) AS id, round(sum(v * CASE WHEN row = 3 THEN 0.75 ELSE 0.25 END * CASE WHEN col = 4 THEN 0.5 ELSE 0.5 END), 6) AS v FROM g WHERE row IN (3, 4) AND col IN (4, 5)")
+@query("arr7_bilinear", f"WITH {CELLS}, g AS (SELECT row, col, avg(value) AS v FROM c GROUP BY 1, 2), p AS (SELECT CAST(n_nationkey AS INT) AS id, (n_nationkey * 0.37) % 10 AS r, (n_nationkey * 0.61) % 8 AS c FROM nation) SELECT id, round(sum(v * (1 - abs(p.r - g.row)) * (1 - abs(p.c - g.col))), 3) AS v FROM p JOIN g ON g.row BETWEEN floor(p.r) AND floor(p.r) + 1 AND g.col BETWEEN floor(p.c) AND floor(p.c) + 1 GROUP BY 1")
 def arr7(spark, sf):
     g = _cells(spark, sf).groupBy("row", "col").agg(F.avg("value").alias("v"))
-    points = spark.createDataFrame([(1, 3.25, 4.5)], "id int, r double, c double")
-    return rounded(sx.bilinear(points, g, "v"), "v")
+    k = F.col("n_nationkey")
+    points = table(spark, sf, "nation").select(k.cast("int").alias("id"), (k * 0.37 % 10).alias("r"), (k * 0.61 % 8).alias("c"))
+    return rounded(sx.bilinear(points, g, "v"), "v", digits=3)
 
 
 @query("arr8_retile", "SELECT vec_id, CAST((vec_id // 16) // 5 * 4 + (vec_id % 16) // 4 AS INT) AS row, CAST((vec_id // 16) % 5 * 4 + (vec_id % 16) % 4 AS INT) AS col FROM embeddings")
@@ -210,8 +305,7 @@ def arr8(spark, sf):
 
 @query("arr9_regrid", f"WITH {CELLS} SELECT CAST(least(greatest(floor((lat - 40) / 1.5), 0), 3) AS INT) AS r, CAST(least(greatest(floor((lon + 75) / 2.0), 0), 2) AS INT) AS k, round(avg(value), 6) AS v FROM c GROUP BY 1, 2")
 def arr9(spark, sf):
-    r, k = sx.regrid(F.col("lat"), F.col("lon"), 40.0, -75.0, 1.5, 4, 3)
-    k = F.least(F.greatest(F.floor((F.col("lon") + 75) / 2.0), F.lit(0)), F.lit(2)).cast("int")
+    r, k = sx.regrid(F.col("lat"), F.col("lon"), 40.0, -75.0, (1.5, 2.0), 4, 3)
     return rounded(_cells(spark, sf).groupBy(r.alias("r"), k.alias("k")).agg(F.avg("value").alias("v")), "v")
 
 
@@ -252,15 +346,8 @@ def arr14(spark, sf):
 
 @query("arr15_gram_pca")
 def arr15(spark, sf):
-    """Few rows, many fields: eigenvectors of the rows' Gram matrix on a bounded set of training times."""
-    means = sx.vector_mean(table(spark, sf, "embeddings"), ["label"], "embedding").orderBy("label")
-    rows = means.limit(1024).toPandas()  # one row a label; the row count is bounded here, not the width
-    x = np.stack(rows["embedding"].to_numpy()).astype(float)
-    x = (x - x.mean(0)) / max(x.std(), 1e-12)
-    w, u = np.linalg.eigh(x @ x.T)
-    pcs = u[:, ::-1][:, :3] * np.sqrt(np.maximum(w[::-1][:3], 0))
-    pcs *= np.sign(pcs[np.abs(pcs).argmax(0), np.arange(pcs.shape[1])])
-    return spark.createDataFrame([(int(k), *map(float, r)) for k, r in zip(rows["label"], pcs)], "label int, pc0 double, pc1 double, pc2 double")
+    """Few rows, many fields: one row a label here."""
+    return sx.gram_pca(sx.vector_mean(table(spark, sf, "embeddings"), ["label"], "embedding"), "label", "embedding", 3)
 
 
 @query("arr16_component_sweep")
@@ -358,11 +445,11 @@ def qc7(spark, sf):
     return j.filter("right_ts is null").groupBy("event_type").agg(F.count(F.lit(1)).alias("unmatched"))
 
 
-@query("qc8_reconcile", "SELECT o_orderkey FROM orders WHERE FALSE")
+@query("qc8_reconcile", "WITH p AS (SELECT l_orderkey AS o_orderkey, sum(l_extendedprice * (1 - l_discount)) AS parts FROM lineitem GROUP BY 1) SELECT o_orderkey, round((parts - o_totalprice) / o_totalprice, 6) AS gap FROM p JOIN orders USING (o_orderkey) WHERE abs(parts - o_totalprice) > 1000")
 def qc8(spark, sf):
-    o = table(spark, sf, "orders")
-    halves = o.select("o_orderkey", (F.col("o_totalprice") * 0.5).alias("v")).unionByName(o.select("o_orderkey", (F.col("o_totalprice") * 0.5).alias("v")))
-    return qc.reconcile(halves, o.select("o_orderkey", F.col("o_totalprice").alias("v")), ["o_orderkey"], "v", 1e-6).select("o_orderkey")
+    parts = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("v"))
+    whole = table(spark, sf, "orders").select("o_orderkey", F.col("o_totalprice").alias("v"))
+    return rounded(qc.reconcile(parts, whole, ["o_orderkey"], "v", 1000.0).select("o_orderkey", ((F.col("parts") - F.col("whole")) / F.col("whole")).alias("gap")), "gap")
 
 
 @query("qc9_resample", f"WITH {H}, q AS (SELECT event_type AS zone, time_bucket(INTERVAL 5 MINUTE, ts) AS t, sum(value) AS s, count(*) AS n FROM events GROUP BY 1, 2), r AS (SELECT zone, date_trunc('hour', t) AS ts, sum(s) / sum(n) AS y FROM q GROUP BY 1, 2) SELECT h.zone, count(*) AS hours, CAST(sum(CASE WHEN abs(h.y - r.y) < 0.000001 THEN 1 ELSE 0 END) AS BIGINT) AS same FROM h JOIN r ON h.zone = r.zone AND h.ts = r.ts GROUP BY 1")
@@ -387,7 +474,7 @@ def _stream(spark, sf):
 def stream_windows(spark, sf):
     from ..streaming.windows import drain, windowed_means
 
-    out = drain(windowed_means(_stream(spark, sf)), f"w{uuid.uuid4().hex[:8]}", _folder(spark), "complete")
+    out = drain(windowed_means(_stream(spark, sf)), _folder(spark), _folder(spark), "complete")
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"), "mean")
 
 
@@ -395,7 +482,7 @@ def stream_windows(spark, sf):
 def stream_dedup(spark, sf):
     from ..streaming.windows import drain, first_of_each
 
-    out = drain(first_of_each(_stream(spark, sf)).select("event_type", "event_id"), f"d{uuid.uuid4().hex[:8]}", _folder(spark))
+    out = drain(first_of_each(_stream(spark, sf)).select("event_type", "event_id"), _folder(spark), _folder(spark))
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -404,4 +491,12 @@ def stream_enrich(spark, sf):
     from ..streaming.windows import drain, enriched
 
     s = _stream(spark, sf).withColumn("n_nationkey", (F.col("user_id") % 25).cast("int"))
-    return drain(enriched(s, table(spark, sf, "nation"), "n_nationkey").select("event_id", "n_name"), f"e{uuid.uuid4().hex[:8]}", _folder(spark))
+    return drain(enriched(s, table(spark, sf, "nation"), "n_nationkey").select("event_id", "n_name"), _folder(spark), _folder(spark))
+
+
+@query("stream_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 1800000000 THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
+def stream_sessions(spark, sf):
+    from ..streaming.windows import drain, sessions
+
+    out = drain(sessions(_stream(spark, sf)), _folder(spark), _folder(spark), "complete")
+    return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")

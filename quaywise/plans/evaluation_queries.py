@@ -116,6 +116,35 @@ def mod6(spark, sf):
     return p.filter("split = 'test'").groupBy("zone").agg(*ev.errors())
 
 
+def _folds(spark, sf):
+    return _features(spark, sf).filter("split = 'train'").withColumn("fold", F.pmod(F.day("ts"), F.lit(5)))
+
+
+@query("mod6_ridge_cv")
+def mod6_ridge_cv(spark, sf):
+    model, _ = mo.cross_validated(_folds(spark, sf), FEATURES, [0.0, 0.001, 0.01, 0.1, 1.0])
+    return model.predict(_features(spark, sf)).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+
+
+@query("mod6_elastic_net_cv")
+def mod6_elastic_net_cv(spark, sf):
+    model, _ = mo.cross_validated(_folds(spark, sf), FEATURES, [0.001, 0.01, 0.1, 1.0], l1=0.5)
+    return model.predict(_features(spark, sf)).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+
+
+@query("mod7_network")
+def mod7(spark, sf):
+    p = _features(spark, sf)
+    return mo.Network(FEATURES, hidden=6, steps=12).fit(p.filter("split = 'train'")).predict(p).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+
+
+@query("mod3_quantile")
+def mod3_quantile(spark, sf):
+    p = _features(spark, sf)
+    model = mo.Network(FEATURES, hidden=0, loss="quantile", level=0.9, steps=25, rate=0.2).fit(p.filter("split = 'train'"))
+    return model.predict(p).filter("split = 'test'").groupBy("zone").agg(F.avg((F.col("y") <= F.col("yhat")).cast("double")).alias("covered"), F.count(F.lit(1)).alias("n"))
+
+
 @query("mod1_boosted_trees")
 def mod1(spark, sf):
     return mo.boosted_trees(_features(spark, sf), FEATURES, trees=5, depth=3).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
@@ -228,13 +257,22 @@ def evl11(spark, sf):
     return _pairs(spark, sf).groupBy("zone").agg(F.round(F.avg("e_a"), 6).alias("mae_first"), F.round(F.avg("e_b"), 6).alias("mae_second"), F.round(F.avg("d"), 6).alias("dmae"), F.count(F.lit(1)).alias("n"))
 
 
-@query("evl12_relative_gain", f"WITH {PAIR}, g AS (SELECT zone, avg(e_b) AS base, avg(e_a - e_b) AS d FROM pr GROUP BY 1) SELECT zone, round(-100 * d / base, 5) AS gain, round(-100 * (d + 1) / base, 5) AS lo, round(-100 * (d - 1) / base, 5) AS hi FROM g")
+INTERVAL = f"WITH {PAIR}, b AS (SELECT zone, {WEEK} AS week, sum(e_a - e_b) AS s, count(*) AS n, sum(e_b) AS sb FROM pr GROUP BY 1, 2), t AS (SELECT zone, sum(s) AS ts, CAST(sum(n) AS DOUBLE) AS tn, count(*) AS k, sum(sb) / sum(n) AS base FROM b GROUP BY 1), v AS (SELECT b.zone, sqrt(sum(power(s - ts / tn * n, 2)) * max(k) / nullif(max(k) - 1, 0)) / max(tn) AS se, max(ts / tn) AS d, max(base) AS base, max(k) AS k FROM b JOIN t ON b.zone = t.zone GROUP BY 1)"
+
+
+@query("evl12_relative_gain", f"{INTERVAL} SELECT zone, round(-100 * d / base, 5) AS gain, round(-100 * (d + 1.959964 * se) / base, 5) AS lo, round(-100 * (d - 1.959964 * se) / base, 5) AS hi FROM v")
 def evl12(spark, sf):
-    g = _pairs(spark, sf).groupBy("zone").agg(F.avg("e_b").alias("base"), F.avg("d").alias("d"))
-    gain, lo, hi = ev.relative_gain(F.col("base"), F.col("d"), F.col("d") - 1, F.col("d") + 1)
+    pairs = _pairs(spark, sf).withColumn("week", iso_week(F.col("ts")))
+    base = pairs.groupBy("zone").agg(F.avg("e_b").alias("base"))
+    g = ev.block_interval(pairs, "week", "d", ["zone"]).join(base, "zone")
+    gain, lo, hi = ev.relative_gain(F.col("base"), F.col("mean"), F.col("lo"), F.col("hi"))
     return rounded(g.select("zone", gain.alias("gain"), lo.alias("lo"), hi.alias("hi")), "gain", "lo", "hi", digits=5)
 
 
+@query("evl8_block_interval", f"{INTERVAL} SELECT zone, round(d, 6) AS mean, round(d - 1.959964 * se, 5) AS lo, round(d + 1.959964 * se, 5) AS hi, k AS blocks FROM v")
+def evl8_interval(spark, sf):
+    g = ev.block_interval(_pairs(spark, sf).withColumn("week", iso_week(F.col("ts"))), "week", "d", ["zone"])
+    return rounded(rounded(g, "mean"), "lo", "hi", digits=5)
 
 
 @query("evl13_leads_common_hours", "WITH " + H + ", x AS (SELECT unnest([24, 48, 72]) AS lead), l AS (SELECT a.zone, a.ts, x.lead, abs(b.y - a.y) AS e FROM h a CROSS JOIN x JOIN h b ON a.zone = b.zone AND b.ts = a.ts - to_hours(x.lead)), c AS (SELECT zone, ts FROM l GROUP BY 1, 2 HAVING count(DISTINCT lead) = 3) SELECT lead, count(*) AS n, round(avg(e), 6) AS mae FROM l SEMI JOIN c ON l.zone = c.zone AND l.ts = c.ts GROUP BY 1")
@@ -288,11 +326,23 @@ def evl18(spark, sf):
     return prediction_log(spark, sf).groupBy("feature_set", F.hour("ts").alias("hr")).agg(F.round(F.avg(F.abs(F.col("yhat") - F.col("y"))), 6).alias("mae"), F.count(F.lit(1)).alias("n"))
 
 
-@query("evl19_by_distance", f"WITH {M} SELECT feature_set, CAST(greatest(day(ts) - 18, 0) AS INT) AS distance, round(avg(abs(yhat - y)), 6) AS mae FROM log GROUP BY 1, 2")
+@query("evl19_by_distance", f"WITH {M}, t AS (SELECT DISTINCT zone, CAST(ts AS DATE) AS day FROM p WHERE split = 'train'), u AS (SELECT DISTINCT zone, CAST(ts AS DATE) AS day FROM log), n AS (SELECT u.zone, u.day, min(abs(date_diff('day', u.day, t.day))) AS distance FROM u JOIN t ON u.zone = t.zone GROUP BY 1, 2) SELECT feature_set, CAST(distance AS INT) AS distance, round(avg(abs(yhat - y)), 6) AS mae, count(*) AS n FROM log JOIN n ON log.zone = n.zone AND CAST(log.ts AS DATE) = n.day GROUP BY 1, 2")
 def evl19(spark, sf):
-    from ..functions.timeaxis import days_to_month_part
+    from ..operators.temporal import days_to_nearest
+
+    days = split_panel(spark, sf).groupBy("zone", F.to_date("ts").alias("day")).agg(F.bool_or(F.col("split") == "train").alias("train"))
+    near = days_to_nearest(days, ["zone"], "train").select("zone", "day", "distance")
+    log = prediction_log(spark, sf).withColumn("day", F.to_date("ts")).join(near, ["zone", "day"])
+    return log.groupBy("feature_set", "distance").agg(F.round(F.avg(F.abs(F.col("yhat") - F.col("y"))), 6).alias("mae"), F.count(F.lit(1)).alias("n"))
+
 
-    return prediction_log(spark, sf).groupBy("feature_set", days_to_month_part(F.day("ts")).alias("distance")).agg(F.round(F.avg(F.abs(F.col("yhat") - F.col("y"))), 6).alias("mae"))
+@query("evl20_decile_means", f"WITH {M}, x AS (SELECT y, abs(yhat - y) AS e FROM log WHERE feature_set = 'mean'), q AS (SELECT unnest(quantile_cont(y, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS edge FROM x), d AS (SELECT (SELECT count(*) FROM q WHERE x.y > q.edge) AS bin, e FROM x), g AS (SELECT bin, count(*) AS n, avg(e) AS m FROM d GROUP BY 1) SELECT CAST(bin AS INT) AS bin, n, round(m, 6) AS mean, round((SELECT sum(n * power(m - (SELECT avg(e) FROM d), 2)) FROM g) / (SELECT var_pop(e) * count(*) FROM d), 6) AS explained FROM g")
+def evl20_deciles(spark, sf):
+    x = prediction_log(spark, sf).filter("feature_set = 'mean'").select("y", F.abs(F.col("yhat") - F.col("y")).alias("e"))
+    bins = quantile_bins(x, "y", 10).groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.avg("e").alias("mean"), F.sum("e").alias("_s"), F.sum(F.col("e") * F.col("e")).alias("_q"))
+    total = bins.agg(F.sum("n").alias("_n"), F.sum("_s").alias("_t"), F.sum("_q").alias("_tq"), F.sum(F.col("_s") ** 2 / F.col("n")).alias("_b"))
+    share = (F.col("_b") - F.col("_t") ** 2 / F.col("_n")) / (F.col("_tq") - F.col("_t") ** 2 / F.col("_n"))
+    return rounded(bins.crossJoin(F.broadcast(total)).select("bin", "n", "mean", share.alias("explained")), "mean", "explained")  # one row
 
 
 @query("evl20_profile", f"WITH {M}, x AS (SELECT zone, y, abs(yhat - y) AS e, rank() OVER (PARTITION BY zone ORDER BY y) + (count(*) OVER (PARTITION BY zone, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY zone ORDER BY abs(yhat - y)) + (count(*) OVER (PARTITION BY zone, abs(yhat - y)) - 1) / 2.0 AS re FROM log WHERE feature_set = 'mean') SELECT zone, round(corr(y, e), 6) AS pearson, round(corr(ry, re), 6) AS spearman FROM x GROUP BY 1")

@@ -397,10 +397,11 @@ def jon23(spark, sf):
     return rounded(h.withColumn("grid", tx.round_to(tx.shift(F.col("ts"), -86400), 3)).join(g, ["zone", "grid"]).select("zone", "ts", "w"), "w")
 
 
-@query("jon24_lead_lags", f"WITH {H} SELECT a.zone, a.ts, round(b.y, 6) AS lag_25h, round(c.y, 6) AS lag_48h, round(d.y, 6) AS lag_7d FROM h a LEFT JOIN h b ON a.zone = b.zone AND b.ts = a.ts - INTERVAL 25 HOUR LEFT JOIN h c ON a.zone = c.zone AND c.ts = a.ts - INTERVAL 48 HOUR LEFT JOIN h d ON a.zone = d.zone AND d.ts = a.ts - INTERVAL 7 DAY")
+@query("jon24_lead_lags", f"WITH {H}, l AS (SELECT unnest([1, 8]) AS lead), k AS (SELECT a.zone, a.ts, lead FROM h a CROSS JOIN l) SELECT k.zone, k.ts, CAST(k.lead AS INT) AS lead, round(b.y, 6) AS lag_lead, round(c.y, 6) AS lag_next, round(d.y, 6) AS lag_week FROM k LEFT JOIN h b ON k.zone = b.zone AND b.ts = k.ts - to_days(k.lead) LEFT JOIN h c ON k.zone = c.zone AND c.ts = k.ts - to_days(k.lead + 1) LEFT JOIN h d ON k.zone = d.zone AND d.ts = k.ts - to_days(CASE WHEN k.lead <= 7 THEN 7 ELSE 14 END)")
 def jon24(spark, sf):
-    lags = tj.exact_lag(hourly(spark, sf), ["zone"], "y", {"lag_25h": 90000, "lag_48h": 172800, "lag_7d": 604800})
-    return rounded(lags.drop("y"), "lag_25h", "lag_48h", "lag_7d")
+    h = hourly(spark, sf)
+    both = tj.lead_lags(h, ["zone"], "y", 1).unionByName(tj.lead_lags(h, ["zone"], "y", 8))
+    return rounded(both.drop("y"), "lag_lead", "lag_next", "lag_week")
 
 
 @query("jon25_conditional_availability", f"WITH {H} SELECT a.zone, a.ts, round(CASE WHEN hour(a.ts) < 10 THEN b.y END, 6) AS known FROM h a LEFT JOIN h b ON a.zone = b.zone AND b.ts = a.ts - INTERVAL 24 HOUR")

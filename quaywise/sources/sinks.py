@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -28,6 +30,17 @@ def write_boxes(cells: DataFrame, boxes: DataFrame, path: str) -> None:
     write_partitioned(cells_in_boxes(cells, boxes), path, ["box"])
 
 
+def write_with_sidecar(df: DataFrame, path: str, facts: dict) -> None:
+    """Parquet at ``path``/data, then a JSON line of facts at ``path``/sidecar; a reader that finds the sidecar finds all data."""
+    df.write.mode("overwrite").parquet(f"{path}/data")
+    line = json.dumps(facts, sort_keys=True)
+    df.sparkSession.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/sidecar")
+
+
+def read_sidecar(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/sidecar").head()[0])
+
+
 def report(df: DataFrame, rows: str, columns: str, value: str, values: list) -> DataFrame:
     """A pivot for reading: mean of ``value`` by ``rows`` and ``columns``."""
     return df.groupBy(rows).pivot(columns, values).agg(F.avg(value))

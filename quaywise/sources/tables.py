@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import json
+import zipfile
 from collections.abc import Iterator
+from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType
 
@@ -98,7 +101,111 @@ def time_axis(spark: SparkSession, first: str, last: str, step: str) -> DataFram
     return spark.range(1).select(F.explode(F.expr(f"sequence(timestamp_ntz'{first}', timestamp_ntz'{last}', interval {step})")).alias("ts"))
 
 
-def driven_scan(spark: SparkSession, index: DataFrame, root: str, schema: str) -> DataFrame:
-    """JSON files named by an index (path, key columns), with a note for each record that can't be read."""
-    files = spark.read.schema(f"{schema}, _bad string").option("columnNameOfCorruptRecord", "_bad").json(root).withColumn("path", F.col("_metadata.file_name"))
-    return index.join(files, "path", "left")
+def driven_scan(spark: SparkSession, index: DataFrame, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """JSON folders of ``root`` named by an index (path, key columns): (records with the key columns, failures).
+
+    Failures are (path, reason, n): folders without a file, and records that can't be read.
+    Stops if there is no record at all.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").text(root).filter("trim(value) <> ''")
+    parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    files = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("path"), parsed.alias("r")).select("path", "r.*")
+    found = index.join(files, "path")
+    good = found.filter(F.col("_bad").isNull()).drop("_bad")
+    if good.isEmpty():
+        raise ValueError(f"no record of the index can be read below {root}")
+    bad = found.filter(F.col("_bad").isNotNull()).groupBy("path").agg(F.lit("unreadable record").alias("reason"), F.count(F.lit(1)).alias("n"))
+    gone = index.join(files.select("path").distinct(), "path", "left_anti").select("path", F.lit("no file").alias("reason"), F.lit(1).cast("long").alias("n"))
+    return good, bad.unionByName(gone)
+
+
+def same_place(expected: Column, found: Column, value: Column) -> Column:
+    """``value`` where a record is from the place that its file is for; another place stops the query."""
+    told = F.concat(F.lit("a record of "), F.coalesce(found.cast("string"), F.lit("nowhere")), F.lit(" in a file of "), expected.cast("string"))
+    return F.when(expected.eqNullSafe(found), value).otherwise(F.raise_error(told))
+
+
+def prices_and_days(text: Column) -> Column:
+    """(low, high, first_day, last_day) from a sentence such as "March 4 to March 10: low $1.20, high $1,003.40"; nulls where it is none."""
+    day = "([A-Z][a-z]+ [0-9]{1,2})"
+    price = "\\$([0-9,]+(?:\\.[0-9]+)?)"
+    pattern = f"{day} to {day}[^$]*{price}[^$]*{price}"
+    part = lambda k: F.nullif(F.regexp_extract(text, pattern, k), F.lit(""))
+    return F.struct(number(part(3)).alias("low"), number(part(4)).alias("high"), part(1).alias("first_day"), part(2).alias("last_day"))
+
+
+def index_ranges(lines: DataFrame) -> DataFrame:
+    """(n, start, length, name, level) of the records of one file, from index lines "n:start:date:name:level:..."; the last has no length."""
+    part = F.split("value", ":")
+    rows = lines.select(part[0].cast("int").alias("n"), part[1].cast("long").alias("start"), part[3].alias("name"), part[4].alias("level"))
+    return rows.select("n", "start", (F.lead("start").over(Window.orderBy("n")) - F.col("start")).alias("length"), "name", "level")  # an index: some hundred lines
+
+
+def records_at(spark: SparkSession, path: str, ranges: DataFrame) -> DataFrame:
+    """The bytes of each record of a file, cut at the ranges of its index."""
+    content = spark.read.format("binaryFile").load(path).select("content")
+    size = F.coalesce(F.col("length"), F.length("content") - F.col("start"))
+    return ranges.join(F.broadcast(content), F.lit(True)).select("n", "name", "level", F.expr("substring(content, cast(start + 1 as int), cast(coalesce(length, length(content) - start) as int))").alias("record"), size.alias("bytes"))  # one file
+
+
+_LETTERS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+
+
+def read_workbooks(spark: SparkSession, path: str, skip: int = 0) -> DataFrame:
+    """(path, sheet, row, cells) of the sheets of xlsx workbooks, which may stand in zip archives; ``skip`` first rows are left out.
+
+    A workbook is read in one task. Cells are text; empty ones inside a row are null.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name, content in zip(batch["path"], batch["content"]):
+                rows = [(name, *r) for r in _workbook_rows(io.BytesIO(content)) if r[1] > skip]
+                yield pd.DataFrame(rows, columns=["path", "sheet", "row", "cells"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInPandas(run, "path string, sheet int, row int, cells array<string>")
+
+
+def _workbook_rows(file: io.BytesIO) -> Iterator[tuple[int, int, list[str | None]]]:
+    with zipfile.ZipFile(file) as z:
+        names = z.namelist()
+        for inner in sorted(n for n in names if n.endswith(".xlsx")):
+            yield from _workbook_rows(io.BytesIO(z.read(inner)))
+        shared = [] if "xl/sharedStrings.xml" not in names else ["".join(t.text or "" for t in s.iter(f"{_LETTERS}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))]
+        sheets = sorted((int("".join(filter(str.isdigit, n.rsplit("/", 1)[1]))), n) for n in names if n.startswith("xl/worksheets/sheet"))
+        for number_, name in sheets:
+            for row in ElementTree.fromstring(z.read(name)).iter(f"{_LETTERS}row"):
+                cells: dict[int, str | None] = {}
+                for c in row:
+                    column = 0
+                    for letter in c.get("r").rstrip("0123456789"):
+                        column = column * 26 + ord(letter) - 64
+                    value = c.find(f"{_LETTERS}v")
+                    text = value.text if value is not None else "".join(t.text or "" for t in c.iter(f"{_LETTERS}t")) or None
+                    cells[column] = shared[int(text)] if c.get("t") == "s" and text is not None else text
+                if cells:
+                    yield number_, int(row.get("r")), [cells.get(k) for k in range(1, max(cells) + 1)]
+
+
+def polygons(text: DataFrame, column: str, zone: str) -> DataFrame:
+    """(zone, part, ring, points) of the polygons and multipolygons of GeoJSON feature collections; ring 0 is the outer one."""
+    schema = "struct<features: array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>>"
+    found = text.select(F.explode(F.from_json(column, schema)["features"]).alias("f"))
+    shape, many = F.col("f.geometry.coordinates"), "array<array<array<array<double>>>>"
+    parts = F.when(F.col("f.geometry.type") == "Polygon", F.from_json(F.concat(F.lit("["), shape, F.lit("]")), many)).otherwise(F.from_json(shape, many))
+    rings = found.select(F.col("f.properties")[zone].alias("zone"), F.posexplode(parts).alias("part", "_rings")).select("zone", "part", F.posexplode("_rings").alias("ring", "points"))
+    return rings
+
+
+def ring_area(points: Column) -> Column:
+    """Area inside a closed ring of [x, y] points."""
+    twice = F.aggregate(F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), lambda a, b: a[0] * b[1] - b[0] * a[1]), F.lit(0.0), lambda s, v: s + v)
+    return F.abs(twice) / 2
+
+
+def inside_ring(x: Column, y: Column, points: Column) -> Column:
+    """Whether a ray from (x, y) crosses a closed ring an odd number of times."""
+    crosses = lambda a, b: ((a[1] > y) != (b[1] > y)) & (x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0])
+    sides = F.zip_with(F.slice(points, F.lit(1), F.size(points) - 1), F.slice(points, F.lit(2), F.size(points) - 1), lambda a, b: F.when(a[1] != b[1], crosses(a, b).cast("int")).otherwise(F.lit(0)))
+    return F.aggregate(sides, F.lit(0), lambda s, v: s + v) % 2 == 1

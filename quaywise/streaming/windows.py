@@ -33,11 +33,18 @@ def enriched(events: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
     return events.join(dimension, key, "left")
 
 
-def drain(df: DataFrame, name: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Run a stream over what is there now and return its rows."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> DataFrame:
+    """Run a stream over what is there now, write its rows to the folder ``out`` and read them there.
+
+    A batch that is tried again replaces its own rows; in complete mode the newest batch replaces all.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/all" if mode == "complete" else f"{out}/batch={number}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{out}/all" if mode == "complete" else f"{out}/batch=*")

@@ -1,6 +1,6 @@
 """Hand-made cases: ties, gaps, clock changes, nulls."""
 
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import numpy as np
 import pandas as pd
@@ -182,3 +182,194 @@ def test_missing_and_conflicts(spark):
     assert [r.k for r in qc.missing(a, b, ["k"]).collect()] == [1]
     q = _frame(spark, [(1, 1.0), (1, 1.001), (2, 1.0), (2, 2.0)], "k int, v double")
     assert [r.k for r in qc.conflicting(q, ["k"], "v", 0.005).collect()] == [2]
+
+
+def test_rolling_frames_reach_over_bucket_borders(spark):
+    rng = np.random.default_rng(0)
+    hours = np.sort(rng.choice(3000, 900, replace=False))
+    values = rng.normal(size=900)
+    df = spark.createDataFrame([("z", _ts(1) + timedelta(hours=int(h)), float(v)) for h, v in zip(hours, values)], "zone string, ts timestamp_ntz, y double")
+    want = pd.Series(values, index=pd.to_datetime([_ts(1) + timedelta(hours=int(h)) for h in hours]))
+    got = panel.rolling_mean(df, ["zone"], "y", 86400, "m").toPandas().sort_values("ts")
+    assert len(got) == 900 and np.allclose(got.m, want.rolling("24h").mean())
+    got = panel.rolling_quantile(df, ["zone"], "y", 3 * 86400, 0.9, 5, "q").toPandas().sort_values("ts")
+    assert np.allclose(got.q.astype(float), want.rolling("72h", min_periods=5).quantile(0.9), equal_nan=True)
+
+
+def test_fills_reach_over_buckets_without_data(spark):
+    rows = [("z", 0, None), ("z", 1, 1.0), ("z", 400, None), ("z", 900, 5.0), ("z", 950, None), (None, 3, 2.0), (None, 700, None)]
+    df = spark.createDataFrame([(k, _ts(1) + timedelta(hours=h), v) for k, h, v in rows], "zone string, ts timestamp_ntz, v double")
+    got = {(r.zone, int((r.ts - _ts(1)).total_seconds() // 3600)): r.filled for r in temporal.forward_fill(df, ["zone"], "v", 86400).collect()}
+    assert got == {("z", 0): None, ("z", 1): 1.0, ("z", 400): 1.0, ("z", 900): 5.0, ("z", 950): 5.0, (None, 3): 2.0, (None, 700): 2.0}
+    line = {int((r.ts - _ts(1)).total_seconds() // 3600): r.filled for r in temporal.interpolate(df.filter("zone = 'z'"), ["zone"], "v", 86400).collect()}
+    assert abs(line[400] - (1 + 4 * 399 / 899)) < 1e-9 and line[0] is None and line[950] == 5.0
+
+
+@pytest.mark.parametrize("parts", [2, 7])
+def test_ranks_over_value_ranges_equal_pandas(spark, parts):
+    rng = np.random.default_rng(parts)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b"], 400), "v": rng.integers(0, 60, 400).astype(float), "i": range(400)})
+    df = panel.in_value_ranges(spark.createDataFrame(pdf), "v", ["g"], parts)
+    assert df.select("g", "_range").distinct().count() > 2
+    got = panel.ranked(spark.createDataFrame(pdf), "v", ["g"], "r", percent=True).toPandas().sort_values("i")
+    assert np.allclose(got.r, pdf.groupby("g").v.rank(pct=True))
+    worst = panel.worst_share(spark.createDataFrame(pdf), ["g"], "v", 0.1, "i").toPandas()
+    for g, own in pdf.groupby("g"):
+        top = own.sort_values(["v", "i"], ascending=[False, True]).head(round(0.1 * len(own)))
+        assert set(worst[worst.g == g].i) == set(top.i)
+
+
+def test_days_to_the_nearest_known_day(spark):
+    rows = [("z", d, d in (3, 20)) for d in (1, 3, 9, 12, 20, 28)] + [("y", 5, False)]
+    df = spark.createDataFrame([(z, date(2024, 1, d), k) for z, d, k in rows], "zone string, day date, known boolean")
+    got = {(r.zone, r.day.day): r.distance for r in temporal.days_to_nearest(df, ["zone"], "known").collect()}
+    assert got == {("z", 1): 2, ("z", 3): 0, ("z", 9): 6, ("z", 12): 8, ("z", 20): 0, ("z", 28): 8, ("y", 5): None}
+
+
+def _regression(spark, n=300, seed=2):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, 4)) * [1, 5, 0.2, 3] + [0, 2, 1, -4]
+    y = 3 + x @ [1.5, 0.0, 4.0, -0.5] + rng.normal(size=n)
+    pdf = pd.DataFrame(x, columns=list("abcd")).assign(y=y, fold=np.arange(n) % 5)
+    return pdf, spark.createDataFrame(pdf)
+
+
+@pytest.mark.parametrize("l1", [0.0, 0.5, 1.0])
+def test_cross_validation_from_sums_equals_fits_of_the_rows(spark, l1):
+    pdf, df = _regression(spark)
+    names, alphas = list("abcd"), [0.001, 0.1, 1.0, 5.0]
+
+    def plain(train, alpha):
+        """Proximal gradient steps on the rows."""
+        x, y = train[names].to_numpy(), train.y.to_numpy()
+        m, s = x.mean(0), x.std(0)
+        z, b = (x - m) / s, np.zeros(4)
+        for _ in range(4000):
+            b = b - 0.2 * (z.T @ (z @ b - (y - y.mean())) / len(y) + alpha * (1 - l1) * b)
+            b = np.sign(b) * np.maximum(np.abs(b) - 0.2 * alpha * l1, 0)
+        return y.mean() - m @ (b / s), b / s
+
+    def error(alpha):
+        total = 0.0
+        for k in range(5):
+            i, b = plain(pdf[pdf.fold != k], alpha)
+            test = pdf[pdf.fold == k]
+            total += ((test.y - i - test[names].to_numpy() @ b) ** 2).sum()
+        return total
+
+    model, alpha = models.cross_validated(df, names, alphas, l1)
+    assert alpha == min(alphas, key=error)
+    i, b = plain(pdf, alpha)
+    assert np.allclose(model.coefficients, b, atol=1e-5) and abs(model.intercept - i) < 1e-4
+
+
+def test_network_gradients_and_losses(spark):
+    pdf, df = _regression(spark)
+    rng = np.random.default_rng(0)
+    for loss, hidden in (("squared", 3), ("huber", 3), ("squared", 0)):
+        net = models.Network(list("abcd"), hidden=hidden, loss=loss)
+        x, y = rng.normal(size=(20, 4)), rng.normal(size=20)
+        w = rng.normal(size=sum(int(np.prod(s)) for s in net._shapes()))
+        value = lambda e: np.where(np.abs(e) < 1, e * e / 2, np.abs(e) - 0.5).sum() if loss == "huber" else (e * e / 2).sum()  # noqa: B023, E731
+
+        def predicted(w, net=net, x=x, hidden=hidden):
+            p = net._split(w)
+            return np.tanh(x @ p[0] + p[1]) @ p[2] + p[3] if hidden else x @ p[0] + p[1]
+
+        g = net._gradient(x, y, w)
+        for k in range(len(w)):
+            step = np.eye(len(w))[k] * 1e-6
+            assert abs((value(predicted(w + step) - y) - value(predicted(w - step) - y)) / 2e-6 - g[k]) < 1e-4
+    fitted = models.Network(list("abcd"), hidden=4, steps=30, rate=0.1).fit(df).predict(df).toPandas()
+    assert ((fitted.y - fitted.yhat) ** 2).mean() < 0.5 * pdf.y.var()
+    high = models.Network(list("abcd"), hidden=0, loss="quantile", level=0.9, steps=40, rate=0.1).fit(df).predict(df).toPandas()
+    assert 0.8 < (high.y <= high.yhat).mean() < 0.98
+
+
+def test_gram_pca_equals_an_eigenvalue_problem_of_the_rows(spark):
+    x = np.random.default_rng(3).normal(size=(6, 40))
+    got = spatial.gram_pca(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "k int, v array<double>"), "k", "v", 2).toPandas().sort_values("k")
+    c = (x - x.mean(0)) / (x - x.mean(0)).std()
+    u, s, _ = np.linalg.svd(c, full_matrices=False)
+    want = u[:, :2] * s[:2]
+    assert np.allclose(np.abs(got[["pc0", "pc1"]]), np.abs(want), atol=1e-8)
+    with pytest.raises(ValueError):
+        spatial.gram_pca(spark.createDataFrame([(i, [1.0]) for i in range(9)], "k int, v array<double>"), "k", "v", 1, most=8)
+
+
+def test_boxes_snap_to_cells_and_patches():
+    assert spatial.snap_box((41.2, 43.6, -74.2, -70.9), (40.0, -75.0), (0.5, 0.625)) == (2, 7, 1, 7)
+    assert spatial.snap_box((40.0, 41.5, -75.0, -73.125), (40.0, -75.0), (0.5, 0.625), 2) == (0, 3, 0, 3)
+    with pytest.raises(ValueError):
+        spatial.snap_box((40.0, 41.0, -75.0, -73.125), (40.0, -75.0), (0.5, 0.625), 2)
+
+
+def test_scans_stop_on_other_places_and_missing_files(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.json").write_text('{"id": 1, "place": "A"}\n{"id": 2\n{"id": 3, "place": "B"}\n')
+    index = spark.createDataFrame([("a", "A"), ("b", "B")], "path string, expected string")
+    good, bad = tables.driven_scan(spark, index, f"file://{tmp_path}", "id long, place string")
+    assert {(r.path, r.reason, r.n) for r in bad.collect()} == {("a", "unreadable record", 1), ("b", "no file", 1)} and good.count() == 2
+    with pytest.raises(Exception, match="a record of B in a file of A"):
+        good.select(tables.same_place(F.col("expected"), F.col("place"), F.col("id"))).collect()
+    with pytest.raises(ValueError):
+        tables.driven_scan(spark, index.filter("path = 'b'"), f"file://{tmp_path}", "id long, place string")
+
+
+def test_incomplete_keys_stop_and_empty_blocks_go(spark):
+    days = spark.createDataFrame([(1,), (2,), (3,)], "day int")
+    qc.require_complete(days, days, ["day"])
+    with pytest.raises(ValueError, match=r"\(2,\)"):
+        qc.require_complete(days, days.filter("day <> 2"), ["day"])
+    df = spark.createDataFrame([(1, None, None), (2, 3, None)], "k int, a int, b int")
+    left, gone = qc.drop_empty(df, {"first": ["a"], "second": ["b"]})
+    assert left.columns == ["k", "a"] and gone == ["second"]
+
+
+def test_fetching_tries_again_and_waits_as_asked(spark):
+    import http.server
+    import threading
+
+    from quaywise.sources import remote
+
+    answers, waits = {"/busy": [429, 503, 200], "/gone": [404], "/down": [500] * 9}, []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            left = answers[self.path]
+            status = left.pop(0) if len(left) > 1 else left[0]
+            self.send_response(status)
+            if status == 429:
+                self.send_header("Retry-After", "7")
+            self.end_headers()
+            self.wfile.write(b"body")
+
+        def log_message(self, *_):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert remote.fetch(f"{root}/busy", pause=0.5, sleep=waits.append) == b"body" and waits == [7.0, 1.0]
+        with pytest.raises(OSError):
+            remote.fetch(f"{root}/gone", sleep=waits.append)
+        assert len(waits) == 2
+        rows = remote.fetch_all(spark.createDataFrame([(f"{root}/busy",), (f"{root}/gone",)], "url string").coalesce(1)).collect()
+        assert [(bytes(r.body) if r.body else None, bool(r.error)) for r in rows] == [(b"body", False), (None, True)]
+        with pytest.raises(Exception, match="one after another"):
+            remote.fetch_all(spark.createDataFrame([(f"{root}/down",)] * 3, "url string").coalesce(1), most_failures=2, tries=1).collect()
+    finally:
+        server.shutdown()
+    asked = []
+    found = remote.first_day(lambda d: asked.append(d) or d >= date(2021, 5, 17), date(2015, 1, 1), date(2024, 12, 31))
+    assert found == date(2021, 5, 17) and len(asked) < 15
+    assert remote.first_day(lambda d: False, date(2020, 1, 1), date(2020, 2, 1)) is None
+
+
+def test_block_interval_covers_the_mean(spark):
+    df = spark.createDataFrame([("g", w, float(v)) for w, v in [(1, 1), (1, 3), (2, 5), (3, 3), (3, 1)]], "g string, w int, v double")
+    r = evaluate.block_interval(df, "w", "v", ["g"]).first()
+    sums, n = np.array([4.0, 5.0, 4.0]), np.array([2, 1, 2])
+    se = np.sqrt(((sums - 2.6 * n) ** 2).sum() * 3 / 2) / 5
+    assert abs(r["mean"] - 2.6) < 1e-12 and abs(r.hi - 2.6 - 1.959964 * se) < 1e-9 and r.blocks == 3
