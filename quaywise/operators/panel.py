@@ -111,10 +111,10 @@ def deseasonalised(value: str, by: list[str]) -> Column:
     return F.col(value) - F.avg(value).over(Window.partitionBy(*by))
 
 
-def consecutive_difference(value: str, by: list[str], day: str) -> Column:
-    """Difference to the row before, if that is exactly one day earlier."""
-    w = Window.partitionBy(*by).orderBy(day)
-    return F.when(F.datediff(F.col(day), F.lag(day).over(w)) == 1, F.col(value) - F.lag(value).over(w))
+def daily_difference(df: DataFrame, by: list[str], value: str, day: str, name: str) -> DataFrame:
+    """Adds the difference to the day before; null where that day is missing. Days of a key are unique."""
+    before = df.select(*by, F.date_add(day, 1).alias(day), F.col(value).alias("_before"))
+    return df.join(before, [*by, day], "left").withColumn(name, F.col(value) - F.col("_before")).drop("_before")
 
 
 def worst_share(df: DataFrame, by: list[str], value: str, share: float, key: str) -> DataFrame:

@@ -203,11 +203,11 @@ def evl4(spark, sf):
 
 @query("evl5_regimes", f"WITH {HARD}, rp AS (SELECT zone, day, m - lag(m) OVER (PARTITION BY zone ORDER BY day) AS dm FROM dd) SELECT lab.zone, CASE WHEN cold THEN 'cold' WHEN hot THEN 'hot' WHEN abs(dm) > 5 THEN 'ramp' ELSE 'normal' END AS regime, count(*) AS days FROM lab JOIN rp ON lab.zone = rp.zone AND lab.day = rp.day GROUP BY 1, 2")
 def evl5(spark, sf):
-    from ..operators.panel import consecutive_difference
+    from ..operators.panel import daily_difference
 
     h = ev.hard_days(split_panel(spark, sf), "y", ["zone"])
     days = h.groupBy("zone", "day").agg(F.avg("y").alias("m"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
-    days = days.withColumn("dm", consecutive_difference("m", ["zone"], "day"))
+    days = daily_difference(days, ["zone"], "m", "day", "dm")
     r = ev.regime(F.col("cold"), F.col("hot"), F.coalesce(F.abs("dm") > 5, F.lit(False)))
     return days.withColumn("regime", r).groupBy("zone", "regime").agg(F.count(F.lit(1)).alias("days"))
 

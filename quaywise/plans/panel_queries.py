@@ -589,7 +589,7 @@ def win4(spark, sf):
 @query("win5_daily_difference", f"WITH {D} SELECT zone, CAST(ts AS DATE) AS day, round(CASE WHEN date_diff('day', lag(ts) OVER w, ts) = 1 THEN y - lag(y) OVER w END, 3) AS dy FROM d WINDOW w AS (PARTITION BY zone ORDER BY ts)")
 def win5(spark, sf):
     d = daily(spark, sf).withColumn("day", F.to_date("ts"))
-    return rounded(d.select("zone", "day", pn.consecutive_difference("y", ["zone"], "day").alias("dy")), "dy", digits=3)
+    return rounded(pn.daily_difference(d.select("zone", "day", "y"), ["zone"], "y", "day", "dy").select("zone", "day", "dy"), "dy", digits=3)
 
 
 @query("win6_gap_lengths", f"WITH {D} SELECT zone, CAST(ts AS DATE) AS day, CAST(date_diff('day', lag(ts) OVER (PARTITION BY zone ORDER BY ts), ts) AS INT) AS gap FROM d")
