@@ -22,10 +22,13 @@ def cells_in_boxes(cells: DataFrame, boxes: DataFrame) -> DataFrame:
 
 
 def nearest_index(points: DataFrame, axis: DataFrame, coordinate: str, name: str) -> DataFrame:
-    """Adds the index of the nearest axis value to each point; the first of equal ones. Points and axes are dictionaries."""
-    distance = F.abs(F.col(coordinate) - F.col("value"))
-    pairs = points.join(F.broadcast(axis), F.lit(True))
-    return pairs.groupBy(*points.columns).agg(F.min_by("index", F.struct(distance, F.col("index"))).alias(name))
+    """Adds the index of the nearest value of an axis (index, value) to each point; the first of equal ones.
+
+    The axis is a grid's, some hundred values: it travels as one row with an array.
+    """
+    held = axis.agg(F.collect_list(F.struct("index", "value")).alias("_axis"))  # one row
+    nearest = F.array_min(F.transform("_axis", lambda a: F.struct(F.abs(F.col(coordinate) - a["value"]).alias("d"), a["index"].alias("i"))))["i"]
+    return points.crossJoin(F.broadcast(held)).withColumn(name, nearest).drop("_axis")
 
 
 def patch_window(df: DataFrame, row: int, column: int, size: int, rows: int, columns: int) -> DataFrame:

@@ -41,14 +41,18 @@ def split_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def prediction_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Test rows of two baselines: (zone, ts, y, feature_set, yhat)."""
-    from ..operators.models import training_mean
+    """Test rows of two baselines: (zone, ts, y, feature_set, yhat).
 
+    Both training means come from one aggregate: sums by zone and hour, then a row a zone that
+    holds the mean of all hours and a map of the 24 hourly ones.
+    """
     p = split_panel(spark, sf_dir).withColumn("hr", F.hour("ts"))
-    a = training_mean(p, ["zone", "hr"]).withColumn("feature_set", F.lit("climatology"))
-    b = training_mean(p, ["zone"]).withColumn("feature_set", F.lit("mean"))
-    columns = ["zone", "ts", "y", "feature_set", "yhat"]
-    return a.filter("split = 'test'").select(*columns).unionByName(b.filter("split = 'test'").select(*columns))
+    sums = p.filter("split = 'train'").groupBy("zone", "hr").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    hours = F.map_from_entries(F.collect_list(F.struct("hr", F.try_divide("s", "n"))))
+    means = sums.groupBy("zone").agg(hours.alias("hours"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"))
+    test = p.filter("split = 'test'").join(means, "zone", "left")
+    arms = F.array(*[F.struct(F.lit(n).alias("feature_set"), x.alias("yhat")) for n, x in (("climatology", F.try_element_at("hours", F.col("hr"))), ("mean", F.col("mean")))])
+    return test.select("zone", "ts", "y", F.explode(arms).alias("arm")).select("zone", "ts", "y", "arm.*")
 
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:

@@ -270,7 +270,7 @@ def arr2(spark, sf):
 def arr3(spark, sf):
     cells = _cells(spark, sf)
     inside = sx.cells_in_boxes(cells.select("row", "col", "lat", "lon").distinct(), _boxes(spark))
-    return rounded(cells.join(F.broadcast(inside.select("row", "col", "box")), ["row", "col"]).groupBy("box").agg(F.avg("value").alias("mean")), "mean")
+    return rounded(cells.join(inside.select("row", "col", "box"), ["row", "col"]).groupBy("box").agg(F.avg("value").alias("mean")), "mean")
 
 
 @query("arr4_speed_of_means", f"WITH {CELLS}, {BOX_SQL} SELECT box, round(sqrt(power(avg(value), 2) + power(avg(value - 20), 2)), 6) AS speed FROM c JOIN b ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY 1")
@@ -326,7 +326,7 @@ def arr12(spark, sf):
     x = table(spark, sf, "embeddings").select(F.posexplode("embedding").alias("channel", "v")).withColumn("v", F.col("v").cast("double"))
     m = x.groupBy("channel").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))  # a row a channel
     z = F.avg(F.abs((F.col("v") - F.col("mu")) / F.col("sd")))
-    return rounded(x.join(F.broadcast(m), "channel").groupBy("channel").agg(z.alias("mean_abs_z"), (z <= 20).alias("ok")), "mean_abs_z", digits=5)
+    return rounded(x.join(m, "channel").groupBy("channel").agg(z.alias("mean_abs_z"), (z <= 20).alias("ok")), "mean_abs_z", digits=5)
 
 
 @query("arr13_pca_share")
