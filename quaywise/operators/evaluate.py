@@ -2,24 +2,41 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .panel import exact_quantile
+
 
 def errors(y: str = "y", yhat: str = "yhat") -> list[Column]:
-    """n, mae, median_ae, rmse, r2, bias of a group."""
+    """n, mae, median_ae, rmse, r2, bias of a group whose errors a task can hold."""
+    e = F.col(yhat) - F.col(y)
+    return [*_sums(y, yhat), F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae")]
+
+
+def _sums(y: str, yhat: str) -> list[Column]:
     e = F.col(yhat) - F.col(y)
     return [
         F.count(e).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
-        F.percentile(F.abs(e), F.lit(0.5)).alias("median_ae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.sum(e * e) / F.nullif(F.count(e) * F.var_pop(F.when(e.isNotNull(), F.col(y))), F.lit(0.0))).alias("r2"),
         F.avg(e).alias("bias"),
     ]
 
 
+def errors_by(df: DataFrame, by: list[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
+    """The errors of groups of any size: the median comes from ranks inside ranges of values, not from all rows of a group at once."""
+    sums = df.groupBy(*by).agg(*_sums(y, yhat))
+    median = exact_quantile(df.withColumn("_ae", F.abs(F.col(yhat) - F.col(y))), "_ae", by, 0.5, "median_ae")
+    same = reduce(and_, [F.col(f"s.{k}").eqNullSafe(F.col(f"m.{k}")) for k in by])
+    return sums.alias("s").join(median.alias("m"), same, "left").select("s.*", "median_ae")
+
+
 def mape(df: DataFrame, zone: str, by: list[str], y: str = "y", yhat: str = "yhat") -> DataFrame:
     """Unweighted mean over zones of each zone's mean absolute percentage error."""
     zones = df.groupBy(*by, zone).agg((100 * F.avg(F.abs(F.try_divide(F.col(yhat) - F.col(y), F.col(y))))).alias("_m"))
@@ -43,7 +60,7 @@ def regime(cold: Column, hot: Column, ramp: Column) -> Column:
 def by_condition(df: DataFrame, conditions: dict[str, Column], by: list[str]) -> DataFrame:
     """Errors of each group under each condition; a row counts under every condition that it meets."""
     tags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
-    return df.withColumn("condition", F.explode(tags)).groupBy(*by, "condition").agg(*errors())
+    return df.withColumn("condition", F.explode(tags)).transform(errors_by, [*by, "condition"])
 
 
 def paired(log: DataFrame, key: list[str], arms: tuple[str, str], arm: str = "feature_set", y: str = "y", yhat: str = "yhat") -> DataFrame:

@@ -52,8 +52,8 @@ def percent_rank_average(value: str, by: list[str]) -> Column:
 
 
 def in_value_ranges(df: DataFrame, value: str, by: list[str], parts: int = 64) -> DataFrame:
-    """Adds ``_range`` (0, 1, ... in rising order of value, nulls first), ``_below`` (rows of the
-    group in lower ranges) and ``_size`` (rows of the group).
+    """Adds ``_range`` (0, 1, ... in rising order of value, nulls first), ``_here`` (rows of the
+    range), ``_below`` (rows of the group in lower ranges) and ``_size`` (rows of the group).
 
     The edges are approximate quantiles, a row a group; what is counted from them is exact
     wherever they lie. So ranks of a large group are windows over its ranges, not over it.
@@ -65,15 +65,31 @@ def in_value_ranges(df: DataFrame, value: str, by: list[str], parts: int = 64) -
     placed = df.alias("d").join(edges.alias("e"), reduce(and_, same("d", "e"), F.lit(True))).select("d.*", F.expr("aggregate(_edges, 0, (n, e) -> n + if(_number > e, 1, 0))").alias("_range"))
     sizes = placed.groupBy(*by, "_range").agg(F.count(F.lit(1)).alias("_n"))
     whole = Window.partitionBy(*by)
-    sizes = sizes.select(*by, "_range", (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_below"), F.sum("_n").over(whole).alias("_size"))
+    sizes = sizes.select(*by, "_range", F.col("_n").alias("_here"), (F.sum("_n").over(whole.orderBy("_range")) - F.col("_n")).alias("_below"), F.sum("_n").over(whole).alias("_size"))
     key = reduce(and_, same("p", "s"), F.col("p._range") == F.col("s._range"))
-    return placed.alias("p").join(sizes.alias("s"), key).select("p.*", "_below", "_size").drop("_number")
+    return placed.alias("p").join(sizes.alias("s"), key).select("p.*", "_here", "_below", "_size").drop("_number")
 
 
 def ranked(df: DataFrame, value: str, by: list[str], name: str, percent: bool = False) -> DataFrame:
     """Average ranks (``percent``: over the group's size) of groups of any size."""
     rank = F.col("_below") + average_rank(value, [*by, "_range"])
-    return in_value_ranges(df, value, by).withColumn(name, rank / F.col("_size") if percent else rank).drop("_range", "_below", "_size")
+    return in_value_ranges(df, value, by).withColumn(name, rank / F.col("_size") if percent else rank).drop("_range", "_here", "_below", "_size")
+
+
+def exact_quantile(df: DataFrame, value: str, by: list[str], q: float, name: str) -> DataFrame:
+    """(by, name): the exact quantile of groups of any size, linear between neighbours; nulls don't count.
+
+    Only the ranges of values that hold the wanted ranks are sorted.
+    """
+    placed = in_value_ranges(df.select(*by, value).filter(F.col(value).isNotNull()), value, by)
+    at = F.lit(q) * (F.col("_size") - 1)
+    low, high = F.floor(at), F.ceil(at)
+    near = placed.filter((F.col("_below") <= high) & (F.col("_below") + F.col("_here") > low))
+    place = F.col("_below") + F.row_number().over(Window.partitionBy(*by, "_range").orderBy(value)) - 1
+    ends = near.withColumn("_place", place).groupBy(*by).agg(
+        F.max(F.when(F.col("_place") == low, F.col(value))).alias("_a"), F.max(F.when(F.col("_place") == high, F.col(value))).alias("_z"), F.max(at - low).alias("_share")
+    )
+    return ends.select(*by, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_share")).alias(name))
 
 
 def in_time_buckets(df: DataFrame, seconds: int, wide: int = 16) -> DataFrame:
@@ -122,7 +138,7 @@ def worst_share(df: DataFrame, by: list[str], value: str, share: float, key: str
     w = Window.partitionBy(*by, "_range")
     from_top = F.col("_size") - F.col("_below") - F.count(F.lit(1)).over(w) + F.row_number().over(w.orderBy(F.desc(value), key))
     placed = in_value_ranges(df, value, by).withColumn("_place", from_top)
-    return placed.filter(F.col("_place") <= F.bround(F.lit(share) * F.col("_size"), 0)).drop("_range", "_below", "_size", "_place")
+    return placed.filter(F.col("_place") <= F.bround(F.lit(share) * F.col("_size"), 0)).drop("_range", "_here", "_below", "_size", "_place")
 
 
 def pivot_strict(df: DataFrame, key: list[str], column: str, value: str, values: list) -> DataFrame:

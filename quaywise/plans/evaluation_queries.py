@@ -21,7 +21,7 @@ WEEK = "concat(CAST(isoyear(ts) AS VARCHAR), '-', CAST(week(ts) AS VARCHAR))"
 @query("flagship_errors_by_zone", f"WITH {M} SELECT feature_set, zone, {ERR} FROM log GROUP BY 1, 2")
 def flagship(spark, sf):
     """Hourly panel, blocked split, training-only models, errors by zone."""
-    return rounded(prediction_log(spark, sf).groupBy("feature_set", "zone").agg(*ev.errors()), *ERRS)
+    return rounded(ev.errors_by(prediction_log(spark, sf), ["feature_set", "zone"]), *ERRS)
 
 
 def _split_counts(df):
@@ -113,7 +113,7 @@ FEATURES = ["lag24", "lag48", "hour", "dow"]
 @query("mod6_ridge_validated")
 def mod6(spark, sf):
     p = mo.ridge_by_validation(_features(spark, sf), FEATURES, [0.0, 1.0, 10.0, 100.0])
-    return p.filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return p.filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 def _folds(spark, sf):
@@ -123,19 +123,19 @@ def _folds(spark, sf):
 @query("mod6_ridge_cv")
 def mod6_ridge_cv(spark, sf):
     model, _ = mo.cross_validated(_folds(spark, sf), FEATURES, [0.0, 0.001, 0.01, 0.1, 1.0])
-    return model.predict(_features(spark, sf)).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return model.predict(_features(spark, sf)).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod6_elastic_net_cv")
 def mod6_elastic_net_cv(spark, sf):
     model, _ = mo.cross_validated(_folds(spark, sf), FEATURES, [0.001, 0.01, 0.1, 1.0], l1=0.5)
-    return model.predict(_features(spark, sf)).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return model.predict(_features(spark, sf)).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod7_network")
 def mod7(spark, sf):
     p = _features(spark, sf)
-    return mo.Network(FEATURES, hidden=6, steps=12).fit(p.filter("split = 'train'")).predict(p).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return mo.Network(FEATURES, hidden=6, steps=12).fit(p.filter("split = 'train'")).predict(p).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod3_quantile")
@@ -147,24 +147,24 @@ def mod3_quantile(spark, sf):
 
 @query("mod1_boosted_trees")
 def mod1(spark, sf):
-    return mo.boosted_trees(_features(spark, sf), FEATURES, trees=5, depth=3).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return mo.boosted_trees(_features(spark, sf), FEATURES, trees=5, depth=3).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod4_early_stopping")
 def mod4(spark, sf):
-    return mo.boosted_trees(_features(spark, sf), FEATURES, trees=8, depth=3, validation=True).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return mo.boosted_trees(_features(spark, sf), FEATURES, trees=8, depth=3, validation=True).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod8_residual_head")
 def mod8(spark, sf):
     p = sp.month_folds(_features(spark, sf).withColumn("day", F.to_date("ts"))).withColumn("fold", F.pmod(F.day("ts"), F.lit(5)))
-    return mo.residual_head(p, ["hour", "dow"], ["lag24", "lag48"]).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return mo.residual_head(p, ["hour", "dow"], ["lag24", "lag48"]).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod9_stacking")
 def mod9(spark, sf):
     p = _features(spark, sf).withColumn("fold", F.pmod(F.day("ts"), F.lit(5)))
-    return mo.stacked(p, ["hour", "dow"], ["lag24", "lag48"]).filter("split = 'test'").groupBy("zone").agg(*ev.errors())
+    return mo.stacked(p, ["hour", "dow"], ["lag24", "lag48"]).filter("split = 'test'").transform(ev.errors_by, ["zone"])
 
 
 @query("mod12_feature_lattice")
@@ -175,7 +175,7 @@ def mod12(spark, sf):
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.groupBy("feature_set").agg(*ev.errors())
+    return out.transform(ev.errors_by, ["feature_set"])
 
 
 @query("evl2_mape", f"WITH {M}, z AS (SELECT feature_set, zone, 100 * avg(abs((yhat - y) / y)) AS m FROM log GROUP BY 1, 2) SELECT feature_set, round(avg(m), 6) AS mape, count(*) AS zones FROM z GROUP BY 1")
@@ -372,7 +372,7 @@ def tim13(spark, sf):
 def mod2(spark, sf):
     p = _features(spark, sf)
     model = mo.fit_trees(p.filter("split = 'train'"), ["lag24", "hour"], ["zone"], trees=3, depth=3)
-    return model.transform(p.filter("split = 'test'")).groupBy("zone").agg(*ev.errors())
+    return model.transform(p.filter("split = 'test'")).transform(ev.errors_by, ["zone"])
 
 
 @query("mod3_losses")
@@ -381,7 +381,7 @@ def mod3(spark, sf):
     train, test = p.filter("split = 'train'"), p.filter("split = 'test'")
     absolute = mo.fit_trees(train, FEATURES, [], trees=3, depth=3, loss="absolute").transform(test).select("zone", "y", "yhat", F.lit("absolute").alias("loss"))
     robust = mo.huber(train, FEATURES).transform(test).select("zone", "y", "yhat", F.lit("huber").alias("loss"))
-    return absolute.unionByName(robust).groupBy("loss", "zone").agg(*ev.errors())
+    return absolute.unionByName(robust).transform(ev.errors_by, ["loss", "zone"])
 
 
 @query("mod5_staged_errors")

@@ -373,3 +373,13 @@ def test_block_interval_covers_the_mean(spark):
     sums, n = np.array([4.0, 5.0, 4.0]), np.array([2, 1, 2])
     se = np.sqrt(((sums - 2.6 * n) ** 2).sum() * 3 / 2) / 5
     assert abs(r["mean"] - 2.6) < 1e-12 and abs(r.hi - 2.6 - 1.959964 * se) < 1e-9 and r.blocks == 3
+
+
+def test_exact_quantiles_of_large_groups_equal_numpy(spark):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", None], 700), "v": np.round(rng.normal(size=700), 2)})
+    pdf.loc[::50, "v"] = np.nan
+    df = spark.createDataFrame([(g, None if v != v else float(v)) for g, v in pdf.itertuples(index=False)], "g string, v double")
+    for q in (0.0, 0.3, 0.5, 0.99, 1.0):
+        got = {r.g: r.q for r in panel.exact_quantile(df, "v", ["g"], q, "q").collect()}
+        assert len(got) == 3 and all(abs(got[g] - np.quantile(own.v.dropna(), q)) < 1e-9 for g, own in pdf.groupby("g", dropna=False) for g in [None if g != g else g])
