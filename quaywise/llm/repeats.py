@@ -14,14 +14,15 @@ key, and a manifest of them. It holds
 * text runs: the digest of a text of 50 words or more, and the first document with it;
 * anchor runs: an anchor with its context and first document while it has only one
   context, and a mark that it is mixed from the second context on;
-* window runs: the digest of each window on a mixed anchor, and its first document.
+* window runs: the digest of each window on a mixed anchor, and of each span of ``SPAN``
+  neighbouring ones, and its first document.
 
 A batch of documents with ids above all before it is merge-joined with the runs: its rows
 are shuffled and sorted, the history is neither. Whole copies of a known text go at once
 and are not looked at further. Where an anchor has only one context, what comes later with
 that context goes. Where it becomes mixed, its candidates are verified against the stored
-texts: the windows of each context's first document are digested one by one, looked up and
-remembered. Digests are 128 bits of BLAKE2b over the bytes of the words, 160 bits for whole
+texts: the windows of each context's first document are digested, looked up and remembered,
+first whole spans of them, then one by one those of spans that are new. Digests are 128 bits of BLAKE2b over the bytes of the words, 160 bits for whole
 texts, and decide what is equal; the 64-bit anchors only find candidates.
 
 After each batch runs of like size are compacted, by a merge join of two runs, and a new
@@ -50,6 +51,8 @@ from .textbytes import Runs, chunks, join_words, ragged, signed, span_hashes, wo
 WINDOW = 50
 GRAM = 12
 BATCHES = 3
+#: Windows on one anchor that are compared at once, those that begin at the same distance from it.
+SPAN = 8
 
 
 def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
@@ -203,7 +206,8 @@ class FingerprintIndex:
     def add(self, batch: DataFrame, store: DataFrame, work: Workspace) -> DataFrame:
         """(doc_id, row, place, nth) of what goes from a batch of (doc_id, row, text).
 
-        place -1: the whole text; nth -1: all windows on the anchor at that place; else one of them.
+        place -1: the whole text; nth -1: all windows on the anchor at that place; else windows
+        among them, as the first's number + 256 times how many.
         """
         sketches = work.table(sketch(batch), "sketches")
         copies, texts = self._copies(sketches, work)
@@ -263,25 +267,43 @@ class FingerprintIndex:
         return hits
 
     def _windows(self, classes: DataFrame, anchors: DataFrame, store: DataFrame, work: Workspace) -> tuple[DataFrame, DataFrame]:
-        """Single windows of the batch that stand in a smaller document, and the windows that are new to the runs.
+        """Windows of the batch that stand in a smaller document, and what is new to the runs.
 
         Looked at are the windows on mixed anchors of each context's first document in the
         batch, and those of the one historical document of anchors that have just become mixed.
+        A span of windows that is known goes as one row; the windows of a new span are looked
+        up for the first document that has it.
         """
         mixed = anchors.filter("mixed")
         new = classes.join(mixed.select("anchor").hint("merge"), "anchor").select(F.col("first_id").alias("doc_id"), "anchor", F.lit(True).alias("new"))
         old = mixed.filter("not past_mixed and past_first is not null").select(F.col("past_first").alias("doc_id"), "anchor", F.lit(False).alias("new"))
         wanted = work.table(new.unionByName(old).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.max("new").alias("new")), "wanted")
-        windows = work.table(_locate(store.join(wanted.hint("merge"), "doc_id").select("doc_id", "row", "text", "anchors", "new")), "windows")
-        own = windows.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-        known = self.lookup(own, "windows").withColumn("past_id", self._past("windows", "first_id", F.least))
-        known = work.table(known.select("window", "first_id", "last_id", "past_id", F.least("past_id", "first_id").alias("least")), "known")
+        spans = work.table(_locate(store.join(wanted.hint("merge"), "doc_id").select("doc_id", "row", "text", "anchors", "new")), "spans")
+        head = F.min(F.struct("doc_id", "row", "place", "nth", "new", "windows")).alias("head")
+        known = self._known(spans.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), head), work)
+        whole = self._repeated(spans, known, F.col("nth") + F.shiftleft(F.size("windows"), 8), work)
+        heads = known.filter("past_id is null").select("head.*")
+        single = heads.select("doc_id", "row", "place", "nth", "new", F.posexplode("windows").alias("k", "window"))
+        single = work.table(single.select("window", "doc_id", "row", "place", (F.col("nth") + F.col("k")).alias("nth"), "new"), "windows")
+        seen = self._known(single.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")), work)
+        singles = self._repeated(single, seen, F.col("nth") + 256, work)
+        fresh = seen.filter("past_id is null").select("window", "first_id").unionByName(known.filter("past_id is null and size(head.windows) > 1").select("window", "first_id"))
+        fresh = work.table(fresh, "fresh")
+        both = work.table(whole.unionByName(singles), "singles")
+        work.drop(wanted, spans, known, single, seen, whole, singles)
+        return both, fresh
+
+    def _known(self, own: DataFrame, work: Workspace) -> DataFrame:
+        """Digests with the first document that has each, in the batch and before."""
+        found = self.lookup(own, "windows").withColumn("past_id", self._past("windows", "first_id", F.least))
+        return work.table(found.select(*own.columns, "past_id", F.least("past_id", "first_id").alias("least")), "known")
+
+    @staticmethod
+    def _repeated(rows: DataFrame, known: DataFrame, nth: F.Column, work: Workspace) -> DataFrame:
+        """The batch's rows whose digest stands in a smaller document."""
         repeated = known.filter("least < last_id").select("window", "least")
-        singles = windows.filter("new").join(repeated.hint("merge"), "window").filter("least < doc_id").select("doc_id", "row", "place", "nth")
-        singles = work.table(singles, "singles")
-        fresh = work.table(known.filter("past_id is null").select("window", "first_id"), "fresh")
-        work.drop(wanted, windows, known)
-        return singles, fresh
+        hits = rows.filter("new").join(repeated.hint("merge"), "window").filter("least < doc_id")
+        return work.table(hits.select("doc_id", "row", "place", nth.cast("int").alias("nth")), "repeated")
 
     def _append(self, news: dict[str, DataFrame], work: Workspace) -> None:
         """Write the new rows of each kind as a run, compact, then the manifest; old runs go last."""
@@ -324,8 +346,10 @@ class FingerprintIndex:
         return path, self.spark.table(name).count()
 
 
-def _locate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
-    """(window, doc_id, row, place, nth, new) of the windows on the given anchors of each (doc_id, row, text, anchors, new)."""
+def _locate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, span: int = SPAN) -> DataFrame:
+    """(window, windows, doc_id, row, place, nth, new) of the windows on the given anchors of each
+    (doc_id, row, text, anchors, new): a row a span of windows with its digest and theirs; ``nth``
+    is the first one's number on its anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -343,13 +367,17 @@ def _locate(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                     group, nth = ragged(a.count[pick[low : low + 20_000]])
                     k = pick[low : low + 20_000][group]
                     begin = a.window_starts[a.low[k] + nth]
-                    owner = pa.array(a.owner[a.at[k]] + lo)
+                    place = (a.at[k] - begin) // span
+                    edge = np.flatnonzero(np.r_[True, (group[1:] != group[:-1]) | (place[1:] != place[:-1])])
+                    last = np.append(edge[1:], len(begin)) - 1
+                    owner = pa.array(a.owner[a.at[k[edge]]] + lo)
+                    windows = pa.ListArray.from_arrays(pa.array(np.append(edge, len(begin)).astype(np.int32)), pa.array(a.digests(begin, begin + window), pa.binary()))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(a.digests(begin, begin + window), pa.binary()), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(a.places()[k].astype(np.int32)), pa.array(nth.astype(np.int32)), batch.column(4).take(owner)],
-                        ["window", "doc_id", "row", "place", "nth", "new"],
+                        [pa.array(a.digests(begin[edge], begin[last] + window), pa.binary()), windows, batch.column(0).take(owner), batch.column(1).take(owner), pa.array(a.places()[k[edge]].astype(np.int32)), pa.array(nth[edge].astype(np.int32)), batch.column(4).take(owner)],
+                        ["window", "windows", "doc_id", "row", "place", "nth", "new"],
                     )
 
-    return docs.mapInArrow(run, "window binary, doc_id long, row long, place int, nth int, new boolean")
+    return docs.mapInArrow(run, "window binary, windows array<binary>, doc_id long, row long, place int, nth int, new boolean")
 
 
 def _keep_masks(a: Anchors, places: pa.ListArray, nths: pa.ListArray) -> np.ndarray:
@@ -364,8 +392,9 @@ def _keep_masks(a: Anchors, places: pa.ListArray, nths: pa.ListArray) -> np.ndar
         text, place, nth = (x[place >= 0] for x in (text, place, nth))
     if len(text):
         k = np.searchsorted(a.at, a.first[text] + place)
-        begin = a.window_starts[a.low[k] + np.maximum(nth, 0)]
-        end = np.where(nth < 0, a.window_starts[a.low[k] + a.count[k] - 1], begin) + a.window
+        first = a.low[k] + np.where(nth < 0, 0, nth & 255)
+        last = np.where(nth < 0, a.low[k] + a.count[k], first + (nth >> 8)) - 1
+        begin, end = a.window_starts[first], a.window_starts[last] + a.window
         np.add.at(covered, begin, 1)
         np.add.at(covered, end, -1)
     return np.cumsum(covered)[: len(a.starts)] == 0
