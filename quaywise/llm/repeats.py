@@ -29,7 +29,8 @@ After each batch runs of like size are compacted, by a merge join of two runs, a
 manifest is written before old runs are deleted. ``FingerprintIndex.open`` carries on where
 an earlier session stopped. An anchor in a third of all documents is one row a run; its
 contexts and windows are keyed by their own digests, so no key gathers them. Joins of tables
-that grow with the documents shuffle at every size.
+that grow with the documents shuffle at every size; where texts meet what is known of them,
+by ids that are in no two rows of it, the texts are hashed and not sorted.
 """
 
 from __future__ import annotations
@@ -278,7 +279,7 @@ class FingerprintIndex:
         new = classes.join(mixed.select("anchor").hint("merge"), "anchor").select(F.col("first_id").alias("doc_id"), "anchor", F.lit(True).alias("new"))
         old = mixed.filter("not past_mixed and past_first is not null").select(F.col("past_first").alias("doc_id"), "anchor", F.lit(False).alias("new"))
         wanted = work.table(new.unionByName(old).groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.max("new").alias("new")), "wanted")
-        spans = work.table(_locate(store.join(wanted.hint("merge"), "doc_id").select("doc_id", "row", "text", "anchors", "new")), "spans")
+        spans = work.table(_locate(store.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "row", "text", "anchors", "new")), "spans")
         head = F.min(F.struct("doc_id", "row", "place", "nth", "new", "windows")).alias("head")
         known = self._known(spans.groupBy("window").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), head), work)
         whole = self._repeated(spans, known, F.col("nth") + F.shiftleft(F.size("windows"), 8), work)
@@ -451,7 +452,7 @@ def remove_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     gone = find_repeats(docs, batches).select(*(F.col(c).alias(f"__gone_{c}") for c in ("doc_id", "row", "places", "nths")))
     columns = docs.columns
     same = (F.col("doc_id").cast("long") == F.col("__gone_doc_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("__gone_row"))
-    joined = docs.join(gone.hint("merge"), same, "left").select(*columns, "__gone_places", "__gone_nths")
+    joined = docs.join(gone.hint("shuffle_hash"), same, "left").select(*columns, "__gone_places", "__gone_nths")
     at = columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -503,7 +504,7 @@ def repeats_report(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
 
 def apply_report(texts: DataFrame, gone: DataFrame) -> DataFrame:
     """n_words, n_removed and kept_sha256 of (doc_id, row, text), given the rows of find_repeats."""
-    joined = texts.join(gone.hint("merge"), ["doc_id", "row"], "left").select("doc_id", "text", "places", "nths")
+    joined = texts.join(gone.hint("shuffle_hash"), ["doc_id", "row"], "left").select("doc_id", "text", "places", "nths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
