@@ -37,8 +37,8 @@ STATES = 8
 TOP = 2_000
 TAILS = 1_024
 LOCAL = 1 << 17
-BLOCK = 256
-PASSES = 6
+BLOCK = 2048
+PASSES = 4
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +193,7 @@ class HiddenMarkov:
         lo = 0
         while lo < len(ordered):
             # long sequences are few at a time, so that what a group holds is bounded by the longest one of it
-            n = max(16, min(2048, 400_000 // len(ordered[lo])))
+            n = max(16, min(2048, 800_000 // len(ordered[lo])))
             total += self._group(ordered[lo : lo + n])
             lo += n
         return total
@@ -218,20 +218,24 @@ class HiddenMarkov:
 
         likelihood, a = 0.0, None
         before: list[np.ndarray | None] = []
+        kept: list[tuple[np.ndarray, np.ndarray]] = []
         for t in range(long):
             if t % BLOCK == 0:
                 before.append(a)
+                kept = []
             a, c = forward(t, a)
+            kept.append((a, c))
             likelihood += float(np.log(c).sum())
         beta = np.ones((n, s))
         states = np.arange(s)
         starts = np.zeros(s)
         for k in range(len(before) - 1, -1, -1):
             lo, hi = k * BLOCK, min(long, (k + 1) * BLOCK)
-            a, kept = before[k], []
-            for t in range(lo, hi):
-                a, c = forward(t, a)
-                kept.append((a, c))
+            if k < len(before) - 1:  # the last block's messages are there from the way forward
+                a, kept = before[k], []
+                for t in range(lo, hi):
+                    a, c = forward(t, a)
+                    kept.append((a, c))
             seen, weight = [], []
             for t in range(hi - 1, lo - 1, -1):
                 a, c = kept[t - lo]
