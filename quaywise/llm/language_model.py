@@ -37,7 +37,7 @@ STATES = 8
 TOP = 2_000
 TAILS = 1_024
 LOCAL = 1 << 17
-BLOCK = 2048
+BLOCK = 1024
 PASSES = 4
 
 
@@ -193,7 +193,7 @@ class HiddenMarkov:
         lo = 0
         while lo < len(ordered):
             # long sequences are few at a time, so that what a group holds is bounded by the longest one of it
-            n = max(16, min(2048, 800_000 // len(ordered[lo])))
+            n = max(4, min(1024, 128_000 // len(ordered[lo])))
             total += self._group(ordered[lo : lo + n])
             lo += n
         return total
@@ -299,8 +299,8 @@ def baum_welch_pass(train: DataFrame, model: HiddenMarkov) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = sent.value, None
         for batch in batches:
-            if batch.num_rows:
-                observed, first = _joined(batch.column(0))
+            for lo in range(0, batch.num_rows, 4096):
+                observed, first = _joined(batch.column(0).slice(lo, 4096))
                 counts = own.expected([observed[a:b] for a, b in zip(first[:-1], first[1:])])
                 total = counts if total is None else total + counts
         if total is not None:
