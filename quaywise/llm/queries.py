@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .alignment import op12_alignment
 from .encoding import op6_bpe
 from .fingerprints import op1_fingerprints
 from .langid import op4_langid
 from .language_model import op2_lm
+from .lines import op13_lines
 from .media import op7_media
 from .neardup import op8_neardup
 from .packing import op9_packing
@@ -28,6 +30,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_packing": op9_packing,
     "op10_repeats": op10_repeats,
+    "op12_alignment": op12_alignment,
+    "op13_lines": op13_lines,
 }
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
@@ -50,4 +54,11 @@ gone AS (SELECT DISTINCT win.doc_id, win.i + k.k AS i FROM win JOIN f ON win.h =
 u AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS i FROM w),
 kept AS (SELECT u.doc_id, count(*) AS n, string_agg(u.x, ' ' ORDER BY u.i) AS t FROM u LEFT JOIN gone ON gone.doc_id = u.doc_id AND gone.i = u.i WHERE gone.i IS NULL GROUP BY 1)
 SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id""",
+    "op13_lines": """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+u AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM l),
+k AS (SELECT doc_id, i, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM u),
+f AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT k.doc_id, count(*) AS n_lines, count(*) FILTER (WHERE keeper <> k.doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE keeper IS NULL OR keeper = k.doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f ON k.key = f.key GROUP BY k.doc_id""",
 }

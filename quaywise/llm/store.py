@@ -16,14 +16,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: The folder of each local application that names none.
+_LOCAL: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a local temporary one only when unset and local."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    app = spark.sparkContext.applicationId
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _LOCAL.get(app)
     if not found:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="quaywise-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        # the setting can't be changed in a running session, so the folder is remembered here
+        found = _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="quaywise-")
         atexit.register(_remove_local, found.removeprefix("file://"))
     return found.rstrip("/")
 
@@ -91,6 +96,12 @@ class Workspace:
         p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with the store it is in, for readers outside Spark."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toUri().toString()
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
