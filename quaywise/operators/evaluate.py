@@ -5,7 +5,6 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +56,27 @@ def regime(cold: Column, hot: Column, ramp: Column) -> Column:
     return F.when(cold, "cold").when(hot, "hot").when(ramp, "ramp").otherwise("normal")
 
 
+def daily_regimes(samples: DataFrame, by: list[str], value: str, years: DataFrame, least: int = 6, tail: float = 0.1) -> DataFrame:
+    """(by, test_year, day, mean, max, swing, regime): every day's regime as seen from each test year of ``years`` (test_year).
+
+    A day needs ``least`` samples. Its swing is the absolute change of the mean from the day
+    before, null if that isn't there. Thresholds are exact quantiles over the days of the years
+    before the test year: cold means at most the lower tail, hot maxima and swings at least the
+    upper one. A test year without earlier days has normal days only.
+    """
+    from .panel import daily_difference
+
+    days = samples.groupBy(*by, F.to_date("ts").alias("day")).agg(F.avg(value).alias("mean"), F.max(value).alias("max"), F.count(value).alias("_n")).filter(F.col("_n") >= least).drop("_n")
+    days = daily_difference(days, by, "mean", "day", "swing").withColumn("swing", F.abs("swing"))
+    seen = days.crossJoin(F.broadcast(years.select("test_year").distinct()))  # some test years
+    past = seen.filter(F.year("day") < F.col("test_year"))
+    keys = [*by, "test_year"]
+    # a day's row a group: a calendar's, however many samples there are
+    limits = past.groupBy(*keys).agg(*[F.percentile(c, F.lit(q)).alias(n) for n, c, q in (("_cold", "mean", tail), ("_hot", "max", 1 - tail), ("_ramp", "swing", 1 - tail))])
+    label = regime(F.col("mean") <= F.col("_cold"), F.col("max") >= F.col("_hot"), F.col("swing") >= F.col("_ramp"))
+    return seen.join(limits, keys, "left").select(*keys, "day", "mean", "max", "swing", label.alias("regime"))
+
+
 def by_condition(df: DataFrame, conditions: dict[str, Column], by: list[str]) -> DataFrame:
     """Errors of each group under each condition; a row counts under every condition that it meets."""
     tags = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in conditions.items()]))
@@ -70,28 +90,47 @@ def paired(log: DataFrame, key: list[str], arms: tuple[str, str], arm: str = "fe
     return both.dropna(subset=["e_a", "e_b"]).withColumn("d", F.col("e_a") - F.col("e_b"))
 
 
-def block_bootstrap(df: DataFrame, block: str, value: str, by: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
-    """Mean of ``value`` with an interval from resampled blocks (weeks), by group.
+def resampling_weights(blocks: DataFrame, block: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """(draw, block, weight): how often each draw takes each block, as many picks as there are blocks.
 
-    Only (sum, count) of each block enter; the draws of a group are made from a generator
-    seeded alike, over blocks in order of their names, so a group with the same blocks gets
-    the same draws as any other.
+    A pick is MD5 of "seed|draw|pick" modulo the number of blocks, in order of their names, so
+    any engine makes the same table. It is made once for all groups and arms that share the
+    blocks; its size is draws * blocks whatever the data's (blocks: a calendar's weeks or days).
     """
-    import pandas as pd
+    names = blocks.select(F.col(block).cast("string").alias(block)).filter(F.col(block).isNotNull()).distinct()
+    held = names.agg(F.sort_array(F.collect_set(block)).alias("_names"))  # one row: a calendar
+    picks = names.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(F.broadcast(held)).filter(F.size("_names") > 0)
+    each = picks.select("draw", "_names", F.explode(F.sequence(F.lit(0), F.size("_names") - 1)).alias("_pick"))
+    code = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.col("draw"), F.col("_pick"))), 1, 8), 16, 10).cast("long")
+    return each.select("draw", F.col("_names")[(code % F.size("_names")).cast("int")].alias(block)).groupBy("draw", block).agg(F.count(F.lit(1)).alias("weight"))
 
-    sums = df.groupBy(*by, block).agg(F.sum(value).alias("_s"), F.count(value).alias("_n"))
 
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values(block)
-        s, n = part["_s"].to_numpy(float), part["_n"].to_numpy(float)
-        pick = np.random.default_rng(seed).integers(0, len(s), (draws, len(s)))
-        means = np.nansum(s[pick], axis=1) / np.maximum(n[pick].sum(axis=1), 1)
-        lo, hi = np.percentile(means, [50 * (1 - level), 50 * (1 + level)])
-        return pd.DataFrame([[*part[by].iloc[0], np.nansum(s) / max(n.sum(), 1), lo, hi, len(s)]], columns=[*by, "mean", "lo", "hi", "blocks"])
+def resampled(df: DataFrame, weights: DataFrame, block: str, by: list[str], measures: dict[str, tuple[Column, Column]], contrasts: dict[str, tuple[str, str]] | None = None, level: float = 0.95) -> DataFrame:
+    """For each group, measures with intervals over the draws: name, name_lo, name_hi; and ``blocks``.
 
-    kinds = dict(df.dtypes)
-    schema = ", ".join([f"{c} {kinds[c]}" for c in by] + ["mean double", "lo double", "hi double", "blocks long"])
-    return sums.groupBy(*by).applyInPandas(run, schema)  # a row a block: bounded by the calendar
+    A measure is a ratio of two sums of columns; a contrast is the difference of two measures
+    within each draw, so both sides and all groups see the same blocks at once. A draw without
+    rows of a measure doesn't count for it. The rows are summed by block first; only these sums
+    meet the weights.
+    """
+    contrasts = contrasts or {}
+    sums = df.withColumn(block, F.col(block).cast("string")).groupBy(*by, block).agg(*[F.sum(x).alias(f"_{side}_{n}") for n, parts in measures.items() for side, x in zip("td", parts)])
+    ratio = lambda n, w: F.try_divide(F.sum(F.col(f"_t_{n}") * w), F.sum(F.col(f"_d_{n}") * w))
+    minus = lambda: {n: F.col(a) - F.col(b) for n, (a, b) in contrasts.items()}
+    seen = sums.groupBy(*by).agg(*[ratio(n, F.lit(1)).alias(n) for n in measures], F.count(block).alias("blocks")).withColumns(minus())
+    drawn = sums.join(weights, block).groupBy(*by, "draw").agg(*[ratio(n, F.col("weight")).alias(n) for n in measures]).withColumns(minus())
+    names = [*measures, *contrasts]
+    ends = [F.percentile(n, F.lit(p)).alias(f"{n}_{side}") for n in names for side, p in (("lo", (1 - level) / 2), ("hi", (1 + level) / 2))]
+    bounds = drawn.groupBy(*by).agg(*ends)  # as many rows a group as there are draws
+    same = reduce(and_, [F.col(f"s.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by], F.lit(True))
+    return seen.alias("s").join(bounds.alias("b"), same, "left").select(*[f"s.{k}" for k in by], *[c for n in names for c in (n, f"{n}_lo", f"{n}_hi")], "blocks")
+
+
+def block_resampling(df: DataFrame, block: str, value: str, by: list[str], draws: int = 2000, seed: int = 0, level: float = 0.95) -> DataFrame:
+    """Mean of ``value`` with an interval from resampled blocks (weeks, days), by group: mean, lo, hi, blocks."""
+    x = F.col(value)
+    out = resampled(df, resampling_weights(df, block, draws, seed), block, by, {"mean": (x, x.isNotNull().cast("double"))}, level=level)
+    return out.select(*by, "mean", F.col("mean_lo").alias("lo"), F.col("mean_hi").alias("hi"), "blocks")
 
 
 def block_interval(df: DataFrame, block: str, value: str, by: list[str], z: float = 1.959964) -> DataFrame:
@@ -109,11 +148,45 @@ def block_interval(df: DataFrame, block: str, value: str, by: list[str], z: floa
     return spread.select(*by, mean.alias("mean"), (mean - z * error).alias("lo"), (mean + z * error).alias("hi"), "blocks")
 
 
-def gain_shares(pairs: DataFrame, group: str) -> DataFrame:
-    """Hours, share of hours, errors of both arms, difference and share of the total gain, by group."""
+def gain_shares(pairs: DataFrame, group: str, weights: DataFrame | None = None, block: str = "week") -> DataFrame:
+    """Hours, share of hours, errors of both arms, difference and share of the total gain, by group.
+
+    With resampling ``weights`` of ``block`` also the difference's interval (lo, hi), all groups
+    seeing the same draws.
+    """
     g = pairs.groupBy(group).agg(F.count(F.lit(1)).alias("hours"), F.avg("e_a").alias("mae_a"), F.avg("e_b").alias("mae_b"), F.avg("d").alias("dmae"), F.sum("d").alias("_sum"))
     total = g.agg(F.sum("hours").alias("_h"), F.sum("_sum").alias("_g"))
-    return g.crossJoin(F.broadcast(total)).select(group, "hours", (F.col("hours") / F.col("_h")).alias("share_of_hours"), "mae_a", "mae_b", "dmae", F.try_divide(F.col("_sum"), F.col("_g")).alias("share_of_gain"))  # one row
+    out = g.crossJoin(F.broadcast(total)).select(group, "hours", (F.col("hours") / F.col("_h")).alias("share_of_hours"), "mae_a", "mae_b", "dmae", F.try_divide(F.col("_sum"), F.col("_g")).alias("share_of_gain"))  # one row
+    if weights is None:
+        return out
+    ends = resampled(pairs, weights, block, [group], {"d": (F.col("d"), F.lit(1.0))}).select(group, F.col("d_lo").alias("lo"), F.col("d_hi").alias("hi"))
+    return out.join(ends, group, "left")
+
+
+def gain_split(pairs: DataFrame, high: str, weights: DataFrame, block: str, by: list[str]) -> DataFrame:
+    """Gains (e_b - e_a) where ``high`` holds and where it doesn't, and their difference, each with its interval from joint draws.
+
+    gain_high, gain_low, high_minus_low with _lo and _hi, hours of both sides; rows where
+    ``high`` is null belong to neither.
+    """
+    up, down = F.col(high).cast("double"), (~F.col(high)).cast("double")
+    gain = F.col("e_b") - F.col("e_a")
+    out = resampled(pairs, weights, block, by, {"gain_high": (gain * up, up), "gain_low": (gain * down, down)}, {"high_minus_low": ("gain_high", "gain_low")})
+    hours = pairs.groupBy(*by).agg(F.count_if(F.col(high)).alias("hours_high"), F.count_if(~F.col(high)).alias("hours_low"))
+    return out.join(hours, by)
+
+
+def over_draws(errors: DataFrame, by: list[str], hour: list[str], draw: str, error: str, reference: str) -> DataFrame:
+    """Errors of models fitted on several draws of training data, by group.
+
+    mae: of each hour's error averaged over the draws; mae_draw_min, mae_draw_max: of single
+    draws; wins: draws with a lower error than the reference; mae_all: the reference's.
+    """
+    hours = errors.groupBy(*by, *hour).agg(F.avg(error).alias("_e"), F.max(reference).alias("_r"))
+    means = hours.groupBy(*by).agg(F.avg("_e").alias("mae"), F.avg("_r").alias("mae_all"))
+    draws = errors.groupBy(*by, draw).agg(F.avg(error).alias("_m"), F.avg(reference).alias("_r"))
+    spread = draws.groupBy(*by).agg(F.min("_m").alias("mae_draw_min"), F.max("_m").alias("mae_draw_max"), F.count(F.lit(1)).alias("n_draws"), F.count_if(F.col("_m") < F.col("_r")).alias("wins"))
+    return means.join(spread, by).select(*by, "mae", "mae_draw_min", "mae_draw_max", "n_draws", "wins", "mae_all")
 
 
 def relative_gain(base: Column, d: Column, lo: Column, hi: Column) -> tuple[Column, Column, Column]:

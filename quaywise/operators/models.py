@@ -221,21 +221,6 @@ class Network:
         return df.withColumn(name, out * float(self.sd[-1]) + float(self.mean[-1]))
 
 
-def boosted_trees(df: DataFrame, features: list[str], y: str = "y", name: str = "yhat", trees: int = 20, depth: int = 4, rate: float = 0.1, loss: str = "squared", validation: bool = False) -> DataFrame:
-    """Gradient-boosted trees; with ``validation`` rows whose split is val stop the growth."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import GBTRegressor
-
-    ready = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="skip").transform(df)
-    gbt = GBTRegressor(featuresCol="_x", labelCol=y, predictionCol=name, maxIter=trees, maxDepth=depth, stepSize=rate, lossType=loss, seed=7)
-    if validation:
-        ready = ready.withColumn("_val", F.col("split") == "val")
-        model = gbt.setValidationIndicatorCol("_val").fit(ready.filter("split in ('train', 'val')"))
-    else:
-        model = gbt.fit(ready.filter("split = 'train'"))
-    return model.transform(ready).drop("_x", "_val")
-
-
 def out_of_fold(df: DataFrame, features: list[str], folds: int = 5, penalty: float = 1.0, y: str = "y", name: str = "oof") -> DataFrame:
     """Each fold predicted by a fit on the others."""
     parts = [Linear(features, penalty).fit(df.filter(F.col("fold") != k), y).predict(df.filter(F.col("fold") == k), name) for k in range(folds)]
@@ -282,17 +267,6 @@ def fit_trees(train: DataFrame, numbers: list[str], categories: list[str], y: st
     return Pipeline(stages=stages).fit(train)
 
 
-def staged_errors(model, df: DataFrame, loss: str = "squared") -> list[float]:
-    """Mean loss after each tree."""
-    for stage in model.stages[:-1]:
-        df = stage.transform(df)
-    return model.stages[-1].evaluateEachIteration(df, loss)
-
-
-def importances(model, names: list[str]) -> dict[str, float]:
-    return dict(zip(names, map(float, model.stages[-1].featureImportances.toArray())))
-
-
 def huber(train: DataFrame, features: list[str], y: str = "y", epsilon: float = 1.35):
     """Linear regression with Huber's loss."""
     from pyspark.ml import Pipeline

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from functools import reduce
 from operator import and_
 
@@ -111,9 +112,95 @@ def rolling_mean(df: DataFrame, by: list[str], value: str, seconds: int, name: s
     return over_trailing(df, by, seconds, name, lambda w: F.avg(value).over(w))
 
 
+class OrderedValues:
+    """Values in order, in blocks of bounded size: adding, removing and the k-th one touch one block."""
+
+    MOST = 512
+
+    def __init__(self):
+        self.blocks: list[list[float]] = []
+        self.tops: list[float] = []
+        self.size = 0
+
+    def add(self, x: float) -> None:
+        self.size += 1
+        if not self.blocks:
+            self.blocks, self.tops = [[x]], [x]
+            return
+        k = min(bisect_left(self.tops, x), len(self.tops) - 1)
+        block = self.blocks[k]
+        insort(block, x)
+        if len(block) > self.MOST:
+            half = len(block) // 2
+            self.blocks[k : k + 1] = block[:half], block[half:]
+            self.tops.insert(k, block[half - 1])
+            k += 1
+        self.tops[k] = self.blocks[k][-1]
+
+    def remove(self, x: float) -> None:
+        self.size -= 1
+        k = bisect_left(self.tops, x)
+        block = self.blocks[k]
+        del block[bisect_left(block, x)]
+        if block:
+            self.tops[k] = block[-1]
+        else:
+            del self.blocks[k], self.tops[k]
+
+    def at(self, k: int) -> float:
+        for block in self.blocks:
+            if k < len(block):
+                return block[k]
+            k -= len(block)
+        raise IndexError(k)
+
+    def quantile(self, q: float) -> float:
+        place = q * (self.size - 1)
+        low = int(place)
+        a = self.at(low)
+        return a if low == place else a + (self.at(low + 1) - a) * (place - low)
+
+
 def rolling_quantile(df: DataFrame, by: list[str], value: str, seconds: int, q: float, least: int, name: str) -> DataFrame:
-    """Exact quantile of a time frame; null where it has fewer than ``least`` values."""
-    return over_trailing(df, by, seconds, name, lambda w: F.when(F.count(value).over(w) >= least, F.percentile(value, F.lit(q)).over(w)))
+    """Exact quantile of the time frame (t - seconds, t]; null where it has fewer than ``least`` values.
+
+    In each (key, time bucket) a row's value enters an ordered structure once and leaves it
+    once, so a bucket costs n log n however long the frame is. Nulls don't count; rows of equal
+    time see one frame. Further columns stay.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    columns, wide = df.columns, seconds * MICROS
+
+    def run(part: pa.Table) -> pa.Table:
+        t, x, own = (part.column(c).to_numpy() for c in ("_t", "_x", "_own"))
+        order = np.argsort(t, kind="stable")
+        known = ~np.isnan(x)
+        times, values, there = t[order].tolist(), x[order].tolist(), known[order].tolist()
+        held, out = OrderedValues(), np.full(len(t), np.nan)
+        first = last = 0
+        n = len(times)
+        for k in range(n):
+            now = times[k]
+            if k and now == times[k - 1]:
+                out[order[k]] = out[order[k - 1]]
+                continue
+            while last < n and times[last] <= now:
+                if there[last]:
+                    held.add(values[last])
+                last += 1
+            while times[first] <= now - wide:
+                if there[first]:
+                    held.remove(values[first])
+                first += 1
+            if held.size >= max(least, 1):
+                out[order[k]] = held.quantile(q)
+        kept = part.select(columns).append_column(name, pa.array(out, mask=np.isnan(out)))
+        return kept.filter(pa.array(own))
+
+    placed = in_time_buckets(df, seconds).withColumns({"_t": micros(F.col("ts")), "_x": F.coalesce(F.col(value).cast("double"), F.lit(float("nan")))})
+    return placed.groupBy(*by, "_bucket").applyInArrow(run, df.schema.add(name, "double"))
 
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:

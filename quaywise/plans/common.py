@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +28,18 @@ M = (
 PAIR = M + ", pr AS (SELECT a.zone, a.ts, abs(a.yhat - a.y) AS e_a, abs(b.yhat - b.y) AS e_b FROM log a JOIN log b ON a.zone = b.zone AND a.ts = b.ts AND a.feature_set = 'climatology' AND b.feature_set = 'mean')"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, computed once: a checkpoint in the session's shared folder; a local session without one gets a temporary folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
+        place = tempfile.mkdtemp(prefix="quaywise-")
+        atexit.register(shutil.rmtree, place, ignore_errors=True)
+        context.setCheckpointDir(f"file://{place}")
+    return df.checkpoint()
+
+
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.groupBy(F.col("event_type").alias("zone"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).agg(F.avg("value").alias("y"))

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import io
+import json
+import struct
 import uuid
 import zipfile
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import qc
 from ..operators import spatial as sx
-from ..sources import sinks
+from ..sources import bundles, grids, records, sinks
 from ..sources import tables as src
 from ..sources.tables import table
 from .common import H, hourly, rounded
@@ -141,16 +144,81 @@ def src12(spark, sf):
     return src.read_workbooks(spark, folder, skip=1).filter(cells[1].isNotNull()).select(cells[0].cast("int").alias("n_nationkey"), cells[1].alias("n_name"), cells[2].cast("int").alias("n_regionkey"))
 
 
-@query("src15_indexed_records", "SELECT CAST(n_nationkey + 1 AS INT) AS n, n_name AS name, n_name || ':' || n_nationkey AS record, CAST(length(n_name || ':' || n_nationkey) AS BIGINT) AS bytes FROM nation")
+#: Number and sum of events by type and hour, as messages of a type at an hour of January.
+MESSAGES = "SELECT event_type AS name, CAST(date_diff('hour', TIMESTAMP '2024-01-01', date_trunc('hour', ts)) AS VARCHAR) AS level, count(*) AS n, round(sum(value), 5) AS total FROM events WHERE event_type IN ('click', 'purchase') GROUP BY 1, 2"
+
+
+def _messages(spark, sf, codes):
+    """Files of one message for each type and hour: its category is the type, its section 7 the figures."""
+    sums = table(spark, sf, "events").groupBy("event_type", F.date_trunc("hour", "ts").alias("hour")).agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    level = F.expr("cast(timestampdiff(hour, timestamp_ntz'2024-01-01', cast(hour as timestamp_ntz)) as int)")
+
+    @F.pandas_udf("binary")
+    def message(kind: pd.Series, hour: pd.Series, n: pd.Series, total: pd.Series) -> pd.Series:
+        return pd.Series([records.framed((0, codes[k], 0), (100, h), struct.pack(">qd", c, t)) for k, h, c, t in zip(kind, hour, n, total)])
+
+    rows = sums.filter(F.col("event_type").isin(*codes)).withColumn("level", level)
+    out = _folder(spark)
+    records.write_messages(rows.select(F.col("event_type").alias("name"), "level", message("event_type", "level", "n", "total").alias("message")), out)
+    return out
+
+
+def _figures(messages):
+    """(name, level, n, total) of messages."""
+
+    @F.pandas_udf("n long, total double")
+    def opened(message: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([struct.unpack(">qd", records.payload(m)) for m in message], columns=["n", "total"])
+
+    return rounded(messages.select("name", "level", opened("message").alias("x")).select("name", "level", "x.*"), "total", digits=5)
+
+
+#: What the types of events are in the messages' headers.
+TYPES = {"click": 1, "purchase": 2, "view": 3, "signup": 4, "error": 5}
+
+
+@query("src15_indexed_records", MESSAGES)
 def src15(spark, sf):
-    records = [(r.n_name, f"{r.n_name}:{r.n_nationkey}".encode()) for r in table(spark, sf, "nation").orderBy("n_nationkey").collect()]  # 25 rows
-    folder, lines, at = _folder(spark), [], 0
-    for n, (name, record) in enumerate(records, 1):
-        lines.append(f"{n}:{at}:d=2024010100:{name}:2 m above ground:anl:")
-        at += len(record)
-    path = _put(spark, f"{folder}/all.bin", b"".join(r for _, r in records))
-    index = src.index_ranges(spark.read.text(_put(spark, f"{folder}/all.idx", "\n".join(lines).encode())))
-    return src.records_at(spark, path, index).select("n", "name", F.col("record").cast("string").alias("record"), F.col("bytes").cast("long").alias("bytes"))
+    """Only the messages of two names are read, at the places that the indexes give."""
+    return _figures(records.read_messages(spark, _messages(spark, sf, TYPES), names="click,purchase"))
+
+
+@query("src15_header_walk", MESSAGES)
+def src15_walk(spark, sf):
+    """Without the indexes: headers are walked from the first message of each stretch."""
+    names = {f"0.{k}.0": n for n, k in TYPES.items()}
+    found = records.read_messages(spark, _messages(spark, sf, TYPES), index="", codes=json.dumps(names), names="click,purchase", stretch="20000")
+    return _figures(found.withColumn("level", F.substring_index("level", ":", -1)))
+
+
+#: Events by hour and cell of a grid; a file a day.
+GRID = "g AS (SELECT CAST(ts AS DATE) AS day, date_trunc('hour', ts) AS time, 40 + (user_id % 12) * 0.5 AS lat, -75 + (event_id % 10) * 0.625 AS lon, sum(value) AS total, count(*) AS n FROM events GROUP BY 1, 2, 3, 4)"
+
+
+def _grid_files(spark, sf, levels: bool = False):
+    e = table(spark, sf, "events")
+    cell = [(40 + (F.col("user_id") % 12) * 0.5).alias("lat"), (-75 + (F.col("event_id") % 10) * 0.625).alias("lon")]
+    level = [F.element_at(F.array(F.lit(850.0), F.lit(500.0), F.lit(250.0)), (F.col("event_id") % 3 + 1).cast("int")).alias("lev")] if levels else []
+    day = F.date_format("ts", "'grid-'yyyy-MM-dd").alias("file")
+    sums = e.groupBy(day, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), *level, *cell).agg(F.sum("value").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
+    out = _folder(spark)
+    grids.write_grids(sums, out)
+    return out
+
+
+@query("src14_grid_scan", f"WITH {GRID} SELECT time, lat, lon, round(total, 5) AS total, CAST(n AS DOUBLE) AS n FROM g WHERE lat BETWEEN 41 AND 43 AND lon BETWEEN -74 AND -71")
+def src14(spark, sf):
+    """A box of the grids of all days, cells without events left out."""
+    cells = grids.read_grids(spark, _grid_files(spark, sf), box="41,43,-74,-71").filter("n is not null")
+    return rounded(cells.select("time", "lat", "lon", "total", "n"), "total", digits=5)
+
+
+@query("arr1_level_subset", "SELECT CASE event_id % 3 WHEN 0 THEN 850.0 ELSE 250.0 END AS lev, CAST(CASE event_id % 3 WHEN 0 THEN 1 ELSE 0 END AS INT) AS place, count(*) AS n, round(sum(value), 4) AS total FROM events WHERE event_id % 3 <> 1 GROUP BY 1, 2")
+def arr1_levels(spark, sf):
+    """Two levels of three, in the order asked for; ``place`` is the order in which a file's first time has them."""
+    cells = grids.read_grids(spark, _grid_files(spark, sf, levels=True), levels="250,850").filter("n is not null")
+    order = F.when(F.col("lev") == 250.0, 0).otherwise(1).alias("place")
+    return cells.groupBy(F.col("lev").cast("double").alias("lev"), order).agg(F.sum("n").cast("long").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
 SHAPES = "s AS (SELECT r_name AS zone, r_regionkey * 10.0 AS x FROM region)"
@@ -225,6 +293,16 @@ def snk5(spark, sf):
     return spark.read.parquet(f"{out}/data").agg(F.count(F.lit(1)).alias("n")).select(F.lit(facts["content"]).alias("content"), "n", F.lit(facts["rows"]).cast("long").alias("stated"))
 
 
+@query("snk5_npz_bundles", "SELECT vec_id, label, len(embedding) AS wide, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
+def snk5_npz(spark, sf):
+    """Arrays written as npz bundles and read back."""
+    out = _folder(spark)
+    bundles.write_bundles(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), out, rows=500)
+    found = bundles.read_bundles(spark, out)
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return rounded(found.select("vec_id", "label", F.size("embedding").cast("long").alias("wide"), total.alias("total")), "total", digits=4)
+
+
 @query("snk7_report", "SELECT o_orderstatus, " + ", ".join(f"round(avg(CASE WHEN year(o_orderdate) = {y} THEN o_totalprice END), 4) AS y{y}" for y in (1996, 1997, 1998)) + " FROM orders GROUP BY 1")
 def snk7(spark, sf):
     o = table(spark, sf, "orders").withColumn("year", F.concat(F.lit("y"), F.year("o_orderdate").cast("string")))

@@ -8,9 +8,10 @@ from ..functions.timeaxis import iso_week, month_id
 from ..operators import evaluate as ev
 from ..operators import models as mo
 from ..operators import splits as sp
+from ..operators.boosting import BoostedTrees
 from ..operators.panel import quantile_bins, ranked
 from ..sources.tables import table
-from .common import D, H, M, P, PAIR, daily, hourly, prediction_log, rounded, split_panel
+from .common import D, H, M, P, PAIR, daily, hourly, prediction_log, rounded, split_panel, stored
 from .registry import query
 
 ERR = "count(*) AS n, round(avg(abs(yhat - y)), 6) AS mae, round(quantile_cont(abs(yhat - y), 0.5), 6) AS median_ae, round(sqrt(avg(power(yhat - y, 2))), 6) AS rmse, round(1 - sum(power(yhat - y, 2)) / (count(*) * var_pop(y)), 6) AS r2, round(avg(yhat - y), 6) AS bias"
@@ -21,7 +22,7 @@ WEEK = "concat(CAST(isoyear(ts) AS VARCHAR), '-', CAST(week(ts) AS VARCHAR))"
 @query("flagship_errors_by_zone", f"WITH {M} SELECT feature_set, zone, {ERR} FROM log GROUP BY 1, 2")
 def flagship(spark, sf):
     """Hourly panel, blocked split, training-only models, errors by zone."""
-    return rounded(ev.errors_by(prediction_log(spark, sf), ["feature_set", "zone"]), *ERRS)
+    return rounded(ev.errors_by(stored(prediction_log(spark, sf)), ["feature_set", "zone"]), *ERRS)
 
 
 def _split_counts(df):
@@ -145,14 +146,24 @@ def mod3_quantile(spark, sf):
     return model.predict(p).filter("split = 'test'").groupBy("zone").agg(F.avg((F.col("y") <= F.col("yhat")).cast("double")).alias("covered"), F.count(F.lit(1)).alias("n"))
 
 
+def _grown(p, **how):
+    """300 trees of depth 6; 3,000 is the library's default."""
+    return BoostedTrees(FEATURES, **{"trees": 300, "depth": 6, "rate": 0.05} | how).fit(p)
+
+
 @query("mod1_boosted_trees")
 def mod1(spark, sf):
-    return mo.boosted_trees(_features(spark, sf), FEATURES, trees=5, depth=3).filter("split = 'test'").transform(ev.errors_by, ["zone"])
+    p = _features(spark, sf)
+    return _grown(p).predict(p.filter("split = 'test'")).transform(ev.errors_by, ["zone"])
 
 
 @query("mod4_early_stopping")
 def mod4(spark, sf):
-    return mo.boosted_trees(_features(spark, sf), FEATURES, trees=8, depth=3, validation=True).filter("split = 'test'").transform(ev.errors_by, ["zone"])
+    """Growth ends 30 trees after the best one by the validation block; the model is cut there."""
+    p = _features(spark, sf)
+    model = _grown(p, patience=30)
+    errors = model.predict(p.filter("split = 'test'")).transform(ev.errors_by, ["zone"])
+    return errors.withColumns({"best_iteration": F.lit(model.best_iteration), "grown": F.lit(len(model.val_losses))})
 
 
 @query("mod8_residual_head")
@@ -201,15 +212,23 @@ def evl4(spark, sf):
     return ev.hard_days(split_panel(spark, sf), "y", ["zone"]).select("zone", "day", "cold", "hot").distinct()
 
 
-@query("evl5_regimes", f"WITH {HARD}, rp AS (SELECT zone, day, m - lag(m) OVER (PARTITION BY zone ORDER BY day) AS dm FROM dd) SELECT lab.zone, CASE WHEN cold THEN 'cold' WHEN hot THEN 'hot' WHEN abs(dm) > 5 THEN 'ramp' ELSE 'normal' END AS regime, count(*) AS days FROM lab JOIN rp ON lab.zone = rp.zone AND lab.day = rp.day GROUP BY 1, 2")
-def evl5(spark, sf):
-    from ..operators.panel import daily_difference
+#: Samples of a day: line items by ship date, in cents. Days need six; thresholds of a test year come from the years before it.
+REGIMES = (
+    "ld AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(CAST(round(l_extendedprice * 100) AS BIGINT)) AS m, max(CAST(round(l_extendedprice * 100) AS BIGINT)) AS x FROM lineitem GROUP BY 1 HAVING count(l_extendedprice) >= 6)"
+    ", sw AS (SELECT a.day, a.m, a.x, abs(a.m - b.m) AS swing FROM ld a LEFT JOIN ld b ON b.day = a.day - 1), ty AS (SELECT unnest([1999, 2000]) AS test_year)"
+    ", lm AS (SELECT test_year, quantile_cont(m, 0.1) AS c, quantile_cont(x, 0.9) AS h, quantile_cont(swing, 0.9) AS r FROM sw JOIN ty ON year(day) < test_year GROUP BY 1)"
+    ", rg AS (SELECT test_year, day, x, CASE WHEN m <= c THEN 'cold' WHEN x >= h THEN 'hot' WHEN swing >= r THEN 'ramp' ELSE 'normal' END AS regime FROM sw CROSS JOIN ty LEFT JOIN lm USING (test_year))"
+)
 
-    h = ev.hard_days(split_panel(spark, sf), "y", ["zone"])
-    days = h.groupBy("zone", "day").agg(F.avg("y").alias("m"), F.first("cold").alias("cold"), F.first("hot").alias("hot"))
-    days = daily_difference(days, ["zone"], "m", "day", "dm")
-    r = ev.regime(F.col("cold"), F.col("hot"), F.coalesce(F.abs("dm") > 5, F.lit(False)))
-    return days.withColumn("regime", r).groupBy("zone", "regime").agg(F.count(F.lit(1)).alias("days"))
+
+def _regimes(spark, sf):
+    samples = table(spark, sf, "lineitem").select(F.col("l_shipdate").alias("ts"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"))
+    return stored(ev.daily_regimes(samples, [], "cents", spark.createDataFrame([(1999,), (2000,)], "test_year int")))
+
+
+@query("evl5_regimes", f"WITH {REGIMES} SELECT CAST(test_year AS INT) AS test_year, CAST(year(day) AS INT) AS year, regime, count(*) AS days FROM rg GROUP BY 1, 2, 3")
+def evl5(spark, sf):
+    return _regimes(spark, sf).groupBy("test_year", F.year("day").alias("year"), "regime").agg(F.count(F.lit(1)).alias("days"))
 
 
 def _pairs(spark, sf):
@@ -230,9 +249,77 @@ def evl7(spark, sf):
     return s.groupBy("zone").agg(F.round(F.avg(F.when(F.col("high"), F.col("d"))) - F.avg(F.when(~F.col("high"), F.col("d"))), 6).alias("high_minus_low"), F.count(F.lit(1)).alias("hours"))
 
 
-@query("evl8_week_bootstrap")
+def drawn(source: str, block: str, draws: int) -> str:
+    """SQL of the table of draws over the blocks of ``source``: wt (draw, block, w)."""
+    return f"nm AS (SELECT list(DISTINCT {block} ORDER BY {block}) AS names FROM {source}), dk AS (SELECT unnest(range({draws})) AS draw), pk AS (SELECT draw, unnest(range(len(names))) AS pick, names FROM nm, dk), wt AS (SELECT draw, names[1 + CAST(('0x' || md5('0|' || draw || '|' || pick)[:8]) AS BIGINT) % len(names)] AS block, count(*) AS w FROM pk GROUP BY 1, 2)"
+
+
+def resampled_sql(block: str, draws: int) -> str:
+    return f"WITH {PAIR}, x AS (SELECT zone, {block} AS block, e_a - e_b AS d FROM pr), {drawn('x', 'block', draws)}, b AS (SELECT zone, block, sum(d) AS s, count(*) AS n FROM x GROUP BY 1, 2), dr AS (SELECT zone, draw, sum(s * w) / sum(n * w) AS r FROM b JOIN wt USING (block) GROUP BY 1, 2), i AS (SELECT zone, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM dr GROUP BY 1), t AS (SELECT zone, sum(s) / sum(n) AS mean, count(*) AS blocks FROM b GROUP BY 1) SELECT zone, round(mean, 6) AS mean, round(lo, 6) AS lo, round(hi, 6) AS hi, blocks FROM t JOIN i USING (zone)"
+
+
+@query("evl8_week_bootstrap", resampled_sql(WEEK, 2000))
 def evl8(spark, sf):
-    return ev.block_bootstrap(_pairs(spark, sf).withColumn("week", iso_week(F.col("ts"))), "week", "d", ["zone"])
+    return rounded(ev.block_resampling(_pairs(spark, sf).withColumn("week", iso_week(F.col("ts"))), "week", "d", ["zone"]), "mean", "lo", "hi")
+
+
+#: Two baselines over the years before 2000 and their errors in 2000, with the regime of each day.
+YEAR = (
+    f"{D}, {REGIMES}, ka AS (SELECT zone, month(ts) AS mo, avg(y) AS p FROM d WHERE year(ts) < 2000 GROUP BY 1, 2), kb AS (SELECT zone, avg(y) AS p FROM d WHERE year(ts) < 2000 GROUP BY 1)"
+    f", yp AS (SELECT d.zone, d.ts, CAST(d.ts AS DATE) AS day, abs(ka.p - y) AS e_a, abs(kb.p - y) AS e_b, coalesce(regime, 'none') AS regime, {WEEK} AS block FROM d JOIN ka ON ka.zone = d.zone AND ka.mo = month(ts) JOIN kb ON kb.zone = d.zone LEFT JOIN rg ON rg.test_year = 2000 AND rg.day = CAST(d.ts AS DATE) WHERE year(ts) = 2000)"
+)
+
+
+def _year_pairs(spark, sf, regimes):
+    """(zone, ts, day, e_a, e_b, d, regime, week) of the test year 2000."""
+    d = daily(spark, sf).withColumn("mo", F.month("ts"))
+    past = d.filter(F.year("ts") < 2000).groupBy("zone", "mo").agg(F.sum("y").alias("s"), F.count("y").alias("n"))
+    months = F.map_from_entries(F.collect_list(F.struct("mo", F.col("s") / F.col("n"))))
+    means = past.groupBy("zone").agg(months.alias("months"), (F.sum("s") / F.sum("n")).alias("all"))
+    labels = regimes.filter("test_year = 2000").select("day", "regime")
+    both = d.filter(F.year("ts") == 2000).join(means, "zone").withColumns({"day": F.to_date("ts"), "e_a": F.abs(F.try_element_at("months", F.col("mo")) - F.col("y")), "e_b": F.abs(F.col("all") - F.col("y"))})
+    both = both.dropna(subset=["e_a", "e_b"]).join(labels, "day", "left")
+    return stored(both.select("zone", "ts", "day", "e_a", "e_b", (F.col("e_a") - F.col("e_b")).alias("d"), F.coalesce("regime", F.lit("none")).alias("regime"), iso_week(F.col("ts")).alias("week")))
+
+
+@query(
+    "evl6_gain_by_regime",
+    f"WITH {YEAR}, {drawn('yp', 'block', 2000)}, b AS (SELECT regime, block, sum(e_a - e_b) AS s, count(*) AS n FROM yp GROUP BY 1, 2), i AS (SELECT regime, quantile_cont(r, 0.025) AS lo, quantile_cont(r, 0.975) AS hi FROM (SELECT regime, draw, sum(s * w) / sum(n * w) AS r FROM b JOIN wt USING (block) GROUP BY 1, 2) GROUP BY 1)"
+    ", g AS (SELECT regime, count(*) AS hours, avg(e_a) AS mae_a, avg(e_b) AS mae_b, avg(e_a - e_b) AS dmae, sum(e_a - e_b) AS s FROM yp GROUP BY 1) SELECT regime, hours, round(hours / (SELECT sum(hours) FROM g), 6) AS share_of_hours, round(mae_a, 3) AS mae_a, round(mae_b, 3) AS mae_b, round(dmae, 3) AS dmae, round(s / (SELECT sum(s) FROM g), 5) AS share_of_gain, round(lo, 3) AS lo, round(hi, 3) AS hi FROM g JOIN i USING (regime)",
+)
+def evl6_regimes(spark, sf):
+    """Gain by regime with intervals; all regimes see the same resampled weeks."""
+    pairs = _year_pairs(spark, sf, _regimes(spark, sf))
+    g = ev.gain_shares(pairs, "regime", ev.resampling_weights(pairs, "week"))
+    return rounded(rounded(rounded(g, "mae_a", "mae_b", "dmae", "lo", "hi", digits=3), "share_of_hours"), "share_of_gain", digits=5)
+
+
+@query(
+    "evl7_joint_resampling",
+    f"WITH {YEAR}, kn AS (SELECT t.day, ld.x AS basis FROM (SELECT DISTINCT day, day - 2 AS at FROM (SELECT day FROM yp UNION SELECT day FROM rg)) t ASOF LEFT JOIN ld ON ld.day <= t.at), th AS (SELECT quantile_cont(basis, 0.5) AS med, quantile_cont(basis, 0.75) AS upq FROM rg JOIN kn USING (day) WHERE test_year = 2000 AND year(day) < 2000 AND regime = 'cold')"
+    f", z AS (SELECT split, CASE WHEN regime = 'cold' THEN 'cold' ELSE 'other' END AS days, block, e_b - e_a AS g, CASE split WHEN 'median' THEN basis > med ELSE basis > upq END AS high FROM yp LEFT JOIN kn USING (day) CROSS JOIN th CROSS JOIN (SELECT unnest(['median', 'upper quartile']) AS split)), {drawn('z', 'block', 2000)}"
+    ", b AS (SELECT split, days, block, sum(CASE WHEN high THEN g END) AS sh, count_if(high) AS nh, sum(CASE WHEN NOT high THEN g END) AS sl, count_if(NOT high) AS nl FROM z GROUP BY 1, 2, 3)"
+    ", r AS (SELECT split, days, draw, sum(sh * w) / nullif(sum(nh * w), 0) AS h, sum(sl * w) / nullif(sum(nl * w), 0) AS l FROM b JOIN wt USING (block) GROUP BY 1, 2, 3)"
+    ", i AS (SELECT split, days, quantile_cont(h - l, 0.025) AS lo, quantile_cont(h - l, 0.975) AS hi FROM r GROUP BY 1, 2), t AS (SELECT split, days, CAST(sum(nh) AS BIGINT) AS hours_high, CAST(sum(nl) AS BIGINT) AS hours_low, sum(sh) / nullif(sum(nh), 0) AS h, sum(sl) / nullif(sum(nl), 0) AS l FROM b GROUP BY 1, 2)"
+    " SELECT split, days, hours_high, hours_low, round(h, 3) AS gain_high, round(l, 3) AS gain_low, round(h - l, 3) AS high_minus_low, round(lo, 3) AS high_minus_low_lo, round(hi, 3) AS high_minus_low_hi FROM t JOIN i USING (split, days)",
+)
+def evl7_joint(spark, sf):
+    """Gain on days of high and of low basis, the last one known two days before; both sides are resampled jointly."""
+    from ..operators.temporal import backward_asof
+
+    regimes = _regimes(spark, sf)
+    pairs, labels = _year_pairs(spark, sf, regimes), regimes.filter("test_year = 2000")
+    known = labels.select(F.col("day").cast("timestamp_ntz").alias("ts"), F.col("max").alias("basis"), F.lit(1).alias("one"))
+    days = pairs.select("day").union(labels.select("day")).distinct().select("day", F.date_sub("day", 2).cast("timestamp_ntz").alias("ts"), F.lit(1).alias("one"))
+    basis = backward_asof(days, known, ["one"], ["basis"]).select("day", "basis")
+    cold = labels.filter((F.year("day") < 2000) & (F.col("regime") == "cold")).join(basis, "day")
+    ends = cold.agg(F.percentile("basis", F.array(F.lit(0.5), F.lit(0.75))).alias("q"))  # the cold days of a calendar
+    limits = ends.select(F.explode(F.array(*[F.struct(F.lit(n).alias("split"), F.col("q")[k].alias("limit")) for k, n in enumerate(("median", "upper quartile"))])).alias("r")).select("r.*")
+    split = pairs.join(basis, "day", "left").crossJoin(F.broadcast(limits))  # two rows
+    split = split.withColumns({"high": F.col("basis") > F.col("limit"), "days": F.when(F.col("regime") == "cold", "cold").otherwise("other")})
+    out = ev.gain_split(split, "high", ev.resampling_weights(pairs, "week"), "week", ["split", "days"])
+    names = ["gain_high", "gain_low", "high_minus_low", "high_minus_low_lo", "high_minus_low_hi"]
+    return rounded(out.select("split", "days", "hours_high", "hours_low", *names), *names, digits=3)
 
 
 @query("evl8_block_sums", f"WITH {PAIR} SELECT zone, {WEEK} AS week, round(sum(e_a - e_b), 5) AS s, count(*) AS n FROM pr GROUP BY 1, 2")
@@ -240,9 +327,9 @@ def evl8_sums(spark, sf):
     return _pairs(spark, sf).groupBy("zone", iso_week(F.col("ts")).alias("week")).agg(F.round(F.sum("d"), 5).alias("s"), F.count("d").alias("n"))
 
 
-@query("evl9_day_bootstrap")
+@query("evl9_day_bootstrap", resampled_sql("CAST(CAST(ts AS DATE) AS VARCHAR)", 1000))
 def evl9(spark, sf):
-    return ev.block_bootstrap(_pairs(spark, sf).withColumn("day", F.to_date("ts").cast("string")), "day", "d", ["zone"], draws=1000)
+    return rounded(ev.block_resampling(_pairs(spark, sf).withColumn("day", F.to_date("ts").cast("string")), "day", "d", ["zone"], draws=1000), "mean", "lo", "hi")
 
 
 @query("evl10_summary", f"WITH {M}, b AS (SELECT zone, avg(abs(yhat - y)) AS ref FROM log WHERE feature_set = 'mean' GROUP BY 1) SELECT log.zone, feature_set, round(avg(abs(yhat - y)), 6) AS mae, round(avg(abs(yhat - y)) - max(ref), 6) AS dmae_vs_ref FROM log JOIN b ON log.zone = b.zone GROUP BY 1, 2")
@@ -285,16 +372,23 @@ def evl13(spark, sf):
     return common.groupBy("lead").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("p") - F.col("y"))), 6).alias("mae"))
 
 
-@query("evl14_sample_efficiency")
+@query(
+    "evl14_sample_efficiency",
+    f"WITH {D}, mm AS (SELECT DISTINCT year(ts) * 12 + month(ts) AS m FROM d WHERE year(ts) < 2000), k AS (SELECT draw, m FROM (SELECT draw, m, row_number() OVER (PARTITION BY draw ORDER BY md5(draw || '|' || CAST(m AS VARCHAR))) AS n FROM mm, (SELECT unnest(range(3)) AS draw)) WHERE n <= 6)"
+    ", f AS (SELECT draw, zone, avg(y) AS yhat FROM d JOIN k ON year(ts) * 12 + month(ts) = m AND year(ts) < 2000 GROUP BY 1, 2), a AS (SELECT zone, avg(y) AS yhat FROM d WHERE year(ts) < 2000 GROUP BY 1)"
+    ", e AS (SELECT d.zone, d.ts, draw, abs(f.yhat - y) AS e, abs(a.yhat - y) AS ea FROM d JOIN f ON f.zone = d.zone JOIN a ON a.zone = d.zone WHERE year(ts) = 2000)"
+    ", h AS (SELECT zone, ts, avg(e) AS e, max(ea) AS ea FROM e GROUP BY 1, 2), r AS (SELECT zone, min(mae) AS lo, max(mae) AS hi, CAST(count_if(mae < ref) AS BIGINT) AS wins, count(*) AS n FROM (SELECT zone, draw, avg(e) AS mae, avg(ea) AS ref FROM e GROUP BY 1, 2) GROUP BY 1)"
+    " SELECT h.zone, round(avg(e), 3) AS mae, round(max(lo), 3) AS mae_draw_min, round(max(hi), 3) AS mae_draw_max, max(n) AS n_draws, max(wins) AS wins, round(avg(h.ea), 3) AS mae_all FROM h JOIN r ON r.zone = h.zone GROUP BY 1",
+)
 def evl14(spark, sf):
+    """Six random months of training, three draws: errors of each hour are averaged over draws first; wins against all months."""
     d = daily(spark, sf)
-    test = d.filter(F.year("ts") == 2000)
-    parts = []
-    for k in range(3):
-        m = sp.random_months(d.filter(F.year("ts") < 2000), 6, k).groupBy("zone").agg(F.avg("y").alias("yhat"))
-        parts.append(test.join(m, "zone").groupBy("zone").agg(F.avg(F.abs(F.col("yhat") - F.col("y"))).alias("mae")).withColumn("draw", F.lit(k)))
-    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return out.groupBy("zone").agg(F.avg("mae").alias("mae"), F.min("mae").alias("mae_draw_min"), F.max("mae").alias("mae_draw_max"), F.count(F.lit(1)).alias("n_draws"))
+    past, test = d.filter(F.year("ts") < 2000), d.filter(F.year("ts") == 2000)
+    draws = [sp.random_months(past, 6, k).groupBy("zone").agg(F.avg("y").alias("yhat")).withColumn("draw", F.lit(k)) for k in range(3)]
+    fits = draws[0].unionByName(draws[1]).unionByName(draws[2])
+    everything = past.groupBy("zone").agg(F.avg("y").alias("all"))
+    errors = test.join(everything, "zone").join(fits, "zone").select("zone", "ts", "draw", F.abs(F.col("yhat") - F.col("y")).alias("e"), F.abs(F.col("all") - F.col("y")).alias("ref"))
+    return rounded(ev.over_draws(errors, ["zone"], ["ts"], "draw", "e", "ref"), "mae", "mae_draw_min", "mae_draw_max", "mae_all", digits=3)
 
 
 @query("evl15_forecast_skill", f"WITH {H}, f AS (SELECT a.zone, a.ts, a.y, b.y AS f1, c.y AS f2 FROM h a JOIN h b ON a.zone = b.zone AND b.ts = a.ts - INTERVAL 24 HOUR JOIN h c ON a.zone = c.zone AND c.ts = a.ts - INTERVAL 48 HOUR) SELECT zone, count(*) AS n, round(sqrt(avg(power(f1 - y, 2))), 6) AS rmse, round(1 - sum(power(f1 - y, 2)) / sum(power(f2 - y, 2)), 6) AS skill FROM f GROUP BY 1")
@@ -377,23 +471,42 @@ def mod2(spark, sf):
 
 @query("mod3_losses")
 def mod3(spark, sf):
+    """The same trees for absolute, Huber and quantile losses."""
     p = _features(spark, sf)
-    train, test = p.filter("split = 'train'"), p.filter("split = 'test'")
-    absolute = mo.fit_trees(train, FEATURES, [], trees=3, depth=3, loss="absolute").transform(test).select("zone", "y", "yhat", F.lit("absolute").alias("loss"))
-    robust = mo.huber(train, FEATURES).transform(test).select("zone", "y", "yhat", F.lit("huber").alias("loss"))
-    return absolute.unionByName(robust).transform(ev.errors_by, ["loss", "zone"])
+    test = p.filter("split = 'test'")
+    parts = [_grown(p, trees=60, depth=4, rate=0.3, loss=n, level=level).predict(test).select("zone", "y", "yhat", F.lit(n).alias("loss")) for n, level in (("absolute", 0.5), ("huber", 5.0), ("quantile", 0.5))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).transform(ev.errors_by, ["loss", "zone"])
 
 
 @query("mod5_staged_errors")
 def mod5(spark, sf):
+    """Mean squared error on test rows by number of trees."""
     p = _features(spark, sf)
-    model = mo.fit_trees(p.filter("split = 'train'"), FEATURES, [], trees=4, depth=3)
-    rows = [(k + 1, float(e)) for k, e in enumerate(mo.staged_errors(model, p.filter("split = 'test'")))]
-    return spark.createDataFrame(rows, "trees int, mse double")
+    model, test = _grown(p, trees=100), p.filter("split = 'test'")
+    out = test
+    for k in STAGES:
+        out = model.predict(out, f"p{k}", trees=k)
+    errors = out.agg(*[F.avg((F.col(f"p{k}") - F.col("y")) ** 2).alias(f"p{k}") for k in STAGES])
+    return errors.select(F.explode(F.array(*[F.struct(F.lit(k).alias("trees"), F.col(f"p{k}").alias("mse")) for k in STAGES])).alias("r")).select("r.*")
+
+
+STAGES = (1, 5, 20, 100)
 
 
 @query("mod10_importance")
 def mod10(spark, sf):
+    model = _grown(_features(spark, sf), trees=100)
+    return spark.createDataFrame(list(model.importances().items()), "feature string, importance double")
+
+
+@query("mod10_shap")
+def mod10_shap(spark, sf):
+    """Mean size of each feature's attribution on test rows, and how far attributions are from adding up."""
     p = _features(spark, sf)
-    model = mo.fit_trees(p.filter("split = 'train'"), FEATURES, [], trees=3, depth=3)
-    return spark.createDataFrame(list(mo.importances(model, FEATURES).items()), "feature string, importance double")
+    model = _grown(p, trees=100)
+    rows = model.attribute(model.predict(p.filter("split = 'test'")))
+    total = F.aggregate("shap", F.lit(0.0), lambda s, x: s + x)
+    off = F.abs(F.col("yhat") - model.expected - total).alias("off")
+    names = F.array(*map(F.lit, FEATURES))
+    each = rows.select(off, F.explode(F.arrays_zip(names.alias("feature"), F.col("shap").alias("value"))).alias("r")).select("off", "r.*")
+    return each.groupBy("feature").agg(F.avg(F.abs("value")).alias("mean_size"), F.avg("value").alias("mean"), F.max("off").alias("off"), F.count(F.lit(1)).alias("n"))

@@ -105,6 +105,30 @@ def test_rolling_frame_is_open_on_the_left(spark):
     assert got == [1.0, 2.0, 3.0]
 
 
+@settings(max_examples=5, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 200), st.one_of(st.none(), st.integers(-5, 5))), min_size=1, max_size=40), st.integers(1, 90), st.integers(0, 4))
+def test_rolling_quantile_equals_pandas(spark, points, minutes, least):
+    rows = [("k", datetime(2024, 1, 1) + timedelta(minutes=m), None if v is None else float(v), i) for i, (m, v) in enumerate(points)]
+    got = {r.i: r.q for r in panel.rolling_quantile(spark.createDataFrame(rows, "k string, ts timestamp_ntz, y double, i int"), ["k"], "y", 60 * minutes, 0.3, least, "q").collect()}
+    for _, ts, _, i in rows:
+        frame = [v for _, t, v, _ in rows if v is not None and ts - timedelta(minutes=minutes) < t <= ts]
+        assert got[i] is None if len(frame) < max(least, 1) else abs(got[i] - np.quantile(frame, 0.3)) < 1e-9
+
+
+def test_ordered_values_split_and_shrink():
+    rng, held, plain = np.random.default_rng(5), panel.OrderedValues(), []
+    for k in range(6000):
+        if plain and rng.random() < (0.2 if k < 3000 else 0.8):
+            x = plain.pop(rng.integers(len(plain)))
+            held.remove(x)
+        else:
+            x = float(rng.integers(0, 300))
+            held.add(x)
+            plain.append(x)
+        if k % 500 == 0 and plain:
+            assert [held.at(j) for j in range(held.size)] == sorted(plain)
+
+
 def test_sums_need_all_parts(spark):
     df = _frame(spark, [(1, "a", 1.0), (1, "b", None), (2, "a", 1.0), (2, "b", 2.0)], "k int, p string, v double")
     assert {r.k: r.s for r in df.groupBy("k").agg(panel.sum_at_least(F.col("v"), 2).alias("s")).collect()} == {1: None, 2: 3.0}
@@ -155,14 +179,32 @@ def test_features_with_the_target_are_refused():
         models.feature_sets({"a": ["x", "y"]}, [["a"]], "y")
 
 
-def test_bootstrap_equals_numpy(spark):
+def test_resampled_intervals_follow_the_table_of_draws(spark):
     rng = np.random.default_rng(1)
-    rows = [("g", f"2024-{w}", float(v)) for w in range(1, 9) for v in rng.normal(size=5)]
-    got = evaluate.block_bootstrap(spark.createDataFrame(rows, "g string, week string, d double"), "week", "d", ["g"], draws=500).head()
-    p = pd.DataFrame(rows, columns=["g", "week", "d"]).groupby("week").d.agg(["sum", "count"])
-    pick = np.random.default_rng(0).integers(0, len(p), (500, len(p)))
-    m = p["sum"].to_numpy()[pick].sum(1) / p["count"].to_numpy()[pick].sum(1)
-    assert np.allclose([got.lo, got.hi], np.percentile(m, [2.5, 97.5]))
+    rows = [(g, f"2024-{w}", float(v), bool(v > 0)) for g, weeks in (("g", range(1, 9)), ("h", (2, 5))) for w in weeks for v in rng.normal(size=5)]
+    df = spark.createDataFrame(rows, "g string, week string, d double, up boolean")
+    weights = evaluate.resampling_weights(df, "week", draws=300)
+    table = weights.toPandas().pivot(index="draw", columns="week", values="weight").fillna(0)
+    assert (table.sum(axis=1) == 8).all() and len(table) == 300 and table.to_numpy().std() > 0.8
+    p = pd.DataFrame(rows, columns=["g", "week", "d", "up"])
+    p["e_a"], p["e_b"] = -p.d, 0.0
+    for g, part in p.groupby("g"):
+        of = lambda x: x.groupby("week").d.agg(["sum", "count"]).reindex(table.columns).fillna(0)  # noqa: B023, E731
+        ratio = lambda x: (table @ of(x)["sum"]) / (table @ of(x)["count"])  # noqa: B023, E731
+        got = evaluate.resampled(df, weights, "week", ["g"], {"m": (F.col("d"), F.lit(1.0))}).filter(F.col("g") == g).head()
+        assert np.allclose([got.m, got.m_lo, got.m_hi], [part.d.mean(), *np.nanpercentile(ratio(part), [2.5, 97.5])])
+        pairs = df.withColumns({"e_a": -F.col("d"), "e_b": F.lit(0.0)})
+        split = evaluate.gain_split(pairs, "up", weights, "week", ["g"]).filter(F.col("g") == g).head()
+        both = ratio(part[part.up]) - ratio(part[~part.up])
+        assert np.allclose([split.high_minus_low_lo, split.high_minus_low_hi], np.nanpercentile(both, [2.5, 97.5])) and split.hours_high == part.up.sum()
+
+
+def test_days_of_too_few_samples_have_no_regime(spark):
+    rows = [(datetime(y, 1, d, h), float(d + 10 * (y == 2001) * (d == 9))) for y in (2000, 2001) for d in range(1, 13) for h in range(6 if d != 4 else 5)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, x double")
+    got = {r.day: r for r in evaluate.daily_regimes(df, [], "x", spark.createDataFrame([(2001,)], "test_year int")).collect()}
+    assert len(got) == 22 and date(2000, 1, 4) not in got and got[date(2000, 1, 5)].swing is None
+    assert got[date(2001, 1, 1)].regime == "cold" and got[date(2001, 1, 9)].regime == "hot" and got[date(2001, 1, 10)].regime == "ramp" and got[date(2001, 1, 5)].regime == "normal"
 
 
 def test_pca_equals_numpy(spark):

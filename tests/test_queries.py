@@ -59,11 +59,10 @@ KNOWN = {
     "arr15_gram_pca": lambda rows: abs(sum(r.pc0 for r in rows)) < 1e-6 and abs(sum(r.pc0 * r.pc1 for r in rows)) < 1e-6,
     "arr16_component_sweep": lambda rows: all(0 <= r.energy_2 <= r.energy_4 + 1e-9 <= r.energy_8 + 2e-9 for r in rows),
     "arr17_linear_r2": lambda rows: len(rows) == 1 and 0 < rows[0].r2 <= 1,
+    "mod4_early_stopping": lambda rows: all(1 <= r.best_iteration <= r.grown <= r.best_iteration + 30 for r in rows),
     "arr18_ridge_probe": lambda rows: len(rows) == 1,
-    "evl8_week_bootstrap": lambda rows: all(r.lo <= r["mean"] <= r.hi and r.blocks > 1 for r in rows),
-    "evl9_day_bootstrap": lambda rows: all(r.lo <= r["mean"] <= r.hi and r.blocks > 5 for r in rows),
-    "evl14_sample_efficiency": lambda rows: all(r.mae_draw_min <= r.mae <= r.mae_draw_max and r.n_draws == 3 for r in rows),
-    "mod5_staged_errors": lambda rows: [r.trees for r in rows] == [1, 2, 3, 4] and all(r.mse > 0 for r in rows),
+    "mod5_staged_errors": lambda rows: sorted(r.trees for r in rows) == [1, 5, 20, 100] and all(r.mse > 0 for r in rows),
+    "mod10_shap": lambda rows: len(rows) == 4 and all(r.off < 1e-6 and r.mean_size >= abs(r["mean"]) for r in rows),
     "mod10_importance": lambda rows: abs(sum(r.importance for r in rows) - 1) < 1e-6 and all(r.importance >= 0 for r in rows),
     "mod3_quantile": lambda rows: 0.75 < sum(r.covered * r.n for r in rows) / sum(r.n for r in rows) <= 1,
 }
