@@ -38,7 +38,9 @@ TOP = 2_000
 TAILS = 1_024
 LOCAL = 1 << 17
 BLOCK = 1024
-PASSES = 4
+PASSES = 6
+#: Messages that a group of sequences holds at once, and its tokens (one sequence at least).
+HELD, TOKENS = 300_000, 2_000_000
 
 
 def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,70 +192,80 @@ class HiddenMarkov:
         s, m = self.emit.shape
         total = np.zeros(s + s * s + s * m + 2)
         ordered = sorted((x for x in sequences if len(x)), key=len, reverse=True)
+        tokens = np.concatenate([[0], np.cumsum([len(x) for x in ordered])])
         lo = 0
         while lo < len(ordered):
-            # long sequences are few at a time, so that what a group holds is bounded by the longest one of it
-            n = max(4, min(1024, 128_000 // len(ordered[lo])))
+            # what a group holds is bounded: messages of a block of each sequence, and all its tokens
+            n = max(1, min(1024, HELD // min(len(ordered[lo]), BLOCK), int(np.searchsorted(tokens, tokens[lo] + TOKENS, side="right")) - 1 - lo))
             total += self._group(ordered[lo : lo + n])
             lo += n
         return total
 
     def _group(self, group: list[np.ndarray]) -> np.ndarray:
-        """Forward and backward over sequences in falling order of length, in blocks of ``BLOCK`` tokens."""
+        """Forward and backward over sequences in falling order of length, in blocks of ``BLOCK`` tokens.
+
+        A row of a message is a state, a column a sequence. Messages are scaled at each token and
+        held in single precision; all sums are double.
+        """
         s, m = self.emit.shape
-        moves, emits = np.zeros((s, s)), np.zeros(s * m)
+        moves, emits = np.zeros((s, s)), np.zeros((s, m))
         size = np.array([len(x) for x in group])
         flat, first = np.concatenate(group), np.cumsum(size) - size
         n, long = len(group), int(size[0])
         alive = np.searchsorted(-size, -np.arange(long), side="left")  # sequences longer than t
-        by_class = np.ascontiguousarray(self.emit.T)
+        emit, move = self.emit.astype(np.float32), self.move.astype(np.float32)
+        forth, begin = np.ascontiguousarray(move.T), self.start.astype(np.float32)[:, None]
         at = lambda t: flat[first[: alive[t]] + t]
 
-        def forward(t: int, a: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-            b = by_class[at(t)]
-            a = self.start * b if a is None else (a[: alive[t]] @ self.move) * b
-            c = a.sum(axis=1)
-            a /= c[:, None]
+        def forward(t: int, a: np.ndarray | None, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a = begin * b if a is None else (forth @ a[:, : alive[t]]) * b
+            c = a.sum(axis=0)
+            a /= c
             return a, c
 
         likelihood, a = 0.0, None
         before: list[np.ndarray | None] = []
-        kept: list[tuple[np.ndarray, np.ndarray]] = []
+        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         for t in range(long):
             if t % BLOCK == 0:
                 before.append(a)
                 kept = []
-            a, c = forward(t, a)
-            kept.append((a, c))
-            likelihood += float(np.log(c).sum())
-        beta = np.ones((n, s))
-        states = np.arange(s)
+            x = at(t)
+            b = emit.take(x, axis=1)
+            a, c = forward(t, a, b)
+            kept.append((a, c, b, x))
+            likelihood += float(np.log(c, dtype=np.float64).sum())
+        beta = np.ones((s, n), np.float32)
         starts = np.zeros(s)
         for k in range(len(before) - 1, -1, -1):
             lo, hi = k * BLOCK, min(long, (k + 1) * BLOCK)
             if k < len(before) - 1:  # the last block's messages are there from the way forward
                 a, kept = before[k], []
                 for t in range(lo, hi):
-                    a, c = forward(t, a)
-                    kept.append((a, c))
+                    x = at(t)
+                    b = emit.take(x, axis=1)
+                    a, c = forward(t, a, b)
+                    kept.append((a, c, b, x))
             seen, weight = [], []
             for t in range(hi - 1, lo - 1, -1):
-                a, c = kept[t - lo]
-                x = at(t)
-                g = a * beta[: alive[t]]
-                g /= g.sum(axis=1, keepdims=True)
+                a, c, b, x = kept[t - lo]
+                ahead = beta[:, : alive[t]]
+                g = np.multiply(a, ahead, dtype=np.float64)
+                g /= g.sum(axis=0)
                 seen.append(x)
                 weight.append(g)
                 if t:
-                    w = by_class[x] * beta[: alive[t]] / c[:, None]
+                    b *= ahead
+                    b /= c
                     last = kept[t - lo - 1][0] if t > lo else before[k]
-                    moves += self.move * (last[: alive[t]].T @ w)
-                    beta[: alive[t]] = w @ self.move.T
+                    moves += last[:, : alive[t]] @ b.T
+                    beta[:, : alive[t]] = move @ b
                 else:
-                    starts += g.sum(axis=0)
-            cells = np.concatenate(seen)[:, None] * s + states
-            emits += np.bincount(cells.ravel(), weights=np.concatenate(weight).ravel(), minlength=s * m)
-        return np.concatenate([starts, moves.ravel(), emits.reshape(m, s).T.ravel(), [likelihood, len(flat)]])
+                    starts += g.sum(axis=1, dtype=np.float64)
+            seen, weight = np.concatenate(seen), np.concatenate(weight, axis=1)
+            for i in range(s):
+                emits[i] += np.bincount(seen, weights=weight[i], minlength=m)
+        return np.concatenate([starts, (self.move * moves).ravel(), emits.ravel(), [likelihood, len(flat)]])
 
     @classmethod
     def estimate(cls, counts: np.ndarray, states: int, smooth: float = 0.01) -> HiddenMarkov:
@@ -270,14 +282,13 @@ class HiddenMarkov:
         long = int(size.max(initial=0))
         alive = np.searchsorted(-size[order], -np.arange(long), side="left")
         at, out = first[:-1][order], np.zeros(len(size))
-        by_class = np.ascontiguousarray(self.emit.T)
-        a = None
+        a, forth = None, np.ascontiguousarray(self.move.T)
         for t in range(long):
             k = alive[t]
-            b = by_class[observed[at[:k] + t]]
-            a = self.start * b if a is None else (a[:k] @ self.move) * b
-            c = a.sum(axis=1)
-            a /= c[:, None]
+            b = self.emit.take(observed[at[:k] + t], axis=1)
+            a = self.start[:, None] * b if a is None else (forth @ a[:, :k]) * b
+            c = a.sum(axis=0)
+            a /= c
             out[:k] += np.log10(c)
         back = np.empty(len(size))
         back[order] = out
