@@ -177,15 +177,13 @@ class BiGru:
 
 
 def fit_languages(labelled: DataFrame, sample: int = SAMPLE) -> BiGru:
-    """Fit on at most ``sample`` rows of (doc_id, text, lang) with a text and a language, whole texts.
+    """Fit on at most ``sample`` distinct rows of (doc_id, text, lang) with a text and a language, whole texts.
 
-    Rows of one doc_id count one by one; ties are put in order of text and language, so a fit
+    Rows of one doc_id count one by one, copies of a row once; rows are put in order, so a fit
     of the same rows is the same. No labelled row: a network of no languages.
     """
     rows = labelled.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
-    # the ids first, so that no text is sorted; at most ``sample`` rows
-    chosen = hashed_sample(rows.select("doc_id"), sample)
-    found = rows.join(F.broadcast(chosen.distinct()), "doc_id").toArrow().to_pandas()
+    found = hashed_sample(rows, sample, ["lang"]).toArrow().to_pandas()
     found = found.sort_values(["doc_id", "text", "lang"], kind="stable")
     languages = sorted(found["lang"].unique())
     if not languages:

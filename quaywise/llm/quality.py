@@ -157,15 +157,14 @@ def grades(labels: DataFrame) -> DataFrame:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
-    """Fit on the rows of at most ``sample`` labelled documents, those of least hash of doc_id, whole texts.
+    """Fit on at most ``sample`` distinct rows (doc_id, text) of labelled documents, whole texts.
 
-    Null text counts as empty; rows of a repeated doc_id count one by one. Rows go into the fit
+    Null text counts as empty; rows of a repeated doc_id count one by one, copies of a row once. Rows go into the fit
     in the order of doc_id and features, so equal tables give equal models. No rated document,
     or an empty table: a model of no weights. Further columns are ignored, whatever their names.
     """
-    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(grades(labels), "doc_id")
-    chosen = hashed_sample(rated, sample)  # at most ``sample`` rows
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id").select("text", "grade", "doc_id")
+    rated = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(grades(labels), "doc_id")
+    picked = hashed_sample(rated, sample, ["grade"]).select("text", "grade", "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

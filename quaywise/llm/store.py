@@ -110,16 +110,33 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def hashed_sample(df: DataFrame, n: int, key: str = "doc_id") -> DataFrame:
-    """At most ``n`` rows, those of least hash of ``key``.
+#: Bytes of text that a sample for a fit may have, the first text excepted.
+SAMPLE_BYTES = 64 << 20
 
-    A bound on the hash is set from the number of rows first, so that tasks send about
-    ``n`` rows altogether, however many tasks there are.
+
+def hashed_sample(df: DataFrame, n: int, columns: list[str], most_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """At most ``n`` distinct rows (doc_id, text, ``columns``) and ``most_bytes`` of text, those of least hash of (doc_id, text).
+
+    Rows are drawn by what they are, not by doc_id: one id with many texts is as many rows, and
+    copies of a row are one. A bound on the hash is set from their number first, so that tasks
+    send about ``n`` of them altogether, however many tasks there are; texts are fetched last.
     """
-    total = df.select(key).count()
     span = 1 << 40
-    place = F.pmod(F.xxhash64(key), F.lit(span))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("_bytes")
+    known = df.select("doc_id", F.xxhash64("text").alias("_text"), size, *columns).distinct()
+    place = F.pmod(F.xxhash64("doc_id", "_text"), F.lit(span))
+    total = known.count()
     if total > n:
         # six standard deviations above the expected number, so that n rows are found
-        df = df.filter(place < int(span * min(1.0, (n + 6 * n**0.5 + 6) / total)))
-    return df.orderBy(place, key).limit(n)
+        known = known.filter(place < int(span * min(1.0, (n + 6 * n**0.5 + 6) / total)))
+    keys = ["doc_id", "_text", *columns]
+    rows = known.orderBy(place, *keys).limit(n).select(*keys, "_bytes").collect()  # n rows of numbers and labels
+    held, room = [], most_bytes
+    for r in rows:
+        room -= r["_bytes"]
+        if room < 0 and held:
+            break
+        held.append(tuple(r[k] for k in keys))
+    chosen = df.sparkSession.createDataFrame(held, known.select(*keys).schema)
+    whole = df.select("doc_id", "text", F.xxhash64("text").alias("_text"), *columns).join(F.broadcast(chosen), keys, "left_semi")
+    return whole.dropDuplicates(keys).drop("_text")
