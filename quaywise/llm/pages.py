@@ -52,13 +52,18 @@ _WANTED = re.compile(r"article|body|content|entry|main|page|post|story|text", re
 _BONUS = {"article": 25.0, "main": 20.0, "section": 5.0, "div": 5.0, "td": 3.0, "pre": 3.0, "blockquote": 3.0, "body": 0.0, "ul": -3.0, "ol": -3.0, "dl": -3.0, "table": 0.0}
 
 
+# Words of a class, id or role that an element around a whole article may have as well.
+_AMBIGUOUS = re.compile(r"complementary|contentinfo|dialog|footer|header|masthead|related|side-?bar|social|toolbar|widget", re.I)
+#: How many times the points of all that stays an element of such a name, or a form, must have to stay itself.
+_OUTWEIGHS = 4.0
+
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Share of its points that an element hands on to the one above.
 _HANDED_ON = 0.45
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "place", "inline", "holder", "opened", "hard", "soft", "wanted", "points", "chars", "linked", "plain", "articles", "titles", "dropped", "branch")
+    __slots__ = ("vague", "weight", "tag", "parent", "place", "inline", "holder", "opened", "hard", "soft", "wanted", "points", "chars", "linked", "plain", "articles", "titles", "dropped", "branch")
 
     def __init__(self, tag: str, parent: _Node | None, place: int, hard: bool, soft: int, wanted: float):
         self.tag, self.parent, self.place, self.hard, self.soft, self.wanted = tag, parent, place, hard, soft, wanted
@@ -66,6 +71,9 @@ class _Node:
         #: The nearest element here or above that is no inline one, and the inline tags that are open right in it.
         self.holder: _Node = parent.holder if self.inline and parent is not None else self
         self.opened: dict[str, int] = {}
+        #: Whether an article's wrapper may be called like this; the points of the text in it.
+        self.vague = False
+        self.weight = 0.0
         self.points = 0.0
         self.chars = self.linked = self.plain = self.articles = self.titles = 0
         self.dropped = False
@@ -165,7 +173,9 @@ def _blocks(page: str) -> tuple[list[_Node], list[tuple[_Node, str, int]]]:
         labels = " ".join(a or b or c for a, b, c in _LABEL.findall(m[3])) if "=" in m[3] else ""
         parent = open_[-1]
         soft = _unwanted(labels) if labels and tag not in ("html", "body", "main") else 0
-        node = _Node(tag, parent, len(nodes), parent.hard or tag in _DROPPED, soft, _BONUS.get(tag, -5.0 if tag in _HEADINGS else 0.0) + (10.0 if labels and _WANTED.search(labels) else 0.0))
+        hard = parent.hard or tag in _DROPPED and tag != "form"
+        node = _Node(tag, parent, len(nodes), hard, soft or 2 * (tag == "form"), _BONUS.get(tag, -5.0 if tag in _HEADINGS else 0.0) + (10.0 if labels and _WANTED.search(labels) else 0.0))
+        node.vague = tag == "form" and not soft or bool(soft) and all(_AMBIGUOUS.search(name) for name in labels.split() if _UNWANTED.search(name))
         open_.append(node)
         nodes.append(node)
         count[tag] = count.get(tag, 0) + 1
@@ -185,7 +195,8 @@ def _drop(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
 
     An element that only its labels speak against stays if it holds every article or main
     element of the page, or, where its name may be a wrapper's, a heading and most of the
-    page's text that isn't linked or certainly unwanted.
+    page's text that isn't linked or certainly unwanted. A form, or an element whose name an
+    article's wrapper may have, also stays if its text outweighs all that would be left.
     """
     for node, text, linked in blocks:
         if not node.hard:
@@ -202,6 +213,31 @@ def _drop(nodes: list[_Node], blocks: list[tuple[_Node, str, int]]) -> None:
     for node in nodes[1:]:
         stays = not node.soft or node.articles and node.articles == root.articles or node.soft == 1 and node.titles and 2 * node.plain > root.plain
         node.dropped = node.parent.dropped or node.hard or not stays
+    # what the text in each unwanted element is worth by itself, and all that stays
+    left = 0.0
+    for node, text, linked in blocks:
+        if not node.hard:
+            points = _points(text, linked)
+            left += 0.0 if node.dropped else points
+            node.weight += points
+    for node in reversed(nodes):
+        if node.parent is not None and not (node.soft and node.dropped and not node.vague):
+            node.parent.weight += node.weight
+    # the outermost of those whose text outweighs the rest of the page stays whatever its name
+    chosen = next((n for n in nodes[1:] if n.vague and n.dropped and not n.hard and n.weight >= 2.0 and n.weight > _OUTWEIGHS * left), None)
+    if chosen is not None:
+        chosen.dropped = False
+        inside = {chosen.place}
+        for node in nodes[chosen.place + 1 :]:
+            if node.parent is not None and node.parent.place in inside:
+                inside.add(node.place)
+                heavy = node.vague and 2 * node.weight > chosen.weight
+                node.dropped = node.parent.dropped or node.hard or bool(node.soft) and not heavy and not (node.articles and node.articles == root.articles)
+
+
+def _points(text: str, linked: int) -> float:
+    """Points of a paragraph, for length and commas, less what is linked."""
+    return (1.0 + text.count(",") + min(len(text) / 100, 3.0)) * (1.0 - linked / len(text))
 
 
 def main_text(page: str | None) -> str:
@@ -217,7 +253,7 @@ def main_text(page: str | None) -> str:
         if node.tag in _PARAGRAPHS:
             # a bare container's own text counts for itself, a paragraph's for what holds it
             gets = node if node.tag in _CONTAINERS else node.parent.holder
-            gets.points += (1.0 + text.count(",") + min(len(text) / 100, 3.0)) * (1.0 - linked / len(text))
+            gets.points += _points(text, linked)
     for node in reversed(nodes):
         if node.parent is not None:
             node.parent.chars += node.chars
@@ -262,8 +298,8 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of every page.
 
     Null or empty html gives empty text, null page_id and url stay null. Pages are read whole,
-    however long. Rows are independent: ties and repeated rows give equal rows, an empty table
-    none; further columns are ignored, whatever their names.
+    however long; bytes that aren't UTF-8 count as U+FFFD. Rows are independent: ties and
+    repeated rows give equal rows, an empty table none; further columns are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,7 +309,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 texts = [main_text(x.as_py()) for x in part.column(2)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.selectExpr("cast(page_id as long) page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return pages.selectExpr("cast(page_id as long) page_id", "url", "make_valid_utf8(html) html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -255,3 +255,41 @@ def test_no_texts_to_align(spark):
 
 def test_the_shared_folder_needs_no_setting(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+# --- samples and pages ------------------------------------------------------------------------------------
+
+
+def test_samples_go_by_rows_not_by_ids(spark):
+    from quaywise.llm.store import hashed_sample
+
+    rows = [(1, f"text {k}", "en") for k in range(3000)] + [(k, f"texte {k}", "fr") for k in range(2, 52)] + [(99, "same", "fr")] * 500
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = hashed_sample(df, 100, ["lang"]).collect()
+    assert len(found) == 100 and len({r.text for r in found}) == 100
+    assert len(hashed_sample(df, 5000, ["lang"]).collect()) == 3051
+    long = spark.createDataFrame([(k, "x" * 1000, "en") for k in range(40)], "doc_id long, text string, lang string")
+    assert len(hashed_sample(long, 30, ["lang"], most_bytes=5500).collect()) == 5
+    assert len(hashed_sample(long, 30, ["lang"], most_bytes=10).collect()) == 1
+    assert hashed_sample(df.filter("doc_id < 0"), 30, ["lang"]).collect() == []
+
+
+BODY = "<p>First paragraph, with commas, and enough text to be scored, said the author.</p><p>Second paragraph, also with commas, and long enough.</p>"
+
+
+@pytest.mark.parametrize("around", ["<form id=aspnetForm>", '<div class="widget Blog">', '<div class="content-with-sidebar">', '<div class="social-post">', '<div id=main class="no-footer">', '<div class="post related-links-off">'])
+def test_an_article_stays_in_an_odd_wrapper(around):
+    from quaywise.llm.pages import main_text
+
+    tag = around[1:].split(" ")[0]
+    page = f'<html><body><nav><a href=x>x</a></nav>{around}<div class="menu"><a href=y>y</a></div>{BODY}<div class="comments"><p>A comment, long, with commas.</p></div></{tag}><p>Copyright</p></body></html>'
+    assert main_text(page).split("\n")[:2] == [p.removeprefix("<p>") for p in BODY.split("</p>")[:2]] and "comment" not in main_text(page)
+    assert main_text(f'<div class="article">{BODY}</div><div class="sidebar"><p>Beside it, some text.</p></div><form><p>Sign up, now.</p></form>').count("\n") == 1
+    assert main_text(f'<div class="cookie-notice">{BODY}</div>') == ""
+
+
+def test_pages_that_are_not_utf8(spark):
+    from quaywise.llm.pages import extract
+
+    page = spark.range(1).selectExpr("id as page_id", "'u' as url", "concat('<p>Some text, ', cast(X'FF' as string), ' here.</p>') as html")
+    assert extract(page).head().text == "Some text, � here."
