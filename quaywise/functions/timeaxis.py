@@ -106,6 +106,14 @@ def round_to(ts: Column, hours: int) -> Column:
     return from_micros((q + up.cast("long")) * step)
 
 
+def on_the_hour(df: DataFrame, ts: str) -> DataFrame:
+    """The rows, if all stamps are on the hour; a stamp at another minute stops the query."""
+    t = F.col(ts)
+    off = (F.minute(t) != 0) | (F.second(t) != 0)
+    told = F.raise_error(F.concat(F.lit("a stamp off the hour: "), t.cast("string"))).cast(dict(df.dtypes)[ts])
+    return df.withColumn(ts, F.when(off, told).otherwise(t))
+
+
 def iso_week(ts: Column) -> Column:
     """ISO year and week, not padded: 2025-1."""
     return F.concat_ws("-", F.extract(F.lit("YEAROFWEEK"), ts).cast("string"), F.weekofyear(ts).cast("string"))

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .heads import fitted_together
 
 
 def training_mean(df: DataFrame, by: list[str], y: str = "y", name: str = "yhat") -> DataFrame:
@@ -64,13 +65,18 @@ class Linear:
 
 
 def ridge_by_validation(df: DataFrame, features: list[str], penalties: list[float], y: str = "y", name: str = "yhat") -> DataFrame:
-    """The penalty of least squared error on rows whose split is val, fitted on train rows."""
-    train, val = df.filter("split = 'train'"), df.filter("split = 'val'")
-    scored = []
-    for p in penalties:
-        model = Linear(features, p).fit(train, y)
-        scored.append((model.predict(val, "_p").agg(F.avg((F.col("_p") - F.col(y)) ** 2)).head()[0] or 0.0, p, model))
-    return min(scored, key=lambda s: s[:2])[2].predict(df, name)
+    """The penalty of least squared error on rows whose split is val, fitted on train rows; the least of equal ones.
+
+    Sums of products of both splits come from one aggregate; fits and errors follow from them.
+    """
+    sums = _fold_sums(df.filter(F.col("split").isin("train", "val")), features, "split", y)
+    m, val = sums["train"], sums.get("val", np.zeros_like(sums["train"]))
+    fits = [(p, _penalised(m, p / max(m[0, 0], 1.0), 0.0)) for p in sorted(penalties)]
+    error = lambda w: float(np.append(-w, 1.0) @ val @ np.append(-w, 1.0))
+    best, w = min(fits, key=lambda f: (error(f[1]), f[0]))
+    model = Linear(features, best)
+    model.intercept, model.coefficients = float(w[0]), w[1:]
+    return model.predict(df, name)
 
 
 def _fold_sums(df: DataFrame, features: list[str], fold: str, y: str) -> dict[int, np.ndarray]:
@@ -134,12 +140,13 @@ def cross_validated(df: DataFrame, features: list[str], alphas: list[float], l1:
 class Network:
     """A regressor of one hidden layer of tanh units, or a linear one (hidden = 0), for a chosen loss.
 
-    ``loss``: squared, absolute, huber or quantile (then ``level``). Gradients are summed in
-    each task and over tasks by Spark; only they and the weights travel. Adam steps on all
+    ``loss``: squared, absolute, huber or quantile (then ``level``). A fit is one barrier job of
+    ``workers`` tasks: each holds its rows, and only sums of gradients travel. Adam steps on all
     training rows, whose features and target are standardised by one aggregate.
     """
 
-    def __init__(self, features: list[str], hidden: int = 8, loss: str = "squared", level: float = 0.5, steps: int = 80, rate: float = 0.05, seed: int = 7):
+    def __init__(self, features: list[str], hidden: int = 8, loss: str = "squared", level: float = 0.5, steps: int = 80, rate: float = 0.05, seed: int = 7, workers: int | None = None):
+        self.workers = workers
         self.features, self.hidden, self.loss, self.level, self.steps, self.rate, self.seed = features, hidden, loss, level, steps, rate, seed
 
     def _shapes(self) -> list[tuple[int, ...]]:
@@ -182,31 +189,15 @@ class Network:
         self.sd = np.array([v or 1.0 for v in stats[1 + k :]])
         rng = np.random.default_rng(self.seed)
         w = np.concatenate([rng.normal(0, 1 / np.sqrt(s[0]), s).ravel() if len(s) == 2 else rng.normal(0, 0.3, s).ravel() if s else np.zeros(1) for s in self._shapes()])
-        m, v = np.zeros_like(w), np.zeros_like(w)
-        for t in range(1, self.steps + 1 if n else 1):
-            g = self._summed(rows, w) / n
-            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-            w = w - self.rate * (1 - 0.9 * t / self.steps) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        self.weights = w
-        return self
-
-    def _summed(self, rows: DataFrame, w: np.ndarray) -> np.ndarray:
-        import pandas as pd
-
         own = self
 
-        def run(batches):
-            total = np.zeros(len(w))
-            for batch in batches:
-                z = (batch.to_numpy(float) - own.mean) / own.sd
-                total += own._gradient(z[:, :-1], z[:, -1], w)
-            yield pd.DataFrame({"i": np.arange(len(w)), "g": total})
-
-        sums = rows.mapInPandas(run, "i int, g double").groupBy("i").agg(F.sum("g").alias("g")).collect()  # a row a weight
-        out = np.zeros(len(w))
-        for i, g in sums:
-            out[i] = g
-        return out
+        def held(batches) -> np.ndarray:  # noqa: ANN001
+            parts = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if len(b)]
+            return (np.concatenate(parts) - own.mean) / own.sd if parts else np.zeros((0, k))
+
+        workers = self.workers or min(8, train.sparkSession.sparkContext.defaultParallelism)
+        self.weights = fitted_together(rows, held, lambda z, w: (own._gradient(z[:, :-1], z[:, -1], w), len(z)), w, self.steps, self.rate, workers) if n else w
+        return self
 
     def predict(self, df: DataFrame, name: str = "yhat") -> DataFrame:
         """On column expressions only; null where a feature is."""

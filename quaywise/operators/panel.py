@@ -77,6 +77,18 @@ def ranked(df: DataFrame, value: str, by: list[str], name: str, percent: bool =
     return in_value_ranges(df, value, by).withColumn(name, rank / F.col("_size") if percent else rank).drop("_range", "_here", "_below", "_size")
 
 
+def numbered_by(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Adds each row's place in its group in order of ``value``, from 1; groups of any size, values distinct."""
+    w = Window.partitionBy(*by, "_range").orderBy(value)
+    return in_value_ranges(df, value, by).withColumn(name, (F.col("_below") + F.row_number().over(w)).cast("long")).drop("_range", "_here", "_below", "_size")
+
+
+def numbered(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
+    """Adds a number from 0 in order of ``value`` and then ``key``, over all rows: counts of ranges of values, then windows inside them."""
+    w = Window.partitionBy("_range").orderBy(value, key)
+    return in_value_ranges(df, value, []).withColumn(name, (F.col("_below") + F.row_number().over(w) - 1).cast("long")).drop("_range", "_here", "_below", "_size")
+
+
 def exact_quantile(df: DataFrame, value: str, by: list[str], q: float, name: str) -> DataFrame:
     """(by, name): the exact quantile of groups of any size, linear between neighbours; nulls don't count.
 

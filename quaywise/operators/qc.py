@@ -71,3 +71,19 @@ def write_missing(df: DataFrame, path: str, key: list[str]) -> int:
     if n:
         todo.write.mode("append").partitionBy(*key).parquet(path)
     return n
+
+
+def reconcile_order(a: DataFrame, b: DataFrame, by: list[str], key: str) -> DataFrame:
+    """(by, rows_a, rows_b, same_place, first_off): whether two runs have the same keys in the same places.
+
+    A row's place is that of its key in order, from 1; first_off is the first place where the
+    keys differ or one run has no row, null if there is none. Keys of a group are distinct; its
+    rows are numbered by ranges, so a group may be large.
+    """
+    from .panel import numbered_by
+
+    left = numbered_by(a, by, key, "_n").select(*by, F.col(key).alias("_a"), "_n")
+    right = numbered_by(b, by, key, "_n").select(*by, F.col(key).alias("_b"), "_n")
+    both = left.join(right, [*by, "_n"], "full")
+    off = F.when(~F.col("_a").eqNullSafe(F.col("_b")), F.col("_n"))
+    return both.groupBy(*by).agg(F.count("_a").alias("rows_a"), F.count("_b").alias("rows_b"), F.count_if(F.col("_a") == F.col("_b")).alias("same_place"), F.min(off).alias("first_off"))

@@ -153,6 +153,27 @@ def days_to_nearest(days: DataFrame, by: list[str], known: str) -> DataFrame:
     return found.withColumn("distance", F.floor(away / F.lit(86400 * MICROS)).cast("int")).drop("ts", "_known", "_m", "_a", "_z")
 
 
+def interval_join(left: DataFrame, right: DataFrame, by: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], bucket_s: int) -> DataFrame:
+    """Pairs of equal ``by`` whose intervals [start, end) overlap, each pair once: ``by``, the left columns, the right ones.
+
+    Both sides are cut by time bucket and meet there by equality; of the buckets that a pair
+    shares it counts in that of the later start. An interval stands in as many buckets as it
+    touches, so a bucket should be about as long as the intervals. Empty intervals and nulls meet nothing.
+    """
+    width = bucket_s * MICROS
+    at = lambda c: F.floor(micros(F.col(c)) / F.lit(width))
+
+    def cut(df: DataFrame, ends: tuple[str, str], name: str) -> DataFrame:
+        start, end = ends
+        last = F.floor((micros(F.col(end)) - 1) / F.lit(width))
+        rest = F.struct(*[F.col(c) for c in df.columns if c not in by])
+        return df.filter(F.col(start) < F.col(end)).select(*by, F.explode(F.sequence(at(start), last)).alias("_b"), at(start).alias(f"_at_{name}"), rest.alias(name))
+
+    both = cut(left, left_ends, "_l").join(cut(right, right_ends, "_r"), [*by, "_b"])
+    ls, le, rs, re_ = F.col(f"_l.{left_ends[0]}"), F.col(f"_l.{left_ends[1]}"), F.col(f"_r.{right_ends[0]}"), F.col(f"_r.{right_ends[1]}")
+    return both.filter((ls < re_) & (rs < le) & (F.col("_b") == F.greatest("_at__l", "_at__r"))).select(*by, "_l.*", "_r.*")
+
+
 def lead_lags(df: DataFrame, by: list[str], value: str, lead_days: int) -> DataFrame:
     """Lags known at a lead of so many days: the lead, a day more, and the same weekday one or two weeks before."""
     week = 7 if lead_days <= 7 else 14

@@ -245,11 +245,32 @@ def src19(spark, sf):
 def src19_points(spark, sf):
     rings = src.polygons(_shapes(spark, sf), "text", "name")
     e = table(spark, sf, "events").select("event_id", ((F.col("event_id") % 500) / 10 + 0.05).alias("x"), ((F.col("user_id") % 40) / 10 + 0.03).alias("y"))
-    # the cells of a grid, a fixed number, meet the polygons, not the events
-    cells = e.select("x", "y").distinct().join(rings, F.lit(True))
-    odd = F.sum(src.inside_ring(F.col("x"), F.col("y"), F.col("points")).cast("int")) % 2 == 1
-    member = cells.groupBy("x", "y", "zone", "part").agg(odd.alias("inside")).filter("inside").select("x", "y", "zone").distinct()
-    return e.join(member, ["x", "y"]).groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
+    return sx.points_in_polygons(e, rings, "x", "y", 1.0).groupBy("zone").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _map(spark, sf, side):
+    """Each customer's nation as a square of a map, five in a row; regions are the zones."""
+    c = table(spark, sf, "customer").select("c_nationkey").distinct()
+    n = c.join(table(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    x, y = (F.col("n_nationkey") % 5).cast("double"), F.floor(F.col("n_nationkey") / 5).cast("double")
+    corner = lambda a, b: F.array(x + a, y + b)
+    ring = F.array(corner(0.0, 0.0), corner(side, 0.0), corner(side, side), corner(0.0, side), corner(0.0, 0.0))
+    return n.select(F.col("n_regionkey").alias("zone"), F.col("n_nationkey").alias("part"), F.lit(0).alias("ring"), ring.alias("points"))
+
+
+MAP = "m AS (SELECT DISTINCT n_regionkey AS zone, n_nationkey % 5 AS x, n_nationkey // 5 AS y FROM nation JOIN customer ON c_nationkey = n_nationkey)"
+
+
+@query("src19_outlines", f"WITH {MAP} SELECT zone, CAST(4 * count(*) - 2 * (SELECT count(*) FROM m a JOIN m b ON a.zone = b.zone AND a.zone = o.zone AND (b.x = a.x + 1 AND b.y = a.y OR b.x = a.x AND b.y = a.y + 1)) AS BIGINT) AS sides FROM m o GROUP BY zone")
+def src19_outlines(spark, sf):
+    """Sides of the regions' shapes after the nations in them have dissolved."""
+    return sx.outlines(_map(spark, sf, 1.0)).groupBy("zone").agg(F.count(F.lit(1)).alias("sides"))
+
+
+@query("src19_union_areas", f"WITH {MAP}, h AS (SELECT DISTINCT zone, 2 * x + i AS i, 2 * y + j AS j FROM m, range(3) a(i), range(3) b(j)) SELECT zone, count(*) / 4.0 AS area FROM h GROUP BY 1")
+def src19_unions(spark, sf):
+    """Area of each region, whose nations overlap by half a side."""
+    return sx.union_areas(_map(spark, sf, 1.5)).select("zone", F.round("area", 6).alias("area"))
 
 
 @query("src17_array_scan", "SELECT vec_id, CAST(embedding[1] AS DOUBLE) AS x0, len(embedding) AS n FROM embeddings")
@@ -257,9 +278,16 @@ def src17(spark, sf):
     return table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("x0"), F.size("embedding").cast("long").alias("n"))
 
 
-@query("src20_time_axis", "SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-12-31 21:00:00', INTERVAL 3 HOUR)) AS ts")
+@query("src20_time_axis", "WITH a AS (SELECT unnest(generate_series(date_trunc('day', (SELECT min(ts) FROM events)), (SELECT max(ts) FROM events), INTERVAL 3 HOUR)) AS ts) SELECT a.ts, count(event_id) AS n FROM a LEFT JOIN events e ON e.ts >= a.ts AND e.ts < a.ts + INTERVAL 3 HOUR GROUP BY 1")
 def src20(spark, sf):
-    return src.time_axis(spark, "2024-01-01 00:00:00", "2024-12-31 21:00:00", "3 hours")
+    """The axis over the events' time, with the events of each step."""
+    e = table(spark, sf, "events").select("event_id", "ts")
+    first, last = e.agg(F.date_trunc("day", F.min("ts")).cast("string"), F.max("ts").cast("string")).head()
+    axis = src.time_axis(spark, first, last, "3 hours")
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    step = F.timestamp_add("HOUR", F.floor(F.hour("ts") / 3).cast("int") * 3, day)
+    counts = e.groupBy(step.alias("ts")).agg(F.count("event_id").alias("n"))
+    return axis.join(counts, "ts", "left").select("ts", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 @query("snk1_partitioned_write", f"WITH {H} SELECT zone, count(*) AS n FROM h GROUP BY 1")

@@ -9,6 +9,7 @@ from ..operators import evaluate as ev
 from ..operators import models as mo
 from ..operators import splits as sp
 from ..operators.boosting import BoostedTrees
+from ..operators.heads import SpatialHead
 from ..operators.panel import quantile_bins, ranked
 from ..sources.tables import table
 from .common import D, H, M, P, PAIR, daily, hourly, prediction_log, rounded, split_panel, stored
@@ -136,13 +137,30 @@ def mod6_elastic_net_cv(spark, sf):
 @query("mod7_network")
 def mod7(spark, sf):
     p = _features(spark, sf)
-    return mo.Network(FEATURES, hidden=6, steps=12).fit(p.filter("split = 'train'")).predict(p).filter("split = 'test'").transform(ev.errors_by, ["zone"])
+    return mo.Network(FEATURES, hidden=6, steps=150).fit(p.filter("split = 'train'")).predict(p).filter("split = 'test'").transform(ev.errors_by, ["zone"])
+
+
+def _tokens(spark, sf):
+    """Embeddings as grids of 4 x 4 tokens, with the label as target; every fifth vector is held out."""
+    return table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 5 == 0).alias("held_out"))
+
+
+@query("mod7_attention_head")
+def mod7_attention(spark, sf):
+    e = _tokens(spark, sf)
+    return SpatialHead("embedding", (4, 4), "attention").fit(e.filter("not held_out")).predict(e).transform(ev.errors_by, ["held_out"])
+
+
+@query("mod7_convolution_head")
+def mod7_convolution(spark, sf):
+    e = _tokens(spark, sf)
+    return SpatialHead("embedding", (4, 4), "convolution").fit(e.filter("not held_out")).predict(e).transform(ev.errors_by, ["held_out"])
 
 
 @query("mod3_quantile")
 def mod3_quantile(spark, sf):
     p = _features(spark, sf)
-    model = mo.Network(FEATURES, hidden=0, loss="quantile", level=0.9, steps=25, rate=0.2).fit(p.filter("split = 'train'"))
+    model = mo.Network(FEATURES, hidden=0, loss="quantile", level=0.9, steps=200, rate=0.2).fit(p.filter("split = 'train'"))
     return model.predict(p).filter("split = 'test'").groupBy("zone").agg(F.avg((F.col("y") <= F.col("yhat")).cast("double")).alias("covered"), F.count(F.lit(1)).alias("n"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..functions import timeaxis as tx
 from ..operators import panel as pn
+from ..operators import qc
 from ..operators import temporal as tj
 from ..sources.tables import table
 from .common import D, H, M, P, daily, hourly, prediction_log, rounded, split_panel
@@ -159,10 +160,13 @@ def prj21(spark, sf):
 # ---- time --------------------------------------------------------------------------------
 
 
-@query("tim1_parse_offsets", "SELECT event_id, ts + INTERVAL 5 HOUR AS utc FROM events")
+@query("tim1_parse_offsets", "WITH p AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN ts + INTERVAL 5 HOUR WHEN 1 THEN ts - INTERVAL 330 MINUTE WHEN 2 THEN ts END AS utc FROM events) SELECT event_id, utc, (SELECT count(*) FROM p WHERE utc IS NULL) AS unreadable FROM p")
 def tim1(spark, sf):
-    e = table(spark, sf, "events").withColumn("raw", F.concat(F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T")), F.lit("-05:00")))
-    return e.select("event_id", tx.parse_offset(F.col("raw")).alias("utc"))
+    """Offsets of several zones; what can't be read is null, and counted."""
+    told = F.replace(F.col("ts").cast("string"), F.lit(" "), F.lit("T"))
+    raw = F.concat(told, F.element_at(F.array(F.lit("-05:00"), F.lit("+05:30"), F.lit("Z"), F.lit(" o'clock")), (F.col("event_id") % 4 + 1).cast("int")))
+    e = table(spark, sf, "events").select("event_id", tx.parse_offset(raw).alias("utc"))
+    return e.crossJoin(F.broadcast(e.agg(F.count_if(F.col("utc").isNull()).alias("unreadable"))))  # one row
 
 
 @query("tim2_local_clock", "SELECT event_id, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York' AS local, CAST(date_diff('second', ts, ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/New_York') / 3600.0 AS DOUBLE) AS offset_h FROM events")
@@ -187,16 +191,30 @@ def tim6(spark, sf):
     return tx.calendar(hourly(spark, sf), "ts", tx.holiday_table(spark, 2023, 2025)).drop("y")
 
 
-@query("tim7_holidays", "SELECT count(*) AS n, min(d) AS first FROM (VALUES (DATE '2024-01-01'), (DATE '2024-01-15'), (DATE '2024-02-19'), (DATE '2024-05-27'), (DATE '2024-06-19'), (DATE '2024-07-04'), (DATE '2024-09-02'), (DATE '2024-10-14'), (DATE '2024-11-11'), (DATE '2024-11-28'), (DATE '2024-12-25')) t(d)")
+def holiday_rules() -> str:
+    """SQL of the federal holidays of 1995 to 2001, each on its observed day: hd (day)."""
+    nth = lambda month, weekday, n: f"make_date(y, {month}, 1) + CAST((({weekday} - isodow(make_date(y, {month}, 1)) + 7) % 7 + 7 * ({n} - 1)) AS INT)"
+    fixed = lambda month, day: f"make_date(y, {month}, {day}) + CASE isodow(make_date(y, {month}, {day})) WHEN 6 THEN -1 WHEN 7 THEN 1 ELSE 0 END"
+    last_monday = "make_date(y, 5, 31) - CAST(isodow(make_date(y, 5, 31)) - 1 AS INT)"
+    rules = [fixed(1, 1), nth(1, 1, 3), nth(2, 1, 3), last_monday, fixed(7, 4), nth(9, 1, 1), nth(10, 1, 2), fixed(11, 11), nth(11, 4, 4), fixed(12, 25)]
+    return f"hd AS (SELECT unnest([{', '.join(rules)}]) AS day FROM (SELECT unnest(range(1995, 2002)) AS y))"
+
+
+@query("tim7_holidays", f"WITH {holiday_rules()} SELECT day, count(o_orderkey) AS orders FROM hd LEFT JOIN orders ON CAST(o_orderdate AS DATE) = day GROUP BY 1")
 def tim7(spark, sf):
-    return tx.holiday_table(spark, 2024, 2024).agg(F.count(F.lit(1)).alias("n"), F.min("day").alias("first"))
+    """Orders on each holiday."""
+    o = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("o_orderkey").alias("orders"))
+    return tx.holiday_table(spark, 1995, 2001).join(o, "day", "left").select("day", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"))
 
 
-@query("tim8_bridge_days", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE (isodow(o_orderdate) = 5 AND day(o_orderdate - INTERVAL 1 DAY) = 4 AND month(o_orderdate - INTERVAL 1 DAY) = 7) OR (isodow(o_orderdate) = 1 AND day(o_orderdate + INTERVAL 1 DAY) = 4 AND month(o_orderdate + INTERVAL 1 DAY) = 7)")
+@query("tim8_bridge_days", f"WITH {holiday_rules()} SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE (isodow(o_orderdate) = 5 AND CAST(o_orderdate AS DATE) - 1 IN (SELECT day FROM hd)) OR (isodow(o_orderdate) = 1 AND CAST(o_orderdate AS DATE) + 1 IN (SELECT day FROM hd))")
 def tim8(spark, sf):
-    d = F.to_date("o_orderdate")
-    july4 = lambda x: (F.day(x) == 4) & (F.month(x) == 7)
-    return table(spark, sf, "orders").select(d.alias("day")).distinct().filter(tx.bridge_day(F.col("day"), july4(F.date_sub("day", 1)), july4(F.date_add("day", 1))))
+    """Days between a holiday and a weekend on which something was ordered."""
+    days = table(spark, sf, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    holidays = tx.holiday_table(spark, 1995, 2001)
+    near = lambda k, name: F.broadcast(holidays.select(F.date_add("day", k).alias("day"), F.lit(True).alias(name)))  # noqa: E731  some days a year
+    marked = days.join(near(1, "before"), "day", "left").join(near(-1, "after"), "day", "left")
+    return marked.filter(tx.bridge_day(F.col("day"), F.coalesce("before", F.lit(False)), F.coalesce("after", F.lit(False)))).select("day")
 
 
 @query("tim9_date_arithmetic", "SELECT DISTINCT CAST(o_orderdate AS DATE) AS d, CAST(o_orderdate AS DATE) - 1 AS d1, CAST(o_orderdate AS DATE) - 2 AS d2 FROM orders")
@@ -240,9 +258,10 @@ def tim16(spark, sf):
     return rounded(h.select("zone", "ts", F.when(F.col("before").isNull(), F.col("y")).otherwise((F.col("y") + F.col("before")) / 2).alias("c")), "c", digits=9)
 
 
-@query("tim17_on_the_hour", f"WITH {H} SELECT count(*) AS rows, CAST(sum(CASE WHEN minute(ts) <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS off FROM h")
+@query("tim17_on_the_hour", f"WITH {H} SELECT zone, ts FROM h WHERE hour(ts) % 3 = 0")
 def tim17(spark, sf):
-    return hourly(spark, sf).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.minute("ts") != 0).alias("off"))
+    """Every third hour of stamps that are all on the hour; another minute stops the query."""
+    return tx.on_the_hour(hourly(spark, sf).select("zone", "ts"), "ts").filter(F.hour("ts") % 3 == 0)
 
 
 @query("tim18_monthly_static", "WITH s AS (SELECT CAST(month(o_orderdate) AS INT) AS m, avg(o_totalprice) AS norm FROM orders GROUP BY 1) SELECT o_orderkey, round(o_totalprice - norm, 4) AS anomaly FROM orders JOIN s ON month(o_orderdate) = m")
@@ -383,11 +402,37 @@ def jon21(spark, sf):
     return h.join(h.groupBy("zone", "day").agg((F.max("y") > 20).alias("big")), ["zone", "day"], "left").select("zone", "ts", "big")
 
 
-@query("jon22_reconcile_keys", f"WITH {M} SELECT count(*) AS pairs, CAST(sum(CASE WHEN a.y = b.y THEN 1 ELSE 0 END) AS BIGINT) AS same FROM log a JOIN log b ON a.zone = b.zone AND a.ts = b.ts AND a.feature_set < b.feature_set")
+@query("jon27_interval_overlap", "WITH i AS (SELECT o_custkey AS customer, o_orderkey AS k, o_orderdate AS s, o_orderdate + to_days(CAST(10 + o_orderkey % 40 AS INT)) AS e FROM orders) SELECT a.customer, a.k AS first, b.k AS second, CAST(date_diff('day', greatest(a.s, b.s), least(a.e, b.e)) AS BIGINT) AS days FROM i a JOIN i b ON a.customer = b.customer AND a.k < b.k AND a.s < b.e AND b.s < a.e")
+def jon27(spark, sf):
+    """Orders of one customer that are open at the same time."""
+    start, length = F.col("o_orderdate").cast("timestamp_ntz"), (10 + F.col("o_orderkey") % 40).cast("int")
+    o = table(spark, sf, "orders").select(F.col("o_custkey").alias("customer"), F.col("o_orderkey").alias("k"), start.alias("s"), F.timestamp_add("DAY", length, start).alias("e"))
+    other = o.select("customer", F.col("k").alias("k2"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    pairs = tj.interval_join(o, other, ["customer"], ("s", "e"), ("s2", "e2"), 30 * 86400).filter("k < k2")
+    days = F.timestamp_diff("DAY", F.greatest("s", "s2"), F.least("e", "e2"))
+    return pairs.select("customer", F.col("k").alias("first"), F.col("k2").alias("second"), days.cast("long").alias("days"))
+
+
+@query("jon28_full_outer", "WITH a AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS orders FROM orders GROUP BY 1), b AS (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS shipped FROM lineitem GROUP BY 1) SELECT coalesce(a.day, b.day) AS day, coalesce(orders, 0) AS orders, coalesce(shipped, 0) AS shipped FROM a FULL JOIN b ON a.day = b.day")
+def jon28(spark, sf):
+    """Days with orders, shipments or both."""
+    a = table(spark, sf, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count(F.lit(1)).alias("orders"))
+    b = table(spark, sf, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count(F.lit(1)).alias("shipped"))
+    return a.join(b, "day", "full").select("day", F.coalesce("orders", F.lit(0)).cast("long").alias("orders"), F.coalesce("shipped", F.lit(0)).cast("long").alias("shipped"))
+
+
+@query("agg27_cube", "SELECT o_orderstatus, year(o_orderdate) AS year, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, year(o_orderdate))")
+def agg27(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderstatus", F.year("o_orderdate").cast("long").alias("year"), "o_totalprice")
+    return o.cube("o_orderstatus", "year").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+@query("jon22_reconcile_keys", f"WITH {H}, a AS (SELECT zone, ts, y, row_number() OVER (PARTITION BY zone ORDER BY ts) AS n FROM h), b AS (SELECT zone, ts, y, row_number() OVER (PARTITION BY zone ORDER BY ts) AS n FROM h WHERE NOT (zone = 'click' AND hour(ts) = 5 AND day(ts) = 7)) SELECT coalesce(a.zone, b.zone) AS zone, count(a.n) AS rows_a, count(b.n) AS rows_b, CAST(count_if(a.ts = b.ts) AS BIGINT) AS same_place, min(CASE WHEN a.ts IS DISTINCT FROM b.ts THEN coalesce(a.n, b.n) END) AS first_off FROM a FULL JOIN b ON a.zone = b.zone AND a.n = b.n GROUP BY 1")
 def jon22(spark, sf):
-    log = prediction_log(spark, sf)
-    a, b = log.filter("feature_set = 'climatology'"), log.filter("feature_set = 'mean'").select("zone", "ts", F.col("y").alias("y2"))
-    return a.join(b, ["zone", "ts"]).agg(F.count(F.lit(1)).alias("pairs"), F.count_if(F.col("y") == F.col("y2")).alias("same"))
+    """The order of rows of two runs, one of which lacks an hour: where they come apart."""
+    run = hourly(spark, sf).select("zone", "ts", "y")
+    other = run.filter(~((F.col("zone") == "click") & (F.hour("ts") == 5) & (F.day("ts") == 7)))
+    return qc.reconcile_order(run, other, ["zone"], "ts")
 
 
 @query("jon23_information_lag", f"WITH {H}, g AS (SELECT zone, ts AS grid, y AS w FROM h WHERE hour(ts) % 3 = 0) SELECT h.zone, h.ts, round(g.w, 6) AS w FROM h JOIN g ON h.zone = g.zone AND g.grid = time_bucket(INTERVAL 3 HOUR, h.ts - INTERVAL 24 HOUR + INTERVAL 90 MINUTE, TIMESTAMP '2000-01-01')")
@@ -610,6 +655,12 @@ def _gappy(spark, sf):
     return hourly(spark, sf).select("zone", "ts", F.when(F.hour("ts") % 6 == 0, F.col("y")).alias("v"))
 
 
+@query("win9_stable_key", "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) - 1 AS n FROM orders")
+def win9(spark, sf):
+    """A number for each row in a stated order, without a sort of all rows in one task."""
+    return pn.numbered(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), "o_orderdate", "o_orderkey", "n").select("o_orderkey", "n")
+
+
 @query("win10_interpolate", f"WITH {GAPPY}, a AS (SELECT *, last_value(v IGNORE NULLS) OVER u AS av, last_value(CASE WHEN v IS NOT NULL THEN m END IGNORE NULLS) OVER u AS am, first_value(v IGNORE NULLS) OVER n AS zv, first_value(CASE WHEN v IS NOT NULL THEN m END IGNORE NULLS) OVER n AS zm FROM k WINDOW u AS (PARTITION BY zone ORDER BY m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY zone ORDER BY m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) SELECT zone, ts, round(CASE WHEN av IS NULL THEN NULL WHEN zv IS NULL OR zm = am THEN av ELSE av + (zv - av) * (m - am) / (zm - am) END, 9) AS filled FROM a")
 def win10(spark, sf):
     return rounded(tj.interpolate(_gappy(spark, sf), ["zone"], "v").select("zone", "ts", "filled"), "filled", digits=9)

@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quaywise.functions import scalars, timeaxis
-from quaywise.operators import evaluate, models, panel, qc, spatial, splits, temporal
+from quaywise.operators import evaluate, heads, models, panel, qc, spatial, splits, temporal
 from quaywise.sources import tables
 
 
@@ -335,8 +335,88 @@ def test_gram_pca_equals_an_eigenvalue_problem_of_the_rows(spark):
     u, s, _ = np.linalg.svd(c, full_matrices=False)
     want = u[:, :2] * s[:2]
     assert np.allclose(np.abs(got[["pc0", "pc1"]]), np.abs(want), atol=1e-8)
+
+
+def test_gram_pca_by_blocks_and_by_iteration(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(23, 3)) @ rng.normal(size=(3, 30)) * [5.0] * 1 + rng.normal(0, 0.05, (23, 30)) + np.repeat([0.0, 50.0], 15)
+    x[:, 15:] *= 9
+    df = spark.createDataFrame([(i, r.tolist(), i < 19) for i, r in enumerate(x)], "k int, v array<double>, own boolean")
+    t = x[:19]
+    sd = np.repeat(np.sqrt(t.reshape(19, 2, 15).var(axis=0).mean(axis=1)), 15)
+    _, _, vt = np.linalg.svd((t - t.mean(0)) / sd, full_matrices=False)
+    want = ((x - t.mean(0)) / sd) @ vt[:3].T
+    for how in ({"block": 4}, {"most": 8}):
+        got = spatial.gram_pca(df, "k", "v", 3, fields=2, train="own", **how).toPandas().sort_values("k")[["pc0", "pc1", "pc2"]].to_numpy()
+        assert np.allclose(np.abs(got), np.abs(want), atol=1e-5), how
+        assert (got[:19][np.abs(got[:19]).argmax(axis=0), range(3)] > 0).all()
     with pytest.raises(ValueError):
-        spatial.gram_pca(spark.createDataFrame([(i, [1.0]) for i in range(9)], "k int, v array<double>"), "k", "v", 1, most=8)
+        spatial.gram_pca(df.filter("k < 0"), "k", "v", 1)
+
+
+def test_interval_join_meets_each_pair_once(spark):
+    rng = np.random.default_rng(6)
+    day = lambda m: datetime(2024, 1, 1) + timedelta(minutes=int(m))
+    make = lambda n: [(int(rng.integers(3)), i, day(s), day(s + rng.integers(0, 5000))) for i, s in enumerate(rng.integers(0, 20000, n))]
+    a, b = make(60), make(70)
+    left = spark.createDataFrame(a, "k int, i int, s timestamp_ntz, e timestamp_ntz")
+    right = spark.createDataFrame(b, "k int, j int, s2 timestamp_ntz, e2 timestamp_ntz")
+    joined = temporal.interval_join(left, right, ["k"], ("s", "e"), ("s2", "e2"), 86400)
+    assert "NestedLoop" not in joined._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in joined._jdf.queryExecution().executedPlan().toString()
+    want = sorted((x[1], y[1]) for x in a for y in b if x[0] == y[0] and max(x[2], y[2]) < min(x[3], y[3]))
+    assert sorted((r.i, r.j) for r in joined.collect()) == want and want
+
+
+def test_union_of_overlapping_parts_and_holes(spark):
+    square = lambda x, y, a: [[x, y], [x + a, y], [x + a, y + a], [x, y + a], [x, y]]
+    tilted = [[0.0, 1.0], [1.0, 0.0], [2.0, 1.0], [1.0, 2.0], [0.0, 1.0]]
+    rows = [("z", 0, 0, square(0.0, 0.0, 2.0)), ("z", 1, 0, square(1.0, 1.0, 2.0)), ("z", 2, 0, square(10.0, 0.0, 4.0)), ("z", 2, 1, square(11.0, 1.0, 1.0)), ("t", 0, 0, tilted), ("t", 1, 0, square(0.0, 0.0, 1.0)), ("e", 0, 0, [])]
+    rings = spark.createDataFrame(rows, "zone string, part int, ring int, points array<array<double>>")
+    got = {r.zone: r.area for r in spatial.union_areas(rings).collect()}
+    assert abs(got["z"] - (7 + 15)) < 1e-9 and abs(got["t"] - 2.5) < 1e-9 and got["e"] == 0
+    points = spark.createDataFrame([(1.5, 1.5), (11.5, 1.5), (10.5, 0.5), (-1.0, 0.0), (2.9, 2.9)], "x double, y double")
+    assert sorted((r.x, r.zone) for r in spatial.points_in_polygons(points, rings.filter("zone = 'z'"), "x", "y", 0.7).collect()) == [(1.5, "z"), (2.9, "z"), (10.5, "z")]
+
+
+@pytest.mark.parametrize("kind", ["attention", "convolution"])
+def test_gradients_of_heads_equal_differences(kind):
+    rng = np.random.default_rng(2)
+    head = heads.SpatialHead("v", (3, 2), kind, units=2)
+    head.channels = 3
+    x, y = rng.normal(size=(5, 6, 3)), rng.normal(size=5)
+    w = np.concatenate([rng.normal(0, 0.5, s).ravel() for s in head._shapes()])
+    loss = lambda v: 0.5 * ((head.output(x, v)[0] - y) ** 2).sum()
+    g = head.gradient(x, y, w)
+    for k in range(len(w)):
+        d = np.zeros(len(w))
+        d[k] = 1e-6
+        assert abs((loss(w + d) - loss(w - d)) / 2e-6 - g[k]) < 1e-5
+
+
+def test_a_head_finds_the_token_that_matters(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 4, 2))
+    y = x[:, :, 1].max(axis=1)
+    df = spark.createDataFrame([(r.ravel().tolist(), float(v)) for r, v in zip(x, y)] + [(None, 1.0)], "v array<double>, y double")
+    head = heads.SpatialHead("v", (2, 2), "attention", steps=250, workers=2).fit(df)
+    got = head.predict(df).filter("v is not null").toPandas()
+    assert ((got.y - got.yhat) ** 2).mean() < 0.35 * got.y.var() and head.predict(df).filter("yhat is null").count() == 1
+
+
+def test_numbers_in_order_and_runs_that_come_apart(spark):
+    df = _frame(spark, [(i * 7 % 50, i) for i in range(200)], "v int, k int")
+    got = {r.k: r.n for r in panel.numbered(df, "v", "k", "n").collect()}
+    assert [got[k] for _, k in sorted((i * 7 % 50, i) for i in range(200))] == list(range(200))
+    a = _frame(spark, [("z", k) for k in range(9)] + [("y", 1)], "g string, k int")
+    r = {x.g: x for x in qc.reconcile_order(a, a.filter("not (g = 'z' and k = 4)"), ["g"], "k").collect()}
+    assert (r["z"].rows_a, r["z"].rows_b, r["z"].same_place, r["z"].first_off) == (9, 8, 4, 5) and r["y"].first_off is None
+
+
+def test_a_stamp_off_the_hour_stops_the_query(spark):
+    df = _frame(spark, [(_ts(1, 3),), (_ts(1, 4, 30),)], "ts timestamp_ntz")
+    with pytest.raises(Exception, match="off the hour"):
+        timeaxis.on_the_hour(df, "ts").collect()
+    assert timeaxis.on_the_hour(df.filter("minute(ts) = 0"), "ts").count() == 1
 
 
 def test_boxes_snap_to_cells_and_patches():
