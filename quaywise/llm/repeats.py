@@ -189,6 +189,14 @@ class FingerprintIndex:
             self.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self._names.clear()
 
+    def keep_texts(self, texts: DataFrame) -> DataFrame:
+        """(doc_id, row, text) stored by buckets of doc_id: later batches fetch single texts without a shuffle of all."""
+        path, name = f"{self.root}/store-{uuid.uuid4().hex}", f"quaywise_{uuid.uuid4().hex}"
+        with settings(self.spark, RUNNING):
+            texts.repartition(self.buckets, "doc_id").write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(self.buckets, "doc_id").saveAsTable(name)
+        self._names[path] = name
+        return self.spark.table(name)
+
     def lookup(self, keys: DataFrame, kind: str) -> DataFrame:
         """``keys`` with the key's columns of each run, ``past_first_0`` and so on (null where it isn't there)."""
         key = self.KINDS[kind][0]
@@ -421,15 +429,18 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     bounds = base.agg(F.percentile_approx("doc_id", [k / batches for k in range(1, batches)] or [1.0], 10_000)).head()[0] or []
     bounds = sorted(set(bounds[: batches - 1]))
     index, parts = FingerprintIndex.create(spark, f"{work.root}/index"), []
-    for k in range(len(bounds) + 1):
-        batch = base
-        if k:
-            batch = batch.filter(F.col("doc_id") > bounds[k - 1])
-        if k < len(bounds):
-            batch = batch.filter(F.col("doc_id") <= bounds[k])
-        store = base if k == len(bounds) else base.filter(F.col("doc_id") <= bounds[k])
-        parts.append(index.add(batch, store, work))
-    index.close()
+    try:
+        base = index.keep_texts(base)
+        for k in range(len(bounds) + 1):
+            batch = base
+            if k:
+                batch = batch.filter(F.col("doc_id") > bounds[k - 1])
+            if k < len(bounds):
+                batch = batch.filter(F.col("doc_id") <= bounds[k])
+            store = base if k == len(bounds) else base.filter(F.col("doc_id") <= bounds[k])
+            parts.append(index.add(batch, store, work))
+    finally:
+        index.close()
     work.delete(index.root)
     removal = work.table(removal_rows(parts), "removal")
     work.keep(removal)

@@ -293,3 +293,19 @@ def test_pages_that_are_not_utf8(spark):
 
     page = spark.range(1).selectExpr("id as page_id", "'u' as url", "concat('<p>Some text, ', cast(X'FF' as string), ' here.</p>') as html")
     assert extract(page).head().text == "Some text, � here."
+
+
+def test_texts_of_earlier_batches_are_fetched_without_a_shuffle(spark):
+    from quaywise.llm import repeats
+
+    work = Workspace(spark, "test")
+    index = repeats.FingerprintIndex.create(spark, f"{work.root}/index")
+    docs = spark.createDataFrame([(k, f"text {k}") for k in range(50)], "doc_id long, text string")
+    store = index.keep_texts(repeats.keyed(docs))
+    wanted = work.table(store.filter("doc_id % 7 = 0").select("doc_id"), "wanted")
+    joined = store.join(wanted.hint("shuffle_hash"), "doc_id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    texts = plan[plan.index("ShuffledHashJoin") :]
+    assert "Bucketed: true" in texts and texts.count("Exchange hashpartitioning") == 1 and texts.index("Bucketed: true") < texts.index("Exchange")
+    assert joined.count() == 8
+    index.close()
