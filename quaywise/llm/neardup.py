@@ -15,7 +15,7 @@ outside a bucket's largest component meet all other components' members of the b
 no link is lost, and a bucket of thousands of copies costs a few comparisons a member.
 
 Pairs are ruled out before their texts are read by an exact bound. The shingles of a set
-are dealt to ``CELLS`` cells, of which a bitmap tells which are taken. A shared shingle
+are dealt to cells (``CELLS``, the more the larger a set is), of which a bitmap tells which are taken. A shared shingle
 lies in a cell that both sets take, and a set has only so many shingles more than cells
 taken; so the intersection is at most the cells taken by both and the smaller of the two
 surpluses. No pair that is alike enough is ever dropped by it.
@@ -43,8 +43,8 @@ from .textbytes import LOWER, U64, Runs, chunks, join_words, mix64, same_bytes,
 SHINGLE = 5
 # A pair of likeness 0.75 shares no band with probability (1 - 0.75 ** 6) ** 70, about one in a million.
 BANDS, ROWS = 70, 6
-#: Cells of the bitmap that bounds intersections.
-CELLS = 1024
+#: Cells of the bitmaps that bound intersections, by the least size of the sets that have them: large sets have several.
+CELLS = {0: 1 << 10, 512: 1 << 15, 8192: 1 << 19}
 #: Rounds in which one member of a bucket's largest component meets the others.
 PIVOTS = 2
 PERCENT = 75
@@ -87,12 +87,22 @@ class Shingles:
         raw = self.text.tobytes()
         return [hashlib.sha256(raw[a:b]).digest() for a, b in zip(edge, edge[1:])]
 
-    def cells(self, cells: int = CELLS) -> np.ndarray:
-        """(sets, cells / 64) of 64 bits: which cells the shingles of each set take."""
-        out = np.zeros((len(self.at) - 1, cells), dtype=np.uint8)
-        owner = np.repeat(np.arange(len(self.at) - 1), np.diff(self.at))
-        out[owner, (mix64(self.codes) % U64(cells)).astype(np.int64)] = 1
-        return np.packbits(out, axis=1, bitorder="little").view("<u8")
+    def cells(self) -> tuple[np.ndarray, np.ndarray]:
+        """(64 bits each, first of each set): which cells the shingles of each set take, one bitmap behind the other."""
+        mixed, size = mix64(self.codes), np.diff(self.at)
+        owner = np.repeat(np.arange(len(size)), size)
+        length = np.zeros(len(size), np.int64)
+        for least, cells in CELLS.items():
+            length += np.where(size >= least, cells // 64, 0)
+        first = np.concatenate([[0], np.cumsum(length)])
+        out, before = np.zeros(int(first[-1]), U64), 0
+        for least, cells in CELLS.items():
+            own = size[owner] >= least
+            cell = mixed[own] % U64(cells)
+            word = first[owner[own]] + before + (cell >> U64(6)).astype(np.int64)
+            np.bitwise_or.at(out, word, U64(1) << (cell & U64(63)))
+            before += cells // 64
+        return out, first
 
     def shared(self, x: int, y: int) -> int:
         """How many shingles sets x and y share, compared on bytes."""
@@ -146,8 +156,10 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
                 for r in range(rows):
                     hashed = mix64(hashed + sig[:, r::rows][:, :bands].astype(np.uint64) + U64(0x9E3779B97F4A7C15))
                 hashed ^= band_salt
+                bits, first = sets.cells()
+                bitmaps = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(signed(bits)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(sets.sequence_digests(), pa.binary()), lists(hashed), lists(sets.cells())],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n.astype(np.int64)), pa.array(sets.sequence_digests(), pa.binary()), lists(hashed), bitmaps],
                     ["doc_id", "row", "n_shingles", "words", "bands", "cells"],
                 )
 
@@ -155,12 +167,24 @@ def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
 
 
 def may_link(size: str, cells: str, other_size: str, other_cells: str, percent: int = PERCENT) -> Column:
-    """False only if two sets, by their sizes and cells, can't be alike enough."""
-    taken = lambda c: reduce(add, [F.bit_count(F.col(c)[i]) for i in range(CELLS // 64)])
-    both = reduce(add, [F.bit_count(F.col(cells)[i].bitwiseAND(F.col(other_cells)[i])) for i in range(CELLS // 64)])
-    most = both + F.least(F.col(size) - taken(cells), F.col(other_size) - taken(other_cells))
-    most = F.least(most, size, other_size)
-    return 100 * most >= percent * (F.col(size) + F.col(other_size) - most)
+    """False only if two sets, by their sizes and cells, can't be alike enough; large sets are told apart by their largest common bitmap."""
+
+    def enough(both: Column, taken: Column, other_taken: Column) -> Column:
+        most = F.least(both + F.least(F.col(size) - taken, F.col(other_size) - other_taken), size, other_size)
+        return 100 * most >= percent * (F.col(size) + F.col(other_size) - most)
+
+    (_, small), *large = CELLS.items()
+    taken = lambda c: reduce(add, [F.bit_count(F.col(c)[i]) for i in range(small // 64)])
+    both = reduce(add, [F.bit_count(F.col(cells)[i].bitwiseAND(F.col(other_cells)[i])) for i in range(small // 64)])
+    result, before = enough(both, taken(cells), taken(other_cells)), small // 64
+    total = lambda x: F.aggregate(x, F.lit(0), lambda n, w: n + F.bit_count(w))
+    for _, n in large:
+        part = lambda c: F.slice(c, before + 1, n // 64)  # noqa: B023, E731
+        common = total(F.zip_with(part(cells), part(other_cells), lambda a, b: a.bitwiseAND(b)))
+        there = (F.size(cells) > before) & (F.size(other_cells) > before)
+        result = result & F.when(there, enough(common, total(part(cells)), total(part(other_cells)))).otherwise(F.lit(True))
+        before += n // 64
+    return result
 
 
 def confirm(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
