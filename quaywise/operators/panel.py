@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 from functools import reduce
-from operator import and_
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -89,20 +89,26 @@ def numbered(df: DataFrame, value: str, key: str, name: str) -> DataFrame:
     return in_value_ranges(df, value, []).withColumn(name, (F.col("_below") + F.row_number().over(w) - 1).cast("long")).drop("_range", "_here", "_below", "_size")
 
 
-def exact_quantile(df: DataFrame, value: str, by: list[str], q: float, name: str) -> DataFrame:
-    """(by, name): the exact quantile of groups of any size, linear between neighbours; nulls don't count.
+def exact_quantiles(df: DataFrame, value: str, by: list[str], wanted: dict[str, float]) -> DataFrame:
+    """(by, names): exact quantiles of groups of any size, linear between neighbours; nulls don't count.
 
     Only the ranges of values that hold the wanted ranks are sorted.
     """
     placed = in_value_ranges(df.select(*by, value).filter(F.col(value).isNotNull()), value, by)
-    at = F.lit(q) * (F.col("_size") - 1)
-    low, high = F.floor(at), F.ceil(at)
-    near = placed.filter((F.col("_below") <= high) & (F.col("_below") + F.col("_here") > low))
+    at = {n: F.lit(q) * (F.col("_size") - 1) for n, q in wanted.items()}
+    holds = [(F.col("_below") <= F.ceil(x)) & (F.col("_below") + F.col("_here") > F.floor(x)) for x in at.values()]
     place = F.col("_below") + F.row_number().over(Window.partitionBy(*by, "_range").orderBy(value)) - 1
-    ends = near.withColumn("_place", place).groupBy(*by).agg(
-        F.max(F.when(F.col("_place") == low, F.col(value))).alias("_a"), F.max(F.when(F.col("_place") == high, F.col(value))).alias("_z"), F.max(at - low).alias("_share")
-    )
-    return ends.select(*by, (F.col("_a") + (F.col("_z") - F.col("_a")) * F.col("_share")).alias(name))
+    near = placed.filter(reduce(or_, holds)).withColumn("_place", place)
+    ends = []
+    for n, x in at.items():
+        ends += [F.max(F.when(F.col("_place") == F.floor(x), F.col(value))).alias(f"_a_{n}"), F.max(F.when(F.col("_place") == F.ceil(x), F.col(value))).alias(f"_z_{n}"), F.max(x - F.floor(x)).alias(f"_s_{n}")]
+    found = near.groupBy(*by).agg(*ends)
+    return found.select(*by, *[(F.col(f"_a_{n}") + (F.col(f"_z_{n}") - F.col(f"_a_{n}")) * F.col(f"_s_{n}")).alias(n) for n in wanted])
+
+
+def exact_quantile(df: DataFrame, value: str, by: list[str], q: float, name: str) -> DataFrame:
+    """(by, name): one exact quantile of groups of any size."""
+    return exact_quantiles(df, value, by, {name: q})
 
 
 def in_time_buckets(df: DataFrame, seconds: int, wide: int = 16) -> DataFrame:
@@ -217,7 +223,8 @@ def rolling_quantile(df: DataFrame, by: list[str], value: str, seconds: int, q:
 
 def quantile_bins(df: DataFrame, value: str, bins: int, name: str = "bin") -> DataFrame:
     """Bins between exact quantile edges, closed on the right; the least value falls into bin 0."""
-    edges = df.agg(F.percentile(value, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_edges"))
+    ends = exact_quantiles(df, value, [], {f"_q{k}": k / bins for k in range(1, bins)})
+    edges = ends.select(F.array(*[F.col(f"_q{k}") for k in range(1, bins)]).alias("_edges"))
     joined = df.crossJoin(F.broadcast(edges))  # one row of edges
     return joined.withColumn(name, F.expr(f"aggregate(_edges, 0, (n, e) -> n + if({value} > e, 1, 0))")).drop("_edges")
 

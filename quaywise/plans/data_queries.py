@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import qc
 from ..operators import spatial as sx
-from ..sources import bundles, grids, records, sinks
+from ..sources import bundles, configs, grids, records, sinks
 from ..sources import tables as src
 from ..sources.tables import table
 from .common import H, hourly, rounded
@@ -221,6 +221,16 @@ def arr1_levels(spark, sf):
     return cells.groupBy(F.col("lev").cast("double").alias("lev"), order).agg(F.sum("n").cast("long").alias("n"), F.round(F.sum("total"), 4).alias("total"))
 
 
+@query("src18_config_scan", "SELECT event_type, count(*) AS n, round(avg(value), 6) AS mean FROM events WHERE event_type IN ('click', 'view') AND value >= 10.5 GROUP BY 1")
+def src18(spark, sf):
+    """What is read, and from which value on, stands in a configuration file."""
+    text = json.dumps({"events": {"types": ["click", "view"], "value": {"least": 10.5}}}, indent=1)
+    config = configs.read_config(spark, _put(spark, f"{_folder(spark)}/events.yaml", text.encode()))
+    types, least = configs.setting(config, "events", "types"), configs.setting(config, "events", "value", "least")
+    e = table(spark, sf, "events").filter(F.col("event_type").isin(types) & (F.col("value") >= least))
+    return rounded(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), "mean")
+
+
 SHAPES = "s AS (SELECT r_name AS zone, r_regionkey * 10.0 AS x FROM region)"
 
 
@@ -458,19 +468,28 @@ def arr15(spark, sf):
 
 @query("arr16_component_sweep")
 def arr16(spark, sf):
-    e = table(spark, sf, "embeddings")
-    scores = sx.Pca(e, "embedding", 8).transform(e, "embedding")
-    return scores.select("vec_id", *[F.aggregate(F.slice("pc", 1, k), F.lit(0.0), lambda s, v: s + v * v).alias(f"energy_{k}") for k in (2, 4, 8)])
+    """A ridge probe of the label on the first 2, 4 and 8 components: errors on the held-out fifth by number of components."""
+    from ..operators.evaluate import errors_by
+    from ..operators.models import Linear
 
+    e = table(spark, sf, "embeddings").select("vec_id", "embedding", F.col("label").cast("double").alias("y"), (F.col("vec_id") % 5 == 0).alias("held_out"))
+    scores = sx.Pca(e.filter("not held_out"), "embedding", 8).transform(e, "embedding")
+    columns = scores.select("y", "held_out", *[F.col("pc")[k].alias(f"pc{k}") for k in range(8)])
+    fits = {k: Linear([f"pc{j}" for j in range(k)], 1.0).fit(columns.filter("not held_out")) for k in (2, 4, 8)}
+    parts = [fit.predict(columns.filter("held_out")).select(F.lit(k).alias("components"), "y", "yhat") for k, fit in fits.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).transform(errors_by, ["components"])
 
-@query("arr17_linear_r2")
+
+@query("arr17_linear_r2", "WITH x AS (SELECT CAST(embedding[3] AS DOUBLE) AS y, CAST(embedding[1] AS DOUBLE) AS a, CAST(embedding[2] AS DOUBLE) AS b FROM embeddings), c AS (SELECT count(*) AS n, corr(y, a) AS ya, corr(y, b) AS yb, corr(a, b) AS ab FROM x) SELECT n, round((ya * ya + yb * yb - 2 * ya * yb * ab) / (1 - ab * ab), 6) AS r2 FROM c")
 def arr17(spark, sf):
-    from ..operators.evaluate import errors
+    """Share of one pooled input that a linear map of two others explains."""
+    from ..operators.evaluate import errors_by
     from ..operators.models import Linear
 
-    e = table(spark, sf, "embeddings")
-    x = sx.Pca(e, "embedding", 1).transform(e, "embedding").select("vec_id", F.col("pc")[0].alias("y"), *[F.col("embedding")[k].cast("double").alias(f"x{k}") for k in range(8)])
-    return Linear([f"x{k}" for k in range(8)]).fit(x).predict(x).agg(*errors())
+    at = lambda k, n: F.col("embedding")[k].cast("double").alias(n)
+    x = table(spark, sf, "embeddings").select(at(2, "y"), at(0, "a"), at(1, "b"), F.lit(1).alias("one"))
+    found = Linear(["a", "b"]).fit(x).predict(x).transform(errors_by, ["one"])
+    return rounded(found.select("n", "r2"), "r2")
 
 
 @query("arr18_ridge_probe")

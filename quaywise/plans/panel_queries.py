@@ -504,8 +504,8 @@ def agg7(spark, sf):
 
 @query("agg8_exact_quantiles", "SELECT event_type, round(quantile_cont(value, 0.05), 6) AS q05, round(quantile_cont(value, 0.5), 6) AS q50, round(quantile_cont(value, 0.95), 6) AS q95 FROM events GROUP BY 1")
 def agg8(spark, sf):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf, "events").groupBy("event_type").agg(q(0.05).alias("q05"), q(0.5).alias("q50"), q(0.95).alias("q95"))
+    names = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    return rounded(pn.exact_quantiles(table(spark, sf, "events"), "value", ["event_type"], names), *names)
 
 
 @query("agg9_filtered", f"WITH {P} SELECT zone, round(quantile_cont(y, 0.9) FILTER (WHERE split = 'train'), 6) AS q90, count(*) FILTER (WHERE split = 'test') AS n_test FROM p GROUP BY 1")
@@ -549,8 +549,10 @@ def agg15(spark, sf):
 
 @query("agg17_describe", "SELECT count(value) AS n, round(avg(value), 6) AS mean, min(value) AS lo, round(quantile_cont(value, 0.25), 6) AS q25, round(quantile_cont(value, 0.75), 6) AS q75, max(value) AS hi FROM events")
 def agg17(spark, sf):
-    q = lambda p: F.round(F.percentile("value", F.lit(p)), 6)
-    return table(spark, sf, "events").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), q(0.25).alias("q25"), q(0.75).alias("q75"), F.max("value").alias("hi"))
+    e = table(spark, sf, "events").select("value")
+    rest = e.agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+    q = pn.exact_quantiles(e, "value", [], {"q25": 0.25, "q75": 0.75})
+    return rounded(rest.crossJoin(F.broadcast(q)), "q25", "q75")  # one row each
 
 
 @query("agg18_capped_histogram", "SELECT CAST(floor(least(value, 30.5)) AS BIGINT) AS bin, count(*) AS n FROM events GROUP BY 1")

@@ -7,34 +7,47 @@ import urllib.error
 import urllib.request
 from collections.abc import Callable, Iterator
 from datetime import date, timedelta
+from email.utils import parsedate_to_datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 
-def fetch(url: str, tries: int = 5, pause: float = 1.0, timeout: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> bytes:
-    """The body behind ``url``. Status 429 and 5xx and broken connections are tried again.
+def asked_wait(told: str | None, now: float) -> float | None:
+    """Seconds that a Retry-After header asks for, as a number or as a date; None if it asks for none."""
+    told = (told or "").strip()
+    if told.isdigit():
+        return float(told)
+    try:
+        return max(0.0, parsedate_to_datetime(told).timestamp() - now)
+    except (TypeError, ValueError):
+        return None
+
+
+def retrieve(url: str, attempts: int = 5, pause: float = 1.0, longest: float = 300.0, timeout: float = 60.0, sleep: Callable[[float], None] = time.sleep) -> bytes:
+    """The body behind ``url``; busy and failing servers (429, 5xx) and broken connections are asked again.
 
-    The wait doubles from ``pause``, or is what Retry-After asks for. Other statuses fail at once.
+    Before attempt k + 1 it waits pause * 2 ** k seconds, or what the server asks for, but never
+    over ``longest``. Any other status, and the last failure, are raised.
     """
-    for k in range(tries):
+    for left in range(attempts - 1, -1, -1):
+        wait = None
         try:
             with urllib.request.urlopen(url, timeout=timeout) as reply:
                 return reply.read()
-        except urllib.error.HTTPError as e:
-            if e.code != 429 and e.code < 500 or k == tries - 1:
+        except urllib.error.HTTPError as problem:
+            passing = problem.code == 429 or problem.code >= 500
+            if not (passing and left):
                 raise
-            asked = e.headers.get("Retry-After", "")
-            wait = float(asked) if asked.isdigit() else pause * 2**k
-        except (urllib.error.URLError, TimeoutError, ConnectionError):
-            if k == tries - 1:
+            wait = asked_wait(problem.headers.get("Retry-After"), time.time())
+        except OSError:
+            if not left:
                 raise
-            wait = pause * 2**k
-        sleep(wait)
-    raise ValueError("tries must be positive")
+        sleep(min(longest, pause * 2 ** (attempts - 1 - left) if wait is None else wait))
+    raise ValueError("attempts must be positive")
 
 
-def fetch_all(urls: DataFrame, most_failures: int = 5, **how) -> DataFrame:  # noqa: ANN003
+def retrieve_all(urls: DataFrame, most_failures: int = 5, **how) -> DataFrame:  # noqa: ANN003
     """(url, body, error) of each row of (url). A task stops after so many failures one after another."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -43,7 +56,7 @@ def fetch_all(urls: DataFrame, most_failures: int = 5, **how) -> DataFrame:  # n
             out = []
             for url in batch["url"]:
                 try:
-                    out.append((url, fetch(url, **how), None))
+                    out.append((url, retrieve(url, **how), None))
                     failed = 0
                 except OSError as e:
                     failed += 1

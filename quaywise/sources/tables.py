@@ -104,18 +104,25 @@ def time_axis(spark: SparkSession, first: str, last: str, step: str) -> DataFram
 def driven_scan(spark: SparkSession, index: DataFrame, root: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """JSON folders of ``root`` named by an index (path, key columns): (records with the key columns, failures).
 
-    Failures are (path, reason, n): folders without a file, and records that can't be read.
-    Stops if there is no record at all.
+    Only the folders of the index are listed and read. Failures are (path, reason, n): folders
+    without a file, and records that can't be read. Stops if there is no record at all.
     """
-    lines = spark.read.option("recursiveFileLookup", "true").text(root).filter("trim(value) <> ''")
+    named = [r[0] for r in index.select("path").distinct().collect()]  # an index: a row a folder
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    place = lambda path: hadoop.Path(f"{root}/{path}")
+    there = [p for p in named if place(p).getFileSystem(conf).exists(place(p))]
+    gone = spark.createDataFrame([(p, "no file", 1) for p in named if p not in set(there)], "path string, reason string, n long")
+    if not there:
+        raise ValueError(f"no record of the index can be read below {root}")
+    lines = spark.read.text([f"{root}/{p}" for p in there]).filter("trim(value) <> ''")
     parsed = F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
     files = lines.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -2).alias("path"), parsed.alias("r")).select("path", "r.*")
-    found = index.join(files, "path")
-    good = found.filter(F.col("_bad").isNull()).drop("_bad")
-    if good.isEmpty():
+    # one pass tells good from bad
+    counts = files.groupBy("path").agg(F.count_if(F.col("_bad").isNotNull()).alias("n"), F.count(F.lit(1)).alias("all")).collect()  # a row a folder
+    if not any(r["all"] > r["n"] for r in counts):
         raise ValueError(f"no record of the index can be read below {root}")
-    bad = found.filter(F.col("_bad").isNotNull()).groupBy("path").agg(F.lit("unreadable record").alias("reason"), F.count(F.lit(1)).alias("n"))
-    gone = index.join(files.select("path").distinct(), "path", "left_anti").select("path", F.lit("no file").alias("reason"), F.lit(1).cast("long").alias("n"))
+    bad = spark.createDataFrame([(r["path"], "unreadable record", r["n"]) for r in counts if r["n"]], "path string, reason string, n long")
+    good = index.join(files.filter(F.col("_bad").isNull()).drop("_bad"), "path")
     return good, bad.unionByName(gone)
 
 

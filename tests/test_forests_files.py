@@ -276,3 +276,20 @@ def test_nulls_and_ragged_lists_are_refused(spark, tmp_path):
         bundles.write_bundles(spark.sql("select cast(null as long) x"), str(tmp_path / "n"))
     with pytest.raises(Exception, match="different lengths"):
         bundles.write_bundles(spark.sql("select array(1) x union all select array(1, 2)").coalesce(1), str(tmp_path / "r"))
+
+
+# --- configuration ----------------------------------------------------------------------------------------
+
+
+def test_settings_are_read_and_missing_ones_named(spark, tmp_path):
+    from quaywise.sources import configs
+
+    pytest.importorskip("yaml")
+    (tmp_path / "c.yaml").write_text("a:\n  b: [1, two]\n  c: {d: 1.5}\n")
+    config = configs.read_config(spark, str(tmp_path / "c.yaml"))
+    assert configs.setting(config, "a", "b") == [1, "two"] and configs.setting(config, "a", "c", "d") == 1.5
+    with pytest.raises(KeyError, match="a.c.x"):
+        configs.setting(config, "a", "c", "x", "y")
+    (tmp_path / "l.yaml").write_text("- 1\n")
+    with pytest.raises(ValueError):
+        configs.read_config(spark, str(tmp_path / "l.yaml"))

@@ -448,6 +448,13 @@ def test_incomplete_keys_stop_and_empty_blocks_go(spark):
     assert left.columns == ["k", "a"] and gone == ["second"]
 
 
+def test_waits_that_servers_ask_for():
+    from quaywise.sources import remote
+
+    assert remote.asked_wait("7", 0.0) == 7 and remote.asked_wait("Thu, 01 Jan 1970 00:01:40 GMT", 40.0) == 60
+    assert remote.asked_wait("Thu, 01 Jan 1970 00:00:10 GMT", 40.0) == 0 and remote.asked_wait(None, 0.0) is None and remote.asked_wait("soon", 0.0) is None
+
+
 def test_fetching_tries_again_and_waits_as_asked(spark):
     import http.server
     import threading
@@ -473,14 +480,14 @@ def test_fetching_tries_again_and_waits_as_asked(spark):
     threading.Thread(target=server.serve_forever, daemon=True).start()
     root = f"http://127.0.0.1:{server.server_port}"
     try:
-        assert remote.fetch(f"{root}/busy", pause=0.5, sleep=waits.append) == b"body" and waits == [7.0, 1.0]
+        assert remote.retrieve(f"{root}/busy", pause=0.5, sleep=waits.append) == b"body" and waits == [7.0, 1.0]
         with pytest.raises(OSError):
-            remote.fetch(f"{root}/gone", sleep=waits.append)
+            remote.retrieve(f"{root}/gone", sleep=waits.append)
         assert len(waits) == 2
-        rows = remote.fetch_all(spark.createDataFrame([(f"{root}/busy",), (f"{root}/gone",)], "url string").coalesce(1)).collect()
+        rows = remote.retrieve_all(spark.createDataFrame([(f"{root}/busy",), (f"{root}/gone",)], "url string").coalesce(1)).collect()
         assert [(bytes(r.body) if r.body else None, bool(r.error)) for r in rows] == [(b"body", False), (None, True)]
         with pytest.raises(Exception, match="one after another"):
-            remote.fetch_all(spark.createDataFrame([(f"{root}/down",)] * 3, "url string").coalesce(1), most_failures=2, tries=1).collect()
+            remote.retrieve_all(spark.createDataFrame([(f"{root}/down",)] * 3, "url string").coalesce(1), most_failures=2, attempts=1).collect()
     finally:
         server.shutdown()
     asked = []
