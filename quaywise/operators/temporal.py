@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from ..functions.timeaxis import MICROS, micros, shift
 
 
+#: Tolerances of a bucket of nearest_asof.
+WIDE = 16
+
+
 def _sides(left: DataFrame, right: DataFrame, by: list[str], values: list[str]) -> tuple[DataFrame, DataFrame]:
     lhs = left.withColumns({"_m": micros(F.col("ts")), "_left": F.struct(*[F.col(c) for c in left.columns])}).select(*by, "_m", "_left")
     rhs = right.filter(F.col("ts").isNotNull()).withColumn("_m", micros(F.col("ts")))
@@ -26,13 +30,16 @@ def _sides(left: DataFrame, right: DataFrame, by: list[str], values: list[str])
 def nearest_asof(left: DataFrame, right: DataFrame, by: list[str], values: list[str], tolerance_s: int) -> DataFrame:
     """Each left row with the right row nearest in time, at most ``tolerance_s`` away (included); ties go to the earlier.
 
-    Both sides have ``ts``. A match lies in the left row's bucket of ``tolerance_s`` or a
-    neighbouring one, so right rows go into three buckets and windows span one bucket each.
+    Both sides have ``ts``. Windows span a bucket of ``WIDE`` tolerances each; a right row within
+    the tolerance of its bucket's edge stands in the neighbouring bucket as well.
     """
-    width = max(tolerance_s, 1) * MICROS
+    reach = max(tolerance_s, 1) * MICROS
+    width = WIDE * reach
     lhs, rhs = _sides(left, right, by, values)
     lhs = lhs.withColumns({"_b": F.floor(F.col("_m") / F.lit(width)), "_right": F.lit(None).cast(rhs.schema["_right"].dataType), "_o": F.lit(1)})
-    rhs = rhs.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_m") / F.lit(width)) + k for k in (-1, 0, 1)])))
+    own = F.floor(F.col("_m") / F.lit(width))
+    into = F.col("_m") - own * width
+    rhs = rhs.withColumn("_b", F.explode(F.array_compact(F.array(F.when(into <= reach, own - 1), own, F.when(into >= width - reach, own + 1)))))
     rhs = rhs.withColumns({"_left": F.lit(None).cast(lhs.schema["_left"].dataType), "_o": F.lit(0)})
     both = lhs.unionByName(rhs)
     up = Window.partitionBy(*by, "_b").orderBy("_m", "_o").rowsBetween(Window.unboundedPreceding, 0)
