@@ -144,7 +144,7 @@ def prj18(spark, sf):
 def prj19(spark, sf):
     h = hourly(spark, sf).withColumn("t", F.col("y") * 2 + 3)
     c = h.groupBy("zone").agg(F.regr_slope("t", "y").alias("s"), F.regr_intercept("t", "y").alias("i"), F.corr("t", "y").alias("r")).filter("r >= 0.9999")
-    return rounded(h.join(F.broadcast(c), "zone").select("zone", "ts", (F.col("s") * F.col("y") + F.col("i")).alias("physical")), "physical", digits=4)
+    return rounded(h.join(c, "zone").select("zone", "ts", (F.col("s") * F.col("y") + F.col("i")).alias("physical")), "physical", digits=4)
 
 
 @query("prj20_differences", "SELECT l_orderkey, l_linenumber, l_quantity, round(l_tax - l_discount, 6) AS net FROM lineitem")
@@ -584,7 +584,7 @@ def agg22(spark, sf):
     h = hourly(spark, sf)
     q = h.groupBy("zone").agg(F.percentile("y", F.lit(0.1)).alias("lo"), F.percentile("y", F.lit(0.9)).alias("hi"))
     hr = F.hour("ts")
-    return h.join(F.broadcast(q), "zone").groupBy("zone").agg(F.round(F.avg(F.when(F.col("y") >= F.col("hi"), hr)) - F.avg(F.when(F.col("y") <= F.col("lo"), hr)), 6).alias("composite"))
+    return h.join(q, "zone").groupBy("zone").agg(F.round(F.avg(F.when(F.col("y") >= F.col("hi"), hr)) - F.avg(F.when(F.col("y") <= F.col("lo"), hr)), 6).alias("composite"))
 
 
 @query("agg23_bias_table", f"WITH {P}, b AS (SELECT zone, hour(ts) AS hr, avg(y - 20) AS bias FROM p WHERE split = 'train' GROUP BY 1, 2) SELECT p.zone, p.ts, round(coalesce(b.bias, 0), 6) AS bias FROM p LEFT JOIN b ON p.zone = b.zone AND hour(p.ts) = b.hr")
