@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.stores import located
 from ..sources.tables import table
 
 #: Hourly mean of events by type: the panel (zone, ts, y).
@@ -28,15 +31,38 @@ M = (
 PAIR = M + ", pr AS (SELECT a.zone, a.ts, abs(a.yhat - a.y) AS e_a, abs(b.yhat - b.y) AS e_b FROM log a JOIN log b ON a.zone = b.zone AND a.ts = b.ts AND a.feature_set = 'climatology' AND b.feature_set = 'mean')"
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """The rows, computed once: a checkpoint in the session's shared folder; a local session without one gets a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
+def _shared(spark: SparkSession) -> str:
+    """The session's shared folder; a local session without one gets a temporary folder, which goes when the program ends."""
+    context = spark.sparkContext
+    found = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
         if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         place = tempfile.mkdtemp(prefix="quaywise-")
         atexit.register(shutil.rmtree, place, ignore_errors=True)
-        context.setCheckpointDir(f"file://{place}")
+        found = f"file://{place}"
+        context.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def folder(spark: SparkSession) -> str:
+    """A new folder in the shared place for a query's own files; it goes when the program ends."""
+    path = f"{_shared(spark)}/query-{uuid.uuid4().hex[:12]}"
+    atexit.register(_remove, path)
+    return path
+
+
+def _remove(path: str) -> None:
+    with contextlib.suppress(Exception):  # nobody is left to tell
+        store, place = located(path)
+        store.delete_dir(place)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, computed once: a checkpoint in the session's shared folder."""
+    context, place = df.sparkSession.sparkContext, _shared(df.sparkSession)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(place)
     return df.checkpoint()
 
 
