@@ -5,7 +5,6 @@ from __future__ import annotations
 import io
 import json
 import struct
-import uuid
 import zipfile
 
 import pandas as pd
@@ -16,16 +15,10 @@ from ..operators import spatial as sx
 from ..sources import bundles, configs, grids, records, sinks
 from ..sources import tables as src
 from ..sources.tables import table
-from .common import H, hourly, rounded
+from .common import H, folder, hourly, rounded
 from .registry import query
 
 
-def _folder(spark) -> str:
-    """A new folder in the shared place for a query's own output."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{root.rstrip('/')}/query-{uuid.uuid4().hex[:12]}"
-
-
 @query("src1_pruned_scan", "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45")
 def src1(spark, sf):
     return table(spark, sf, "lineitem").select("l_orderkey", "l_quantity").filter("l_quantity > 45")
@@ -76,7 +69,7 @@ def _event_files(spark, sf, out):
 
 @query("src8_driven_scan", "SELECT 'part=' || event_id % 4 AS path, NULL AS reason, count(*) AS n FROM events WHERE event_id % 4 IN (0, 2, 3) AND NOT (event_id % 4 = 2 AND event_id % 50 = 2) GROUP BY 1 UNION ALL SELECT 'part=2', 'unreadable record', count(*) FROM events WHERE event_id % 4 = 2 AND event_id % 50 = 2 UNION ALL SELECT 'part=7', 'no file', 1")
 def src8(spark, sf):
-    out = _folder(spark)
+    out = folder(spark)
     good, failures = src.driven_scan(spark, _event_files(spark, sf, out), out, "event_id long, value double, place long")
     counts = good.groupBy("path").agg(F.lit(None).cast("string").alias("reason"), F.count(F.lit(1)).alias("n"))
     return counts.unionByName(failures)
@@ -84,7 +77,7 @@ def src8(spark, sf):
 
 @query("src9_location_check", "SELECT event_id % 4 AS place, count(*) AS n, round(sum(value), 4) AS value FROM events WHERE event_id % 4 IN (0, 2, 3) AND NOT (event_id % 4 = 2 AND event_id % 50 = 2) GROUP BY 1")
 def src9(spark, sf):
-    out = _folder(spark)
+    out = folder(spark)
     good, _ = src.driven_scan(spark, _event_files(spark, sf, out), out, "event_id long, value double, place long")
     checked = good.select(src.same_place(F.col("expected"), F.col("place"), F.col("place")).alias("place"), "value")
     return rounded(checked.groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("value")), "value", digits=4)
@@ -92,7 +85,7 @@ def src9(spark, sf):
 
 @query("src10_csv_dates", "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders")
 def src10(spark, sf):
-    out = _folder(spark)
+    out = folder(spark)
     sinks.write_csv(table(spark, sf, "orders").select("o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("day")), out)
     return spark.read.option("header", "true").option("dateFormat", "MM/dd/yyyy").schema("o_orderkey long, day date").csv(out)
 
@@ -135,7 +128,7 @@ def _workbook(rows: list[list], heading: str) -> bytes:
 @query("src12_workbook", "SELECT CAST(n_nationkey AS INT) AS n_nationkey, n_name, CAST(n_regionkey AS INT) AS n_regionkey FROM nation WHERE n_name IS NOT NULL")
 def src12(spark, sf):
     rows = [list(r) for r in table(spark, sf, "nation").select("n_nationkey", "n_name", "n_regionkey").orderBy("n_nationkey").collect()]  # 25 rows
-    folder, archive = _folder(spark), io.BytesIO()
+    folder, archive = folder(spark), io.BytesIO()
     with zipfile.ZipFile(archive, "w") as z:
         z.writestr("nations.xlsx", _workbook(rows[:12], "Nations"))
     _put(spark, f"{folder}/first.zip", archive.getvalue())
@@ -158,7 +151,7 @@ def _messages(spark, sf, codes):
         return pd.Series([records.framed((0, codes[k], 0), (100, h), struct.pack(">qd", c, t)) for k, h, c, t in zip(kind, hour, n, total)])
 
     rows = sums.filter(F.col("event_type").isin(*codes)).withColumn("level", level)
-    out = _folder(spark)
+    out = folder(spark)
     records.write_messages(rows.select(F.col("event_type").alias("name"), "level", message("event_type", "level", "n", "total").alias("message")), out)
     return out
 
@@ -201,7 +194,7 @@ def _grid_files(spark, sf, levels: bool = False):
     level = [F.element_at(F.array(F.lit(850.0), F.lit(500.0), F.lit(250.0)), (F.col("event_id") % 3 + 1).cast("int")).alias("lev")] if levels else []
     day = F.date_format("ts", "'grid-'yyyy-MM-dd").alias("file")
     sums = e.groupBy(day, F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("time"), *level, *cell).agg(F.sum("value").alias("total"), F.count(F.lit(1)).cast("double").alias("n"))
-    out = _folder(spark)
+    out = folder(spark)
     grids.write_grids(sums, out)
     return out
 
@@ -225,7 +218,7 @@ def arr1_levels(spark, sf):
 def src18(spark, sf):
     """What is read, and from which value on, stands in a configuration file."""
     text = json.dumps({"events": {"types": ["click", "view"], "value": {"least": 10.5}}}, indent=1)
-    config = configs.read_config(spark, _put(spark, f"{_folder(spark)}/events.yaml", text.encode()))
+    config = configs.read_config(spark, _put(spark, f"{folder(spark)}/events.yaml", text.encode()))
     types, least = configs.setting(config, "events", "types"), configs.setting(config, "events", "value", "least")
     e = table(spark, sf, "events").filter(F.col("event_type").isin(types) & (F.col("value") >= least))
     return rounded(e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")), "mean")
@@ -302,14 +295,14 @@ def src20(spark, sf):
 
 @query("snk1_partitioned_write", f"WITH {H} SELECT zone, count(*) AS n FROM h GROUP BY 1")
 def snk1(spark, sf):
-    out = _folder(spark)
+    out = folder(spark)
     sinks.write_partitioned(hourly(spark, sf), out, ["zone"])
     return spark.read.parquet(out).groupBy(F.col("zone").cast("string").alias("zone")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("snk2_progress_write", f"WITH {H} SELECT zone, 'a' AS run, count(*) AS n FROM h GROUP BY 1 UNION ALL SELECT zone, 'b', count(*) FROM h GROUP BY 1")
 def snk2(spark, sf):
-    out, h = _folder(spark), hourly(spark, sf)
+    out, h = folder(spark), hourly(spark, sf)
     for run in ("a", "b", "a"):  # repeated: the partition is replaced, not doubled
         sinks.write_progress(h, out, {"run": run})
     return spark.read.parquet(out).groupBy("zone", "run").agg(F.count(F.lit(1)).alias("n"))
@@ -317,7 +310,7 @@ def snk2(spark, sf):
 
 @query("snk4_resume", "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1")
 def snk4(spark, sf):
-    out, o = _folder(spark), table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    out, o = folder(spark), table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     qc.write_missing(o.filter("o_orderstatus = 'F'"), out, ["o_orderstatus"])
     qc.write_missing(o, out, ["o_orderstatus"])
     return spark.read.parquet(out).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"))
@@ -325,7 +318,7 @@ def snk4(spark, sf):
 
 @query("snk5_sidecar", f"WITH {H} SELECT 'hourly' AS content, count(*) AS n, (SELECT count(*) FROM h) AS stated FROM h")
 def snk5(spark, sf):
-    out, h = _folder(spark), hourly(spark, sf)
+    out, h = folder(spark), hourly(spark, sf)
     sinks.write_with_sidecar(h, out, {"content": "hourly", "rows": h.count()})
     facts = sinks.read_sidecar(spark, out)
     return spark.read.parquet(f"{out}/data").agg(F.count(F.lit(1)).alias("n")).select(F.lit(facts["content"]).alias("content"), "n", F.lit(facts["rows"]).cast("long").alias("stated"))
@@ -334,7 +327,7 @@ def snk5(spark, sf):
 @query("snk5_npz_bundles", "SELECT vec_id, label, len(embedding) AS wide, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM embeddings")
 def snk5_npz(spark, sf):
     """Arrays written as npz bundles and read back."""
-    out = _folder(spark)
+    out = folder(spark)
     bundles.write_bundles(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), out, rows=500)
     found = bundles.read_bundles(spark, out)
     total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
@@ -365,7 +358,7 @@ def _boxes(spark):
 
 @query("snk6_boxes_in_one_scan", f"WITH {CELLS}, {BOX_SQL} SELECT box, count(*) AS n FROM c JOIN b ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max GROUP BY 1")
 def snk6(spark, sf):
-    out = _folder(spark)
+    out = folder(spark)
     sinks.write_boxes(_cells(spark, sf), _boxes(spark), out)
     return spark.read.parquet(out).groupBy("box").agg(F.count(F.lit(1)).alias("n"))
 
@@ -599,7 +592,7 @@ def _stream(spark, sf):
 def stream_windows(spark, sf):
     from ..streaming.windows import drain, windowed_means
 
-    out = drain(windowed_means(_stream(spark, sf)), _folder(spark), _folder(spark), "complete")
+    out = drain(windowed_means(_stream(spark, sf)), folder(spark), folder(spark), "complete")
     return rounded(out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "mean"), "mean")
 
 
@@ -607,7 +600,7 @@ def stream_windows(spark, sf):
 def stream_dedup(spark, sf):
     from ..streaming.windows import drain, first_of_each
 
-    out = drain(first_of_each(_stream(spark, sf)).select("event_type", "event_id"), _folder(spark), _folder(spark))
+    out = drain(first_of_each(_stream(spark, sf)).select("event_type", "event_id"), folder(spark), folder(spark))
     return out.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -616,12 +609,12 @@ def stream_enrich(spark, sf):
     from ..streaming.windows import drain, enriched
 
     s = _stream(spark, sf).withColumn("n_nationkey", (F.col("user_id") % 25).cast("int"))
-    return drain(enriched(s, table(spark, sf, "nation"), "n_nationkey").select("event_id", "n_name"), _folder(spark), _folder(spark))
+    return drain(enriched(s, table(spark, sf, "nation"), "n_nationkey").select("event_id", "n_name"), folder(spark), folder(spark))
 
 
 @query("stream_sessions", "WITH g AS (SELECT user_id, ts, CASE WHEN date_diff('microsecond', lag(ts) OVER w, ts) < 1800000000 THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", count(*) AS n FROM s GROUP BY user_id, k")
 def stream_sessions(spark, sf):
     from ..streaming.windows import drain, sessions
 
-    out = drain(sessions(_stream(spark, sf)), _folder(spark), _folder(spark), "complete")
+    out = drain(sessions(_stream(spark, sf)), folder(spark), folder(spark), "complete")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
