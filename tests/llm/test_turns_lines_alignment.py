@@ -309,28 +309,3 @@ def test_texts_of_earlier_batches_are_fetched_without_a_shuffle(spark):
     assert "Bucketed: true" in texts and texts.count("Exchange hashpartitioning") == 1 and texts.index("Bucketed: true") < texts.index("Exchange")
     assert joined.count() == 8
     index.close()
-
-
-def test_long_template_texts_are_ruled_out_by_their_bitmaps(spark):
-    from quaywise.llm import neardup
-
-    draw = random.Random(9)
-    template = [f"w{k}" for k in range(6000)]
-    texts = []
-    for i in range(60):
-        words = list(template)
-        for k in draw.sample(range(6000), 200):
-            words[k] = f"c{i}_{k}"
-        texts.append(" ".join(words))
-    near = texts[0].split()
-    near[5:400:9] = ["x"] * len(near[5:400:9])
-    texts.append(" ".join(near))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "0L as row", "text")
-    found = neardup.sketch(docs).select("doc_id", F.col("n_shingles").alias("size"), "cells")
-    other = found.select(F.col("doc_id").alias("x"), F.col("size").alias("size_x"), F.col("cells").alias("cells_x"))
-    passed = {(r.doc_id, r.x) for r in found.join(other, F.col("doc_id") < F.col("x")).filter(neardup.may_link("size", "cells", "size_x", "cells_x")).collect()}
-    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, texts)]
-    links = {(a, b) for a in range(61) for b in range(a + 1, 61) if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
-    assert links == {(0, 60)} <= passed and len(passed) <= 5
-    result = {r.doc_id: r.component_id for r in neardup.near_duplicates(docs.select("doc_id", "text")).collect()}
-    assert result == {k: 0 if k == 60 else k for k in range(61)}
