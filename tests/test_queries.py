@@ -77,3 +77,9 @@ def test_what_is_known(spark, sf, name):
         assert KNOWN[name](rows)
     else:
         assert "rmse" in rows[0].asDict(), "say what is known of its rows"
+
+
+def test_workbooks_hold_any_name(spark, tmp_path):
+    rows = [(k, n, k % 5) for k, n in enumerate(["A & B", "<C>", None, *(f"N{i}" for i in range(11))])]
+    spark.createDataFrame(rows, "n_nationkey int, n_name string, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    assert sorted(map(tuple, plans.QUERIES["src12_workbook"](spark, str(tmp_path)).collect())) == [r for r in rows if r[1]]
