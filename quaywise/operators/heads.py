@@ -1,8 +1,8 @@
 """Heads over grids of tokens: attention pooling or a small convolution, then a linear output.
 
 A row's vector is a grid of rows * columns tokens with as many channels each, token by token.
-Fitting is one barrier job: tasks hold their rows standardised, and each step of Adam sums
-their gradients (see ``together``), so no job starts and no row moves during a fit.
+A fit deals its rows to blocks once, which Spark caches; each step of Adam is a job that reads
+the blocks one by one and sums their gradients, so a task's memory doesn't grow with its rows.
 """
 
 from __future__ import annotations
@@ -13,11 +13,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import BarrierTaskContext
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .together import Together
+#: Rows of a block, which a task holds at once.
+BLOCK = 1024
 
 
 def adam(w: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:  # noqa: ANN001
@@ -30,24 +31,40 @@ def adam(w: np.ndarray, gradient, steps: int, rate: float) -> np.ndarray:  # noq
     return w
 
 
-def fitted_together(rows: DataFrame, held, gradient, start: np.ndarray, steps: int, rate: float, workers: int) -> np.ndarray:  # noqa: ANN001
-    """Weights from one barrier job: ``held(batches)`` makes a task's data, ``gradient(data, w)`` its (gradient sum, rows)."""
+def fitted_in_blocks(rows: DataFrame, held, gradient, start: np.ndarray, steps: int, rate: float, workers: int | None) -> np.ndarray:  # noqa: ANN001
+    """Weights from one job a step: ``held(batches)`` makes a block's data, ``gradient(data, w)`` its (gradient sum, rows).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        data = held(batches)
-        tasks = Together(BarrierTaskContext.get())
+    Blocks of ``BLOCK`` rows are cached by Spark as bytes, in ``workers`` partitions if given; a
+    task holds one of them at a time, however many rows there are.
+    """
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, BLOCK):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, b.schema) as out:
+                    out.write_batch(b.slice(at, BLOCK))
+                yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["block"])
 
-        def whole(w: np.ndarray) -> np.ndarray:
-            g, n = gradient(data, w)
-            total = tasks.sum(np.append(g, n))
-            return total[:-1] / max(total[-1], 1.0)
+    blocks = (rows.repartition(workers) if workers else rows).mapInArrow(packed, "block binary").persist(StorageLevel.DISK_ONLY)
+
+    def whole(w: np.ndarray) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(len(w) + 1)
+            for b in batches:
+                for block in b.column(0):
+                    g, n = gradient(held(pa.ipc.open_stream(block.as_buffer())), w)
+                    total += np.append(g, n)
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([total.tolist()], pa.list_(pa.float64()))], ["part", "sums"])
 
-        w = adam(start, whole, steps, rate)
-        tasks.close()
-        if not tasks.rank:
-            yield pa.RecordBatch.from_arrays([pa.array([w.tolist()], pa.list_(pa.float64()))], ["w"])
+        parts = sorted(blocks.mapInArrow(run, "part long, sums array<double>").collect())  # a row a partition
+        total = np.sum([r.sums for r in parts], axis=0) if parts else np.zeros(len(w) + 1)
+        return total[:-1] / max(total[-1], 1.0)
 
-    return np.array(rows.repartition(workers).mapInArrow(run, "w array<double>", barrier=True).collect()[0]["w"])  # one row
+    try:
+        return adam(start, whole, steps, rate)
+    finally:
+        blocks.unpersist()
 
 
 @dataclass
@@ -118,7 +135,9 @@ class SpatialHead:
     def fit(self, train: DataFrame, y: str = "y") -> SpatialHead:
         """Rows without a target or a vector are left out."""
         tokens = self.grid[0] * self.grid[1]
-        rows = train.select(F.col(self.vector).cast("array<double>").alias("v"), F.col(y).cast("double").alias("y")).dropna()
+        # single precision stays as it is until a block is read
+        kind = "array<float>" if train.schema[self.vector].dataType.simpleString() == "array<float>" else "array<double>"
+        rows = train.select(F.col(self.vector).cast(kind).alias("v"), F.col(y).cast("double").alias("y")).dropna()
         size = rows.select(F.max(F.size("v"))).head()[0]
         if not size or size % tokens:
             raise ValueError(f"vectors of {size} numbers are no grid of {tokens} tokens")
@@ -140,8 +159,7 @@ class SpatialHead:
                 y_.append((b.column(1).to_numpy(zero_copy_only=False) - own.centre) / own.spread)
             return np.concatenate(x), np.concatenate(y_)
 
-        workers = self.workers or min(8, train.sparkSession.sparkContext.defaultParallelism)
-        self.weights = fitted_together(rows, held, lambda d, w: (own.gradient(*d, w), len(d[1])), start, self.steps, self.rate, workers)
+        self.weights = fitted_in_blocks(rows, held, lambda d, w: (own.gradient(*d, w), len(d[1])), start, self.steps, self.rate, self.workers)
         return self
 
     def _tokens(self, column: pa.Array) -> np.ndarray:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .heads import fitted_together
+from .heads import fitted_in_blocks
 
 
 def training_mean(df: DataFrame, by: list[str], y: str = "y", name: str = "yhat") -> DataFrame:
@@ -140,9 +140,10 @@ def cross_validated(df: DataFrame, features: list[str], alphas: list[float], l1:
 class Network:
     """A regressor of one hidden layer of tanh units, or a linear one (hidden = 0), for a chosen loss.
 
-    ``loss``: squared, absolute, huber or quantile (then ``level``). A fit is one barrier job of
-    ``workers`` tasks: each holds its rows, and only sums of gradients travel. Adam steps on all
-    training rows, whose features and target are standardised by one aggregate.
+    ``loss``: squared, absolute, huber or quantile (then ``level``). A fit deals its rows to
+    ``workers`` partitions of cached blocks; a step is a job, of which only sums of gradients
+    travel, and a task holds one block at a time. Adam steps on all training rows, whose
+    features and target are standardised by one aggregate.
     """
 
     def __init__(self, features: list[str], hidden: int = 8, loss: str = "squared", level: float = 0.5, steps: int = 80, rate: float = 0.05, seed: int = 7, workers: int | None = None):
@@ -195,8 +196,9 @@ class Network:
             parts = [np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns]) for b in batches if len(b)]
             return (np.concatenate(parts) - own.mean) / own.sd if parts else np.zeros((0, k))
 
-        workers = self.workers or min(8, train.sparkSession.sparkContext.defaultParallelism)
-        self.weights = fitted_together(rows, held, lambda z, w: (own._gradient(z[:, :-1], z[:, -1], w), len(z)), w, self.steps, self.rate, workers) if n else w
+        # a panel of few rows has one partition a core
+        workers = self.workers or train.sparkSession.sparkContext.defaultParallelism
+        self.weights = fitted_in_blocks(rows, held, lambda z, w: (own._gradient(z[:, :-1], z[:, -1], w), len(z)), w, self.steps, self.rate, workers) if n else w
         return self
 
     def predict(self, df: DataFrame, name: str = "yhat") -> DataFrame:

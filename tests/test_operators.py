@@ -403,6 +403,23 @@ def test_a_head_finds_the_token_that_matters(spark):
     assert ((got.y - got.yhat) ** 2).mean() < 0.35 * got.y.var() and head.predict(df).filter("yhat is null").count() == 1
 
 
+def test_fits_read_their_rows_block_by_block(spark):
+    df = spark.range(0, 5000, 1, 3).select((F.col("id") % 7).cast("double").alias("x"))
+
+    def held(batches):
+        return np.concatenate([b.column(0).to_numpy() for b in batches])
+
+    def gradient(x, w):
+        assert 0 < len(x) <= heads.BLOCK
+        return np.array([(w[0] - x).sum()]), len(x)
+
+    x = np.arange(5000) % 7.0
+    want = heads.adam(np.zeros(1), lambda w: np.array([(w[0] - x).mean()]), 5, 0.5)
+    for workers in (None, 2):
+        assert np.allclose(heads.fitted_in_blocks(df, held, gradient, np.zeros(1), 5, 0.5, workers), want)
+    assert heads.fitted_in_blocks(df.filter("x > 9"), held, gradient, np.ones(1), 2, 0.5, None)[0] == 1
+
+
 def test_numbers_in_order_and_runs_that_come_apart(spark):
     df = _frame(spark, [(i * 7 % 50, i) for i in range(200)], "v int, k int")
     got = {r.k: r.n for r in panel.numbered(df, "v", "k", "n").collect()}
