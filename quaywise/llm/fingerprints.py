@@ -7,6 +7,8 @@ that fall into one digest bucket are compared byte by byte with the bucket's sma
 document; one whose canonical bytes differ gets ``~`` and the SHA-512 of its canonical
 bytes as a suffix, and so never shares a fingerprint with different bytes.
 
+Joins of tables that grow with the documents shuffle at every size.
+
 Likeness of two exact digests is 1.0 for equal canonical forms and 0.0 otherwise.
 """
 
@@ -86,12 +88,12 @@ def copies(docs: DataFrame, prints: DataFrame, work: Workspace) -> DataFrame:
     buckets = prints.groupBy("fingerprint").agg(smallest, F.count("*").alias("n")).filter("n > 1")
     # a table of its own: adaptive execution can then split a large bucket's rows in the join
     buckets = work.table(buckets.select("fingerprint", "rep"), "buckets")
-    members = work.table(prints.join(buckets, "fingerprint").select("doc_id", "row", "rep"), "members")
-    form = docs.join(members, ["doc_id", "row"]).select("doc_id", "row", "rep", canonical(F.col("text")).alias("form"))
+    members = work.table(prints.join(buckets.hint("merge"), "fingerprint").select("doc_id", "row", "rep"), "members")
+    form = docs.join(members.hint("merge"), ["doc_id", "row"]).select("doc_id", "row", "rep", canonical(F.col("text")).alias("form"))
     own = work.table(form.dropDuplicates(["doc_id", "row"]), "bytes")
     reps = own.filter((F.col("doc_id") == F.col("rep.doc_id")) & (F.col("row") == F.col("rep.row"))).select("rep", F.col("form").alias("rep_form"))
     differs = F.when(F.col("form") == F.col("rep_form"), F.lit("")).otherwise(F.concat(F.lit("~"), F.sha2("form", 512)))
-    compared = work.table(own.join(reps, "rep").select("doc_id", "row", "rep", differs.alias("differs")), "compared")
+    compared = work.table(own.join(reps.hint("merge"), "rep").select("doc_id", "row", "rep", differs.alias("differs")), "compared")
     odd = compared.filter("differs <> ''").groupBy("rep", "differs").agg(F.min("doc_id").alias("least"))
     same = compared.filter("differs = ''").select("doc_id", "row", F.col("rep.doc_id").alias("class_id"), "differs")
     return same.unionByName(compared.join(odd, ["rep", "differs"]).select("doc_id", "row", F.col("least").alias("class_id"), "differs"))
@@ -114,16 +116,19 @@ def fingerprint_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     work = Workspace(spark, "fingerprints")
     text = F.coalesce("text", F.lit(""))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("row"))
+    # texts go by doc_id once: both joins below see the same columns, so Spark shuffles for one and reads that again for the other
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).filter("doc_id is not null")
+    row = F.xxhash64("text").alias("row")
+    base = texts.select("doc_id", "text", row)
     links = work.table(next_ids(base.select("doc_id", F.char_length("text").alias("n_chars")), work), "next")
     repeated = not links.filter("n > 1").isEmpty()
     # what each document lends to the one before it
     wanted = links.select(F.col("next_id").alias("doc_id"), F.col("doc_id").alias("to_id"), F.floor(F.col("longest") / 4).cast("int").alias("k"))
-    lent = (_one_each(base, "text") if repeated else base).join(wanted, "doc_id")
+    lent = (_one_each(base, "text") if repeated else texts).join(wanted.hint("merge"), "doc_id")
     lent = lent.select(F.col("to_id").alias("doc_id"), F.col("doc_id").alias("next_id"), F.expr("substring(text, 1, k)").alias("following"))
     k = F.floor(F.char_length("text") / 4).cast("int")
     edited = F.expr("concat(substring(text, 1, char_length(text) - k), substring(following, 1, k))")
-    joined = base.join(lent, "doc_id").withColumn("k", k).select("doc_id", "row", "next_id", "text", edited.alias("edited"))
+    joined = texts.join(lent.hint("merge"), "doc_id").withColumn("k", k).select("doc_id", row, "next_id", "text", edited.alias("edited"))
     forms = joined.select(
         "doc_id",
         "row",
@@ -138,10 +143,10 @@ def fingerprint_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
         "prints",
     )
     compared = copies(base, prints, work)
-    own = prints.join(compared, ["doc_id", "row"], "left").withColumn("fingerprint", F.concat("fingerprint", F.coalesce("differs", F.lit(""))))
+    own = prints.join(compared.hint("merge"), ["doc_id", "row"], "left").withColumn("fingerprint", F.concat("fingerprint", F.coalesce("differs", F.lit(""))))
     own = work.table(own, "own")
     following = _one_each(own, "fingerprint") if repeated else own
-    own = own.join(following.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint")), "next_id")
+    own = own.join(following.select(F.col("doc_id").alias("next_id"), F.col("fingerprint").alias("next_fingerprint")).hint("merge"), "next_id")
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
     result = work.table(
         own.select(

@@ -315,6 +315,20 @@ def test_document_probabilities_equal_a_plain_loop_over_bytes():
         assert np.allclose(g, total / max(total.sum(), 1e-12), atol=1e-4)
 
 
+def test_fingerprints_shuffle_texts_once_for_both_joins_and_broadcast_none(spark, sf, monkeypatch):
+    plans, write = {}, fingerprints.Workspace.table
+
+    def table(work, df, name):
+        if name in ("prints", "bytes"):
+            df.collect()
+            plans[name] = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        return write(work, df, name)
+
+    monkeypatch.setattr(fingerprints.Workspace, "table", table)
+    fingerprints.op1_fingerprints(spark, sf)
+    assert "ReusedExchange" in plans["prints"] and not any("Broadcast" in p for p in plans.values())
+
+
 def test_languages(spark, sf, docs, nothing):
     held = langid.op4_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out").toPandas()
     assert (held.lang == held.lang_pred).mean() > 0.9
