@@ -32,6 +32,8 @@ HIDDEN = 8
 SAMPLE = 2_000
 UNKNOWN = "und"
 _BLOCK = 2048
+#: Bytes of a block's stretches that are labelled at once.
+_POSITIONS = 16
 
 
 def stretches(offsets: np.ndarray, span: int = SPAN, context: int = CONTEXT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,19 +98,62 @@ class BiGru:
         y /= y.sum(axis=-1, keepdims=True)
         return y
 
+    def _states(self, x: np.ndarray, inside: np.ndarray, d: str) -> np.ndarray:
+        """The states of ``_run`` at the labelled bytes; only steps that these depend on are taken.
+
+        Gates have arrays of their own and steps reuse them; tanh(x) is 2 / (1 + exp(-2x)) - 1.
+        """
+        h_, n = self.hidden, x.shape[1]
+        scaled = [(np.ascontiguousarray(self.p[f"w{d}"][:, g * h_ : (g + 1) * h_] * s), np.ascontiguousarray(self.p[f"u{d}"][:, g * h_ : (g + 1) * h_] * s)) for g, s in enumerate(np.float32([-1, -1, -2]))]
+        steps = range(CONTEXT + SPAN) if d == "f" else range(len(x) - 1, CONTEXT - 1, -1)
+        out = np.empty((SPAN, n, h_), dtype=np.float32)
+        h, (a, r, z, c) = np.zeros((n, h_), dtype=np.float32), np.empty((4, n, h_), dtype=np.float32)
+        with np.errstate(over="ignore"):  # a gate that is shut
+            for t in steps:
+                for gate, (w, u) in zip((r, z), scaled):
+                    np.take(w, x[t], axis=0, out=gate, mode="clip")
+                    gate += np.matmul(h, u, out=a)
+                    np.exp(gate, out=gate)
+                    gate += 1
+                    np.reciprocal(gate, out=gate)
+                w, u = scaled[2]
+                r *= np.matmul(h, u, out=a)
+                np.take(w, x[t], axis=0, out=c, mode="clip")
+                c += r
+                np.exp(c, out=c)
+                c += 1
+                np.divide(2, c, out=c)
+                c -= 1
+                h -= c
+                h *= z
+                h += c
+                h[~inside[t]] = 0
+                if CONTEXT <= t < CONTEXT + SPAN:
+                    out[t - CONTEXT] = h
+        return out
+
     def documents(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Language probabilities of each text; zeros for empty texts."""
         begin, lo, hi, first = stretches(offsets)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
         sums = np.zeros((len(begin) + 1, len(self.languages)))
+        v, c = self.p["v"].T, self.p["c"][:, None]
         for k in range(0, len(begin), _BLOCK):
             part = slice(k, k + _BLOCK)
             x, inside = windows(data, begin[part], offsets[owner[part]], offsets[owner[part] + 1], SPAN + 2 * CONTEXT)
-            x, inside = np.ascontiguousarray(x.T), np.ascontiguousarray(inside.T)[:, :, None]
-            states = np.concatenate([self._run(x, inside, d)[CONTEXT : CONTEXT + SPAN] for d in "fb"], axis=2)
-            y = self._positions(states)
-            y *= (np.arange(CONTEXT, CONTEXT + SPAN)[:, None] < hi[part])[:, :, None]
-            sums[k + 1 : k + 1 + _BLOCK] = y.sum(axis=0)
+            x, inside = np.ascontiguousarray(x.T).astype(np.intp), np.ascontiguousarray(inside.T)
+            forward, backward = self._states(x, inside, "f"), self._states(x, inside, "b")
+            n = x.shape[1]
+            for t in range(0, SPAN, _POSITIONS):
+                # languages come first, so that sums over them run along the memory
+                y = v[:, : self.hidden] @ forward[t : t + _POSITIONS].reshape(-1, self.hidden).T
+                y += v[:, self.hidden :] @ backward[t : t + _POSITIONS].reshape(-1, self.hidden).T
+                y += c
+                y -= y.max(axis=0)
+                np.exp(y, out=y)
+                weight = (np.arange(CONTEXT + t, CONTEXT + min(t + _POSITIONS, SPAN))[:, None] < hi[part]).ravel() / y.sum(axis=0)
+                y *= weight.astype(np.float32)
+                sums[k + 1 : k + 1 + n] += y.reshape(len(y), -1, n).sum(axis=1).T
         sums = np.cumsum(sums, axis=0)
         total = sums[first[1:]] - sums[first[:-1]]
         return total / np.maximum(total.sum(axis=1, keepdims=True), 1e-12)

@@ -329,6 +329,26 @@ def test_fingerprints_shuffle_texts_once_for_both_joins_and_broadcast_none(spark
     assert "ReusedExchange" in plans["prints"] and not any("Broadcast" in p for p in plans.values())
 
 
+def test_prediction_takes_only_the_steps_that_labels_depend_on():
+    net, rng = langid.BiGru(["a", "b"], seed=6), random.Random(8)
+    net.p["wf"] *= 400  # gates that are shut
+    data = np.frombuffer(rng.randbytes(1200), dtype=np.uint8)
+    begin, _, _, _ = langid.stretches(np.array([0, 700, 1200]))
+    lo, hi = np.array([0, 0, 0, 700, 700]), np.array([700, 700, 700, 1200, 1200])
+    x, inside = (np.ascontiguousarray(a.T) for a in langid.windows(data, begin, lo, hi, langid.SPAN + 2 * langid.CONTEXT))
+    for d in "fb":
+        read = set()
+
+        class Rows(np.ndarray):
+            def __getitem__(self, t):
+                read.add(t)
+                return np.asarray(self)[t]
+
+        got = net._states(x.view(Rows), inside, d)
+        assert len(read) == langid.SPAN + langid.CONTEXT
+        assert np.allclose(got, net._run(x, inside[:, :, None], d)[langid.CONTEXT : langid.CONTEXT + langid.SPAN], atol=1e-4)
+
+
 def test_languages(spark, sf, docs, nothing):
     held = langid.op4_langid(spark, sf).join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id").filter("held_out").toPandas()
     assert (held.lang == held.lang_pred).mean() > 0.9
