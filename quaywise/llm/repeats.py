@@ -25,7 +25,7 @@ texts: the windows of each context's first document are digested, looked up and
 first whole spans of them, then one by one those of spans that are new. Digests are 128 bits of BLAKE2b over the bytes of the words, 160 bits for whole
 texts, and decide what is equal; the 64-bit anchors only find candidates.
 
-After each batch runs of like size are compacted, by a merge join of two runs, and a new
+After each batch but a final one runs of like size are compacted, by a merge join of two runs, and a new
 manifest is written before old runs are deleted. ``FingerprintIndex.open`` carries on where
 an earlier session stopped. An anchor in a third of all documents is one row a run; its
 contexts and windows are keyed by their own digests, so no key gathers them. Joins of tables
@@ -212,11 +212,12 @@ class FingerprintIndex:
         type_ = "boolean" if column == "mixed" else "binary" if column == "context" else "long"
         return of(*found) if len(found) > 1 else found[0] if found else F.lit(None).cast(type_)
 
-    def add(self, batch: DataFrame, store: DataFrame, work: Workspace) -> DataFrame:
+    def add(self, batch: DataFrame, store: DataFrame, work: Workspace, final: bool = False) -> DataFrame:
         """(doc_id, row, place, nth) of what goes from a batch of (doc_id, row, text).
 
         place -1: the whole text; nth -1: all windows on the anchor at that place; else windows
-        among them, as the first's number + 256 times how many.
+        among them, as the first's number + 256 times how many. After a ``final`` batch no run
+        is looked up again, so none is compacted.
         """
         sketches = work.table(sketch(batch), "sketches")
         copies, texts = self._copies(sketches, work)
@@ -231,7 +232,7 @@ class FingerprintIndex:
         singles, windows = self._windows(classes, anchors, store, work)
         single_context = F.col("mixed") == F.lit(False)
         news = anchors.filter("not seen or mixed and not past_mixed").select("anchor", F.when(single_context, F.col("context")).alias("context"), F.when(single_context, F.col("first_id")).alias("first_id"), "mixed")
-        self._append({"texts": texts, "anchors": news, "windows": windows}, work)
+        self._append({"texts": texts, "anchors": news, "windows": windows}, work, final)
         work.drop(classes, anchors, texts, windows)
         gone = hits.unionByName(singles).unionByName(copies.select("doc_id", "row", F.lit(-1).alias("place"), F.lit(-1).alias("nth")))
         out = work.table(gone, "gone")
@@ -314,13 +315,13 @@ class FingerprintIndex:
         hits = rows.filter("new").join(repeated.hint("merge"), "window").filter("least < doc_id")
         return work.table(hits.select("doc_id", "row", "place", nth.cast("int").alias("nth")), "repeated")
 
-    def _append(self, news: dict[str, DataFrame], work: Workspace) -> None:
+    def _append(self, news: dict[str, DataFrame], work: Workspace, final: bool) -> None:
         """Write the new rows of each kind as a run, compact, then the manifest; old runs go last."""
         stale: list[str] = []
         for kind, rows in news.items():
             key = self.KINDS[kind][0]
             self.runs[kind].append(self._write(kind, rows.repartition(self.buckets, key)))
-            while len(self.runs[kind]) > 1 and 2 * self.runs[kind][-1][1] >= self.runs[kind][-2][1]:
+            while not final and len(self.runs[kind]) > 1 and 2 * self.runs[kind][-1][1] >= self.runs[kind][-2][1]:
                 b, a = self.runs[kind].pop(), self.runs[kind].pop()
                 self.runs[kind].append(self._write(kind, self._merged(kind, a[0], b[0])))
                 stale += [a[0], b[0]]
@@ -438,7 +439,7 @@ def find_repeats(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
             if k < len(bounds):
                 batch = batch.filter(F.col("doc_id") <= bounds[k])
             store = base if k == len(bounds) else base.filter(F.col("doc_id") <= bounds[k])
-            parts.append(index.add(batch, store, work))
+            parts.append(index.add(batch, store, work, final=k == len(bounds)))
     finally:
         index.close()
     work.delete(index.root)

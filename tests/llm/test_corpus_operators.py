@@ -769,6 +769,15 @@ def test_removing_repeats_keeps_other_rows_as_they_are(docs, nothing, texts):
     assert repeats.repeats_report(nothing).count() == 0 and repeats.remove_repeats(nothing).count() == 0
 
 
+def test_no_runs_are_compacted_after_the_last_batch(spark, sf, monkeypatch):
+    merged, merge, versions = [], repeats.FingerprintIndex._merged, []
+    monkeypatch.setattr(repeats.FingerprintIndex, "_merged", lambda index, *a: (merged.append(index.version), merge(index, *a))[1])
+    append = repeats.FingerprintIndex._append
+    monkeypatch.setattr(repeats.FingerprintIndex, "_append", lambda index, *a: (append(index, *a), versions.append(index.version))[0])
+    repeats.find_repeats(spark.read.parquet(f"{sf}/documents.parquet"))
+    assert versions == [1, 2, 3] and merged and max(merged) < 2
+
+
 def test_least_of_windows():
     rng = np.random.default_rng(0)
     for width in (1, 2, 5, 39):
